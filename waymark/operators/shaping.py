@@ -58,25 +58,19 @@ def max_fee(costs: DataFrame) -> DataFrame:
 
 
 def cost_index(places: DataFrame, costs: DataFrame) -> DataFrame:
-    """Cost relative to the dearest place; the global maximum is a one-row aggregate."""
-    top = costs.agg(F.greatest(F.coalesce(F.max("amount_max"), F.lit(1.0)), F.lit(1.0)).alias("top_cost"))
-    per_place = places.join(max_fee(costs), "place", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
-    # one row by construction, so this join adds a column rather than pairs
-    return per_place.join(F.broadcast(top)).withColumn(
-        "cost_index", rnd(F.least(F.lit(1.0), F.col("cost") / F.col("top_cost")), 4)
-    )
+    """Cost relative to the dearest place (at least 1)."""
+    top = costs.agg(F.greatest(F.coalesce(F.max("amount_max"), F.lit(1.0)), F.lit(1.0))).scalar()
+    per_place = places.join(max_fee(costs), "place", "left").withColumns({"cost": F.coalesce("cost", F.lit(0.0)), "top_cost": top})
+    return per_place.withColumn("cost_index", rnd(F.least(F.lit(1.0), F.col("cost") / F.col("top_cost")), 4))
 
 
 def interest_long(places: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, interest, weight): strongest weight per interest over the tags of a place."""
-    spark = places.sparkSession
-    dictionary = spark.createDataFrame(
-        [(t, i, w) for t, weights in K.TAG_INTERESTS.items() for i, w in weights.items()],
-        "tag string, interest string, weight double",
-    )
+    weights = lambda w: F.array(*[F.struct(F.lit(i).alias("interest"), F.lit(x).alias("weight")) for i, x in w.items()])
+    pairs = [x for t, w in K.TAG_INTERESTS.items() if w for x in (F.lit(t), weights(w))]
     return (
         places.select(*keys, F.explode("tags").alias("tag"))
-        .join(F.broadcast(dictionary), "tag")
+        .select(*keys, F.inline(F.try_element_at(F.create_map(*pairs), F.col("tag"))))
         .groupBy(*keys, "interest")
         .agg(F.max("weight").alias("weight"))
     )

@@ -600,14 +600,12 @@ def p33(spark, root):
 
 
 @query("P34_widest_start", """
-  SELECT plan, day, place, start_min, qty, price, earliest, latest FROM (
-    SELECT s.plan, s.day, s.place, s.start_min, s.qty, s.price, s.discount, s.kind, s.version,
-      arg_max(CASE WHEN f THEN e END, CASE WHEN f THEN (l - e) * 100000 - o END) AS earliest,
-      arg_max(CASE WHEN f THEN l END, CASE WHEN f THEN (l - e) * 100000 - o END) AS latest
-    FROM (SELECT s.*, w.opens AS o, greatest(w.opens, day_start) AS e, least(w.closes, day_end) - service AS l,
-            coalesce(least(w.closes, day_end) - service >= greatest(w.opens, day_start), false) AS f
-          FROM (SELECT *, row_number() OVER () AS rid FROM v_stops) s LEFT JOIN v_windows w ON w.place = s.place AND w.wd = s.wd) s
-    GROUP BY s.rid, ALL)""")
+  SELECT plan, day, place, start_min, qty, price,
+    arg_max(e, (l - e) * 100000 - o) FILTER (f) AS earliest, arg_max(l, (l - e) * 100000 - o) FILTER (f) AS latest
+  FROM (SELECT s.*, w.opens AS o, greatest(w.opens, day_start) AS e, least(w.closes, day_end) - service AS l,
+          coalesce(least(w.closes, day_end) - service >= greatest(w.opens, day_start), false) AS f
+        FROM (SELECT *, row_number() OVER () AS rid FROM v_stops) s LEFT JOIN v_windows w ON w.place = s.place AND w.wd = s.wd)
+  GROUP BY rid, plan, day, place, start_min, qty, price""")
 def p34(spark, root):
     s = stops(spark, root)
     win = clock.open_windows(F.col("windows"), F.col("closed_dow"), F.col("wd"))

@@ -18,7 +18,7 @@ from waymark.sources.tables import table
 WORD_TAGS = {
     "ring": "temple", "blue": "lake", "bolt": "fort", "new": "modern", "cold": "high-altitude",
     "small": "village", "plate": "food", "rod": "trek", "anvil": "museum", "gear": "science",
-    "gizmo": "entertainment", "red": "palace", "large": "landmark", "widget": "market",
+    "gizmo": "viewpoint", "red": "palace", "large": "landmark", "widget": "market",
     "hot": "hot-spring", "old": "heritage",
 }
 PLACE_KINDS = {
