@@ -19,10 +19,20 @@ def rate(numerator: Column, denominator: Column, places: int = 4) -> Column:
     return F.coalesce(rnd(share, places), F.lit(0.0))
 
 
+def sql_value(value) -> str:
+    """A constant as Spark SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def sql_map(mapping: dict) -> str:
+    return "map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in mapping.items()) + ")"
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
-    """Value of ``key`` in a small fixed mapping."""
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    """Value of ``key`` in a small fixed mapping (one map constant, parsed once)."""
+    found = F.try_element_at(F.expr(sql_map(mapping)), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

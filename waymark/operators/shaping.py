@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import constants as K
-from waymark.functions.stats import clamp, lookup, rnd
+from waymark.functions.stats import clamp, lookup, rnd, sql_map, sql_value
 
 MONTHS = range(1, 13)
 
@@ -66,23 +66,26 @@ def cost_index(places: DataFrame, costs: DataFrame) -> DataFrame:
 
 def interest_long(places: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, interest, weight): strongest weight per interest over the tags of a place."""
-    weights = lambda w: F.array(*[F.struct(F.lit(i).alias("interest"), F.lit(x).alias("weight")) for i, x in w.items()])
-    pairs = [x for t, w in K.TAG_INTERESTS.items() if w for x in (F.lit(t), weights(w))]
+    weights = {t: w for t, w in K.TAG_INTERESTS.items() if w}
+    row = lambda i, x: f"named_struct('interest', {sql_value(i)}, 'weight', {sql_value(x)})"
+    dictionary = "map(" + ", ".join(
+        f"{sql_value(t)}, array({', '.join(row(i, x) for i, x in w.items())})" for t, w in weights.items()
+    ) + ")"
     return (
         places.select(*keys, F.explode("tags").alias("tag"))
-        .select(*keys, F.inline(F.try_element_at(F.create_map(*pairs), F.col("tag"))))
+        .select(*keys, F.inline(F.try_element_at(F.expr(dictionary), F.col("tag"))))
         .groupBy(*keys, "interest")
         .agg(F.max("weight").alias("weight"))
     )
 
 
-def interest_vector(tags: Column) -> list[Column]:
+def interest_vector(tags: str = "tags") -> list[Column]:
     """The same weights as ten columns ``a_<interest>``, computed in place without a join."""
     columns = []
     for interest in K.INTERESTS:
-        weights = {t: w[interest] for t, w in K.TAG_INTERESTS.items() if interest in w}
-        best = F.array_max(F.transform(tags, lambda t, weights=weights: lookup(weights, t, 0.0)))
-        columns.append(F.coalesce(best, F.lit(0.0)).alias(f"a_{interest}"))
+        weights = sql_map({t: w[interest] for t, w in K.TAG_INTERESTS.items() if interest in w})
+        best = f"array_max(transform({tags}, t -> coalesce(try_element_at({weights}, t), 0D)))"
+        columns.append(F.expr(f"coalesce({best}, 0D)").alias(f"a_{interest}"))
     return columns
 
 

@@ -308,7 +308,7 @@ def j21(spark, root):
 
 def best_source(sources):
     """Per (place, topic) the first source covering the topic, else the first source."""
-    fields = F.create_map(*[x for t, f in K.TOPIC_COVERS.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in f]))])
+    fields = F.expr("map(" + ", ".join(f"'{t}', array({', '.join(repr(v) for v in f)})" for t, f in K.TOPIC_COVERS.items()) + ")")
     spread = sources.select("place", "pos", "url", "source_type", "covers", F.explode(fields).alias("topic", "fields"))
     order = F.struct((~F.arrays_overlap("covers", "fields")).alias("miss"), "pos")
     return spread.groupBy("place", "topic").agg(F.min_by(F.struct("url", "source_type"), order).alias("s")).select("place", "topic", "s.*")
