@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,16 +75,18 @@ def day_clusters(items: DataFrame, rounds: int, until_stable: bool = False, chec
         for _ in range(rounds - 1):
             state = _move_centres(points, state)
     else:
-        points, state, done = cut(points, "points"), cut(state, "centres"), 0
-        while done < rounds:
-            before = state
+        points = cut(points, "points")
+        moving, settled = cut(state, "centres"), []
+        for done in range(0, rounds, check_every):
+            after = moving.withColumnRenamed("centres", "was")
             for _ in range(min(check_every, rounds - done)):
-                state = _move_centres(points, state)
-                done += 1
-            state = cut(state, "centres")
-            moved = state.join(before.withColumnRenamed("centres", "was"), "trip").where(F.col("centres") != F.col("was"))
-            if moved.isEmpty():
+                moving = _move_centres(points, moving)
+            both = cut(moving.join(after, "trip"), "centres")
+            settled.append(both.where("centres = was").select("trip", "centres"))
+            moving = both.where("centres <> was").select("trip", "centres")
+            if moving.isEmpty():
                 break
+        state = reduce(DataFrame.unionByName, settled, moving)
     return points.join(state, "trip").withColumn("c", _nearest(F.col("centres")).cast("int"))
 
 
@@ -92,7 +96,7 @@ def balance(assigned: DataFrame) -> DataFrame:
     Every trip makes at most one move per round; trips that cannot move drop out, and the rounds
     end with the first one in which nothing moves.
     """
-    current = cut(assigned, "assigned")
+    current, settled = cut(assigned, "assigned"), []
     while True:
         sizes = current.groupBy("trip", "c").agg(F.count("*").alias("size"), F.any_value("k").alias("k"), F.any_value("n").alias("n"))
         per_trip = sizes.groupBy("trip").agg(
@@ -114,11 +118,11 @@ def balance(assigned: DataFrame) -> DataFrame:
             F.min(F.struct(extra.alias("extra"), "place", "target")).alias("m")
         )
         moved = cut(cheapest.where(F.col("m.extra") <= K.BALANCE_MOVE_KM * 1e6).select("trip", "m.place", F.col("m.target").alias("to")), "moves")
+        settled.append(current.join(moved.select("trip"), "trip", "left_anti"))
         if moved.isEmpty():
-            return current
-        current = cut(
-            current.join(moved, ["trip", "place"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "assigned"
-        )
+            return reduce(DataFrame.unionByName, settled)
+        going = current.join(moved.select("trip"), "trip", "left_semi")
+        current = cut(going.join(moved, ["trip", "place"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "assigned")
 
 
 # ------------------------------------------------------------------ filling a day

@@ -130,12 +130,13 @@ def select_fairly(grid: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     of every trip at once; its picks are written to the shared folder, so the plan of a round
     never contains the rounds before it.
     """
+    scores = cut(scores, "scores")
     scale = scores.groupBy("trip").agg(F.max(F.abs("total")).alias("top"))
-    scaled = scores.join(scale, "trip").select(
+    scaled = (scores.join(scale, "trip").select(
         "trip", "place", "mandatory", F.coalesce(F.try_divide(F.col("total"), F.col("top")), F.lit(0.0)).alias("score")
-    )
+    ))
     chosen = scaled.where("mandatory").select("trip", "place", F.lit(0).alias("step"))
-    g = grid.select("trip", "member", "must_place", "place", "u")
+    g = cut(grid.select("trip", "member", "must_place", "place", "u"), "grid")
     for step in range(1, k + 1):
         chosen = cut(chosen, "picks")
         counts = chosen.groupBy("trip").agg(F.count("*").alias("n"))

@@ -61,3 +61,11 @@ def plan_bytes(df: DataFrame) -> int:
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only where the estimated size is within ``limit``; else a shuffle join."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for an input of few splits; inputs large enough to have many are left alone."""
+    spark = df.sparkSession
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("bB"))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < split * cores else df
