@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -54,8 +55,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate, an upper bound for scans, filters and projections of files."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size >= 0 else sys.maxsize  # estimates past 63 bits wrap
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
