@@ -1 +1,187 @@
-"""Queries."""
+"""Queries: streaming-shaped operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from waymark.functions import geo, text
+from waymark.functions.stats import rate, rnd
+from waymark.plans.joins import TODAY, next_activity
+from waymark.plans.registry import query
+from waymark.plans.shaping import leg_sql
+from waymark.plans.view_sql import VIEWS, hav, rnd as r
+from waymark.plans.windows import latest_positions
+from waymark.session import work_path
+from waymark.sources import views as V
+from waymark.sources.tables import table
+from waymark.streaming import runs, sharing
+
+
+@query("ST1_private_ingest", """
+  SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS props FROM events""")
+def st1(spark, root):
+    stream = runs.event_stream(spark, root)
+    noisy = F.concat(F.lit('{"lat":"1.5","k":'), F.get_json_object("props", "$.k"), F.lit(',"Coords":"x"}'))
+    return runs.append_run(stream.select("event_id", text.strip_private(noisy).alias("props")), "ingest")
+
+
+@query("ST2_daily_counts", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def st2(spark, root):
+    stream = runs.event_stream(spark, root).withWatermark("ts", "2 days")
+    counts = stream.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    flat = counts.select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
+    return runs.update_run(flat, ["event_type", "day"], "daily")
+
+
+@query("ST3_sliding_counts", """
+  SELECT event_type, w AS start, count(*) AS hits, count(*) > 1 AS over FROM (
+    SELECT event_type, unnest(range(epoch_us(ts) // 10000000 * 10 - 50, epoch_us(ts) // 10000000 * 10 + 10, 10)) AS w FROM events) GROUP BY ALL""")
+def st3(spark, root):
+    stream = runs.event_stream(spark, root).withWatermark("ts", "10 minutes")
+    counts = stream.groupBy("event_type", F.window("ts", "60 seconds", "10 seconds").alias("w")).agg(F.count("*").alias("hits"))
+    flat = counts.select("event_type", F.unix_seconds("w.start").alias("start"), "hits", (F.col("hits") > 1).alias("over"))
+    return runs.update_run(flat, ["event_type", "start"], "sliding")
+
+
+@query("ST3_trailing_counts", """
+  SELECT event_id, hits, hits > 3 AS over, CASE WHEN hits > 3 THEN greatest(0e0, round((f + 3600000000 - at_us) / 1e6, 1)) ELSE 0e0 END AS retry_after FROM (
+    SELECT event_id, epoch_us(ts) AS at_us, count(*) OVER w AS hits, min(epoch_us(ts)) OVER w AS f FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))""")
+def st3b(spark, root):
+    events = table(spark, root, "events").select("event_id", "event_type", "ts")
+    return runs.trailing_requests(events, "event_type", 3600, 3).select("event_id", "hits", "over", "retry_after")
+
+
+@query("ST4_sharing_sessions")
+def st4(spark, root):
+    """Custom keyed state with event-time timers: no SQL twin; the tests compare it with a plain loop."""
+    return runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, root, maxBytesPerTrigger=64 * 1024 * 1024)), "sharing")
+
+
+@query("ST5_stream_positions", "SELECT trip, member, point FROM (SELECT *, row_number() OVER (PARTITION BY trip, member ORDER BY ts DESC, point DESC) AS rn FROM v_points) WHERE rn = 1 AND expires > TIMESTAMP '" + V.AS_OF + "'")
+def st5(spark, root):
+    k = F.get_json_object("props", "$.k").cast("int")
+    stream = runs.event_stream(spark, root).where("event_type in ('click', 'view')").select(
+        F.expr("(user_id div 5) * 97").alias("trip"), F.col("user_id").alias("member"), F.col("event_id").alias("point"), "ts",
+        (F.col("ts") + F.make_dt_interval(hours=(F.lit(1) + k % 12) * 12)).alias("expires"),
+    )
+    latest = stream.groupBy("trip", "member").agg(F.max(F.struct("ts", "point", "expires")).alias("p")).select("trip", "member", "p.point", "p.expires")
+    held = runs.update_run(latest, ["trip", "member"], "positions")
+    return held.where(F.col("expires") > F.lit(V.AS_OF).cast("timestamp")).select("trip", "member", "point")
+
+
+@query("ST6_retention_purge", f"""
+  SELECT (SELECT count(*) FROM v_points WHERE expires <= TIMESTAMP '{V.AS_OF}') AS points_deleted,
+    (SELECT count(*) FROM v_points WHERE expires > TIMESTAMP '{V.AS_OF}' AND session NOT IN (SELECT session FROM v_sessions)) AS orphans_deleted,
+    (SELECT count(*) FROM v_sessions WHERE session_expires <= TIMESTAMP '{V.AS_OF}' AND status IN ('active', 'paused')) AS sessions_expired,
+    (SELECT count(*) FROM v_points WHERE expires > TIMESTAMP '{V.AS_OF}' AND session IN (SELECT session FROM v_sessions)) AS points_remaining""")
+def st6(spark, root):
+    kept, sessions, counts = purge(V.points(spark, root), V.sessions(spark, root), F.lit(V.AS_OF).cast("timestamp"))
+    return counts
+
+
+def purge(points, sessions, now):
+    """Points without the expired and the orphaned, sessions with expiry applied, and four counts."""
+    marked = points.join(sessions.select("session", F.lit(True).alias("known")), "session", "left").withColumn(
+        "fate", F.when(F.col("expires") <= now, "expired").when(F.col("known").isNull(), "orphan").otherwise("kept")
+    )
+    ends = (F.col("session_expires") <= now) & F.col("status").isin("active", "paused")
+    updated = sessions.withColumn("status", F.when(ends, "expired").otherwise(F.col("status")))
+    expired = sessions.agg(F.count_if(ends))
+    fate = lambda f: F.count_if(F.col("fate") == f)
+    counts = marked.agg(fate("expired").alias("points_deleted"), fate("orphan").alias("orphans_deleted"), fate("kept").alias("points_remaining")).withColumn("sessions_expired", expired.scalar())
+    return marked.where("fate = 'kept'").drop("known", "fate"), updated, counts
+
+
+_EK, _EM = leg_sql("l.lat", "l.lon", "n.nlat", "n.nlon", "'car'")
+VIEWS["v_next"] = f"""
+  SELECT plan, lat AS nlat, lon AS nlon FROM (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY date, start_min, place) AS rn FROM v_stops WHERE kind = 'visit' AND (date > DATE '{TODAY}' OR (date = DATE '{TODAY}' AND end_min >= 600))) WHERE rn = 1"""
+
+
+@query("ST7_group_status", f"""
+  WITH c AS (SELECT trip, avg(lat) AS clat, avg(lon) AS clon, count(*) AS sharing FROM v_latest GROUP BY trip),
+  s AS (SELECT trip, max({hav('clat', 'clon', 'lat', 'lon')}) AS far FROM v_latest JOIN c USING (trip) GROUP BY trip)
+  SELECT l.trip, l.member, c.sharing, {r('c.clat', 5)} AS centre_lat, {r('c.clon', 5)} AS centre_lon, {r('s.far', 3)} AS max_separation, s.far > 1.5 AS warning,
+    round({_EK} + 1e-9, 2) AS next_km, round({_EM} + 1e-9, 0) AS next_minutes
+  FROM v_latest l JOIN c ON c.trip = l.trip JOIN s ON s.trip = l.trip LEFT JOIN v_next n ON n.plan = l.trip""")
+def st7(spark, root):
+    from waymark.plans.shaping import stops
+
+    ahead = next_activity(stops(spark, root).where("kind = 'visit'"), TODAY, 600, ("lat", "lon")).select(F.col("plan").alias("trip"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))
+    return group_status(latest_positions(spark, root), ahead)
+
+
+def group_status(positions, ahead):
+    """Centroid, largest separation with warning, and each member's estimate to the next stop."""
+    centre = positions.groupBy("trip").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"), F.count("*").alias("sharing"))
+    placed = positions.join(centre, "trip").withColumn("km", geo.haversine_km(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")))
+    far = placed.groupBy("trip").agg(F.max("km").alias("far"))
+    est = geo.leg(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"), F.lit("car"))
+    rows = placed.join(far, "trip").join(ahead, "trip", "left").withColumn("leg", est)
+    return rows.select(
+        "trip", "member", "sharing", rnd(F.col("clat"), 5).alias("centre_lat"), rnd(F.col("clon"), 5).alias("centre_lon"), rnd(F.col("far"), 3).alias("max_separation"),
+        (F.col("far") > 1.5).alias("warning"), rnd(F.col("leg.km"), 2).alias("next_km"), rnd(F.col("leg.minutes"), 0).alias("next_minutes"),
+    )
+
+
+@query("ST8_rolling_health")
+def st8(spark, root):
+    """Approximate percentile over sliding windows: no exact twin; A20_service_health is the exact batch form."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    ok = F.when(F.col("event_type") == "error", k % 2 == 0).otherwise(k % 13 != 0)
+    stream = runs.event_stream(spark, root).withWatermark("ts", "1 hour").withColumns({"ok": ok, "fallback": k % 10 == 0})
+    health = stream.groupBy(F.col("event_type").alias("service"), F.window("ts", "1 day", "6 hours").alias("w")).agg(
+        F.count("*").alias("calls"), rate(F.count_if(~F.col("ok")), F.count("*")).alias("error_rate"), rate(F.count_if("fallback"), F.count("*")).alias("fallback_rate"),
+        F.percentile_approx("value", 0.95, 1000).alias("p95"),
+    )
+    return runs.update_run(health.select("service", F.col("w.start").alias("start"), "calls", "error_rate", "fallback_rate", "p95"), ["service", "start"], "health")
+
+
+@query("ST9_deduplicated_ingest", "SELECT sha256(event_type || '|' || user_id || '|' || epoch_us(ts)) AS content_hash, event_type FROM events")
+def st9(spark, root):
+    stream = runs.event_stream(spark, root)
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    hashed = twice.withColumn("content_hash", F.sha2(F.concat_ws("|", "event_type", "user_id", F.unix_micros("ts")), 256))
+    unique = hashed.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["content_hash"])
+    return runs.append_run(unique.select("content_hash", "event_type"), "unique")
+
+
+@query("ST10_cache_pruning", "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAY")
+def st10(spark, root):
+    cache = table(spark, root, "events").select("event_id", "ts", "value")
+    path = work_path(spark, "cache")
+    prune(cache, F.lit("2024-01-30").cast("timestamp"), 10).write.parquet(path)
+    return spark.read.parquet(path).select("event_id", "value")
+
+
+def prune(cache, now, days):
+    return cache.where(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+@query("ST11_late_events")
+def st11(spark, root):
+    """Late rows depend on how input arrives in micro-batches: no SQL twin; every row lands in one of two tables."""
+    staged = work_path(spark, "arrivals")
+    # arrival order differs from event order: files are ranges of the user, not of time
+    table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartitionByRange(3, "user_id").write.parquet(staged)
+    out = route_late(runs.event_stream(spark, staged, "*.parquet", maxFilesPerTrigger=1).select("event_id", "event_type", "ts"), spark, "5 days")
+    return out.groupBy("late").agg(F.count("*").alias("n"))
+
+
+def route_late(stream, spark, delay):
+    """Rows older than the high mark of earlier batches minus ``delay`` go to the late table."""
+    path = work_path(spark, "late")
+    days = F.expr(f"interval {delay}")
+    schema = stream.schema
+
+    def handle(batch, epoch):
+        marks = f"{path}/marks"
+        earlier = batch.sparkSession.read.schema("mark timestamp, epoch int").parquet(marks).where(F.col("epoch") < epoch) if epoch else None
+        mark = earlier.agg(F.max("mark")).scalar() if epoch else F.lit(None).cast("timestamp")
+        tagged = batch.withColumn("late", F.coalesce(F.col("ts") < mark - days, F.lit(False)))
+        tagged.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        batch.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
+
+    runs.batch_run(stream, handle, "late-run")
+    return spark.read.schema(runs.with_field(schema, "late", T.BooleanType())).parquet(f"{path}/rows")
