@@ -19,12 +19,12 @@ def _issue(condition: Column, code: str, severity: str) -> Column:
 def stop_issues(stops: DataFrame) -> DataFrame:
     """Issues seen on a single stop and its predecessor, in one pass over the activities.
 
-    ``stops``: activities with ``prev_end``, trip and place attributes (null for unknown places).
+    ``stops``: activities with ``prev_end``, trip and place attributes and the ``open`` intervals
+    of the weekday (null for unknown places).
     """
     visit = (F.col("kind") == "visit") & F.col("typ").isNotNull()
-    windows = clock.open_windows(F.col("windows"), F.col("closed_dow"), F.col("wd"))
-    opened = F.size(windows) > 0
-    inside = F.exists(windows, lambda w: (w["opens"] <= F.col("start_min")) & (F.col("end_min") <= w["closes"]))
+    opened = F.size("open") > 0
+    inside = F.exists("open", lambda w: (w["opens"] <= F.col("start_min")) & (F.col("end_min") <= w["closes"]))
     length = F.col("end_min") - F.col("start_min")
     gap = F.col("start_min") - F.col("prev_end")
     found = F.array_compact(F.array(
@@ -43,6 +43,12 @@ def stop_issues(stops: DataFrame) -> DataFrame:
     return stops.select("plan", "day", "place", F.inline(found))
 
 
+def open_by_weekday(places: DataFrame) -> DataFrame:
+    """(place, wd, open): seven rows per place, so activities join their intervals ready-made."""
+    week = places.select("place", "windows", "closed_dow", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("wd"))
+    return week.select("place", "wd", clock.open_windows(F.col("windows"), F.col("closed_dow"), F.col("wd")).alias("open"))
+
+
 def day_issues(acts: DataFrame, trips: DataFrame) -> DataFrame:
     """Daily travel, number of stops and missing meal, against the pace of the trip."""
     days = acts.groupBy("plan", "day").agg(

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -27,49 +26,70 @@ _STOP = frozenset(K.STOP_WORDS)
 QUERIES_PER_PASS = 20_000  # 20,000 vectors of 384 doubles are 61 MB, the most that is broadcast at once
 
 
-def features(text: str) -> Counter:
-    """Words, adjacent pairs and four-letter pieces of the tokens, counted."""
-    words = [t for t in _WORD.findall((text or "").lower()) if len(t) > 1 and t not in _STOP]
-    line = " ".join(words)
-    pieces = (line[i : i + 4] for i in range(len(line) - 3))
-    return Counter(
-        ["w:" + w for w in words]
-        + [f"b:{a}_{b}" for a, b in zip(words, words[1:])]
-        + ["c:" + p for p in pieces if " " not in p]
-    )
+class Slots:
+    """Bucket and signed kind weight of every feature met so far, by feature number.
 
+    Four-letter pieces never cross a word, so a word brings its own feature and all its pieces
+    at once; texts are then counted as arrays of feature numbers.
+    """
+
+    LIMIT = 2_000_000
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        self.bucket: list[int] = []
+        self.weight: list[float] = []
+
+    def number(self, feature: str) -> int:
+        n = self.numbers.get(feature)
+        if n is None:
+            n = self.numbers[feature] = len(self.bucket)
+            digest = md5(feature.encode()).hexdigest()
+            self.bucket.append(int(digest[:15], 16) % K.EMBED_DIM)
+            sign = 1.0 if digest[15] >= "8" else -1.0
+            self.weight.append(sign * {"w": 1.0, "b": 0.85, "c": 0.35}[feature[0]])
+        return n
 
-def slot(feature: str) -> tuple[int, float]:
-    """Bucket and signed kind weight of a feature."""
-    digest = md5(feature.encode()).hexdigest()
-    sign = 1.0 if digest[15] >= "8" else -1.0
-    return int(digest[:15], 16) % K.EMBED_DIM, sign * {"w": 1.0, "b": 0.85, "c": 0.35}[feature[0]]
+    def word(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            pieces = [self.number("c:" + word[i : i + 4]) for i in range(len(word) - 3)]
+            found = self.words[word] = [self.number("w:" + word), *pieces]
+        return found
 
 
-def embed_texts(texts, cache: dict) -> np.ndarray:
+def embed_texts(texts, slots: Slots) -> np.ndarray:
     """Unit rows, one per text; all-zero where a text has no tokens."""
-    cells, weights, start = [], [], 0
+    if len(slots.numbers) > slots.LIMIT:
+        slots.clear()
+    numbers: list[int] = []
+    sizes: list[int] = []
     for text in texts:
-        for feature, count in features(text).items():
-            hit = cache.get(feature)
-            if hit is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                hit = cache[feature] = slot(feature)
-            cells.append(start + hit[0])
-            weights.append(hit[1] if count == 1 else hit[1] * (1.0 + math.log(count)))
-        start += K.EMBED_DIM
-    if not cells:
-        return np.zeros((start // K.EMBED_DIM, K.EMBED_DIM))
-    out = np.bincount(cells, weights, minlength=start).reshape(-1, K.EMBED_DIM)
+        words = [t for t in _WORD.findall((text or "").lower()) if len(t) > 1 and t not in _STOP]
+        before = len(numbers)
+        for word in words:
+            numbers.extend(slots.word(word))
+        numbers.extend(slots.number(f"b:{a}_{b}") for a, b in zip(words, words[1:]))
+        sizes.append(len(numbers) - before)
+    kinds = max(1, len(slots.bucket))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    cells, counts = np.unique(owner * kinds + np.asarray(numbers, dtype=np.int64), return_counts=True)
+    feature = cells % kinds
+    weights = np.asarray(slots.weight, dtype=float)[feature] * (1.0 + np.log(counts))
+    places = cells // kinds * K.EMBED_DIM + np.asarray(slots.bucket, dtype=np.int64)[feature]
+    out = np.bincount(places, weights, minlength=len(sizes) * K.EMBED_DIM).reshape(-1, K.EMBED_DIM)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norms, out=out, where=norms > 0)
 
 
 def _embed_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    cache: dict = {}
+    slots = Slots()
     for batch in texts:
-        yield pd.Series(list(embed_texts(batch, cache)))
+        yield pd.Series(list(embed_texts(batch, slots)))
 
 
 def embed(column: Column) -> Column:
@@ -104,10 +124,10 @@ def _dense_pass(chunks: DataFrame, questions: DataFrame, top: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(by_scope)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
+        slots = Slots()
         best: dict = {}
         for batch in batches:
-            vectors = embed_texts(batch["text"], cache)
+            vectors = embed_texts(batch["text"], slots)
             rows_of: dict[str, list[int]] = {}
             for i, keys in enumerate(batch["scopes"]):
                 for key in keys:

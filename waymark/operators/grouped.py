@@ -45,20 +45,20 @@ def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
     return out.drop("_bucket", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], take: dict[str, str]) -> DataFrame:
+def previous(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], take: dict[str, str], last: dict[str, Column] | None = None
+) -> DataFrame:
     """Values of the preceding row over ``keys`` ordered by the ``order`` columns (``lag``).
 
     Inside a bucket this is ``lag``; the first row of a bucket takes the last row of the
-    nearest earlier bucket of its key, found by a partially aggregated ``max``.
+    nearest earlier bucket of its key. ``last`` may give the aggregate that finds a taken value
+    in the last row of a bucket; on plain numbers it stays a hash aggregate, the default sorts.
     """
     b = _with_bucket(df, bucket)
-    ends = b.groupBy(*keys, "_bucket").agg(
-        F.max(F.struct(*order, *[F.col(c).alias(f"_x_{n}") for n, c in take.items()])).alias("_last")
-    )
+    at_end = last or {n: F.max_by(c, F.struct(*order)) for n, c in take.items()}
+    ends = b.groupBy(*keys, "_bucket").agg(*[at_end[n].alias(f"_x_{n}") for n in take])
     by_bucket = W.partitionBy(*keys).orderBy("_bucket")
-    carried = ends.select(
-        *keys, "_bucket", *[F.lag(F.col("_last")[f"_x_{n}"]).over(by_bucket).alias(f"_c_{n}") for n in take]
-    )
+    carried = ends.select(*keys, "_bucket", *[F.lag(f"_x_{n}").over(by_bucket).alias(f"_c_{n}") for n in take])
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     first = F.row_number().over(inside) == 1
     out = _rejoin(b, carried, keys).withColumns(

@@ -53,15 +53,15 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     Only query terms are kept from the corpus before anything is shuffled.
     """
     terms = questions.select("q", "scope", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
-    scopes = questions.select("scope").distinct()
-    lengths = chunks.select("chunk", F.explode(chunk_scopes()).alias("scope"), F.size(text.tokens(F.concat_ws(" ", "heading", "body"))).alias("len"))
-    stats = lengths.join(scopes, "scope").groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    words = chunks.select(
-        "chunk", chunk_scopes().alias("scopes"), text.tokens(F.concat_ws(" ", "heading", "body")).alias("t")
-    ).select("chunk", "scopes", F.size("t").alias("len"), F.explode("t").alias("term"))
-    tf = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk", "scopes", "len", "term").agg(F.count("*").alias("tf"))
-    postings = tf.select("chunk", "len", "term", "tf", F.explode("scopes").alias("scope")).join(
-        terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi"
+    # chunks outside every asked scope are dropped before their text is tokenized
+    scoped = chunks.select("chunk", F.explode(chunk_scopes()).alias("scope"), "heading", "body").join(
+        questions.select("scope").distinct(), "scope", "left_semi"
+    ).select("scope", "chunk", text.tokens(F.concat_ws(" ", "heading", "body")).alias("t"))
+    stats = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
+    postings = (
+        scoped.select("scope", "chunk", F.size("t").alias("len"), F.explode("t").alias("term"))
+        .join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+        .groupBy("scope", "chunk", "len", "term").agg(F.count("*").alias("tf"))
     )
     df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -19,8 +19,11 @@ def audited_stops(spark, root, acts=None, places=None):
     """Activities with predecessor, trip and place attributes; unknown places stay."""
     acts = with_previous(V.activities(spark, root) if acts is None else acts)
     t = V.trips(spark, root).select(F.col("trip").alias("plan"), "needs_access", "start_date")
-    p = (V.places(spark, root) if places is None else places).select("place", "typ", "min_dur", "max_dur", "access", F.col("kind").alias("exposure"), "windows", "closed_dow")
-    return acts.join(t, "plan").join(p, "place", "left").withColumn("wd", F.weekday(F.date_add("start_date", F.col("day"))))
+    catalogue_now = V.places(spark, root) if places is None else places
+    attributes = catalogue_now.select("place", "typ", "min_dur", "max_dur", "access", F.col("kind").alias("exposure"))
+    week = A.open_by_weekday(catalogue_now).join(attributes, "place")
+    dated = acts.join(t, "plan").withColumn("wd", F.weekday(F.date_add("start_date", F.col("day"))))
+    return dated.join(week, ["place", "wd"], "left")
 
 
 def issues_of(spark, root, *codes):

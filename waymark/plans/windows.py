@@ -54,7 +54,11 @@ VIEWS["v_gaps"] = f"SELECT *, lag(end_min) OVER (PARTITION BY plan, day ORDER BY
 
 def with_previous(acts):
     """Each activity with the end of the one before it on its day."""
-    return grouped.previous(acts, ["plan", "day"], F.floor(F.col("start_min") / 60), ORDER.split(", "), {"prev_end": "end_min"})
+    # minutes fit 20 bits, so the end of the latest start is the low part of one maximum
+    last_end = F.max(F.shiftleft(F.col("start_min").cast("bigint"), 20) + F.col("end_min")).bitwiseAND((1 << 20) - 1).cast("int")
+    return grouped.previous(
+        acts, ["plan", "day"], F.floor(F.col("start_min") / 60), ORDER.split(", "), {"prev_end": "end_min"}, {"prev_end": last_end}
+    )
 
 
 @query("W3_gap_and_overlap", "SELECT plan, day, place, start_min, end_min, start_min - prev_end AS gap, coalesce(start_min < prev_end, false) AS overlaps FROM v_gaps")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark.functions import constants as K
 from waymark.functions.geo import leg
@@ -85,7 +84,7 @@ def run_ledger(runs: DataFrame) -> DataFrame:
     return latest.select("pipeline", "run_key", "r.*").withColumn("rejections", F.slice("rejections", 1, 20))
 
 
-FORECAST_SCHEMA = T.StructType.fromDDL(
+FORECAST_SCHEMA = (
     "time array<string>, weather_code array<int>, t_max array<double>, t_min array<double>, "
     "mm array<double>, prob array<double>"
 )
@@ -108,7 +107,7 @@ def forecast_rows(payloads: DataFrame, key: str) -> DataFrame:
     )
 
 
-MATRIX_SCHEMA = T.StructType.fromDDL("durations array<array<double>>, distances array<array<double>>")
+MATRIX_SCHEMA = "durations array<array<double>>, distances array<array<double>>"
 
 
 def matrix_legs(payloads: DataFrame, key: str) -> DataFrame:
