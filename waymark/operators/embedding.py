@@ -81,7 +81,7 @@ def embed_texts(texts, slots: Slots) -> np.ndarray:
     feature = cells % kinds
     weights = np.asarray(slots.weight, dtype=float)[feature] * (1.0 + np.log(counts))
     places = cells // kinds * K.EMBED_DIM + np.asarray(slots.bucket, dtype=np.int64)[feature]
-    out = np.bincount(places, weights, minlength=len(sizes) * K.EMBED_DIM).reshape(-1, K.EMBED_DIM)
+    out = np.bincount(places, weights, minlength=len(sizes) * K.EMBED_DIM).astype(float).reshape(-1, K.EMBED_DIM)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -12,13 +12,20 @@ TABLES = (
 ).split()
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 class MissingTable(FileNotFoundError):
     """A layer table that a job needs has not been written yet."""
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One given table; zone-less timestamps become UTC timestamps."""
-    df = spark.read.parquet(f"{root}/{name}.parquet")
+    path = f"{root}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema  # footers are read once per session and table
+    df = spark.read.schema(_schemas[key]).parquet(path)
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
