@@ -44,9 +44,10 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--explain", action="store_true")
+    parser.add_argument("--plain", action="store_true", help="session without tuning, as a driver might make it")
     parser.add_argument("keys", nargs="*")
     args = parser.parse_args()
-    spark = local_session()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate() if args.plain else local_session()
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{args.sf}/{name}.parquet'")
