@@ -6,7 +6,6 @@ import math
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from waymark.operators import days as D
 from waymark.operators import fairness as G

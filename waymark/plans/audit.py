@@ -8,10 +8,8 @@ from waymark.functions import constants as K
 from waymark.functions.stats import rnd
 from waymark.operators import audit as A
 from waymark.plans.registry import query
-from waymark.plans.shaping import stops
 from waymark.plans.view_sql import VIEWS, rnd as r, sql_lookup
-from waymark.plans.windows import ORDER, duplicate_visits, with_previous
-from waymark.session import cut
+from waymark.plans.windows import duplicate_visits, with_previous
 from waymark.sources import catalogue, views as V
 
 

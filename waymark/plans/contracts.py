@@ -8,7 +8,7 @@ from waymark.functions import constants as K, geo, text
 from waymark.operators import contracts as C
 from waymark.operators import shaping as S
 from waymark.plans.registry import query
-from waymark.plans.shaping import DEMO_DOMAINS, HOST, fee_rows, schedule_rows
+from waymark.plans.shaping import DEMO_DOMAINS, HOST, schedule_rows
 from waymark.plans.view_sql import hav, sql_list
 from waymark.sources import catalogue, views as V
 from waymark.sources.tables import table

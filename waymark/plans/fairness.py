@@ -246,7 +246,6 @@ def f15(spark, root):
     strengths = F.array(*[F.struct((-v).alias("v"), F.lit(i).alias("pos"), F.lit(name).alias("name")) for i, (name, v) in enumerate(zip(K.INTERESTS, S.interest_vector()))])
     named = F.filter(F.slice(F.array_sort(strengths), 1, 2), lambda e: e["v"] < -0.4)
     rows = s.join(best, ["trip", "place"]).withColumn("named", named)
-    ladder = lambda *pairs: pairs
     wx, acc = F.col("weather_suitability"), F.col("accessibility_suitability")
     outdoors = (wx >= 0.85) & (F.col("kind") != "indoor")
     parts = message_list([

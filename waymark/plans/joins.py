@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.functions import clock, constants as K, geo
-from waymark.functions.stats import lookup, rnd
+from waymark.functions import constants as K, geo
+from waymark.functions.stats import rnd
 from waymark.operators import grouped, shaping as S
 from waymark.plans.registry import query
 from waymark.plans.shaping import fee_rows, leg_sql, schedule_rows, trip_days
-from waymark.plans.view_sql import VIEWS, rnd as r, sql_list, sql_lookup
+from waymark.plans.view_sql import VIEWS, rnd as r, sql_list
 from waymark.sources import views as V
 from waymark.sources.tables import table
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import constants as K, geo, text
-from waymark.functions.stats import lookup, rnd
-from waymark.operators import grouped, shaping as S
+from waymark.functions.stats import rnd
+from waymark.operators import grouped
 from waymark.plans.registry import query
 from waymark.plans.shaping import trip_days, weather
-from waymark.plans.view_sql import VIEWS, hav, rnd as r, sql_list, toks
+from waymark.plans.view_sql import VIEWS, hav, rnd as r, toks
 from waymark.sources import views as V
 from waymark.sources.tables import table
 

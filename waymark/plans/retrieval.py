@@ -9,7 +9,7 @@ from waymark.functions.stats import rnd
 from waymark.operators import embedding as E, grouped, retrieval as R
 from waymark.plans.registry import query
 from waymark.plans.shaping import FEES_SQL, LIVE, MONTHS_SQL, SCHED_SQL, SENTENCES, fees_text, schedule_text
-from waymark.plans.view_sql import VIEWS, rnd as r, sql_list, sql_lookup, toks, topic_case
+from waymark.plans.view_sql import VIEWS, rnd as r, sql_lookup, toks, topic_case
 from waymark.session import cut
 from waymark.sources import views as V
 from waymark.sources.tables import table

@@ -8,7 +8,7 @@ from waymark.functions import clock, constants as K, geo, stats, text
 from waymark.functions.stats import lookup, rnd
 from waymark.operators import shaping as S
 from waymark.plans.registry import query
-from waymark.plans.view_sql import hav, rnd as r, sql_list, sql_lookup, sql_map, toks, topic_case
+from waymark.plans.view_sql import hav, rnd as r, sql_list, sql_lookup, toks, topic_case
 from waymark.session import work_path
 from waymark.sources import catalogue, views as V
 from waymark.sources.tables import layer, table
