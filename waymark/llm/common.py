@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.session import cut, tune
+from waymark import session
+from waymark.session import cut
 from waymark.sources.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +15,12 @@ GAP = r"[\x20\x09-\x0D]+"
 __all__ = ["GAP", "WORD", "cut", "documents", "free_name", "table", "text_or_empty", "tune", "word_count"]
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches of few rows: texts may be long."""
+    session.tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents")
 

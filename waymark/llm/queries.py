@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, licenses, mixing, packing, quality, tokens, topk
+from waymark.llm import chat, language, licenses, mixing, packing, quality, simhash, tokens, topk
 from waymark.llm.common import cut, documents, table, text_or_empty, tune, word_count
 from waymark.llm.twins import ORACLES
 
@@ -58,12 +58,26 @@ def op6_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, root), ["doc_id"])
 
 
+@query
+def op7_simhash_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint and component of every document. Components are iterative; the tests compare all pairs."""
+    found = simhash.groups(documents(spark, root))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op8_exact_top_k(spark: SparkSession, root: str) -> DataFrame:
     """The five best rows for every vector whose id is divisible by 50."""
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op9_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """Predicted language of every document; a learned model, tested by held-out accuracy."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return language.identify(documents(spark, root), ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 @query
 def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
     """What can be read back from the formatted text of every conversation."""
