@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, language, licenses, mixing, packing, quality, simhash, tokens, topk
+from waymark.llm import chat, language, licenses, mixing, packing, quality, simhash, suffixes, tokens, topk
 from waymark.llm.common import cut, documents, table, text_or_empty, tune, word_count
 from waymark.llm.twins import ORACLES
 
@@ -39,6 +39,13 @@ def op2_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op3_repeated_strings(spark: SparkSession, root: str) -> DataFrame:
+    """What is left of every document without strings that occur twice. Compared with a set of all strings in the tests."""
+    done = suffixes.remove_repeats(documents(spark, root), ["doc_id"], with_text=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op4_license_scan(spark: SparkSession, root: str) -> DataFrame:
     """Canonical digest of every document and the licences that it, or a line of it, is."""
