@@ -27,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from waymark.llm.common import free_name
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
@@ -210,7 +213,7 @@ def label_texts(texts: list[str | None], model: Model, memory: dict[str, int], r
     return out
 
 
-def _predicting(shared):
+def _predicting(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         rows: list[np.ndarray] = []
@@ -220,7 +223,7 @@ def _predicting(shared):
             columns = list(zip(*got)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "n_switches"],
+                names=names,
             )
 
     return run
@@ -248,6 +251,7 @@ def identify(docs: DataFrame, learn_from: Column, keep: dict[str, Column], doc_i
     """``keep`` columns with lang_pred, score and n_switches for every row; learns from rows where ``learn_from`` holds."""
     model = train(sample(docs.where(learn_from), fit, doc_id, text, lang), fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size: 2 MB, and a bounded lexicon
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text}`").cast("string").alias("_body"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predicting(shared), f"{schema}, lang_pred string, score double, n_switches long")
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text}`").cast("string").alias(free_name(docs, "_body")))
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "n_switches": T.LongType()}
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(free_name(rows, n), t) for n, t in kinds.items()]])
+    return rows.mapInArrow(_predicting(shared, schema.names), schema)

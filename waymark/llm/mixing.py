@@ -133,7 +133,7 @@ def copies(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def document_sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text_or_empty(f"`{text}`")).alias("size"))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text_or_empty(f"`{text}`")).alias("size"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -142,12 +142,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "
     Rows that share an id are matched to their copies by size and then in order of text.
     """
     took = copies(document_sizes(docs, text, source, doc_id), mix)
-    names = [free_name(docs, n) for n in ("_id", "_size", "_nth", "_copies")]
-    id_, size, nth, times = names
+    id_, size, nth, times, my_id, my_size, my_nth = (free_name(docs, n) for n in ("_id", "_size", "_nth", "_copies", "_my_id", "_my_size", "_my_nth"))
     key = W.partitionBy(id_, size)
     right = took.where(F.col("copies") > 0).select(F.col("doc_id").alias(id_), F.col("size").alias(size), F.col("copies").alias(times)).withColumn(nth, F.row_number().over(key.orderBy(F.desc(times))))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.select(*own, F.col(f"`{doc_id}`").alias("_l_id"), word_count(text_or_empty(f"`{text}`")).alias("_l_size"))
-    left = left.withColumn("_l_nth", F.row_number().over(W.partitionBy("_l_id", "_l_size").orderBy(F.xxhash64(f"`{text}`"))))
-    j = left.join(right, F.col("_l_id").eqNullSafe(F.col(id_)) & (F.col("_l_size") == F.col(size)) & (F.col("_l_nth") == F.col(nth)))
+    left = docs.select(*own, F.col(f"`{doc_id}`").cast("long").alias(my_id), word_count(text_or_empty(f"`{text}`")).alias(my_size))
+    left = left.withColumn(my_nth, F.row_number().over(W.partitionBy(my_id, my_size).orderBy(F.xxhash64(f"`{text}`"))))
+    j = left.join(right, F.col(my_id).eqNullSafe(F.col(id_)) & (F.col(my_size) == F.col(size)) & (F.col(my_nth) == F.col(nth)))
     return j.select(*own, F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int")))).select(*own)

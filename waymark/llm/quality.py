@@ -18,10 +18,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from waymark.llm.common import GAP, WORD, cut, free_name, text_or_empty, word_count
+from waymark.llm.common import GAP, WORD, cut, free_name, text_or_empty
 
 SYMBOLS = "[^#*$%&|<>]+"
 BINS_PER_E = 24  # a bin spans 4.3 %
@@ -54,24 +53,26 @@ class Rules:
     ))
 
 
-def _repeat_words(words: str) -> Column:
-    """Positions covered by 3-word windows that occur twice or more.
+def _words_and_repeats(body: str) -> Column:
+    """Number of words, and of positions covered by 3-word windows that occur twice or more.
 
     Window hashes without a repeat end here; else (hash, position) pairs are sorted, those with an
-    equal neighbour kept, and the covered positions summed along the sorted positions.
+    equal neighbour kept, and the covered positions summed along the sorted positions. Intermediate
+    arrays are bound as lambda variables: each is built once, wherever the optimizer moves the column.
     """
+    pattern = WORD.replace("\\", "\\\\")
     return F.expr(f"""
-      CASE WHEN size({words}) < 4 THEN 0L ELSE
-      element_at(transform(array(transform(sequence(0, size({words}) - 3),
-          i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))), h ->
-        CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE
-        element_at(transform(array(sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))), s ->
-          aggregate(
-            sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].h = x.h)
-                OR (i < size(s) - 1 AND s[least(i + 1, size(s) - 1)].h = x.h)), x -> x.i)),
-            struct(0L AS n, -3 AS last),
-            (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n)), 1)
-        END), 1) END""")
+      element_at(transform(array(regexp_extract_all({body}, '{pattern}', 0)), w ->
+        struct(CAST(size(w) AS BIGINT) AS n, CASE WHEN size(w) < 4 THEN 0L ELSE
+        element_at(transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
+          CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE
+          element_at(transform(array(sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))), s ->
+            aggregate(
+              sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].h = x.h)
+                  OR (i < size(s) - 1 AND s[least(i + 1, size(s) - 1)].h = x.h)), x -> x.i)),
+              struct(0L AS n, -3 AS last),
+              (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n)), 1)
+          END), 1) END AS r)), 1)""")
 
 
 def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -82,16 +83,16 @@ def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, s
     words, body, lines = (free_name(docs, n) for n in ("_words", "_body", "_lines"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     parts = docs.select(*own, text_or_empty(f"`{text}`").alias(body)).select(
-        "*", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias(words),
+        "*", _words_and_repeats(f"`{body}`").alias(words),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)).alias(lines),
     )
     joined = F.regexp_replace(body, GAP, "")
     counts = {
-        "n_words": F.size(words).cast("long"),
+        "n_words": F.col(f"{words}.n"),
         "word_chars": F.length(joined).cast("long"),
         "n_symbols": F.length(F.regexp_replace(body, SYMBOLS, "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _repeat_words(f"`{words}`"),
+        "n_repeat_words": F.col(f"{words}.r"),
         "n_lines": F.size(lines).cast("long"),
         "n_upper": F.length(F.regexp_replace(body, r"[^\p{Lu}]+", "")).cast("long"),
         "n_marks": F.length(F.regexp_replace(body, r"[^!?]+", "")).cast("long"),
@@ -171,15 +172,16 @@ def judge(measured: DataFrame, names: dict[str, str], rules: Rules = Rules(), la
     The fences are one row per (language, source); Spark broadcasts them only below its size
     threshold, else both sides are shuffled and a hot source is split by adaptive execution.
     """
+    g_lang, g_source, g_limits = (free_name(measured, n) for n in ("_g_lang", "_g_source", "_g_limits"))
     limits = thresholds(sketches(measured, names, rules, lang, source), rules).select(
-        F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), F.struct(*[c for f in rules.fences for c in (f"{'lo' if f.low else 'hi'}_{f.rate}",)]).alias("_g_limits")
+        F.col("lang").alias(g_lang), F.col("source").alias(g_source), F.struct(*[f"{'lo' if f.low else 'hi'}_{f.rate}" for f in rules.fences]).alias(g_limits)
     )
     j = measured.join(
-        limits, F.col(f"`{lang}`").eqNullSafe(F.col("_g_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_g_source")), "left"
+        limits, F.col(f"`{lang}`").eqNullSafe(F.col(g_lang)) & F.col(f"`{source}`").eqNullSafe(F.col(g_source)), "left"
     )
     value, bad = rates(names), F.lit(False)
     for f in rules.fences:
-        limit = F.col(f"_g_limits.{'lo' if f.low else 'hi'}_{f.rate}")
+        limit = F.col(f"{g_limits}.{'lo' if f.low else 'hi'}_{f.rate}")
         bad = bad | F.coalesce((value[f.rate] < limit) if f.low else (value[f.rate] > limit), F.lit(False))
     failed = base_failed(names, rules)
     return j.select(*[F.col(f"`{c}`") for c in measured.columns], failed.alias(free_name(measured, "base_failed")), (~failed & ~bad).alias(free_name(measured, "kept")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.llm.common import cut
+from waymark.llm.common import cut, free_name
 from waymark.llm.components import components
 
 WORDS = 4
@@ -212,8 +212,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows whose id names their component, one row each, with all their columns."""
-    kept = groups(docs, doc_id, text, radius).select(F.col("component_id").alias("_kept_id")).distinct()
+    mine, kept_id, n = (free_name(docs, c) for c in ("_mine", "_kept", "_nth"))
+    kept = groups(docs, doc_id, text, radius).select(F.col("component_id").alias(kept_id)).distinct()
     own = [F.col(f"`{c}`") for c in docs.columns]
-    nth = F.row_number().over(W.partitionBy("_own_id").orderBy(F.xxhash64(f"`{text}`")))
-    rows = docs.select(*own, F.col(f"`{doc_id}`").alias("_own_id"))
-    return rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_kept_id"))).withColumn("_nth", nth).where(F.col("_nth") == 1).select(*own)
+    nth = F.row_number().over(W.partitionBy(mine).orderBy(F.xxhash64(f"`{text}`")))
+    rows = docs.select(*own, F.col(f"`{doc_id}`").cast("long").alias(mine))
+    return rows.join(kept, F.col(mine).eqNullSafe(F.col(kept_id))).withColumn(n, nth).where(F.col(n) == 1).select(*own)

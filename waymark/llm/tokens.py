@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from waymark.llm.common import free_name
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 STEPS = 64  # longer words go through the automaton one at a time
@@ -127,7 +130,7 @@ def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
-def _counting(shared):
+def _counting(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         memory: dict[bytes, int] = {}
@@ -139,7 +142,7 @@ def _counting(shared):
             if len(memory) > 200_000:  # words come back, but the table must not grow with the input
                 memory.clear()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*batch.schema.names[:-1], "n_words", "n_tokens"]
+                [*batch.columns[:-1], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=names
             )
 
     return run
@@ -148,6 +151,7 @@ def _counting(shared):
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns with ``n_words`` and ``n_tokens``. No shuffle; the automaton is broadcast (a few MB)."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.of(read_vocabulary(vocabulary)))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_body"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_counting(shared), f"{schema}, n_words long, n_tokens long")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(docs, "_body")))
+    added = [free_name(rows, n) for n in ("n_words", "n_tokens")]
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in added]])
+    return rows.mapInArrow(_counting(shared, schema.names), schema)
