@@ -44,7 +44,7 @@ STRING = 200
 KMER = 64
 PIECE = 1 << 20  # bytes of a text handled at once; longer ones go in overlapping pieces
 SAMPLE = 20_000  # anchor rows that splitters are taken from, about
-MANY = 4096  # contexts of one k-mer from which their strings become rows
+MANY = 1024  # contexts of one k-mer from which their strings become rows
 AT_ONCE = 300_000  # strings sorted together within a task
 
 ODD = 0x9E3779B97F4A7C15
@@ -216,7 +216,7 @@ def _comparing(many: int):
     """Sorts a bucket and compares neighbours.
 
     WHOLE rows repeat in full; LOCAL and SPREAD rows stand for one context of a k-mer that has several;
-    EDGE rows belong to a k-mer at an end of the bucket. Rows whose k-mer is alone are left out.
+    EDGE rows stand for one context of a k-mer at an end of the bucket. Others are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +231,14 @@ def _comparing(many: int):
         full = core & (t2[1:] == t2[:-1])
         new_core, new_full = np.append(True, ~core), np.append(True, ~full)
         core_no, full_no = np.cumsum(new_core) - 1, np.cumsum(new_full) - 1
-        rows, classes = np.bincount(core_no), np.bincount(core_no, weights=new_full).astype(np.int64)
+        classes = np.bincount(core_no, weights=new_full).astype(np.int64)
         in_class = np.bincount(full_no)[full_no] > 1
         edge = (core_no == 0) | (core_no == core_no[-1])
-        place = np.arange(len(t0))
-        bound = edge & ((place == 0) | (place == len(t0) - 1))
-        kind = np.full(len(t0), EDGE)
-        inner = ~edge & (rows[core_no] > 1)
-        kind[inner & in_class] = WHOLE
-        several = inner & (classes[core_no] > 1) & new_full
+        bound = edge & ((full_no == 0) | (full_no == full_no[-1]))
+        several = ~edge & (classes[core_no] > 1) & new_full
         reps = np.where(classes[core_no] > many, SPREAD, LOCAL)
-        parts = [(np.flatnonzero(edge), kind), (np.flatnonzero(inner & in_class), kind), (np.flatnonzero(several), reps)]
+        constant = lambda kind: np.full(len(t0), kind)
+        parts = [(np.flatnonzero(in_class), constant(WHOLE)), (np.flatnonzero(several), reps), (np.flatnonzero(edge & new_full), constant(EDGE))]
         for at, kinds in parts:
             for s in range(0, len(at), 100_000):
                 i = at[s:s + 100_000]
@@ -258,14 +255,14 @@ def compared(rows: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
 
     At most two k-mers of a bucket are at its ends, and a class that goes on in the next bucket holds
     the last row of the one and the first row of the other: the tables joined here have at most two
-    rows per bucket.
+    rows per bucket. A class at an end comes as one row, so copies do not add up here either.
     """
     found = cut(rows.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(_comparing(many), COMPARED), "compared")
     edges = found.where(F.col("kind") == EDGE)
     cores = edges.groupBy("t0", "t1").agg((F.min("t2") != F.max("t2")).alias("several"))
     across = edges.where("bound").groupBy("t0", "t1", "t2").agg((F.count("*") > 1).alias("across")).where("across")
     settled = edges.join(F.broadcast(cores), ["t0", "t1"]).join(F.broadcast(across), ["t0", "t1", "t2"], "left")
-    repeats = F.col("many") | F.coalesce("across", F.lit(False))
+    repeats = ~F.col("many") & F.coalesce("across", F.lit(False))
     own = ["kind", "t1", "ref", "lo", "off", "n"]
     return (
         found.where(F.col("kind") != EDGE).select(*own)
