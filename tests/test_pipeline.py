@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from waymark.operators import audit as A
@@ -13,8 +14,9 @@ from waymark.operators import contracts as C
 from waymark.operators import metrics as P
 from waymark.operators import models as M
 from waymark.operators import shaping as S
+from waymark.plans import registry
 from waymark.plans.contracts import runtime_checks
-from waymark.session import cut, maybe_broadcast, shared_dir, work_path
+from waymark.session import cut, shared_dir, work_path
 from waymark.sources import catalogue
 from waymark.sources.tables import MissingTable, layer
 from waymark.streaming import runs, sharing
@@ -164,14 +166,25 @@ def test_bootstrap_interval_holds_the_exact_gap(spark):
     assert out["resamples"] == 200 and out["significant"]
 
 
-def test_broadcast_only_below_the_limit(spark):
-    big, small = spark.range(1_000_000), spark.range(10)
-    joined = lambda df, limit: big.join(maybe_broadcast(df, limit), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in joined(small, 10_000)
-    assert "strategy=broadcast" not in joined(small, 1)
-
-
 def test_cut_writes_to_the_shared_folder_and_ends_the_plan(spark):
     df = cut(spark.range(5).withColumn("x", F.col("id") * 2), "demo")
     assert shared_dir(spark) in df.inputFiles()[0]
     assert sorted(r["x"] for r in df.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, root, tmp_path):
+    queries = registry.all_queries()
+    spark.read.parquet(f"{root}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for key in ("ST1_private_ingest", "ST9_deduplicated_ingest", "ST2_daily_counts"):
+        one, many = (sorted(map(repr, queries[key](spark, at).collect())) for at in (root, str(tmp_path)))
+        assert one and one == many, key
+
+
+def test_streams_fail_without_a_table(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        runs.event_stream(spark, str(tmp_path))
+
+
+def test_report_shows_every_row(spark, tmp_path):
+    shown = catalogue.report(spark.range(1001), f"{tmp_path}/report")
+    assert shown.count("\n") == 1002

@@ -199,7 +199,7 @@ def reject_reasons() -> Column:
         ((F.size(opened) > 0) & ~fits, "cannot_fit_in_daily_window"),
         (F.col("needs_access") & (F.col("access") == "no"), "not_wheelchair_accessible"),
         (F.col("any_wheelchair") & (F.col("access") == "no"), "member_requires_step_free_access"),
-        (F.col("any_limited") & (F.col("intensity") >= 5), "too_physically_demanding"),
+        (F.col("any_limited") & (F.col("intensity") >= 5), "too_physically_demanding_for_a_member"),
         (F.col("budget").isNotNull() & (F.col("fee_min") > F.greatest(daily, F.lit(150.0))), "entry_fee_exceeds_budget"),
         (F.array_contains("vetoes", F.col("place")), "vetoed_by_member"),
     ]

@@ -145,7 +145,7 @@ VIEWS["v_reasons"] = """
   SELECT trip, place, array_to_string(list_filter([CASE WHEN children AND place = circuit * 16 + trip % 16 THEN 'excluded_by_group' END,
     CASE WHEN open_days = 0 THEN 'closed_for_entire_trip' END, CASE WHEN open_days > 0 AND NOT fits THEN 'cannot_fit_in_daily_window' END,
     CASE WHEN needs_access AND access = 'no' THEN 'not_wheelchair_accessible' END, CASE WHEN any_wheelchair AND access = 'no' THEN 'member_requires_step_free_access' END,
-    CASE WHEN any_limited AND intensity >= 5 THEN 'too_physically_demanding' END,
+    CASE WHEN any_limited AND intensity >= 5 THEN 'too_physically_demanding_for_a_member' END,
     CASE WHEN fee_min > greatest(budget / days * 0.45e0, 150e0) AND budget IS NOT NULL THEN 'entry_fee_exceeds_budget' END, CASE WHEN vetoed THEN 'vetoed_by_member' END], lambda x: x IS NOT NULL), '|') AS reasons FROM v_pairs"""
 VIEWS["v_wscore"] = f"""
   SELECT trip, place, {r('avg(s)', 4)} AS weather_suitability FROM (SELECT p.trip, p.place, greatest(0e0, least(1e0, 1e0

@@ -238,12 +238,12 @@ def day_legs(pool):
 
 @query("J17_route_cache", """
   WITH e AS (SELECT a.place, a.kind, round(a.lat, 4) AS la, round(a.lon, 4) AS lo, round(b.lat, 4) AS lb, round(b.lon, 4) AS lob
-    FROM v_places a JOIN v_places b ON b.place IN (a.place + 1, a.place + 2)),
+    FROM v_places a JOIN v_places b ON b.place IN (a.place, a.place + 1, a.place + 2, a.place + 3, a.place + 16, a.place + 5000000)),
   k AS (SELECT *, sha1('haversine|car|' || CASE WHEN (la, lo) <= (lb, lob) THEN la || ',' || lo || '|' || lb || ',' || lob ELSE lb || ',' || lob || '|' || la || ',' || lo END) AS cache_key FROM e),
   c AS (SELECT DISTINCT cache_key FROM k WHERE kind = 'indoor')
   SELECT k.cache_key, bool_or(c.cache_key IS NOT NULL) AS hit, count(c.cache_key) AS hits FROM k LEFT JOIN c ON c.cache_key = k.cache_key GROUP BY k.cache_key""")
 def j17(spark, root):
-    places = V.places(spark, root).select("place", "kind", "lat", "lon", F.slice("nearby", 1, 2).alias("next"))
+    places = V.places(spark, root).select("place", "kind", "lat", "lon", F.col("nearby").alias("next"))
     edges = places.select("place", "kind", "lat", "lon", F.explode("next").alias("other"))
     ends = places.select(F.col("place").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     keyed = edges.join(ends, "other").select("kind", cache_key("lat", "lon", "lat2", "lon2", "car", "haversine").alias("cache_key"))

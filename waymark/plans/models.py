@@ -10,11 +10,10 @@ from waymark.operators import models as M
 from waymark.plans.fairness import TOTAL_SQL
 from waymark.plans.registry import query
 from waymark.plans.view_sql import VIEWS, rnd as r, toks
-from waymark.session import cut, plan_bytes, shared_dir, work_path
+from waymark.session import cut, shared_dir, work_path
 from waymark.sources import views as V
 from waymark.sources.tables import table
 
-TRAIN_PARTITION = 16 * 1024 * 1024
 
 
 def labelled(spark, root):
@@ -89,7 +88,7 @@ def fitted(spark, root, names):
         spark.sparkContext.setCheckpointDir(shared_dir(spark))  # boosting cuts its own lineage there
     rows = cut(labelled(spark, root), "labelled")
     # tree learners launch many short jobs, so partitions follow the size of the data
-    train = rows.where("not test").coalesce(max(1, plan_bytes(rows) // TRAIN_PARTITION)).persist()
+    train = rows.where("not test").persist()
     models = {name: M.learners()[name].fit(train) for name in names}
     train.unpersist()
     return models, rows.where("test")

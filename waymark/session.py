@@ -1,13 +1,11 @@
-"""Session settings, shared work folders and size-checked broadcasts."""
+"""Session settings and shared work folders."""
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,8 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -51,22 +47,3 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate, an upper bound for scans, filters and projections of files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size >= 0 else sys.maxsize  # estimates past 63 bits wrap
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only where the estimated size is within ``limit``; else a shuffle join."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input of few splits; inputs large enough to have many are left alone."""
-    spark = df.sparkSession
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("bB"))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < split * cores else df

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from waymark.functions import clock, constants as K
 from waymark.functions.stats import lookup
-from waymark.session import spread
 from waymark.sources.tables import table
 
 # Stand-in binding of part-name words to catalogue tags.
@@ -212,7 +211,7 @@ def activities(spark: SparkSession, root: str) -> DataFrame:
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """Documents over all cores: text work is heavy per row and small files come in one split."""
-    return spread(table(spark, root, "documents").select("doc_id", "lang", "source", "text"))
+    return table(spark, root, "documents").select("doc_id", "lang", "source", "text")
 
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:

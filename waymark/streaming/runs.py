@@ -17,10 +17,16 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 def event_stream(spark: SparkSession, root: str, name: str = "events.parquet", **limits: int) -> DataFrame:
     """Events as a file stream; event time is cast to a zoned timestamp so that watermarks apply.
 
-    ``limits``: source options such as maxBytesPerTrigger or maxFilesPerTrigger.
+    The table may be one file or a folder of part files; a missing table is an error, not an empty
+    stream. ``limits``: source options such as maxBytesPerTrigger or maxFilesPerTrigger.
     """
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", name).options(**limits)
-    return reader.parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{root}/{name}"
+    first = spark.read.parquet(path).select("_metadata.file_path").first()  # fails where there is no file
+    reader = spark.readStream.schema(EVENT_SCHEMA).options(**limits)
+    # a file stream reads folders: for a table of one file, its folder and that name
+    in_root = "*" in name or first is not None and first["file_path"].endswith(f"/{name}")
+    stream = reader.option("pathGlobFilter", name).parquet(root) if in_root else reader.parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
