@@ -56,7 +56,10 @@ PUNCTUATION = r"[!-/:-@\[-`{-~\x09-\x0d\x20‐-―‘-‟«» ]+"
 
 def canonical(text: Column) -> Column:
     """Lower case, copyright lines out, punctuation and white space to single spaces, one spelling."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), PUNCTUATION, " ")
+    low = F.lower(text)
+    marked = low.contains("(c)") | low.contains("©") | low.contains("copyright ") | low.contains("all rights reserved")
+    # only texts with one of the marks can have copyright lines
+    words = F.regexp_replace(F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), PUNCTUATION, " ")
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     # texts without any of the spellings, nearly all, skip the word-wise replacement
