@@ -2,7 +2,8 @@
 
 The canonical form has lower case, no copyright lines, no punctuation, single spaces and one
 spelling of words that licences spell in several ways. An entire text matches when its digest is
-known; each line of a text is also looked up as an entire text of its own, which finds notices.
+known; each line of a text that is not empty in this form is also looked up as an entire text of
+its own, which finds notices.
 
 Edge cases: a null or empty text has the digest of nothing and no licence; texts of any length are
 digested whole; the known texts are joined by digest, so two names for one canonical text both
@@ -12,9 +13,12 @@ per distinct (id, digest); an empty table gives an empty result; other columns p
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import cut
+
 # Spellings that licence texts use for one word (left: found, right: canonical).
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -51,21 +55,42 @@ KNOWN = [
 ]
 
 COPYRIGHT_LINE = r"(?m)^[^\n]*(\(c\)|©|copyright [0-9]|all rights reserved)[^\n]*$"
-PUNCTUATION = r"[!-/:-@\[-`{-~\x09-\x0d\x20‐-―‘-‟«» ]+"
+# white space and punctuation other than line feeds, which stay until lines are looked up
+PUNCTUATION = r"[!-/:-@\[-`{-~\x09\x0b-\x0d\x20‐-―‘-‟«»\u00a0]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, copyright lines out, punctuation and white space to single spaces, one spelling."""
-    low = F.lower(text)
-    marked = low.contains("(c)") | low.contains("©") | low.contains("copyright ") | low.contains("all rights reserved")
-    # only texts with one of the marks can have copyright lines
-    words = F.regexp_replace(F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), PUNCTUATION, " ")
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
+def _spelled() -> str:
+    """A pattern of the words to respell, between spaces or line feeds; alternatives share first letters."""
+    by: dict[str, list[str]] = {}
+    for w in SPELLINGS:
+        by.setdefault(w[0], []).append(w[1:])
+    return r"[ \n](?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items()) + r")[ \n]"
+
+
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is built once, wherever the optimizer moves the column."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def canonical_lines(text: Column) -> Column:
+    """Array of the canonical forms of a text's lines that are not empty.
+
+    No step looks across a line feed, so the lines joined by spaces are the canonical text.
+    """
     known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    respelled = lambda line: F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
+    # only texts with one of the marks can have copyright lines
+    marked = lambda low: low.contains("(c)") | low.contains("©") | low.contains("copyright ") | low.contains("all rights reserved")
+    bare = lambda low: F.regexp_replace(F.when(marked(low), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), PUNCTUATION, " ")
     # texts without any of the spellings, nearly all, skip the word-wise replacement
-    some = padded.rlike(" (" + "|".join(SPELLINGS) + ") ")
-    one = F.array_join(F.transform(F.split(padded, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
-    return F.trim(F.when(some, one).otherwise(padded))
+    lines = lambda b: F.when(b.rlike(_spelled()), F.transform(F.split(b, "\n"), respelled)).otherwise(F.split(b, "\n"))
+    found = _bind(F.lower(text), lambda low: _bind(F.concat(F.lit("\n"), bare(low), F.lit("\n")), lines))
+    return F.filter(F.transform(found, lambda line: F.trim(line)), lambda line: line != "")
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, copyright lines out, punctuation and white space to single spaces, one spelling."""
+    return F.array_join(canonical_lines(text), " ")
 
 
 def digest(text: Column) -> Column:
@@ -74,7 +99,8 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, licence): one row per canonical text."""
-    rows = spark.createDataFrame(texts, "licence string, text string")
+    # by way of pandas the rows become a local relation, whose size Spark knows when it plans the join
+    rows = spark.createDataFrame(pd.DataFrame(texts, columns=["licence", "text"]), "licence string, text string")
     return rows.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
@@ -82,17 +108,23 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, digest, licence, notices, n_notices) per document.
 
     ``licence`` names the licence that the whole text is; ``notices`` the distinct ones that single
-    lines are, joined by commas. Only matching lines are shuffled. The known side is broadcast when it
+    lines are, joined by commas. Texts are read once: digests of whole texts and lines meet the known
+    ones together, and whole texts and matching lines are stored. The known side is broadcast when it
     is below Spark's threshold, else both sides are shuffled by digest.
     """
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"))
-    whole = base.select("doc_id", digest(F.col("body")).alias("digest")).join(known, "digest", "left").groupBy("doc_id", "digest").agg(F.min("licence").alias("licence"))
-    lines = base.select("doc_id", F.explode(F.split("body", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("line_digest"))
-    found = lines.join(known.select(F.col("digest").alias("line_digest"), F.col("licence").alias("notice")), "line_digest").groupBy("doc_id").agg(
-        F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices"), F.count("*").alias("n_notices"),
+    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical_lines(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("lines"))
+    md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
+    entries = lines.select("doc_id", md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", lambda line: md5(line)).alias("lines")).select(
+        "doc_id", F.explode(F.concat(
+            F.array(F.struct(F.lit(True).alias("whole"), F.col("whole").alias("digest"))),
+            F.transform("lines", lambda d: F.struct(F.lit(False).alias("whole"), d.alias("digest"))),
+        )).alias("e"),
+    ).select("doc_id", "e.*")
+    met = cut(entries.join(known, "digest", "left").where(F.col("whole") | F.col("licence").isNotNull()), "licences")
+    whole = met.where("whole").groupBy("doc_id", "digest").agg(F.min("licence").alias("licence"))
+    found = met.where("NOT whole").groupBy(F.col("doc_id").alias("_of")).agg(
+        F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count("*").alias("n_notices"),
     )
-    found = found.withColumnRenamed("doc_id", "_of")
     return whole.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(
         "doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
     )
