@@ -1,95 +1,91 @@
 """Word lists, weights, patterns and thresholds that results depend on."""
 
 # ---- fixed values: interests, in vector order -------------------------------------
-INTERESTS = (
-    "heritage spiritual nature adventure food shopping museums photography relaxation wildlife"
-).split()
+INTERESTS = [
+    "heritage", "spiritual", "nature", "adventure", "food", "shopping", "museums", "photography", "relaxation",
+    "wildlife",
+]
 
 # ---- fixed values: tag -> interest weights ----------------------------------------
-TAG_INTERESTS_TEXT = """
-heritage: heritage 1.0, photography 0.4
-unesco: heritage 1.0, photography 0.6
-asi-monument: heritage 1.0
-architecture: heritage 0.9, photography 0.6
-fort: heritage 1.0, photography 0.5, adventure 0.3
-palace: heritage 1.0, photography 0.5
-history: heritage 1.0
-memorial: heritage 0.7, relaxation 0.3
-landmark: heritage 0.6, photography 0.8
-winter-seat: heritage 0.5, spiritual 0.8
-spiritual: spiritual 1.0
-temple: spiritual 1.0, heritage 0.5
-mosque: spiritual 1.0, heritage 0.6
-monastery: spiritual 1.0, heritage 0.5, photography 0.4
-buddhist: spiritual 0.9, heritage 0.6
-jain: spiritual 0.9, heritage 0.6
-pilgrimage: spiritual 1.0
-ritual: spiritual 0.9, photography 0.5
-nature: nature 1.0
-garden: nature 0.9, relaxation 0.7
-lake: nature 0.9, relaxation 0.6, photography 0.5
-river: nature 0.9, photography 0.5
-waterfall: nature 1.0, photography 0.8
-viewpoint: nature 0.8, photography 1.0
-beach: nature 0.8, relaxation 0.9
-forest: nature 1.0, wildlife 0.5
-hot-spring: nature 0.7, relaxation 0.8
-high-altitude: nature 0.9, adventure 0.7
-mountain: nature 0.9, adventure 0.6, photography 0.5
-cave: nature 0.7, adventure 0.8
-outdoor: nature 0.6
-sunrise: photography 0.9, nature 0.6
-adventure: adventure 1.0
-trek: adventure 1.0, nature 0.8
-activity: adventure 0.9
-water: adventure 0.8, nature 0.5
-swimming: adventure 0.6, relaxation 0.6
-camping: adventure 0.8, nature 0.7
-expert: adventure 1.0
-base-camp: adventure 0.6
-food: food 1.0
-market: shopping 0.9, food 0.6, photography 0.4
-shopping: shopping 1.0
-urban: food 0.4, shopping 0.5
-museum: museums 1.0, heritage 0.5
-art: museums 0.9, heritage 0.3
-science: museums 0.9
-cultural: museums 0.5, heritage 0.6
-research: museums 0.7
-aviation: museums 0.8
-entertainment: relaxation 0.6, museums 0.2
-village: nature 0.4, photography 0.4, relaxation 0.4
-unique: photography 0.5, heritage 0.3
-offbeat: nature 0.4, adventure 0.4
-hidden-gem: heritage 0.5, photography 0.4
-wildlife: wildlife 1.0, nature 0.7
-birding: wildlife 1.0, nature 0.6
-safari: wildlife 1.0, adventure 0.5
-photo-spot: photography 1.0
-family: relaxation 0.4
-modern: photography 0.3
-free:
-day-trip:
-indoor:
-border: photography 0.3
-permit-required:
-boating: adventure 0.5, relaxation 0.5, nature 0.4
-"""
-
 TAG_INTERESTS = {
-    tag.strip(): {
-        part.split()[0]: float(part.split()[1]) for part in weights.split(",") if part.strip()
-    }
-    for tag, _, weights in (line.partition(":") for line in TAG_INTERESTS_TEXT.strip().splitlines())
+    "heritage": {"heritage": 1.0, "photography": 0.4},
+    "unesco": {"heritage": 1.0, "photography": 0.6},
+    "asi-monument": {"heritage": 1.0},
+    "architecture": {"heritage": 0.9, "photography": 0.6},
+    "fort": {"heritage": 1.0, "photography": 0.5, "adventure": 0.3},
+    "palace": {"heritage": 1.0, "photography": 0.5},
+    "history": {"heritage": 1.0},
+    "memorial": {"heritage": 0.7, "relaxation": 0.3},
+    "landmark": {"heritage": 0.6, "photography": 0.8},
+    "winter-seat": {"heritage": 0.5, "spiritual": 0.8},
+    "spiritual": {"spiritual": 1.0},
+    "temple": {"spiritual": 1.0, "heritage": 0.5},
+    "mosque": {"spiritual": 1.0, "heritage": 0.6},
+    "monastery": {"spiritual": 1.0, "heritage": 0.5, "photography": 0.4},
+    "buddhist": {"spiritual": 0.9, "heritage": 0.6},
+    "jain": {"spiritual": 0.9, "heritage": 0.6},
+    "pilgrimage": {"spiritual": 1.0},
+    "ritual": {"spiritual": 0.9, "photography": 0.5},
+    "nature": {"nature": 1.0},
+    "garden": {"nature": 0.9, "relaxation": 0.7},
+    "lake": {"nature": 0.9, "relaxation": 0.6, "photography": 0.5},
+    "river": {"nature": 0.9, "photography": 0.5},
+    "waterfall": {"nature": 1.0, "photography": 0.8},
+    "viewpoint": {"nature": 0.8, "photography": 1.0},
+    "beach": {"nature": 0.8, "relaxation": 0.9},
+    "forest": {"nature": 1.0, "wildlife": 0.5},
+    "hot-spring": {"nature": 0.7, "relaxation": 0.8},
+    "high-altitude": {"nature": 0.9, "adventure": 0.7},
+    "mountain": {"nature": 0.9, "adventure": 0.6, "photography": 0.5},
+    "cave": {"nature": 0.7, "adventure": 0.8},
+    "outdoor": {"nature": 0.6},
+    "sunrise": {"photography": 0.9, "nature": 0.6},
+    "adventure": {"adventure": 1.0},
+    "trek": {"adventure": 1.0, "nature": 0.8},
+    "activity": {"adventure": 0.9},
+    "water": {"adventure": 0.8, "nature": 0.5},
+    "swimming": {"adventure": 0.6, "relaxation": 0.6},
+    "camping": {"adventure": 0.8, "nature": 0.7},
+    "expert": {"adventure": 1.0},
+    "base-camp": {"adventure": 0.6},
+    "food": {"food": 1.0},
+    "market": {"shopping": 0.9, "food": 0.6, "photography": 0.4},
+    "shopping": {"shopping": 1.0},
+    "urban": {"food": 0.4, "shopping": 0.5},
+    "museum": {"museums": 1.0, "heritage": 0.5},
+    "art": {"museums": 0.9, "heritage": 0.3},
+    "science": {"museums": 0.9},
+    "cultural": {"museums": 0.5, "heritage": 0.6},
+    "research": {"museums": 0.7},
+    "aviation": {"museums": 0.8},
+    "entertainment": {"relaxation": 0.6, "museums": 0.2},
+    "village": {"nature": 0.4, "photography": 0.4, "relaxation": 0.4},
+    "unique": {"photography": 0.5, "heritage": 0.3},
+    "offbeat": {"nature": 0.4, "adventure": 0.4},
+    "hidden-gem": {"heritage": 0.5, "photography": 0.4},
+    "wildlife": {"wildlife": 1.0, "nature": 0.7},
+    "birding": {"wildlife": 1.0, "nature": 0.6},
+    "safari": {"wildlife": 1.0, "adventure": 0.5},
+    "photo-spot": {"photography": 1.0},
+    "family": {"relaxation": 0.4},
+    "modern": {"photography": 0.3},
+    "free": {},
+    "day-trip": {},
+    "indoor": {},
+    "border": {"photography": 0.3},
+    "permit-required": {},
+    "boating": {"adventure": 0.5, "relaxation": 0.5, "nature": 0.4},
 }
 
 # ---- fixed values: tokenizer stop list --------------------------------------------
-STOP_WORDS = (
-    "a an the of and or but if in on at to for from by with without is are was were be been being "
-    "this that these those it its as we you i they he she them us our your their there here do does "
-    "did done have has had can could should would may might will shall about into over under than "
-    "then so such very more most some any each which who whom what when where why how"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "of", "and", "or", "but", "if", "in", "on", "at", "to", "for", "from", "by", "with", "without",
+    "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its", "as", "we",
+    "you", "i", "they", "he", "she", "them", "us", "our", "your", "their", "there", "here", "do", "does", "did",
+    "done", "have", "has", "had", "can", "could", "should", "would", "may", "might", "will", "shall", "about", "into",
+    "over", "under", "than", "then", "so", "such", "very", "more", "most", "some", "any", "each", "which", "who",
+    "whom", "what", "when", "where", "why", "how",
+]
 
 # ---- fixed values: question topics, first match wins ------------------------------
 TOPIC_PATTERNS = [
@@ -127,68 +123,66 @@ TOPIC_PATTERNS = [
         r"\b(fact\w*|trivia|lesser.known|interesting|did\s+you\s+know|unusual|unique)\b",
     ),
 ]
-TOPICS = "history significance facts visiting accessibility etiquette".split()
+TOPICS = [
+    "history", "significance", "facts", "visiting", "accessibility", "etiquette",
+]
 
 # ---- fixed values: words that carry no evidence ------------------------------------
-LIVE_WORDS = (
-    "now today tonight currently current latest live present moment exactly exact realtime right "
-    "this instant updated"
-).split()
-FRAMING_WORDS = (
-    "happened happen happens matter tell know knew wondering curious please something really "
-    "basically regarding concerning whats supposed"
-).split()
+LIVE_WORDS = [
+    "now", "today", "tonight", "currently", "current", "latest", "live", "present", "moment", "exactly", "exact",
+    "realtime", "right", "this", "instant", "updated",
+]
+FRAMING_WORDS = [
+    "happened", "happen", "happens", "matter", "tell", "know", "knew", "wondering", "curious", "please", "something",
+    "really", "basically", "regarding", "concerning", "whats", "supposed",
+]
 CLOCK_TIME_PATTERN = r"^\d{1,2}(:\d{2})?(am|pm)?$|^\d{1,2}(am|pm)$"
 
 # ---- fixed values: one-way synonyms ------------------------------------------------
-SYNONYMS_TEXT = """
-price: fee entry rs ticket cost
-prices: fee fees entry rs ticket
-cost: fee entry rs ticket
-costs: fee fees entry rs
-charge: fee entry rs
-charges: fee fees entry rs
-fare: fee entry rs
-rupees: rs inr fee entry
-rupee: rs inr fee entry
-inr: rs fee entry
-money: fee entry rs
-expensive: fee entry rs
-fee: entry rs ticket
-fees: entry rs ticket
-ticket: entry fee rs
-tickets: entry fee rs
-admission: entry fee ticket rs
-timing: hours opening opens closed
-timings: hours opening opens closed
-hours: opening opens closed
-open: opening hours opens
-opens: opening hours
-closing: closed hours opening
-closes: closed hours opening
-shut: closed hours
-duration: typical visit takes hours
-long: typical visit takes duration
-kids: child children
-kid: child children
-elderly: senior seniors
-disabled: wheelchair accessible accessibility
-wheelchair: accessible accessibility step ramp
-accessible: wheelchair accessibility step ramp
-attire: dress code clothing
-clothing: dress code attire
-wear: dress code shoe shoes
-photos: photography camera photograph
-photo: photography camera photograph
-pictures: photography camera photograph
-camera: photography photograph
-busy: crowd crowds crowded
-crowded: crowd crowds
-rush: crowd crowds crowded
-"""
 SYNONYMS = {
-    head.strip(): tail.split()
-    for head, _, tail in (line.partition(":") for line in SYNONYMS_TEXT.strip().splitlines())
+    "price": ["fee", "entry", "rs", "ticket", "cost"],
+    "prices": ["fee", "fees", "entry", "rs", "ticket"],
+    "cost": ["fee", "entry", "rs", "ticket"],
+    "costs": ["fee", "fees", "entry", "rs"],
+    "charge": ["fee", "entry", "rs"],
+    "charges": ["fee", "fees", "entry", "rs"],
+    "fare": ["fee", "entry", "rs"],
+    "rupees": ["rs", "inr", "fee", "entry"],
+    "rupee": ["rs", "inr", "fee", "entry"],
+    "inr": ["rs", "fee", "entry"],
+    "money": ["fee", "entry", "rs"],
+    "expensive": ["fee", "entry", "rs"],
+    "fee": ["entry", "rs", "ticket"],
+    "fees": ["entry", "rs", "ticket"],
+    "ticket": ["entry", "fee", "rs"],
+    "tickets": ["entry", "fee", "rs"],
+    "admission": ["entry", "fee", "ticket", "rs"],
+    "timing": ["hours", "opening", "opens", "closed"],
+    "timings": ["hours", "opening", "opens", "closed"],
+    "hours": ["opening", "opens", "closed"],
+    "open": ["opening", "hours", "opens"],
+    "opens": ["opening", "hours"],
+    "closing": ["closed", "hours", "opening"],
+    "closes": ["closed", "hours", "opening"],
+    "shut": ["closed", "hours"],
+    "duration": ["typical", "visit", "takes", "hours"],
+    "long": ["typical", "visit", "takes", "duration"],
+    "kids": ["child", "children"],
+    "kid": ["child", "children"],
+    "elderly": ["senior", "seniors"],
+    "disabled": ["wheelchair", "accessible", "accessibility"],
+    "wheelchair": ["accessible", "accessibility", "step", "ramp"],
+    "accessible": ["wheelchair", "accessibility", "step", "ramp"],
+    "attire": ["dress", "code", "clothing"],
+    "clothing": ["dress", "code", "attire"],
+    "wear": ["dress", "code", "shoe", "shoes"],
+    "photos": ["photography", "camera", "photograph"],
+    "photo": ["photography", "camera", "photograph"],
+    "pictures": ["photography", "camera", "photograph"],
+    "camera": ["photography", "photograph"],
+    "busy": ["crowd", "crowds", "crowded"],
+    "crowded": ["crowd", "crowds"],
+    "rush": ["crowd", "crowds", "crowded"],
 }
 
 # ---- fixed values: instruction-like spans ------------------------------------------
@@ -266,46 +260,46 @@ EMBED_DIM = 384
 # ---- fixed values: catalogue contracts ---------------------------------------------
 LAT_RANGE, LON_RANGE = (6.5, 37.5), (68.0, 97.5)
 STALE_DAYS = 400
-ALLOWED_DOMAINS = (
-    "gov.in nic.in ac.in unesco.org karnatakatourism.org salarjungmuseum.in hal-india.co.in "
-    "taralaya.org shrikashivishwanath.org shreejagannatha.in bahaihouseofworship.in "
-    "openstreetmap.org wikipedia.org wikidata.org"
-).split()
-PRIVATE_KEYS = "lat lon latitude longitude coords coordinates".split()
+ALLOWED_DOMAINS = [
+    "gov.in", "nic.in", "ac.in", "unesco.org", "karnatakatourism.org", "salarjungmuseum.in", "hal-india.co.in",
+    "taralaya.org", "shrikashivishwanath.org", "shreejagannatha.in", "bahaihouseofworship.in", "openstreetmap.org",
+    "wikipedia.org", "wikidata.org",
+]
+PRIVATE_KEYS = [
+    "lat", "lon", "latitude", "longitude", "coords", "coordinates",
+]
 DAY_NAMES = {"all": -1, "mon": 0, "tue": 1, "wed": 2, "thu": 3, "fri": 4, "sat": 5, "sun": 6}
-MONTH_NAMES = (
-    "January February March April May June July August September October November December"
-).split()
-WMO_CONDITIONS_TEXT = """
-0 clear
-1 mostly_clear
-2 partly_cloudy
-3 overcast
-45 fog
-48 fog
-51 drizzle
-53 drizzle
-55 drizzle
-61 rain
-63 rain
-65 heavy_rain
-66 freezing_rain
-67 freezing_rain
-71 snow
-73 snow
-75 heavy_snow
-77 snow
-80 showers
-81 showers
-82 heavy_showers
-85 snow_showers
-86 snow_showers
-95 thunderstorm
-96 thunderstorm
-99 thunderstorm
-"""
+MONTH_NAMES = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+    "December",
+]
 WMO_CONDITIONS = {
-    int(code): name for code, name in (line.split() for line in WMO_CONDITIONS_TEXT.strip().splitlines())
+    0: "clear",
+    1: "mostly_clear",
+    2: "partly_cloudy",
+    3: "overcast",
+    45: "fog",
+    48: "fog",
+    51: "drizzle",
+    53: "drizzle",
+    55: "drizzle",
+    61: "rain",
+    63: "rain",
+    65: "heavy_rain",
+    66: "freezing_rain",
+    67: "freezing_rain",
+    71: "snow",
+    73: "snow",
+    75: "heavy_snow",
+    77: "snow",
+    80: "showers",
+    81: "showers",
+    82: "heavy_showers",
+    85: "snow_showers",
+    86: "snow_showers",
+    95: "thunderstorm",
+    96: "thunderstorm",
+    99: "thunderstorm",
 }
 TOPIC_COVERS = {
     "history": ["history", "background"],
