@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from waymark.functions import clock, constants as K
 from waymark.functions.stats import lookup, rnd
 
-DAY_FROM, DAY_TO, TRAVEL_SLACK = 540, 1080, 2
+TRAVEL_SLACK = 2  # minutes that a leg may run over its gap
+MEAL_AFTER = 360  # day windows longer than this need a meal
 ISSUE_COLUMNS = ["plan", "day", "place", "code", "severity"]
 
 
@@ -16,30 +17,37 @@ def _issue(condition: Column, code: str, severity: str) -> Column:
     return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
 
 
-def stop_issues(stops: DataFrame) -> DataFrame:
-    """Issues seen on a single stop and its predecessor, in one pass over the activities.
-
-    ``stops``: activities with ``prev_end``, trip and place attributes and the ``open`` intervals
-    of the weekday (null for unknown places).
-    """
+def stop_checks() -> dict[str, tuple[str, Column]]:
+    """Severity and condition of every issue that a single stop and its predecessor can show."""
     visit = (F.col("kind") == "visit") & F.col("typ").isNotNull()
     opened = F.size("open") > 0
     inside = F.exists("open", lambda w: (w["opens"] <= F.col("start_min")) & (F.col("end_min") <= w["closes"]))
     length = F.col("end_min") - F.col("start_min")
     gap = F.col("start_min") - F.col("prev_end")
-    found = F.array_compact(F.array(
-        _issue(gap < 0, "overlapping_activities", "error"),
-        _issue(F.col("start_min") < DAY_FROM, "starts_before_day_window", "error"),
-        _issue(F.col("end_min") > DAY_TO, "ends_after_day_window", "error"),
-        _issue(length <= 0, "non_positive_duration", "error"),
-        _issue(F.col("travel_min") - gap > TRAVEL_SLACK, "insufficient_travel_time", "error"),
-        _issue(visit & ~opened, "closed_on_this_day", "error"),
-        _issue(visit & opened & ~inside, "outside_opening_hours", "error"),
-        _issue(visit & (length < F.col("min_dur")), "visit_too_short", "error"),
-        _issue(visit & (length > F.col("max_dur")), "visit_longer_than_needed", "warning"),
-        _issue(visit & F.col("needs_access") & (F.col("access") == "no"), "accessibility_violation", "error"),
-        _issue(visit & (F.col("weather") < 0.45) & (F.col("exposure") == "outdoor"), "poor_weather_for_outdoor_activity", "warning"),
-    ))
+    return {
+        "overlapping_activities": ("error", gap < 0),
+        "starts_before_day_window": ("error", F.col("start_min") < F.col("day_start")),
+        "ends_after_day_window": ("error", F.col("end_min") > F.col("day_end")),
+        "non_positive_duration": ("error", length <= 0),
+        "insufficient_travel_time": ("error", F.col("travel_min") - gap > TRAVEL_SLACK),
+        "closed_on_this_day": ("error", visit & ~opened),
+        "outside_opening_hours": ("error", visit & opened & ~inside),
+        "visit_too_short": ("error", visit & (length < F.col("min_dur"))),
+        "visit_longer_than_needed": ("warning", visit & (length > F.col("max_dur"))),
+        "accessibility_violation": ("error", visit & F.col("needs_access") & (F.col("access") == "no")),
+        "poor_weather_for_outdoor_activity": ("warning", visit & (F.col("weather") < 0.45) & (F.col("exposure") == "outdoor")),
+    }
+
+
+def stop_issues(stops: DataFrame, *codes: str) -> DataFrame:
+    """Issues of the named codes (all, if none is named), in one pass over the activities.
+
+    ``stops``: activities with what the named checks look at: ``prev_end``, ``day_start`` and
+    ``day_end`` of the trip, trip and place attributes, the ``open`` intervals of the weekday (null
+    for unknown places). Columns that no named check uses need not be there.
+    """
+    checks = stop_checks()
+    found = F.array_compact(F.array(*[_issue(checks[c][1], c, checks[c][0]) for c in codes or checks]))
     return stops.select("plan", "day", "place", F.inline(found))
 
 
@@ -53,11 +61,11 @@ def day_issues(acts: DataFrame, trips: DataFrame) -> DataFrame:
     """Daily travel, number of stops and missing meal, against the pace of the trip."""
     days = acts.groupBy("plan", "day").agg(
         F.sum("travel_min").alias("travel"), F.count_if(F.col("kind") == "visit").alias("visits"), F.count_if(F.col("kind") == "meal").alias("meals")
-    ).join(trips.select(F.col("trip").alias("plan"), "pace"), "plan")
+    ).join(trips.select(F.col("trip").alias("plan"), "pace", (F.col("day_end") - F.col("day_start")).alias("window")), "plan")
     found = F.array_compact(F.array(
         _issue(F.col("travel") > lookup(K.PACE_MAX_TRAVEL_MIN, F.col("pace"), 210), "excessive_daily_travel", "warning"),
         _issue(F.col("visits") > lookup(K.PACE_MAX_ACTIVITIES, F.col("pace"), 4), "too_many_activities", "warning"),
-        _issue(F.lit(DAY_TO - DAY_FROM > 360) & (F.col("visits") > 0) & (F.col("meals") == 0), "no_meal_break", "warning"),
+        _issue((F.col("window") > MEAL_AFTER) & (F.col("visits") > 0) & (F.col("meals") == 0), "no_meal_break", "warning"),
     ))
     return days.select("plan", "day", F.lit(None).cast("bigint").alias("place"), F.inline(found))
 

@@ -10,33 +10,45 @@ from waymark.operators import audit as A
 from waymark.plans.registry import query
 from waymark.plans.view_sql import VIEWS, rnd as r, sql_lookup
 from waymark.plans.windows import duplicate_visits, with_previous
+from waymark.session import work_path
 from waymark.sources import catalogue, views as V
 
 
-def audited_stops(spark, root, acts=None, places=None):
-    """Activities with predecessor, trip and place attributes; unknown places stay."""
-    acts = with_previous(V.activities(spark, root) if acts is None else acts)
-    t = V.trips(spark, root).select(F.col("trip").alias("plan"), "needs_access", "start_date")
-    catalogue_now = V.places(spark, root) if places is None else places
-    attributes = catalogue_now.select("place", "typ", "min_dur", "max_dur", "access", F.col("kind").alias("exposure"))
-    week = A.open_by_weekday(catalogue_now).join(attributes, "place")
-    dated = acts.join(t, "plan").withColumn("wd", F.weekday(F.date_add("start_date", F.col("day"))))
-    return dated.join(week, ["place", "wd"], "left")
+def dated_stops(spark, root, acts=None):
+    """Activities with the accessibility need, the dates and the day window of their trip."""
+    t = V.trips(spark, root).select(F.col("trip").alias("plan"), "needs_access", "start_date", "day_start", "day_end")
+    return (V.activities(spark, root) if acts is None else acts).join(t, "plan")
 
 
-def issues_of(spark, root, *codes):
-    found = A.stop_issues(audited_stops(spark, root))
-    return found.where(F.col("code").isin(*codes)).select(*A.ISSUE_COLUMNS)
+def with_attributes(stops, places):
+    """Adds place attributes; unknown places stay."""
+    return stops.join(places.select("place", "typ", "min_dur", "max_dur", "access", F.col("kind").alias("exposure")), "place", "left")
+
+
+def with_openings(stops, places):
+    """Adds place attributes and the open intervals of the weekday; unknown places stay."""
+    attributes = places.select("place", "typ", "min_dur", "max_dur", "access", F.col("kind").alias("exposure"))
+    dated = stops.withColumn("wd", F.weekday(F.date_add("start_date", F.col("day"))))
+    return dated.join(A.open_by_weekday(places).join(attributes, "place"), ["place", "wd"], "left")
+
+
+def audited_stops(spark, root):
+    """Activities with predecessor, trip and place attributes: what all checks together look at."""
+    return with_openings(dated_stops(spark, root, with_previous(V.activities(spark, root))), V.places(spark, root))
+
+
+def issues_of(stops, group):
+    return A.stop_issues(stops, *codes(group)).select(*A.ISSUE_COLUMNS)
 
 
 VIEWS["v_aud"] = f"""
-  SELECT g.*, t.needs_access, t.pace, CAST(isodow(t.start_date + g.day) - 1 AS INT) AS wd, p.min_dur, p.max_dur, p.access, p.kind AS exposure,
+  SELECT g.*, t.needs_access, t.pace, t.day_start, t.day_end, CAST(isodow(t.start_date + g.day) - 1 AS INT) AS wd, p.min_dur, p.max_dur, p.access, p.kind AS exposure,
     EXISTS (SELECT 1 FROM v_windows w WHERE w.place = g.place AND w.wd = isodow(t.start_date + g.day) - 1) AS opened,
     EXISTS (SELECT 1 FROM v_windows w WHERE w.place = g.place AND w.wd = isodow(t.start_date + g.day) - 1 AND w.opens <= g.start_min AND g.end_min <= w.closes) AS inside
   FROM v_gaps g JOIN v_trips t ON t.trip = g.plan LEFT JOIN v_places p ON p.place = g.place"""
 CHECKS = {
     "C2": [("overlapping_activities", "error", "start_min < prev_end")],
-    "C3": [("starts_before_day_window", "error", "start_min < 540"), ("ends_after_day_window", "error", "end_min > 1080"), ("non_positive_duration", "error", "end_min <= start_min")],
+    "C3": [("starts_before_day_window", "error", "start_min < day_start"), ("ends_after_day_window", "error", "end_min > day_end"), ("non_positive_duration", "error", "end_min <= start_min")],
     "C4": [("insufficient_travel_time", "error", "travel_min - (start_min - prev_end) > 2")],
     "C6": [("closed_on_this_day", "error", "kind = 'visit' AND NOT opened"), ("outside_opening_hours", "error", "kind = 'visit' AND opened AND NOT inside")],
     "C7": [("visit_too_short", "error", "kind = 'visit' AND end_min - start_min < min_dur"), ("visit_longer_than_needed", "warning", "kind = 'visit' AND end_min - start_min > max_dur")],
@@ -58,19 +70,19 @@ def c1(spark, root):
     return V.trips(spark, root).select("trip").join(visits, "trip", "left_anti").select(F.col("trip").alias("plan"))
 
 
-@query("C2_overlap", check_sql("C2"))
+@query("C2_overlap", check_sql("C2", "v_gaps"))
 def c2(spark, root):
-    return issues_of(spark, root, *codes("C2"))
+    return issues_of(with_previous(V.activities(spark, root)), "C2")
 
 
 @query("C3_day_window", check_sql("C3"))
 def c3(spark, root):
-    return issues_of(spark, root, *codes("C3"))
+    return issues_of(dated_stops(spark, root), "C3")
 
 
-@query("C4_travel_time", check_sql("C4"))
+@query("C4_travel_time", check_sql("C4", "v_gaps"))
 def c4(spark, root):
-    return issues_of(spark, root, *codes("C4"))
+    return issues_of(with_previous(V.activities(spark, root)), "C4")
 
 
 VIEWS["v_dups"] = """
@@ -90,24 +102,24 @@ def c5(spark, root):
 
 @query("C6_opening_hours", check_sql("C6"))
 def c6(spark, root):
-    return issues_of(spark, root, *codes("C6"))
+    return issues_of(with_openings(dated_stops(spark, root), V.places(spark, root)), "C6")
 
 
-@query("C7_visit_length", check_sql("C7"))
+@query("C7_visit_length", check_sql("C7", "(SELECT a.*, p.min_dur, p.max_dur FROM v_acts a JOIN v_places p ON p.place = a.place)"))
 def c7(spark, root):
-    return issues_of(spark, root, *codes("C7"))
+    return issues_of(with_attributes(V.activities(spark, root), V.places(spark, root)), "C7")
 
 
 @query("C8_access_and_weather", check_sql("C8"))
 def c8(spark, root):
-    return issues_of(spark, root, *codes("C8"))
+    return issues_of(with_attributes(dated_stops(spark, root), V.places(spark, root)), "C8")
 
 
-VIEWS["v_days"] = "SELECT a.plan, a.day, sum(travel_min) AS travel, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind = 'meal') AS meals, any_value(t.pace) AS pace FROM v_acts a JOIN v_trips t ON t.trip = a.plan GROUP BY a.plan, a.day"
+VIEWS["v_days"] = "SELECT a.plan, a.day, sum(travel_min) AS travel, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind = 'meal') AS meals, any_value(t.pace) AS pace, any_value(t.day_end - t.day_start) AS win FROM v_acts a JOIN v_trips t ON t.trip = a.plan GROUP BY a.plan, a.day"
 VIEWS["v_day_issues"] = """
   SELECT plan, day, CAST(NULL AS BIGINT) AS place, 'excessive_daily_travel' AS code, 'warning' AS severity FROM v_days WHERE travel > CASE pace WHEN 'relaxed' THEN 150 WHEN 'packed' THEN 300 ELSE 210 END
   UNION ALL SELECT plan, day, NULL, 'too_many_activities', 'warning' FROM v_days WHERE visits > CASE pace WHEN 'relaxed' THEN 3 WHEN 'packed' THEN 6 ELSE 4 END
-  UNION ALL SELECT plan, day, NULL, 'no_meal_break', 'warning' FROM v_days WHERE visits > 0 AND meals = 0"""
+  UNION ALL SELECT plan, day, NULL, 'no_meal_break', 'warning' FROM v_days WHERE win > 360 AND visits > 0 AND meals = 0"""
 
 
 @query("C9_day_limits", "SELECT * FROM v_day_issues")
@@ -202,16 +214,10 @@ def c12b(spark, root):
   WHERE a.kind = 'visit' AND (NOT a.opened OR NOT EXISTS (SELECT 1 FROM w WHERE w.place = a.place AND w.wd = a.wd AND w.opens <= a.start_min AND a.end_min <= w.closes))""")
 def c13(spark, root):
     """Stored plans against a catalogue whose places now close two hours earlier."""
-    path = catalogue.sink(V.activities(spark, root), cutpath(spark))
+    path = catalogue.sink(V.activities(spark, root), work_path(spark, "stored-plans"))
     today = V.places(spark, root).withColumn("windows", F.expr("transform(windows, w -> named_struct('dow', w.dow, 'opens', w.opens, 'closes', w.closes - 120))"))
-    found = A.stop_issues(audited_stops(spark, root, spark.read.parquet(path), today))
-    return found.where(F.col("code").isin(*codes("C6"))).select("plan", "day", "place", "code")
-
-
-def cutpath(spark):
-    from waymark.session import work_path
-
-    return work_path(spark, "stored-plans")
+    found = A.stop_issues(with_openings(dated_stops(spark, root, spark.read.parquet(path)), today), *codes("C6"))
+    return found.select("plan", "day", "place", "code")
 
 
 METRICS = f"""SELECT plan, version, {r('sum(travel_km)', 3)} AS km, CAST(sum(travel_min) AS BIGINT) AS minutes, CAST(sum(CASE WHEN kind = 'visit' THEN end_min - start_min ELSE 0 END) AS BIGINT) AS visit_minutes,
