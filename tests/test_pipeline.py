@@ -195,11 +195,11 @@ def test_audit_uses_the_day_window_of_each_trip(spark):
         [(1, 0, 5, 530, 600, 540, 1080), (1, 0, 6, 1020, 1140, 540, 1080), (2, 0, 5, 530, 600, 520, 1200), (2, 0, 6, 1020, 1140, 520, 1200)],
         "plan long, day int, place long, start_min int, end_min int, day_start int, day_end int",
     )
-    found = audit.stop_issues(stops, "starts_before_day_window", "ends_after_day_window", "non_positive_duration").collect()
+    found = A.stop_issues(stops, "starts_before_day_window", "ends_after_day_window", "non_positive_duration").collect()
     assert sorted((r["plan"], r["place"], r["code"]) for r in found) == [(1, 5, "starts_before_day_window"), (1, 6, "ends_after_day_window")]
 
 
 def test_only_long_days_need_a_meal(spark):
     acts = spark.createDataFrame([(p, 0, "visit", 10) for p in (1, 2)], "plan long, day int, kind string, travel_min int")
     trips = spark.createDataFrame([(1, "relaxed", 540, 900), (2, "relaxed", 540, 901)], "trip long, pace string, day_start int, day_end int")
-    assert [(r["plan"], r["code"]) for r in audit.day_issues(acts, trips).collect()] == [(2, "no_meal_break")]
+    assert [(r["plan"], r["code"]) for r in A.day_issues(acts, trips).collect()] == [(2, "no_meal_break")]
