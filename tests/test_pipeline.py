@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -203,3 +204,17 @@ def test_only_long_days_need_a_meal(spark):
     acts = spark.createDataFrame([(p, 0, "visit", 10) for p in (1, 2)], "plan long, day int, kind string, travel_min int")
     trips = spark.createDataFrame([(1, "relaxed", 540, 900), (2, "relaxed", 540, 901)], "trip long, pace string, day_start int, day_end int")
     assert [(r["plan"], r["code"]) for r in A.day_issues(acts, trips).collect()] == [(2, "no_meal_break")]
+
+
+def test_catalogue_files_may_be_indented_and_must_exist(spark, tmp_path):
+    place = {"place": 7, "name": "gate", "lat": 1.0, "lon": 2.0, "tags": ["fort"]}
+    for circuit in (1, 2):
+        body = {"cluster": {"circuit": circuit, "center_lat": 1.0, "center_lon": 2.0}, "attractions": [place]}
+        (tmp_path / f"c{circuit}.json").write_text(json.dumps(body, indent=2))
+    got = catalogue.read_catalogue(spark, str(tmp_path), whole_files=True).collect()
+    assert sorted((r["source_file"], r["circuit"], r["name"]) for r in got) == [("c1.json", 1, "gate"), ("c2.json", 2, "gate")]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        catalogue.read_catalogue(spark, str(tmp_path)).collect()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(MissingTable):
+        catalogue.read_catalogue(spark, str(tmp_path / "none"))

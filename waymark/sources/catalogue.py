@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,21 @@ PLACE_FIELDS = "struct<place:bigint,name:string,lat:double,lon:double,tags:array
 CATALOGUE_SCHEMA = f"cluster struct<circuit:bigint,center_lat:double,center_lon:double>, attractions array<{PLACE_FIELDS}>"
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One row per place of the nested JSON files under ``path``, with the file name."""
+def read_catalogue(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One row per place of the nested JSON files under ``path``, with the file name.
+
+    ``whole_files``: a file is one object, indented or not; else every line is one. A folder without
+    JSON files and a file that does not parse are errors, not empty results.
+    """
+    reader = spark.read.schema(CATALOGUE_SCHEMA).option("mode", "FAILFAST").option("multiLine", whole_files)
     try:
-        raw = spark.read.schema(CATALOGUE_SCHEMA).json(path)
-    except Exception as error:
+        raw = reader.option("pathGlobFilter", "*.json").json(path)
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise MissingTable(f"no catalogue files under {path}") from error
         raise
+    if not raw.inputFiles():
+        raise MissingTable(f"no catalogue files under {path}")
     return raw.select(
         F.col("_metadata.file_name").alias("source_file"), "cluster", F.explode("attractions").alias("place")
     ).select("source_file", F.col("cluster.circuit").alias("circuit"), "place.*")
