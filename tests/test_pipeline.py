@@ -218,3 +218,9 @@ def test_catalogue_files_may_be_indented_and_must_exist(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(MissingTable):
         catalogue.read_catalogue(spark, str(tmp_path / "none"))
+
+
+def test_split_keeps_the_share_of_each_label(spark):
+    rows = spark.range(1003).select("id", F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") % 10 == 0).cast("int")).alias("label"))
+    got = {r["label"]: (r["n"], r["t"]) for r in M.split(rows, "id").groupBy("label").agg(F.count("*").alias("n"), F.count_if("test").alias("t")).collect()}
+    assert sum(n for n, _ in got.values()) == 1003 and all(t == n // 4 for n, t in got.values())

@@ -45,7 +45,7 @@ _f = {
     "evidence_quality": "least(1e0, len(l) / 50e0)", "distance_penalty": f"least(1e0, {_only('#*%')} * 10e0)", "crowd_penalty": "1e0 - len(list_distinct(l)) / CAST(len(l) AS DOUBLE)",
 }
 VIEWS["v_labelled"] = f"""
-  SELECT doc_id, label, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 4 = 0 AS test, {', '.join(f'{r(e, 6)} AS {c}' for c, e in _f.items())}
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, doc_id) % 4 = 0 AS test, {', '.join(f'{r(e, 6)} AS {c}' for c, e in _f.items())}
   FROM (SELECT d.doc_id, d.text, b.quality AS label, {toks('d.text')} AS t, string_split(d.text, chr(10)) AS l FROM documents d JOIN labels b ON b.doc_id = d.doc_id)"""
 VIEWS["v_control"] = f"SELECT doc_id, label, test, {r(TOTAL_SQL, 6)} AS score, interest_match FROM v_labelled"
 
