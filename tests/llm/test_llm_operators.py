@@ -332,10 +332,19 @@ def test_fingerprints_and_groups_of_awkward_rows(awkward, nothing):
     got = simhash.groups(awkward).collect()
     assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == Counter((d, f, least[hung[f]]) for d, f in prints)
     one = simhash.one_per_group(awkward)
-    assert one.columns == awkward.columns and sorted(map(repr, (r["doc_id"] for r in one.collect()))) == sorted(map(repr, set(least.values())))
+    assert one.columns == awkward.columns and sorted(map(repr, (r["doc_id"] for r in one.collect()))) == sorted(map(repr, least.values()))
     assert simhash.groups(nothing).count() == 0 and simhash.one_per_group(nothing).count() == 0
 
 
+def test_groups_without_ids_or_with_shared_ids_keep_a_row_each(spark):
+    far = [" ".join(f"{a}{i * i % 101}" for i in range(60)) for a in "abcd"]
+    rows = [(None, far[0]), (None, far[0]), (None, far[1]), (5, far[2]), (5, far[3]), (None, far[3]), (4, far[2])]
+    prints = {plain_fingerprint(t) for t in far}
+    assert len(set(plain_components(prints, 4).values())) == 4
+    got = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, far[0]), (None, far[1]), (4, far[2]), (5, far[3])]))
+
+
 @pytest.mark.parametrize("slice_", [4, 2048])
 def test_shards_link_what_all_pairs_link(spark, slice_):
     rng = np.random.default_rng(9)

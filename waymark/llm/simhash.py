@@ -12,7 +12,10 @@ of slices builds its own tree. Components come from the edges of all shards.
 Edge cases: a null text or one without words has fingerprint zero, linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows and equal texts share a fingerprint;
 a null id never names a component unless all its ids are null; an empty table gives an empty
-result; other columns play no part.
+result; other columns play no part, but to choose among rows of equal id and text.
+
+Trees stay where their shard's rows were shuffled to: a broadcast of them would take all
+fingerprints through the driver.
 """
 
 from __future__ import annotations
@@ -62,13 +65,14 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        prints = np.fromiter((fingerprint(shingle_hashes(t)) for t in texts), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed number."""
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -199,22 +203,35 @@ def linked(points: DataFrame, radius: int = RADIUS, slice_: int = SLICE) -> Data
     return keyed.select("shard", "part", "fp").mapInArrow(_linking(radius), "u long, v long").distinct()
 
 
+def _rooted(points: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of distinct (fp, least) points."""
+    hung = components(linked(points.select("fp"), radius))
+    return points.join(hung, points["fp"] == hung["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     prints = cut(fingerprints(docs, doc_id, text), "prints")
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    hung = components(linked(points.select("fp"), radius))
-    rooted = points.join(hung, points["fp"] == hung["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points"), radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows whose id names their component, one row each, with all their columns."""
-    mine, kept_id, n = (free_name(docs, c) for c in ("_mine", "_kept", "_nth"))
-    kept = groups(docs, doc_id, text, radius).select(F.col("component_id").alias(kept_id)).distinct()
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    nth = F.row_number().over(W.partitionBy(mine).orderBy(F.xxhash64(f"`{text}`")))
-    rows = docs.select(*own, F.col(f"`{doc_id}`").cast("long").alias(mine))
-    return rows.join(kept, F.col(mine).eqNullSafe(F.col(kept_id))).withColumn(n, nth).where(F.col(n) == 1).select(*own)
+    """One row of each group, that of the smallest id, with all its columns.
+
+    Rows are told apart by a hash of id and text, so a group keeps a row of its own also where ids
+    are null or serve several texts; of rows that agree in both, one stays.
+    """
+    mine, kept_ref, n = (free_name(docs, c) for c in ("_mine", "_kept", "_nth"))
+    ref, own = F.xxhash64(f"`{doc_id}`", f"`{text}`"), [F.col(f"`{c}`") for c in docs.columns]
+    read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), ref.alias("ref"), F.col(f"`{text}`").cast("string"))
+    prints = read.mapInArrow(_fingerprints, "doc_id long, ref long, fp long")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "ref"))
+    rooted = _rooted(cut(prints.groupBy("fp").agg(least.alias("least")), "points"), radius)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.ref").alias(kept_ref))
+    rest = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    nth = F.row_number().over(W.partitionBy(mine).orderBy(rest))
+    rows = docs.select(*own, ref.alias(mine))
+    return rows.join(kept, F.col(mine) == F.col(kept_ref)).withColumn(n, nth).where(F.col(n) == 1).select(*own)
