@@ -10,23 +10,23 @@ import pytest
 from waymark.operators import days as D
 from waymark.operators import fairness as G
 
-UTILITIES = {  # trip -> member -> (weight, must, {place: u})
-    1: {10: (1.0, None, {1: 0.9, 2: 0.2, 3: 0.5, 4: 0.5}), 11: (2.0, 3, {1: 0.1, 2: 0.8, 3: 1.0, 4: 0.5}), 12: (1.0, None, {1: 0.4, 2: 0.4, 3: 0.4, 4: 0.4})},
-    2: {20: (1.0, None, {5: 0.3, 6: 0.7})},
+UTILITIES = {  # trip -> member -> (weight, must-visits, {place: u})
+    1: {10: (1.0, [], {1: 0.9, 2: 0.2, 3: 0.5, 4: 0.5}), 11: (2.0, [3], {1: 0.1, 2: 0.8, 3: 1.0, 4: 0.5}), 12: (1.0, [2, 4, 9], {1: 0.4, 2: 0.4, 3: 0.4, 4: 0.4})},
+    2: {20: (1.0, [], {5: 0.3, 6: 0.7})},
 }
 
 
 @pytest.fixture(scope="module")
 def grid(spark):
     rows = [(t, m, w, must, [], p, u) for t, ms in UTILITIES.items() for m, (w, must, us) in ms.items() for p, u in us.items()]
-    return spark.createDataFrame(rows, "trip bigint, member bigint, weight double, must_place bigint, ranked array<bigint>, place bigint, u double")
+    return spark.createDataFrame(rows, "trip bigint, member bigint, weight double, must_places array<bigint>, ranked array<bigint>, place bigint, u double")
 
 
 def covered(trip, member, chosen):
     _, must, us = UTILITIES[trip][member]
     top = sorted((us[p] for p in chosen), reverse=True)[:5]
     value = sum(top) / len(top)
-    return round(0.7 * value + 0.3 * (must in chosen), 6) if must is not None else round(value, 6)
+    return round(0.7 * value + 0.3 * (len(set(must) & set(chosen)) / len(must)), 6) if must else round(value, 6)
 
 
 def test_rules(grid):
@@ -55,14 +55,14 @@ def test_borda_ties_share_positions(grid):
 
 
 def test_single_item_borda_is_zero(spark):
-    g = spark.createDataFrame([(1, 1, 1.0, None, [], 9, 0.4)], "trip bigint, member bigint, weight double, must_place bigint, ranked array<bigint>, place bigint, u double")
+    g = spark.createDataFrame([(1, 1, 1.0, [], [], 9, 0.4)], "trip bigint, member bigint, weight double, must_places array<bigint>, ranked array<bigint>, place bigint, u double")
     assert G.borda(g).first()["borda"] == 0.0
 
 
 def test_selection_metrics(grid, spark):
-    chosen = spark.createDataFrame([(1, 1), (1, 3)], "trip bigint, place bigint")
+    chosen = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "trip bigint, place bigint")
     row = G.satisfaction(G.member_coverage(grid, chosen, ["trip"]), ["trip"]).first()
-    values = [covered(1, m, [1, 3]) for m in (10, 11, 12)]
+    values = [covered(1, m, [1, 2, 3]) for m in (10, 11, 12)]
     assert row["mean"] == pytest.approx(statistics.fmean(values), abs=1e-6)
     assert row["least"] == min(values) and row["least_member"] == 12
     assert row["consensus"] == pytest.approx(1 - statistics.pstdev(values) / 0.5, abs=1e-6)
@@ -95,6 +95,15 @@ def test_iterative_selection_equals_greedy_loop(grid, spark):
         assert sorted(got[trip]) == sorted(chosen)
 
 
+def test_wishes_come_before_vetoes_and_lists_may_be_empty(spark):
+    rows = [(1, [1, 2], [2, 3], [], 0.5), (2, [], [], [3], 0.5), (3, None, None, None, 0.5)]
+    grid = spark.createDataFrame(rows, "member bigint, must_places array<bigint>, avoid_places array<bigint>, ranked array<bigint>, cosine double")
+    got = {(r["member"], r["place"]): r["u"] for r in grid.crossJoin(spark.range(1, 5).withColumnRenamed("id", "place")).withColumn("u", G.utility()).collect()}
+    assert [got[1, p] for p in range(1, 5)] == [1.0, 1.0, 0.0, 0.5]
+    assert [got[2, p] for p in range(1, 5)] == [0.5, 0.5, 0.85, 0.5]
+    assert [got[3, p] for p in range(1, 5)] == [0.5] * 4
+
+
 def brute_clusters(points, k):
     """Farthest-point seeds, Lloyd rounds until stable, then balancing; plain loops."""
     order = sorted(points, key=lambda p: p["place"])

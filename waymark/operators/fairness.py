@@ -28,28 +28,33 @@ def utility() -> Column:
     position = "array_position(ranked, place)"
     boosted = f"least(1D, cosine + {K.SHORTLIST_BOOST}D * (1D - ({position} - 1) / greatest(1, size(ranked))))"
     raw = (
-        "case when cosine is null then 0D when place = must_place then 1D when place = avoid_place then 0D "
+        "case when cosine is null then 0D when array_contains(must_places, place) then 1D when array_contains(avoid_places, place) then 0D "
         f"when {position} > 0 then {boosted} else cosine end"
     )
     return rnd(clamp(F.expr(raw), 0.0, 1.0), 6)
 
 
+def wishes() -> Column:
+    """Number of distinct must-visit places of a member."""
+    return F.size(F.array_distinct("must_places"))
+
+
 def _dot(a: str, b: str) -> str:
     return " + ".join(f"{a}_{i} * {b}_{i}" for i in K.INTERESTS)
 
 
 def utility_grid(trips: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
-    """(trip, member, weight, must_place, ranked, place, u) for members not opted out."""
+    """(trip, member, weight, must_places, ranked, place, u) for members not opted out."""
     stated = [f"greatest(0D, least(5D, coalesce({i}, 3D))) / 5D AS m_{i}" for i in K.INTERESTS]
     going = members.where("status <> 'opted_out'").join(trips.select("trip", "circuit"), "trip").selectExpr(
-        "trip", "circuit", "member", "weight", "must_place", "avoid_place", "ranked", *stated
+        "trip", "circuit", "member", "weight", "must_places", "avoid_places", "ranked", *stated
     )
     items = places.select("place", "circuit", *S.interest_vector())
     # cosine is null where either vector is all zero
     matched = going.join(items, "circuit").withColumn(
         "cosine", F.expr(f"({_dot('m', 'a')}) / nullif(sqrt({_dot('m', 'm')}) * sqrt({_dot('a', 'a')}), 0D)")
     )
-    return matched.select("trip", "member", "weight", "must_place", "ranked", "place", utility().alias("u"))
+    return matched.select("trip", "member", "weight", "must_places", "ranked", "place", utility().alias("u"))
 
 
 def aggregated(grid: DataFrame, deficits: DataFrame | None = None) -> DataFrame:
@@ -92,17 +97,17 @@ def borda(grid: DataFrame) -> DataFrame:
 
 
 def member_coverage(grid: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
-    """Per member the mean of the top five utilities in a selection, mixed with honoured must-visits.
+    """Per member the mean of the top five utilities in a selection, mixed with the honoured share of must-visits.
 
     A selection holds a bounded number of places per group, so its utilities fit a small array.
     """
     top = F.slice(F.sort_array(F.collect_list("u"), False), 1, 5)
     per_member = grid.join(selection, ["trip", "place"]).groupBy(*keys, "member").agg(
-        top.alias("top"), F.max(F.coalesce((F.col("place") == F.col("must_place")).cast("double"), F.lit(0.0))).alias("honoured"),
-        F.max("must_place").alias("must_place"),
+        top.alias("top"), F.count_if(F.array_contains("must_places", F.col("place"))).alias("honoured"),
+        F.max(wishes()).alias("wishes"),
     )
     mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")
-    mixed = F.when(F.col("must_place").isNotNull(), 0.7 * mean + 0.3 * F.col("honoured")).otherwise(mean)
+    mixed = F.when(F.col("wishes") > 0, 0.7 * mean + 0.3 * (F.col("honoured") / F.col("wishes"))).otherwise(mean)
     return per_member.select(*keys, "member", rnd(F.least(F.lit(1.0), mixed), 6).alias("value"))
 
 
@@ -136,21 +141,22 @@ def select_fairly(grid: DataFrame, scores: DataFrame, k: int) -> DataFrame:
         "trip", "place", "mandatory", F.coalesce(F.try_divide(F.col("total"), F.col("top")), F.lit(0.0)).alias("score")
     ))
     chosen = scaled.where("mandatory").select("trip", "place", F.lit(0).alias("step"))
-    g = cut(grid.select("trip", "member", "must_place", "place", "u"), "grid")
+    wished = F.array_contains("must_places", F.col("place"))
+    g = cut(grid.select("trip", "member", wishes().alias("wishes"), F.coalesce(wished.cast("int"), F.lit(0)).alias("wished"), "place", "u"), "grid")
     for step in range(1, k + 1):
         chosen = cut(chosen, "picks")
         counts = chosen.groupBy("trip").agg(F.count("*").alias("n"))
         state = g.join(chosen.select("trip", "place"), ["trip", "place"]).groupBy("trip", "member").agg(
             F.slice(F.sort_array(F.collect_list("u"), False), 1, 5).alias("top"),
-            F.max(F.coalesce(F.col("place") == F.col("must_place"), F.lit(False))).alias("kept"),
+            F.sum("wished").alias("kept"),
         )
         open_trips = scaled.select("trip").distinct().join(counts.where(F.col("n") >= k), "trip", "left_anti")
         pool = g.join(open_trips, "trip").join(chosen.select("trip", "place"), ["trip", "place"], "left_anti")
         tried = pool.join(state, ["trip", "member"], "left")
         trial = F.slice(F.sort_array(F.concat(F.coalesce("top", F.array().cast("array<double>")), F.array("u")), False), 1, 5)
         mean = F.aggregate(trial, F.lit(0.0), lambda s, x: s + x) / F.size(trial)
-        honoured = (F.coalesce("kept", F.lit(False)) | (F.col("place") == F.col("must_place"))).cast("double")
-        value = F.when(F.col("must_place").isNotNull(), 0.7 * mean + 0.3 * honoured).otherwise(mean)
+        honoured = (F.coalesce("kept", F.lit(0)) + F.col("wished")) / F.col("wishes")
+        value = F.when(F.col("wishes") > 0, 0.7 * mean + 0.3 * honoured).otherwise(mean)
         outcome = tried.select("trip", "place", rnd(F.least(F.lit(1.0), value), 6).alias("value")).groupBy("trip", "place").agg(
             (K.ALPHA * rnd(F.avg("value"), 6) + (1 - K.ALPHA) * F.min("value")).alias("objective")
         )
@@ -169,16 +175,15 @@ def trip_frame(trips: DataFrame, members: DataFrame, weather: DataFrame) -> Data
         F.bool_or("is_senior").alias("any_senior"), F.bool_or("is_child").alias("any_child"),
         F.bool_or(F.col("mobility") == "wheelchair").alias("any_wheelchair"),
         F.bool_or(F.col("mobility") == "limited_walking").alias("any_limited"),
-        F.collect_set("must_place").alias("musts"), F.collect_set("avoid_place").alias("vetoes"),
+        F.flatten(F.collect_list("must_places")).alias("member_musts"), F.flatten(F.collect_list("avoid_places")).alias("vetoes"),
     )
     forecast = weather.groupBy("trip").agg(
         F.array_sort(F.collect_list(F.struct("day_index", "t_max", "t_min", "mm", "prob", "wind", "visibility"))).alias("forecast")
     )
     weekdays = F.transform(F.sequence("start_date", "end_date"), lambda d: F.weekday(d))
     months = F.array_distinct(F.transform(F.sequence("start_date", "end_date"), lambda d: F.month(d)))
-    own_avoid = F.expr("if(children, circuit * 16 + trip % 16, null)")
     return trips.join(needs, "trip").join(forecast, "trip", "left").withColumns(
-        {"weekdays": weekdays, "trip_months": months, "own_avoid": own_avoid}
+        {"weekdays": weekdays, "trip_months": months, "musts": F.array_union("must_own", "member_musts")}
     )
 
 
@@ -194,7 +199,7 @@ def reject_reasons() -> Column:
     )
     daily = F.col("budget") / F.col("days") * 0.45
     rules = [
-        (F.col("place") == F.col("own_avoid"), "excluded_by_group"),
+        (F.array_contains("avoid_own", F.col("place")), "excluded_by_group"),
         (F.size(opened) == 0, "closed_for_entire_trip"),
         ((F.size(opened) > 0) & ~fits, "cannot_fit_in_daily_window"),
         (F.col("needs_access") & (F.col("access") == "no"), "not_wheelchair_accessible"),

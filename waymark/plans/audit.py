@@ -129,11 +129,11 @@ def c9(spark, root):
 
 def required(spark, root):
     """Must-visit places of the members of each trip."""
-    m = V.members(spark, root).where("must_place is not null").select("trip", F.col("must_place").alias("place")).distinct()
+    m = V.members(spark, root).select("trip", F.explode("must_places").alias("place")).distinct()
     return m.join(V.trips(spark, root).select("trip"), "trip", "left_semi")
 
 
-VIEWS["v_missing"] = "SELECT DISTINCT m.trip AS plan, m.must_place AS place FROM v_members m JOIN v_trips t ON t.trip = m.trip WHERE m.must_place IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_acts a WHERE a.plan = m.trip AND a.place = m.must_place AND a.kind = 'visit')"
+VIEWS["v_missing"] = "SELECT DISTINCT m.trip AS plan, m.place FROM (SELECT trip, unnest(must_places) AS place FROM v_members) m JOIN v_trips t ON t.trip = m.trip WHERE NOT EXISTS (SELECT 1 FROM v_acts a WHERE a.plan = m.trip AND a.place = m.place AND a.kind = 'visit')"
 
 
 @query("C10_missing_mandatory", "SELECT plan, place FROM v_missing")

@@ -54,9 +54,9 @@ def g2(spark, root):
 
 
 VIEWS["v_top3"] = "SELECT trip, place FROM (SELECT trip, place, row_number() OVER (PARTITION BY trip ORDER BY simple DESC, place) AS rn FROM v_rules) WHERE rn <= 3"
-COVERAGE = """SELECT {keys}, member, round(least(1e0, CASE WHEN max(must_place) IS NOT NULL
-      THEN 0.7e0 * avg(u) FILTER (rn <= 5) + 0.3e0 * max((place = must_place)::INT) ELSE avg(u) FILTER (rn <= 5) END) + 1e-9, 6) AS value
-  FROM (SELECT {keys}, member, must_place, place, u, row_number() OVER (PARTITION BY {keys}, member ORDER BY u DESC) AS rn FROM ({src})) GROUP BY {keys}, member"""
+COVERAGE = """SELECT {keys}, member, round(least(1e0, CASE WHEN max(len(must_places)) > 0
+      THEN 0.7e0 * avg(u) FILTER (rn <= 5) + 0.3e0 * (count(*) FILTER (list_contains(must_places, place)) / CAST(max(len(must_places)) AS DOUBLE)) ELSE avg(u) FILTER (rn <= 5) END) + 1e-9, 6) AS value
+  FROM (SELECT {keys}, member, must_places, place, u, row_number() OVER (PARTITION BY {keys}, member ORDER BY u DESC) AS rn FROM ({src})) GROUP BY {keys}, member"""
 SATISFIED = f"""{r('avg(value)', 6)} AS mean, min(value) AS least, CASE WHEN sum(value) = 0 THEN 1e0 ELSE {r('pow(sum(value), 2) / (count(*) * sum(pow(value, 2)))', 6)} END AS jain,
   CASE WHEN count(*) < 2 THEN 1e0 ELSE {r('greatest(0e0, 1e0 - stddev_pop(value) / 0.5e0)', 6)} END AS consensus, {r('max(value) - min(value)', 6)} AS spread"""
 VIEWS["v_coverage"] = COVERAGE.format(keys="trip", src="SELECT u.* FROM v_utility u JOIN v_top3 s ON s.trip = u.trip AND s.place = u.place")
@@ -135,14 +135,14 @@ VIEWS["v_needs"] = """
     bool_or(mobility = 'limited_walking') AS any_limited FROM v_members WHERE status <> 'opted_out' GROUP BY trip"""
 VIEWS["v_pairs"] = f"""
   SELECT t.*, n.* EXCLUDE (trip), p.* EXCLUDE (circuit), {hav('t.base_lat', 't.base_lon', 'p.lat', 'p.lon')} AS km,
-    EXISTS (SELECT 1 FROM v_members m WHERE m.trip = t.trip AND m.status <> 'opted_out' AND m.must_place = p.place) AS mandatory,
-    EXISTS (SELECT 1 FROM v_members m WHERE m.trip = t.trip AND m.status <> 'opted_out' AND m.avoid_place = p.place) AS vetoed,
+    EXISTS (SELECT 1 FROM v_members m WHERE m.trip = t.trip AND m.status <> 'opted_out' AND list_contains(m.must_places, p.place)) OR list_contains(t.must_own, p.place) AS mandatory,
+    EXISTS (SELECT 1 FROM v_members m WHERE m.trip = t.trip AND m.status <> 'opted_out' AND list_contains(m.avoid_places, p.place)) AS vetoed,
     (SELECT count(DISTINCT d.day_index) FROM v_trip_days d JOIN v_windows w ON w.place = p.place AND w.wd = isodow(d.date) - 1 WHERE d.trip = t.trip) AS open_days,
     EXISTS (SELECT 1 FROM v_trip_days d JOIN v_windows w ON w.place = p.place AND w.wd = isodow(d.date) - 1 WHERE d.trip = t.trip
       AND least(w.closes, t.day_end) - greatest(w.opens, t.day_start) >= p.min_dur) AS fits
   FROM v_trips t JOIN v_needs n ON n.trip = t.trip JOIN v_places p ON p.circuit = t.circuit"""
 VIEWS["v_reasons"] = """
-  SELECT trip, place, array_to_string(list_filter([CASE WHEN children AND place = circuit * 16 + trip % 16 THEN 'excluded_by_group' END,
+  SELECT trip, place, array_to_string(list_filter([CASE WHEN list_contains(avoid_own, place) THEN 'excluded_by_group' END,
     CASE WHEN open_days = 0 THEN 'closed_for_entire_trip' END, CASE WHEN open_days > 0 AND NOT fits THEN 'cannot_fit_in_daily_window' END,
     CASE WHEN needs_access AND access = 'no' THEN 'not_wheelchair_accessible' END, CASE WHEN any_wheelchair AND access = 'no' THEN 'member_requires_step_free_access' END,
     CASE WHEN any_limited AND intensity >= 5 THEN 'too_physically_demanding_for_a_member' END,
@@ -203,10 +203,13 @@ def w5(spark, root):
     return ranked_kept(scored(spark, root)).select("trip", "place", "rank")
 
 
-@query("K6_shortlist", "SELECT trip, place, pos FROM (SELECT trip, place, row_number() OVER (PARTITION BY trip ORDER BY mandatory DESC, total DESC, place) AS pos FROM v_kept) WHERE pos <= 8")
+@query("K6_shortlist", "SELECT trip, place, pos FROM (SELECT trip, place, mandatory, row_number() OVER (PARTITION BY trip ORDER BY mandatory DESC, total DESC, place) AS pos, greatest(9, 3 * days) * days AS most FROM v_kept) WHERE pos <= most OR mandatory")
 def k6(spark, root):
-    kept = scored(spark, root).where((F.size("reasons") == 0) | F.col("mandatory")).select("trip", "place", "mandatory", "total")
-    return grouped.top_n(kept, ["trip"], [F.desc("mandatory"), F.desc("total"), F.col("place")], 8, "pos").select("trip", "place", "pos")
+    """Mandatory places, then the best: at least nine, or three a day, for each day of the trip."""
+    kept = scored(spark, root).where((F.size("reasons") == 0) | F.col("mandatory")).select("trip", "place", "mandatory", "total", "days")
+    order = W.partitionBy("trip").orderBy(F.desc("mandatory"), F.desc("total"), "place")
+    most = F.greatest(F.lit(9), 3 * F.col("days")) * F.col("days")
+    return kept.withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= most) | F.col("mandatory")).select("trip", "place", "pos")
 
 
 LABELS = {
@@ -216,14 +219,15 @@ LABELS = {
 }
 
 
-@query("R15_stored_explanation", "SELECT k.trip, k.place, 'ranked #' || k.rank || ': ' || t.top || CASE WHEN k.distance_penalty > 0.6e0 THEN '; far from base' ELSE '' END || CASE WHEN k.crowd_penalty > 0.6e0 THEN '; crowded' ELSE '' END AS reason FROM v_kept k JOIN (SELECT trip, place, string_agg(name || '=' || CAST(CAST(floor(v * 100 + 0.5e0) AS BIGINT) AS VARCHAR), ', ' ORDER BY v DESC, name) AS top FROM (SELECT *, row_number() OVER (PARTITION BY trip, place ORDER BY v DESC, name) AS rn FROM ("
+@query("R15_stored_explanation", "SELECT k.trip, k.place, 'ranked #' || k.rank || ': ' || t.top || CASE WHEN k.distance_penalty > 0.6e0 THEN '; far from base' ELSE '' END || CASE WHEN k.crowd_penalty > 0.6e0 THEN '; crowded' ELSE '' END || '; total=' || CAST(CAST(floor(k.total * 100 + 0.5e0) AS BIGINT) AS VARCHAR) AS reason FROM v_kept k JOIN (SELECT trip, place, string_agg(name || '=' || CAST(CAST(floor(v * 100 + 0.5e0) AS BIGINT) AS VARCHAR), ', ' ORDER BY v DESC, name) AS top FROM (SELECT *, row_number() OVER (PARTITION BY trip, place ORDER BY v DESC, name) AS rn FROM ("
     + " UNION ALL ".join(f"SELECT trip, place, '{label}' AS name, {c} AS v FROM v_components" for c, label in LABELS.items()) + ")) WHERE rn <= 3 GROUP BY trip, place) t ON t.trip = k.trip AND t.place = k.place")
 def r15(spark, root):
     entries = F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(label).alias("name")) for c, label in LABELS.items()])
     note = lambda c, label: F.when(F.col(c) > 0.6, F.lit(label)).otherwise(F.lit(""))
     return ranked_kept(scored(spark, root)).select(
         "trip", "place",
-        F.concat(F.lit("ranked #"), F.col("rank").cast("string"), F.lit(": "), top_components(entries), note("distance_penalty", "; far from base"), note("crowd_penalty", "; crowded")).alias("reason"),
+        F.concat(F.lit("ranked #"), F.col("rank").cast("string"), F.lit(": "), top_components(entries), note("distance_penalty", "; far from base"), note("crowd_penalty", "; crowded"),
+                 F.lit("; total="), F.floor(F.col("total") * 100 + 0.5).cast("string")).alias("reason"),
     )
 
 
@@ -273,12 +277,12 @@ ROUNDS = 3
 for _n in range(1, ROUNDS + 1):
     VIEWS[f"v_pick{_n}"] = f"""
       WITH trial AS (
-        SELECT u.trip, u.place AS candidate, u.member, u.must_place, u.u FROM v_utility u JOIN v_pool p ON p.trip = u.trip AND p.place = u.place
+        SELECT u.trip, u.place AS candidate, u.member, u.must_places, u.u FROM v_utility u JOIN v_pool p ON p.trip = u.trip AND p.place = u.place
           WHERE NOT EXISTS (SELECT 1 FROM v_pick{_n - 1} c WHERE c.trip = u.trip AND c.place = u.place)
             AND (SELECT count(*) FROM v_pick{_n - 1} c WHERE c.trip = u.trip) < {ROUNDS}),
       bag AS (
-        SELECT trip, candidate, member, must_place, candidate AS place, u FROM trial
-        UNION ALL SELECT t.trip, t.candidate, t.member, t.must_place, c.place, u.u FROM trial t JOIN v_pick{_n - 1} c ON c.trip = t.trip JOIN v_utility u ON u.trip = t.trip AND u.member = t.member AND u.place = c.place),
+        SELECT trip, candidate, member, must_places, candidate AS place, u FROM trial
+        UNION ALL SELECT t.trip, t.candidate, t.member, t.must_places, c.place, u.u FROM trial t JOIN v_pick{_n - 1} c ON c.trip = t.trip JOIN v_utility u ON u.trip = t.trip AND u.member = t.member AND u.place = c.place),
       cov AS ({COVERAGE.format(keys='trip, candidate', src='SELECT * FROM bag')}),
       obj AS (SELECT trip, candidate, 0.65e0 * {r('avg(value)', 6)} + 0.35e0 * min(value) AS objective FROM cov GROUP BY trip, candidate),
       best AS (SELECT o.trip, o.candidate, row_number() OVER (PARTITION BY o.trip ORDER BY {r('0.65e0 * o.objective + 0.35e0 * p.score', 9)} DESC, o.candidate) AS rn

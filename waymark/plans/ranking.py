@@ -108,10 +108,10 @@ def u1(spark, root):
     return s.withColumn("summary", F.when(joined_text == "", "no material change").otherwise(joined_text))
 
 
-@query("U2_missing_mandatory", "SELECT DISTINCT m.trip, m.must_place AS place FROM v_members m WHERE m.must_place IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_acts a WHERE a.plan = m.trip AND a.place = m.must_place AND a.kind = 'visit')")
+@query("U2_missing_mandatory", "SELECT DISTINCT m.trip, m.place FROM (SELECT trip, unnest(must_places) AS place FROM v_members) m WHERE NOT EXISTS (SELECT 1 FROM v_acts a WHERE a.plan = m.trip AND a.place = m.place AND a.kind = 'visit')")
 def u2(spark, root):
     visits = V.activities(spark, root).where("kind = 'visit'").select(F.col("plan").alias("trip"), "place")
-    required = V.members(spark, root).where("must_place is not null").select("trip", F.col("must_place").alias("place")).distinct()
+    required = V.members(spark, root).select("trip", F.explode("must_places").alias("place")).distinct()
     return required.join(visits, ["trip", "place"], "left_anti")
 
 
@@ -126,11 +126,11 @@ def u3(spark, root):
 
 @query("U4_merged_wish_lists", """
   SELECT t.trip, coalesce(string_agg(DISTINCT CAST(w.place AS VARCHAR), '|' ORDER BY CAST(w.place AS VARCHAR)), '') AS must FROM v_trips t
-  LEFT JOIN (SELECT trip, must_place AS place FROM v_members WHERE must_place IS NOT NULL UNION ALL SELECT trip, circuit * 16 + trip % 16 FROM v_trips WHERE travellers = 6) w ON w.trip = t.trip GROUP BY t.trip""")
+  LEFT JOIN (SELECT trip, unnest(must_places) AS place FROM v_members UNION ALL SELECT trip, unnest(must_own) FROM v_trips) w ON w.trip = t.trip GROUP BY t.trip""")
 def u4(spark, root):
-    trips = V.trips(spark, root).select("trip", F.expr("if(travellers = 6, circuit * 16 + trip % 16, null)").alias("own"))
-    wished = V.members(spark, root).groupBy("trip").agg(F.collect_set("must_place").alias("theirs"))
-    both = F.array_union(F.array_compact(F.array("own")), F.coalesce("theirs", F.array().cast("array<bigint>")))
+    trips = V.trips(spark, root).select("trip", "must_own")
+    wished = V.members(spark, root).groupBy("trip").agg(F.flatten(F.collect_list("must_places")).alias("theirs"))
+    both = F.array_union("must_own", F.coalesce("theirs", F.array().cast("array<bigint>")))
     return trips.join(wished, "trip", "left").select("trip", F.array_join(F.array_sort(F.transform(both, lambda p: p.cast("string"))), "|").alias("must"))
 
 

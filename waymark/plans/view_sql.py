@@ -132,6 +132,8 @@ VIEWS: dict[str, str] = {
         CAST(1 + o_orderkey % 6 AS INT) AS travellers, 540 AS day_start,
         CAST(1080 + 60 * (o_orderkey % 3) AS INT) AS day_end,
         o_orderkey % 9 = 0 AS needs_access, o_orderkey % 7 = 0 AS seniors, o_orderkey % 4 = 0 AS children,
+        CASE WHEN o_orderkey % 6 = 5 THEN [(o_orderkey // 128) * 16 + o_orderkey % 16] ELSE [] END AS must_own,
+        CASE WHEN o_orderkey % 4 = 0 THEN [(o_orderkey // 128) * 16 + o_orderkey % 16, (o_orderkey // 128) * 16 + (o_orderkey + 7) % 16] ELSE [] END AS avoid_own,
         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {_lat} + (o_orderkey % 50) / 100e0 END AS origin_lat,
         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {_lon} + (o_orderkey % 50) / 200e0 END AS origin_lon,
         {_lat} AS centre_lat, {_lon} AS centre_lon
@@ -145,8 +147,8 @@ VIEWS: dict[str, str] = {
     + ")",
     "v_members": """
       SELECT member, (member // 5) * 97 AS trip, CAST(1 + member % 2 AS DOUBLE) AS weight,
-        CASE WHEN member % 4 = 0 THEN ((member // 5) * 97 // 128) * 16 + member % 16 END AS must_place,
-        CASE WHEN member % 7 = 0 THEN ((member // 5) * 97 // 128) * 16 + (member * 5 + 3) % 16 END AS avoid_place,
+        list_transform(CASE WHEN member % 4 = 0 THEN [0] WHEN member % 12 = 5 THEN [0, 5, 9] ELSE [] END, lambda d: ((member // 5) * 97 // 128) * 16 + (member + d) % 16) AS must_places,
+        list_transform(CASE WHEN member % 14 = 0 THEN [3, 8] WHEN member % 7 = 0 THEN [3] ELSE [] END, lambda d: ((member // 5) * 97 // 128) * 16 + (member * 5 + d) % 16) AS avoid_places,
         CASE WHEN member % 3 = 0 THEN [((member // 5) * 97 // 128) * 16 + (member * 3) % 16,
           ((member // 5) * 97 // 128) * 16 + (member * 3 + 5) % 16] ELSE [] END AS ranked,
         CASE WHEN member % 11 = 0 THEN 'wheelchair' WHEN member % 5 = 1 THEN 'limited_walking' ELSE 'full' END AS mobility,
@@ -154,16 +156,16 @@ VIEWS: dict[str, str] = {
         CASE WHEN member % 10 = 9 THEN 'opted_out' ELSE 'joined' END AS status
       FROM v_counts""",
     "v_utility": """
-      SELECT trip, member, place, circuit, must_place, weight,
+      SELECT trip, member, place, circuit, must_places, weight,
         round(greatest(0e0, least(1e0, CASE
           WHEN an IS NULL OR mn = 0 THEN 0e0
-          WHEN place = must_place THEN 1e0
-          WHEN place = avoid_place THEN 0e0
+          WHEN list_contains(must_places, place) THEN 1e0
+          WHEN list_contains(avoid_places, place) THEN 0e0
           WHEN list_contains(ranked, place)
             THEN least(1e0, dot / (sqrt(mn) * sqrt(an)) + 0.35e0 * (1e0 - (list_position(ranked, place) - 1) / 2e0))
           ELSE dot / (sqrt(mn) * sqrt(an)) END)) + 1e-9, 6) AS u
       FROM (
-        SELECT t.trip, m.member, m.weight, p.place, p.circuit, m.must_place, m.avoid_place, m.ranked,
+        SELECT t.trip, m.member, m.weight, p.place, p.circuit, m.must_places, m.avoid_places, m.ranked,
           sum(coalesce(f.pref, 3e0) / 5e0 * coalesce(i.weight, 0e0)) AS dot,
           sum(pow(coalesce(f.pref, 3e0) / 5e0, 2)) AS mn,
           sum(pow(i.weight, 2)) AS an

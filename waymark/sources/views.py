@@ -119,6 +119,9 @@ def trips(spark: SparkSession, root: str) -> DataFrame:
     o = table(spark, root, "orders")
     lat = "8 + (((o_orderkey div 128) * 7919) % 2700) / 100e0 + 0.2e0"
     lon = "69 + (((o_orderkey div 128) * 6271) % 2700) / 100e0 + 0.2e0"
+    own = lambda steps: F.expr(
+        f"transform({steps}, d -> (o_orderkey div 128) * 16 + (o_orderkey + d) % 16)"
+    ).cast("array<bigint>")
     return o.select(
         F.col("o_orderkey").alias("trip"),
         F.col("o_custkey").alias("owner"),
@@ -138,6 +141,8 @@ def trips(spark: SparkSession, root: str) -> DataFrame:
         F.expr("o_orderkey % 9 = 0").alias("needs_access"),
         F.expr("o_orderkey % 7 = 0").alias("seniors"),
         F.expr("o_orderkey % 4 = 0").alias("children"),
+        own("if(o_orderkey % 6 = 5, array(0), array())").alias("must_own"),
+        own("if(o_orderkey % 4 = 0, array(0, 7), array())").alias("avoid_own"),
         F.expr(f"if(o_orderkey % 3 = 0, null, {lat} + (o_orderkey % 50) / 100e0)").alias("origin_lat"),
         F.expr(f"if(o_orderkey % 3 = 0, null, {lon} + (o_orderkey % 50) / 200e0)").alias("origin_lon"),
         F.expr(lat).alias("centre_lat"),
@@ -168,6 +173,9 @@ def members(spark: SparkSession, root: str) -> DataFrame:
         *[F.count_if(hit(*spec)).alias(name) for name, spec in PREFERENCE_COUNTS.items()]
     )
     top = F.greatest(*[F.col(name) for name in PREFERENCE_COUNTS])
+    choices = lambda steps, at: F.expr(
+        f"transform({steps}, d -> ((member div 5) * 97 div 128) * 16 + ({at}) % 16)"
+    ).cast("array<bigint>")
     return counted.select(
         "member",
         F.expr("(member div 5) * 97").alias("trip"),
@@ -176,8 +184,8 @@ def members(spark: SparkSession, root: str) -> DataFrame:
             F.when(F.col(name) == 0, F.lit(None)).otherwise(F.lit(5.0) * F.col(name) / top).alias(name)
             for name in K.INTERESTS
         ],
-        F.expr("if(member % 4 = 0, ((member div 5) * 97 div 128) * 16 + member % 16, null)").alias("must_place"),
-        F.expr("if(member % 7 = 0, ((member div 5) * 97 div 128) * 16 + (member * 5 + 3) % 16, null)").alias("avoid_place"),
+        choices("case when member % 4 = 0 then array(0) when member % 12 = 5 then array(0, 5, 9) else array() end", "member + d").alias("must_places"),
+        choices("case when member % 14 = 0 then array(3, 8) when member % 7 = 0 then array(3) else array() end", "member * 5 + d").alias("avoid_places"),
         F.expr("if(member % 3 = 0, array(((member div 5) * 97 div 128) * 16 + (member * 3) % 16, "
                "((member div 5) * 97 div 128) * 16 + (member * 3 + 5) % 16), array())").cast("array<bigint>").alias("ranked"),
         F.expr("case when member % 11 = 0 then 'wheelchair' when member % 5 = 1 then 'limited_walking' "
