@@ -128,3 +128,13 @@ def test_hosts(spark):
 
 def test_privacy_strip_is_top_level_and_case_blind(spark):
     assert one(spark, text.strip_private(F.lit('{"LAT":"1","k":"2","Coordinates":"x"}'))) == '{"k":"2"}'
+
+
+def test_paired_ids_never_meet_and_refuse_what_does_not_fit(spark):
+    from waymark.sources import views as V
+
+    rows = spark.createDataFrame([(1, 100_000), (2, 0), (1, 2_000), (3, 0), (4, None), (None, 1)], "a bigint, b bigint")
+    ids = [r[0] for r in rows.select(V.paired("a", "b")).collect()]
+    assert ids.count(None) == 2 and len(set(ids)) == 5
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(1, V.SPAN)], "a bigint, b bigint").select(V.paired("a", "b")).collect()

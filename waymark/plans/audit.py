@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions import constants as K
 from waymark.functions.stats import rnd
-from waymark.operators import audit as A
+from waymark.operators import audit as A, grouped
 from waymark.plans.registry import query
 from waymark.plans.view_sql import VIEWS, rnd as r, sql_lookup
 from waymark.plans.windows import duplicate_visits, with_previous
-from waymark.session import work_path
+from waymark.session import cut, work_path
 from waymark.sources import catalogue, views as V
 
 
@@ -250,4 +250,13 @@ def g14(spark, root):
         (100.0 * (F.col("a_minutes") - F.col("b_minutes")) / F.greatest(F.lit(1), "a_minutes")).alias("min_cut"),
         (F.col("b_places") - F.col("a_places")).alias("places_delta"), (F.col("b_utility") - F.col("a_utility")).alias("utility_delta"),
     )
-    return d.agg(F.count("*").alias("cases"), *[rnd(F.avg(c), 3).alias(c) for c in d.columns], rnd(F.median("km_cut"), 3).alias("median_km_cut"))
+    d = cut(d, "pairs")
+    # the median is ranked over distinct values and their counts, in buckets that follow their order
+    values = d.where("km_cut is not null").groupBy("km_cut").agg(F.count("*").alias("n")).withColumn("run", F.lit(1))
+    bucket = F.floor(F.signum("km_cut") * F.log1p(F.abs("km_cut")) * 1024)
+    upto = grouped.running_sums(values, ["run"], bucket, [F.col("km_cut")], {"upto": F.col("n")})
+    total = values.agg(F.sum("n")).scalar()
+    at = lambda pos: F.min(F.when(F.col("upto") >= F.floor(pos), F.col("km_cut")))
+    middle = upto.withColumn("total", total).agg(((at((F.col("total") + 1) / 2) + at(F.col("total") / 2 + 1)) / 2.0).alias("m"))
+    means = d.agg(F.count("*").alias("cases"), *[rnd(F.avg(c), 3).alias(c) for c in d.columns])
+    return means.withColumn("median_km_cut", rnd(middle.select("m").scalar(), 3))

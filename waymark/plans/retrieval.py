@@ -167,14 +167,14 @@ def r2(spark, root):
 
 @query("R3_content_hash_sync", """
   WITH o AS (SELECT doc_id AS k, sha256(text) AS h, len(string_split(text, chr(10))) AS n FROM documents),
-  w AS (SELECT doc_id AS k, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'revised' ELSE '' END AS t FROM documents UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 5 = 0),
+  w AS (SELECT doc_id AS k, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'revised' ELSE '' END AS t FROM documents UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 5 = 0),
   x AS (SELECT k, sha256(t) AS h, len(string_split(t, chr(10))) AS n FROM w)
   SELECT x.k AS doc_key, CASE WHEN o.k IS NULL THEN 'new' WHEN o.h <> x.h THEN 'changed' ELSE 'unchanged' END AS state, CASE WHEN o.k IS NULL OR o.h <> x.h THEN x.n ELSE 0 END AS rechunked, x.n AS chunks
   FROM x LEFT JOIN o ON o.k = x.k""")
 def r3(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "text")
     revised = docs.select(F.col("doc_id").alias("doc_key"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nrevised"))).otherwise(F.col("text")).alias("text"))
-    added = docs.where("doc_id % 5 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_key"), "text")
+    added = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_key"), "text")
     return sync_plan(docs.withColumnRenamed("doc_id", "doc_key"), revised.unionByName(added))
 
 
@@ -316,8 +316,8 @@ FAITH = f"""SELECT {{k}}, coalesce({r("count(*) FILTER (ok) / CAST(nullif(count(
   SELECT a.{{k}}, s.s, EXISTS (SELECT 1 FROM {{ctx}} c WHERE c.{{k}} = a.{{k}} AND len(list_distinct({toks('s.s')})) > 0
     AND len(list_intersect(list_distinct({toks('s.s')}), list_distinct({toks('c.context')}))) / CAST(len(list_distinct({toks('s.s')})) AS DOUBLE) >= 0.3e0) AS ok
   FROM {{src}} a LEFT JOIN (SELECT {{k}}, trim(s) AS s FROM (SELECT {{k}}, unnest({_sent('answer')}) AS s FROM {{src}}) WHERE length(trim(s)) > 20) s ON s.{{k}} = a.{{k}}) GROUP BY {{k}}"""
-VIEWS["v_turns"] = "SELECT conv_id * 1000 + turn AS id, text AS answer FROM conversations WHERE role = 'assistant'"
-VIEWS["v_turn_context"] = "SELECT a.conv_id * 1000 + a.turn AS id, b.text AS context FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'"
+VIEWS["v_turns"] = f"SELECT conv_id * {V.SPAN} + turn AS id, text AS answer FROM conversations WHERE role = 'assistant'"
+VIEWS["v_turn_context"] = f"SELECT a.conv_id * {V.SPAN} + a.turn AS id, b.text AS context FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'"
 
 
 @query("R16_faithfulness", FAITH.format(k="id", src="v_turns", ctx="v_turn_context").replace("SELECT id,", "SELECT id,", 1))
@@ -326,7 +326,7 @@ def r16(spark, root):
     asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), text.tokens(F.col("text")).alias("context"))
     answers = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"], "left")
     contexts = F.array_compact(F.array("context"))
-    return answers.select(F.expr("conv_id * 1000 + turn").alias("id"), R.faithfulness(F.col("text"), contexts).alias("faithfulness"))
+    return answers.select(V.paired("conv_id", "turn").alias("id"), R.faithfulness(F.col("text"), contexts).alias("faithfulness"))
 
 
 VIEWS["v_q_context"] = "SELECT q, body AS context FROM v_final_hybrid"

@@ -484,10 +484,10 @@ SANITISE = r"substr(trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>
 
 @query("P26_sanitise", f"""
   SELECT 'page' AS kind, page_id AS id, md5({SANITISE.format(c='html')}) AS clean FROM pages
-  UNION ALL SELECT 'turn', conv_id * 1000 + turn, md5({SANITISE.format(c='text')}) FROM conversations""")
+  UNION ALL SELECT 'turn', conv_id * {V.SPAN} + turn, md5({SANITISE.format(c='text')}) FROM conversations""")
 def p26(spark, root):
     pages = table(spark, root, "pages").selectExpr("'page' AS kind", "page_id AS id", "html AS body")
-    turns = table(spark, root, "conversations").selectExpr("'turn' AS kind", "conv_id * 1000 + turn AS id", "text AS body")
+    turns = table(spark, root, "conversations").select(F.lit("turn").alias("kind"), V.paired("conv_id", "turn").alias("id"), F.col("text").alias("body"))
     return pages.unionByName(turns).select("kind", "id", F.md5(text.sanitise(F.col("body"), 4000)).alias("clean"))
 
 
@@ -519,10 +519,10 @@ LIVE = f"len(list_filter({toks('{c}')}, lambda t: list_contains({sql_list(K.LIVE
 
 
 @query("P29_live_data_flag", f"""
-  SELECT 'turn' AS kind, conv_id * 1000 + turn AS id, {LIVE.format(c='text')} AS live FROM conversations
+  SELECT 'turn' AS kind, conv_id * {V.SPAN} + turn AS id, {LIVE.format(c='text')} AS live FROM conversations
   UNION ALL SELECT 'question', q, {LIVE.format(c='question')} FROM v_questions""")
 def p29(spark, root):
-    turns = table(spark, root, "conversations").selectExpr("'turn' AS kind", "conv_id * 1000 + turn AS id", "text AS body")
+    turns = table(spark, root, "conversations").select(F.lit("turn").alias("kind"), V.paired("conv_id", "turn").alias("id"), F.col("text").alias("body"))
     qs = V.questions(spark, root).selectExpr("'question' AS kind", "q AS id", "question AS body")
     return turns.unionByName(qs).select("kind", "id", text.wants_live(F.col("body")).alias("live"))
 

@@ -184,7 +184,7 @@ VIEWS: dict[str, str] = {
       FROM lineitem""",
     "v_chunks": f"""
       SELECT *, concat_ws(' ', topic, 'of', place, 'in', cluster) AS heading FROM (
-      SELECT doc_id * 100000 + pos AS chunk, doc_id, pos, lang AS cluster, source AS place,
+      SELECT doc_id * {V.SPAN} + pos AS chunk, doc_id, pos, lang AS cluster, source AS place,
         {sql_list(K.TOPICS)}[CAST((doc_id + pos) % 6 AS INT) + 1] AS topic,
         {sql_list(V.SOURCE_TYPES)}[CAST(doc_id % 6 AS INT) + 1] AS source_type, body
       FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS body,

@@ -14,6 +14,8 @@ from waymark.functions import clock, constants as K
 from waymark.functions.stats import lookup
 from waymark.sources.tables import table
 
+SPAN = 1 << 28  # minor numbers of a paired id
+
 # Stand-in binding of part-name words to catalogue tags.
 WORD_TAGS = {
     "ring": "temple", "blue": "lake", "bolt": "fort", "new": "modern", "cold": "high-altitude",
@@ -222,11 +224,19 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", "lang", "source", "text")
 
 
+def paired(major: str, minor: str) -> Column:
+    """One id of two numbers; a minor number beyond its share or an overflow is an error, never another row's id."""
+    return F.expr(
+        f"case when {minor} between 0 and {SPAN - 1} then {major} * {SPAN}L + {minor} "
+        f"when {minor} is not null then raise_error('{minor} out of range') end"
+    )
+
+
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     d = documents(spark, root)
     lines = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
     return lines.where("body <> ''").select(
-        F.expr("doc_id * 100000 + pos").alias("chunk"),
+        paired("doc_id", "pos").alias("chunk"),
         "doc_id",
         "pos",
         F.col("lang").alias("cluster"),
