@@ -169,24 +169,29 @@ def select_fairly(grid: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ eligibility and scores
-def trip_frame(trips: DataFrame, members: DataFrame, weather: DataFrame) -> DataFrame:
-    """Trips with their members' needs and vetoes and the weather of each day as a small array."""
+def trip_needs(trips: DataFrame, members: DataFrame) -> DataFrame:
+    """Trips with their weekdays, months and their members' needs, wishes and vetoes."""
     needs = members.where("status <> 'opted_out'").groupBy("trip").agg(
         F.bool_or("is_senior").alias("any_senior"), F.bool_or("is_child").alias("any_child"),
         F.bool_or(F.col("mobility") == "wheelchair").alias("any_wheelchair"),
         F.bool_or(F.col("mobility") == "limited_walking").alias("any_limited"),
         F.flatten(F.collect_list("must_places")).alias("member_musts"), F.flatten(F.collect_list("avoid_places")).alias("vetoes"),
     )
-    forecast = weather.groupBy("trip").agg(
-        F.array_sort(F.collect_list(F.struct("day_index", "t_max", "t_min", "mm", "prob", "wind", "visibility"))).alias("forecast")
-    )
     weekdays = F.transform(F.sequence("start_date", "end_date"), lambda d: F.weekday(d))
     months = F.array_distinct(F.transform(F.sequence("start_date", "end_date"), lambda d: F.month(d)))
-    return trips.join(needs, "trip").join(forecast, "trip", "left").withColumns(
+    return trips.join(needs, "trip").withColumns(
         {"weekdays": weekdays, "trip_months": months, "musts": F.array_union("must_own", "member_musts")}
     )
 
 
+def trip_frame(trips: DataFrame, members: DataFrame, weather: DataFrame) -> DataFrame:
+    """Trips with what they need and the weather of each day as a small array."""
+    forecast = weather.groupBy("trip").agg(
+        F.array_sort(F.collect_list(F.struct("day_index", "t_max", "t_min", "mm", "prob", "wind", "visibility"))).alias("forecast")
+    )
+    return trip_needs(trips, members).join(forecast, "trip", "left")
+
+
 def reject_reasons() -> Column:
     """Array of the hard rules a place breaks for a trip, in order."""
     opened = F.filter("weekdays", lambda wd: F.size(clock.open_windows(F.col("windows"), F.col("closed_dow"), wd)) > 0)
@@ -211,6 +216,11 @@ def reject_reasons() -> Column:
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
 
 
+def eligibility(trips: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
+    """(trip, place, reasons) for every place of a trip's circuit, without any score."""
+    return trip_needs(trips, members).join(places, "circuit").select("trip", "place", reject_reasons().alias("reasons"))
+
+
 def day_weather_score(w: Column) -> Column:
     exposure, sens = lookup(K.EXPOSURE, F.col("kind"), 1.0), F.col("sens")
     mm, p = F.coalesce(w["mm"], F.lit(0.0)), F.coalesce(w["prob"], F.lit(0.0))

@@ -176,7 +176,8 @@ PARTS = list(K.SCORE_WEIGHTS) + list(K.SCORE_PENALTIES)
 
 @query("G8_eligibility", "SELECT trip, place, reasons FROM v_reasons")
 def g8(spark, root):
-    return scored(spark, root).select("trip", "place", F.array_join("reasons", "|").alias("reasons"))
+    found = G.eligibility(V.trips(spark, root), V.members(spark, root), V.places(spark, root))
+    return found.select("trip", "place", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("G10_component_scores", "SELECT trip, place, " + ", ".join(PARTS) + " FROM v_components")
