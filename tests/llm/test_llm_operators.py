@@ -345,6 +345,32 @@ def test_groups_without_ids_or_with_shared_ids_keep_a_row_each(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, far[0]), (None, far[1]), (4, far[2]), (5, far[3])]))
 
 
+def test_near_duplicates_of_the_pipeline_share_four_fifths_of_their_shingles(spark):
+    rng = np.random.default_rng(3)
+    sets = lambda t: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
+    rows, want = [], set()
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        near, apart = base.copy(), base.copy()
+        near[280:] = [f"n{g}x{i}" for i in range(20)]  # 276 of 316 shingles, 0.87
+        apart[240:] = [f"a{g}x{i}" for i in range(60)]  # 236 of 356, 0.66
+        texts = [" ".join(t) for t in (base, near, apart)]
+        a, b, c = map(sets, texts)
+        assert len(a & b) / len(a | b) > 0.85 and len(a & c) / len(a | c) < 0.7
+        rows += [(3 * g + i, t) for i, t in enumerate(texts)]
+        want |= {3 * g, 3 * g + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()} == want
+    assert len({r["doc_id"] for r in simhash.one_per_group(docs, words=5).collect()}) > len(want)
+
+
+def test_similar_texts_of_awkward_rows(awkward, nothing):
+    one = simhash.one_per_group(awkward, words=5, jaccard=0.8)
+    ids = Counter(r["doc_id"] for r in one.collect())
+    assert one.columns == awkward.columns and ids == Counter([1, 3, 3, 6, 7, 8, 9])
+    assert simhash.one_per_group(nothing, words=5, jaccard=0.8).count() == 0
+
+
 @pytest.mark.parametrize("slice_", [4, 2048])
 def test_shards_link_what_all_pairs_link(spark, slice_):
     rng = np.random.default_rng(9)
