@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.operators import grouped
+from waymark.plans import joins
 
 
 def skewed(spark, n=600):
@@ -53,3 +54,12 @@ def test_nest_splits_large_groups_and_loses_nothing(spark):
 def test_first_by_takes_the_smallest_position(spark):
     df = spark.createDataFrame([("a", 3, "late"), ("a", 1, "first"), ("b", 2, "only")], "k string, pos int, v string")
     assert {(r["k"], r["v"]) for r in grouped.first_by(df, ["k"], F.col("pos")).collect()} == {("a", "first"), ("b", "only")}
+
+
+def test_leg_matrix_has_all_stops_of_a_day(spark):
+    rows = [(1, 0, 10 * i, 12.0 + i / 100, 77.0, 540 + 30 * i) for i in range(13)] + [(2, 0, 1, 12.0, 77.0, 600), (2, 0, 2, 12.1, 77.0, None)]
+    visits = spark.createDataFrame(rows, "plan long, day int, place long, lat double, lon double, start_min int")
+    legs = joins.leg_matrix(visits, spark.createDataFrame([(1, "car"), (2, "car")], "plan long, mode string")).collect()
+    assert sorted((r["plan"], r["i"], r["j"]) for r in legs) == sorted([(1, i, j) for i in range(13) for j in range(13) if i != j] + [(2, 0, 1), (2, 1, 0)])
+    km = {(r["i"], r["j"]): r["km"] for r in legs if r["plan"] == 1}
+    assert km[0, 12] == km[12, 0] > km[0, 11] > km[0, 9]

@@ -220,20 +220,18 @@ def j16(spark, root):
 
     modes = V.trips(spark, root).select(F.col("trip").alias("plan"), "mode")
     visits = stops(spark, root).groupBy("plan", "day", "place", "lat", "lon").agg(F.min("start_min").alias("start_min"))
-    pool = grouped.top_n(visits, ["plan", "day"], [F.col("start_min"), F.col("place")], K.DAY_POOL, "rn")
-    return day_legs(pool.join(modes, "plan"))
-
-
-def day_legs(pool):
-    """Legs i -> j, both ways, of day pools capped at nine stops: pairs form inside one small array."""
-    stop = F.struct(F.col("rn").alias("rn"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
-    days = pool.groupBy("plan", "day", "mode").agg(F.array_sort(F.collect_list(stop)).alias("stops"))
-    pairs = F.flatten(F.transform("stops", lambda a: F.transform("stops", lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    legs = days.select("plan", "day", "mode", F.explode(pairs).alias("p")).where("p.a.rn <> p.b.rn")
-    est = geo.leg(F.col("p.a.lat"), F.col("p.a.lon"), F.col("p.b.lat"), F.col("p.b.lon"), F.col("mode"))
-    return legs.withColumn("leg", est).select(
-        "plan", "day", (F.col("p.a.rn") - 1).alias("i"), (F.col("p.b.rn") - 1).alias("j"), "leg.km", "leg.minutes"
-    )
+    return leg_matrix(visits, modes)
+
+
+def leg_matrix(visits, modes):
+    """Legs i -> j, both ways, between all stops of a day: an equi-join, so no array holds a day."""
+    bucket = F.coalesce(F.floor(F.col("start_min") / 60), F.lit(-1))
+    numbered = grouped.ranked(visits, ["plan", "day"], bucket, [F.col("start_min"), F.col("place")], "rn")
+    a = numbered.join(modes, "plan").select("plan", "day", "mode", (F.col("rn") - 1).cast("int").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    b = numbered.select("plan", "day", (F.col("rn") - 1).cast("int").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    est = geo.leg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.col("mode"))
+    legs = a.join(b, ["plan", "day"]).where("i <> j").withColumn("leg", est)
+    return legs.select("plan", "day", "i", "j", "leg.km", "leg.minutes")
 
 
 @query("J17_route_cache", """
