@@ -63,3 +63,15 @@ def test_leg_matrix_has_all_stops_of_a_day(spark):
     assert sorted((r["plan"], r["i"], r["j"]) for r in legs) == sorted([(1, i, j) for i in range(13) for j in range(13) if i != j] + [(2, 0, 1), (2, 1, 0)])
     km = {(r["i"], r["j"]): r["km"] for r in legs if r["plan"] == 1}
     assert km[0, 12] == km[12, 0] > km[0, 11] > km[0, 9]
+
+
+def test_assembly_keeps_one_row_of_a_place_with_many_children(spark):
+    n = 2500
+    places = spark.createDataFrame([(1,), (2,)], "place long")
+    sched = spark.range(n).selectExpr("1L AS place", "cast(id % 7 AS int) AS dow", "cast(id AS int) AS opens", "cast(id + 60 AS int) AS closes", "false AS is_closed")
+    fees = spark.createDataFrame([(1, "adult", 1.0, 2.0), (2, "adult", 1.0, 2.0)], "place long, visitor string, amount_min double, amount_max double")
+    src = spark.range(n).selectExpr("id AS source", "1L AS place", "cast(id AS int) AS pos", "concat('u', id) AS url", "'blog' AS source_type", "array('history') AS covers")
+    got = {r["place"]: r for r in joins.assembled(places, sched, fees, src).collect()}
+    assert joins.assembled(places, sched, fees, src).count() == 2
+    assert tuple(got[1])[1:4] == (n, 1, n) and got[1]["urls"] == "|".join(f"u{i}" for i in range(n))
+    assert tuple(got[2]) == (2, 0, 1, 0, "")

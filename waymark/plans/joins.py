@@ -327,17 +327,21 @@ def j22(spark, root):
   LEFT JOIN (SELECT place, count(*) AS n, string_agg(url, '|' ORDER BY pos) AS urls FROM v_sources GROUP BY 1) u ON u.place = p.place""")
 def j23(spark, root):
     places = V.places(spark, root)
-    sched, fees, src = schedule_rows(places), fee_rows(places), V.sources(spark, root)
-    nested = (
-        places.select("place")
-        .join(grouped.nest(sched, "place", F.struct("is_closed", "dow", "opens", "closes"), F.col("dow"), "schedules"), "place", "left")
-        .join(grouped.nest(fees, "place", F.struct("visitor", "amount_min", "amount_max"), F.col("visitor"), "fees").withColumnRenamed("part", "fee_part"), "place", "left")
-        .join(grouped.nest(src, "place", F.struct("pos", "url", "source_type", "covers"), F.col("source"), "sources").withColumnRenamed("part", "source_part"), "place", "left")
-    )
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    return nested.select(
-        "place", F.greatest(size("schedules"), F.lit(0)).alias("schedules"), F.greatest(size("fees"), F.lit(0)).alias("fees"),
-        F.greatest(size("sources"), F.lit(0)).alias("sources"), F.coalesce(F.array_join("sources.url", "|"), F.lit("")).alias("urls"),
+    return assembled(places.select("place"), schedule_rows(places), fee_rows(places), V.sources(spark, root))
+
+
+def assembled(places, sched, fees, src):
+    """Counts and urls of each place's children, summed over their parts before places are joined."""
+    whole = lambda df: F.struct(*[c for c in df.columns if c != "place"])
+    parts = lambda df, child, name: grouped.nest(df, "place", child, whole(df), name)
+    size = lambda name: F.sum(F.size(name)).alias(name)
+    schedules = parts(sched, F.struct("is_closed", "dow", "opens", "closes"), "schedules").groupBy("place").agg(size("schedules"))
+    charged = parts(fees, F.struct("visitor", "amount_min", "amount_max"), "fees").groupBy("place").agg(size("fees"))
+    urls = F.array_join(F.array_sort(F.flatten(F.collect_list("sources"))).getField("url"), "|").alias("urls")
+    sources = parts(src, F.struct("pos", "url", "source_type", "covers"), "sources").groupBy("place").agg(size("sources"), urls)
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return places.join(schedules, "place", "left").join(charged, "place", "left").join(sources, "place", "left").select(
+        "place", count("schedules"), count("fees"), count("sources"), F.coalesce("urls", F.lit("")).alias("urls"),
     )
 
 
