@@ -210,6 +210,20 @@ def test_licence_variants_share_a_digest(spark, awkward, nothing):
     assert licenses.scan(nothing, known).count() == 0
 
 
+def test_full_texts_and_any_copyright_head_are_known(spark):
+    known = licenses.known_licenses(spark)
+    heads = ["Copyright Joyent, Inc. and other contributors", "Copyright Jane Doe 2020", "Copyright: 2020", "(c) 2020 Someone", "COPYRIGHT © 2019-2021 A, B"]
+    full = dict(licenses.full_texts())
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(full)
+    cases = [("MIT", f"MIT License\n\n{h}\n\n{licenses.MIT}") for h in heads] + licenses.full_texts()
+    cases += [("BSD-3-Clause", "Copyright 2011 The Authors. All rights reserved.\n\n" + full["BSD-3-Clause"])]
+    cases += [(None, "\n".join(line for line in full["Apache-2.0"].split("\n") if "(c)" not in line)), (None, licenses.MIT + "\nmore")]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)]
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    wrong = [(i, cases[i][0], got[i]) for i in got if got[i] != cases[i][0]]
+    assert len(got) == len(cases) and not wrong
+
+
 # 5 source mix
 
 

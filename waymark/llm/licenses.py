@@ -5,6 +5,10 @@ spelling of words that licences spell in several ways. An entire text matches wh
 known; each line of a text that is not empty in this form is also looked up as an entire text of
 its own, which finds notices.
 
+Entire texts are also looked up in a second form, which leaves out the lines that begin with a
+copyright notice in any form, and no others: list items "(c)" stay. ``digest`` is that of the first.
+Full texts of common licences lie in ``texts``, one file for each, named by licence.
+
 Edge cases: a null or empty text has the digest of nothing and no licence; texts of any length are
 digested whole; the known texts are joined by digest, so two names for one canonical text both
 count and the smaller name is reported; repeated rows and equal ids are reported together, once
@@ -13,6 +17,8 @@ per distinct (id, digest); an empty table gives an empty result; other columns p
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +61,11 @@ KNOWN = [
 ]
 
 COPYRIGHT_LINE = r"(?m)^[^\n]*(\(c\)|©|copyright [0-9]|all rights reserved)[^\n]*$"
+# in the second form: lines that begin with a notice; "copyright" in running text, where a line happens to break, is none
+NOTICE_LINE = (
+    r"(?m)^[^\na-z0-9(©]*(copyright(?![a-z])(?!\s+(notice|holder|owner|law|licen|statement|interest|treat|and |or |in |is |to ))"
+    r"|©|\(c\)\s*(copyright|[0-9])|all rights reserved)[^\n]*$"
+)
 # white space and punctuation other than line feeds, which stay until lines are looked up
 PUNCTUATION = r"[!-/:-@\[-`{-~\x09\x0b-\x0d\x20‐-―‘-‟«»\u00a0]+"
 
@@ -72,16 +83,19 @@ def _bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def canonical_lines(text: Column) -> Column:
+def _marked(low: Column) -> Column:
+    """Whether a text in lower case can have copyright lines."""
+    return low.contains("(c)") | low.contains("©") | low.contains("copyright") | low.contains("all rights reserved")
+
+
+def canonical_lines(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
     """Array of the canonical forms of a text's lines that are not empty.
 
     No step looks across a line feed, so the lines joined by spaces are the canonical text.
     """
     known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     respelled = lambda line: F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
-    # only texts with one of the marks can have copyright lines
-    marked = lambda low: low.contains("(c)") | low.contains("©") | low.contains("copyright ") | low.contains("all rights reserved")
-    bare = lambda low: F.regexp_replace(F.when(marked(low), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), PUNCTUATION, " ")
+    bare = lambda low: F.regexp_replace(F.when(_marked(low), F.regexp_replace(low, dropped, "")).otherwise(low), PUNCTUATION, " ")
     # texts without any of the spellings, nearly all, skip the word-wise replacement
     lines = lambda b: F.when(b.rlike(_spelled()), F.transform(F.split(b, "\n"), respelled)).otherwise(F.split(b, "\n"))
     found = _bind(F.lower(text), lambda low: _bind(F.concat(F.lit("\n"), bare(low), F.lit("\n")), lines))
@@ -97,11 +111,30 @@ def digest(text: Column) -> Column:
     return F.md5(F.encode(canonical(text), "UTF-8"))
 
 
-def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, licence): one row per canonical text."""
+def held_digest(text: Column) -> Column:
+    """Digest of the second form."""
+    return F.md5(F.encode(F.array_join(canonical_lines(text, NOTICE_LINE), " "), "UTF-8"))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in ``texts``; what follows the licence in a file's name tells variants apart."""
+    found = []
+    for file in sorted((Path(__file__).parent / "texts").glob("*.txt")):
+        name = file.name.removesuffix(".txt")
+        for variant in (".regents", ".titled"):
+            name = name.removesuffix(variant)
+        found.append((name, file.read_text(encoding="utf-8")))
+    return found
+
+
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN, full: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, licence): one row per canonical text; ``full`` texts, by default those of the files, in the second form only."""
     # by way of pandas the rows become a local relation, whose size Spark knows when it plans the join
-    rows = spark.createDataFrame(pd.DataFrame(texts, columns=["licence", "text"]), "licence string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    table_of = lambda rows: spark.createDataFrame(pd.DataFrame(rows, columns=["licence", "text"]), "licence string, text string")
+    forms = F.array_distinct(F.array(digest(F.col("text")), held_digest(F.col("text"))))
+    short = table_of(texts).select("licence", F.explode(forms).alias("digest"))
+    long = table_of(full_texts() if full is None else full).select("licence", held_digest(F.col("text")).alias("digest"))
+    return short.unionByName(long).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,17 +145,22 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     ones together, and whole texts and matching lines are stored. The known side is broadcast when it
     is below Spark's threshold, else both sides are shuffled by digest.
     """
-    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical_lines(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("lines"))
+    full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    held = F.when(_marked(F.lower(full)), held_digest(full))  # else both forms are one
+    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical_lines(full).alias("lines"), held.alias("held"))
     md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
-    entries = lines.select("doc_id", md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", lambda line: md5(line)).alias("lines")).select(
+    none = F.lit(None).cast("string")
+    entry = lambda of, look: F.struct(of.alias("of"), look.alias("digest"))
+    entries = lines.select("doc_id", "held", md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", lambda line: md5(line)).alias("lines")).select(
         "doc_id", F.explode(F.concat(
-            F.array(F.struct(F.lit(True).alias("whole"), F.col("whole").alias("digest"))),
-            F.transform("lines", lambda d: F.struct(F.lit(False).alias("whole"), d.alias("digest"))),
+            F.array(entry(F.col("whole"), F.col("whole"))),
+            F.when(F.col("held") != F.col("whole"), F.array(entry(F.col("whole"), F.col("held")))).otherwise(F.array().cast("array<struct<of:string,digest:string>>")),
+            F.transform("lines", lambda d: entry(none, d)),
         )).alias("e"),
     ).select("doc_id", "e.*")
-    met = cut(entries.join(known, "digest", "left").where(F.col("whole") | F.col("licence").isNotNull()), "licences")
-    whole = met.where("whole").groupBy("doc_id", "digest").agg(F.min("licence").alias("licence"))
-    found = met.where("NOT whole").groupBy(F.col("doc_id").alias("_of")).agg(
+    met = cut(entries.join(known, "digest", "left").where(F.col("of").isNotNull() | F.col("licence").isNotNull()), "licences")
+    whole = met.where("of IS NOT NULL").groupBy("doc_id", F.col("of").alias("digest")).agg(F.min("licence").alias("licence"))
+    found = met.where("of IS NULL").groupBy(F.col("doc_id").alias("_of")).agg(
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count("*").alias("n_notices"),
     )
     return whole.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(
