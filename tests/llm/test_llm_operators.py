@@ -49,7 +49,7 @@ def words(text):
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_equals_sql(spark, key):
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     cursor = con.execute(ORACLES[key])
     names = [d[0] for d in cursor.description]
@@ -555,4 +555,4 @@ def test_every_operator_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
     keys = entry.queries()
-    assert "pipeline" in keys and all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 11))
+    assert "pipeline" in keys and all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 14))

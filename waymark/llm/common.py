@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import session
+from waymark.operators.grouped import ranked
 from waymark.session import cut
 from waymark.sources.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-__all__ = ["GAP", "WORD", "cut", "documents", "free_name", "table", "text_or_empty", "tune", "word_count"]
+__all__ = ["GAP", "WORD", "cut", "documents", "free_name", "numbered", "table", "text_or_empty", "tune", "word_count"]
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -41,3 +42,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def numbered(stored: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """A stored table with each row's number, from 0 on, over ``keys`` (not null) in ``order``.
+
+    Rows are range-partitioned by key and order, equal ones by where they were stored, so neither a
+    hot key nor many equal rows meet in one task; a partition's rows are numbered on their own and
+    moved on by the counts of the partitions before it.
+    """
+    nth, part = free_name(stored, "_stored_at"), free_name(stored, "_part")
+    dealt = stored.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(*[F.col(k) for k in keys], *order, F.col(nth))
+    parts = cut(dealt.withColumn(part, F.spark_partition_id()), "order")
+    return ranked(parts, keys, F.col(part), [*order, F.col(nth)], name).withColumn(name, (F.col(name) - 1).cast("long")).drop(nth, part)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, language, licenses, mixing, packing, quality, simhash, suffixes, tokens, topk
+from waymark.llm import chat, dualtree, language, licenses, manifest, mixing, packing, quality, ring, simhash, suffixes, tokens, topk
 from waymark.llm.common import cut, documents, table, text_or_empty, tune, word_count
 from waymark.llm.twins import ORACLES
 
@@ -90,3 +90,30 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
     """What can be read back from the formatted text of every conversation."""
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
     return chat.digests(chat.format_chat(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return dualtree.search(documents(spark, root), table(spark, root, "benchmark"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Leaf, roots and witness of every document, and what a tampered document folds to."""
+    text, chosen = F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    small = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in manifest.FIELDS[:-1]]
+    altered = F.when(chosen & text.isNotNull(), manifest.leaf_digest([*fields, small]))
+    found = manifest.witnesses(documents(spark, root), carry={"altered": altered})
+    folded = manifest.fold(F.coalesce("altered", "leaf"), F.col("witness"))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.witness_digest(F.col("witness")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
+
+
+@query
+def op13_ring_shards(spark: SparkSession, root: str) -> DataFrame:
+    """Shard and seat of every document on the bounded ring."""
+    placed = ring.assign(documents(spark, root))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import chat, licenses, quality
+from waymark.llm import chat, licenses, manifest, quality, ring
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -99,9 +99,95 @@ def _chat_sql() -> str:
     FROM m GROUP BY conv_id"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+c AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2e0 * any_value(docs) + 2) / (2e0 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM (SELECT q, item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL) JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+def _crc32_sql(rows: str) -> str:
+    """(id, crc) of rows (id, raw: a blob), a byte at a time through the table of the reflected polynomial."""
+    return f"""
+      SELECT id, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) AS crc
+      FROM (SELECT id, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM ({rows})),
+        (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels (k, lev, idx, d, n) of the trees over leaves (k, idx, d, n); n: nodes on the level."""
+    return f"""{name} AS (
+      SELECT k, 0 AS lev, idx, d, n FROM ({leaves})
+      UNION ALL SELECT k, lev + 1, idx // {manifest.FAN}, sha256(string_agg(d, '' ORDER BY idx)), max(n + {manifest.FAN - 1}) // {manifest.FAN} FROM {name} WHERE n > 1 GROUP BY k, lev, idx // {manifest.FAN})"""
+
+
+def _manifest_sql() -> str:
+    told = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(told(c) for c in manifest.FIELDS[:-1])
+    fan = manifest.FAN
+    return f"""
+    WITH RECURSIVE rows AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS k, sha256({head} || {told('text')}) AS leaf,
+        sha256({head} || {told(f"translate(text, '{UPPER}', '{LOWER}')")}) AS small FROM documents),
+    crc AS ({_crc32_sql("SELECT r AS id, encode(CAST(doc_id AS VARCHAR)) AS raw FROM rows WHERE doc_id IS NOT NULL")}),
+    base AS MATERIALIZED (SELECT r, doc_id, k, leaf, CASE WHEN crc % 5 = 0 THEN small ELSE leaf END AS tampered,
+        row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM rows LEFT JOIN crc ON r = id),
+    {_tree_sql('low', 'SELECT k, idx, leaf AS d, n FROM base')},
+    subs AS MATERIALIZED (SELECT k, d AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+    {_tree_sql('high', "SELECT '' AS k, idx, subroot AS d, n FROM subs")},
+    levels AS MATERIALIZED (SELECT k, lev, max(lev) OVER (PARTITION BY k) AS depth, idx, d FROM low WHERE n > 1),
+    uppers AS MATERIALIZED (SELECT lev, idx, d FROM high WHERE n > 1),
+    steps AS MATERIALIZED (
+      SELECT b.r, l.lev, (b.idx // CAST(power({fan}, l.lev) AS BIGINT)) AS own, l.idx, l.d FROM base b JOIN levels l ON l.k = b.k AND l.idx // {fan} = b.idx // CAST(power({fan}, l.lev + 1) AS BIGINT)
+      UNION ALL
+      SELECT b.r, coalesce(x.depth + 1, 0) + u.lev, s.idx // CAST(power({fan}, u.lev) AS BIGINT), u.idx, u.d FROM base b JOIN subs s ON s.k = b.k
+        LEFT JOIN (SELECT DISTINCT k, depth FROM levels) x ON x.k = b.k JOIN uppers u ON u.idx // {fan} = s.idx // CAST(power({fan}, u.lev + 1) AS BIGINT)),
+    proofs AS (SELECT r, sha256(string_agg(d, '' ORDER BY lev, idx) FILTER (idx <> own)) AS proof FROM steps GROUP BY r),
+    folded AS (
+      SELECT r, 0 AS lev, tampered AS node FROM base
+      UNION ALL SELECT f.r, f.lev + 1, sha256(string_agg(CASE WHEN s.idx = s.own THEN f.node ELSE s.d END, '' ORDER BY s.idx)) FROM folded f JOIN steps s ON s.r = f.r AND s.lev = f.lev GROUP BY f.r, f.lev)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM base JOIN subs USING (k) LEFT JOIN proofs USING (r) JOIN (SELECT r, arg_max(node, lev) AS folded_root FROM folded GROUP BY r) USING (r), (SELECT d AS root FROM high WHERE n = 1)"""
+
+
+def _ring_sql(x: ring.Ring = ring.Ring()) -> str:
+    point = lambda v: f"('0x' || substr(md5({v}), 1, {ring.BITS // 4}))::BIGINT"
+    total = x.shards * x.replicas
+    return f"""
+    WITH RECURSIVE keys AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, {point("coalesce(CAST(doc_id AS VARCHAR), '')")} AS point FROM documents),
+    crc AS ({_crc32_sql("SELECT r AS id, raw FROM keys")}),
+    nodes AS MATERIALIZED (SELECT shard, point, row_number() OVER (ORDER BY point, shard) - 1 AS arc FROM (SELECT a.s AS shard, {point("a.s || '/' || b.r")} AS point FROM range({x.shards}) a(s), range({x.replicas}) b(r))),
+    placed AS MATERIALIZED (
+      SELECT r, doc_id, octet_length(raw) + 1 AS size, crc, coalesce(nodes.arc, {total}) AS arc, row_number() OVER (ORDER BY keys.point, doc_id NULLS FIRST, crc, octet_length(raw)) - 1 AS place
+      FROM keys JOIN crc ON keys.r = crc.id ASOF LEFT JOIN nodes ON keys.point <= nodes.point),
+    views AS MATERIALIZED (SELECT arc, list(shard ORDER BY step) AS prefers FROM (
+      SELECT a.arc, b.shard, min((b.arc - a.arc + {total}) % {total}) AS step FROM nodes a, nodes b GROUP BY ALL) GROUP BY arc),
+    arcs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.arc) AS i, c.arc, n, prefers FROM (SELECT arc, count(*) AS n FROM placed GROUP BY arc) c JOIN views ON views.arc = c.arc % {total}),
+    seats AS (SELECT list(n // {x.shards} + CASE WHEN s < n % {x.shards} THEN 1 ELSE 0 END ORDER BY s) AS room FROM (SELECT count(*) AS n FROM placed), range({x.shards}) t(s)),
+    walk AS (
+      SELECT 0 AS step, 1 AS i, 0::BIGINT AS begun, room AS free, NULL::BIGINT AS arc, NULL::BIGINT AS start, NULL::BIGINT AS shard, NULL::BIGINT AS left_free, 0::BIGINT AS place FROM seats
+      UNION ALL
+      SELECT step + 1, CASE WHEN taken = n - begun THEN i + 1 ELSE i END, CASE WHEN taken = n - begun THEN 0 ELSE begun + taken END,
+        list_transform(free, lambda f, j: CASE WHEN j = pick + 1 THEN f - taken ELSE f END), arc, place, pick, free[pick + 1], place + taken
+      FROM (SELECT *, least(n - begun, free[pick + 1]) AS taken FROM (
+        SELECT w.step, w.i, w.begun, w.free, w.place, a.arc, a.n, list_filter(a.prefers, lambda s: w.free[s + 1] > 0)[1] AS pick FROM walk w JOIN arcs a ON a.i = w.i))),
+    segments AS MATERIALIZED (SELECT arc, start, shard, room[shard + 1] - left_free AS seat FROM walk, seats WHERE arc IS NOT NULL)
+    SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(s.shard AS INT) AS shard, s.seat + p.place - s.start AS slot, CAST(NULL AS INT) AS grown_shard, CAST(h.shard AS INT) AS home_shard
+    FROM placed p ASOF JOIN segments s ON p.place >= s.start JOIN nodes h ON h.arc = p.arc % {total}"""
+
+
 ORACLES = {
     "op2_quality_rules": _quality_sql(),
     "op4_license_scan": _licence_sql(),
     "op8_exact_top_k": TOP_K,
     "op10_chat_format": _chat_sql(),
+    "op11_lexical_search": SEARCH,
+    "op12_merkle_manifest": _manifest_sql(),
+    "op13_ring_shards": _ring_sql(),
 }
