@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -175,6 +176,49 @@ def test_repeats_equal_plain_repeats(spark, awkward, many):
         assert (r["kept_text"] is None) == (r["n_bytes"] == 0 and r["kept_text"] is None)
 
 
+def test_a_passage_in_many_contexts_and_many_equal_rows(spark):
+    """Contexts that meet by runs, rows that are equal, and a third of all rows alike."""
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(n))
+    passage = line(80)
+    rows = [(i, line(8) + " " + passage[i % 7:] + " " + line(8)) for i in range(250)] + [(900, passage[:260])] + [(1000 + i % 2, line(3) + passage[: 199 + i % 3]) for i in range(6)]
+    rows += [(5000, "equal rows " + line(60))] * 1 + [(7000, (text := line(90)))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = plain_repeats([(d, t.encode()) for d, t in rows])
+    for many in (1, 50, suffixes.MANY):
+        got = suffixes.remove_repeats(df, ["doc_id"], many=many, with_text=False).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain
+
+
+def test_buckets_are_ranges_of_the_sort_order():
+    rng = np.random.default_rng(6)
+    tokens = [rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) for _ in range(3)]
+    rows = list(zip(*(t.tolist() for t in tokens)))
+    splitters = suffixes._tuples(*(np.array(c, dtype=np.uint64) for c in zip(*sorted(rows)[300::300])))
+    bucket = suffixes.bucket_of(*tokens, rng.integers(0, 9, 3000), splitters)
+    ordered = [b for _, b in sorted(zip(rows, bucket.tolist()))]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 5
+
+
+def test_runs_follow_contexts_not_bytes():
+    """A context whose neighbours are all different leaves a few runs a round, and finds the strings of the common part."""
+    rng = np.random.default_rng(9)
+    core = rng.integers(97, 123, 200 + 70).astype(np.uint8).tobytes()
+    contexts = [rng.integers(97, 123, 65).astype(np.uint8).tobytes() + bytes([i]) + core for i in range(40)]  # strings 66..136 agree
+    batch = [dict(t1=1, ref=i, lo=0, off=136, n=137, context=c, run=0) for i, c in enumerate(contexts)]
+    before, alive, settled = suffixes.STRING, batch, set()
+    for width in suffixes.GRID:
+        runs = next(suffixes._parting(width, before)(iter([pa.RecordBatch.from_pylist(alive)]))).to_pylist()
+        assert len(runs) <= 4 * len(contexts)
+        common, whole = Counter((r["run"], r["common"]) for r in runs), Counter((r["run"], r["least"], r["most"], r["whole"]) for r in runs)
+        met = [r for r in runs if common[r["run"], r["common"]] > 1]
+        equal = [r for r in met if whole[r["run"], r["least"], r["most"], r["whole"]] > 1]
+        settled |= {(r["ref"], 136 - d) for r in equal for d in range(r["least"], r["most"] + 1)}
+        leads = {(r["run"], r["whole"]): r for r in reversed(equal)}.values()
+        alive, before = [r for r in met if r not in equal] + [r for r in leads if any(x["run"] == r["run"] and x["common"] == r["common"] for x in met if x not in equal)], width
+    assert settled == {(i, at) for i in range(40) for at in range(66, 137)}
+
+
 def test_repeats_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing, nothing.columns).count() == 0
 

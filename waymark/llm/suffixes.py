@@ -15,7 +15,11 @@ that it anchors, and its context is the text that the run covers.
    ends meet in one small table.
 3. Where k-mers agree and contexts differ, one context of each kind is cut from the text, and the
    strings in it are sorted the same way on their bytes: within one task for the strings of one
-   k-mer, or, if a k-mer has very many contexts, as rows of their own in another range partition.
+   k-mer. If a k-mer has very many contexts, their strings are never written out one by one: runs of
+   them, by the place of the anchor in the string on a fixed grid, meet by digest. The bytes common to
+   all strings of a run must occur in two contexts, or none of its strings repeats; where all its bytes
+   do, every one does; only what is left open goes on in runs of a quarter. So rows follow
+   the contexts that can still match, not their bytes.
 
 Contexts count as equal when two 64-bit digests agree; strings inside contexts are compared byte by
 byte, except for very frequent k-mers, where 128-bit digests stand for them.
@@ -44,7 +48,8 @@ STRING = 200
 KMER = 64
 PIECE = 1 << 20  # bytes of a text handled at once; longer ones go in overlapping pieces
 SAMPLE = 20_000  # anchor rows that splitters are taken from, about
-MANY = 1024  # contexts of one k-mer from which their strings become rows
+MANY = 1024  # contexts of one k-mer from which they meet by digests of runs
+GRID = (64, 16, 4, 1)  # strings of a run, from round to round
 AT_ONCE = 300_000  # strings sorted together within a task
 
 ODD = 0x9E3779B97F4A7C15
@@ -127,7 +132,7 @@ def anchor_rows(raw: bytes, rolling: Rolling, string: int = STRING, kmer: int =
 
 def _tuples(t0: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
     """Token triples as byte strings that compare like the triples."""
-    return np.stack([t.astype(">u8") for t in (t0, t1, t2)], axis=1).view("S24").ravel()
+    return np.stack((t0, t1, t2), axis=1).astype(">u8").view("S24").ravel()  # stacking gives native byte order
 
 
 def bucket_of(t0: np.ndarray, t1: np.ndarray, t2: np.ndarray, salt: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -259,7 +264,7 @@ def compared(rows: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
     """
     found = cut(rows.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(_comparing(many), COMPARED), "compared")
     edges = found.where(F.col("kind") == EDGE)
-    cores = edges.groupBy("t0", "t1").agg((F.min("t2") != F.max("t2")).alias("several"))
+    cores = edges.groupBy("t0", "t1").agg((F.min("t2") != F.max("t2")).alias("several"), F.count_if("first").alias("classes"))
     across = edges.where("bound").groupBy("t0", "t1", "t2").agg((F.count("*") > 1).alias("across")).where("across")
     settled = edges.join(F.broadcast(cores), ["t0", "t1"]).join(F.broadcast(across), ["t0", "t1", "t2"], "left")
     repeats = ~F.col("many") & F.coalesce("across", F.lit(False))
@@ -267,36 +272,82 @@ def compared(rows: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
     return (
         found.where(F.col("kind") != EDGE).select(*own)
         .unionByName(settled.where(repeats).withColumn("kind", F.lit(WHOLE)).select(*own))
-        .unionByName(settled.where(F.col("several") & F.col("first")).withColumn("kind", F.lit(SPREAD)).select(*own))
+        .unionByName(settled.where(F.col("several") & F.col("first")).withColumn("kind", F.when(F.col("classes") > many, SPREAD).otherwise(LOCAL)).select(*own))
     )
 
 
-STRINGS = "spread boolean, t0 long, t1 long, t2 long, ref long, lo int, off int, n int, context binary"
+CONTEXTS = "spread boolean, t1 long, ref long, lo int, off int, n int, context binary"
 
 
 def _cutting_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, text, wanted anchors) to contexts, or to single strings for SPREAD anchors."""
+    """(ref, text, wanted anchors) to contexts."""
     for batch in batches:
-        out = [[] for _ in range(9)]
-
-        def put(*row):
-            for column, value in zip(out, row):
-                column.append(value)
-
+        out = [[] for _ in range(7)]
         for ref, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = text.encode()
             for w in wanted:
-                lo, n = w["lo"], w["n"]
-                if w["kind"] == LOCAL:
-                    put(False, 0, w["t1"], 0, ref, lo, w["off"], n, raw[lo:lo + n - 1 + STRING])
-                    continue
-                for at in range(lo, lo + n):
-                    string = raw[at:at + STRING]
-                    digest = xxhash.xxh3_128_digest(string)
-                    lead, a, b = (int.from_bytes(x, "big", signed=True) for x in (string[:8], digest[:8], digest[8:]))
-                    put(True, lead, a, b, ref, at, 0, 1, None)
-        kinds = [pa.bool_()] + [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [c.split()[0] for c in STRINGS.split(", ")])
+                row = (w["kind"] == SPREAD, w["t1"], ref, w["lo"], w["off"], w["n"], raw[w["lo"]:w["lo"] + w["n"] - 1 + STRING])
+                for column, value in zip(out, row):
+                    column.append(value)
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [c.split()[0] for c in CONTEXTS.split(", ")])
+
+
+RUNS = "t1 long, ref long, lo int, off int, n int, context binary, run int, least int, most int, common binary, whole binary"
+
+
+def _parting(width: int, before: int):
+    """Contexts, each with a run of ``before`` strings, to the runs of ``width`` in it, with their digests.
+
+    Strings are counted by the bytes before their anchor, which equal strings share. ``common`` is for what
+    all strings of the run's place on the grid hold, ``whole`` for all that the context's own ones cover.
+    """
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[] for _ in names]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("t1", "ref", "lo", "off", "n", "context", "run"))):
+                off, n, context, held = row[3:]
+                least, most = max(held * before, off - n + 1), min(held * before + before - 1, off)
+                for part in range(least // width, most // width + 1):
+                    first, last = part * width, min((part + 1) * width - 1, STRING - KMER)
+                    own = max(first, least), min(last, most)
+                    common, whole = context[off - first:off - last + STRING], context[off - own[1]:off - own[0] + STRING]
+                    for column, value in zip(out, (*row[:6], part, *own, xxhash.xxh3_128_digest(common), xxhash.xxh3_128_digest(whole))):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    return run
+
+
+def met_runs(contexts: DataFrame) -> DataFrame:
+    """(ref, begin, end) of the strings of contexts (t1, ref, lo, off, n, context) that meet others, by runs.
+
+    Every round keeps the runs whose common bytes stand in two contexts at least, settles those that are
+    equal as a whole, and parts the rest together with one of each kind that is settled at the same
+    place; of single strings all that is kept is settled.
+    """
+    out, rows, before = None, contexts.withColumn("run", F.lit(0)), STRING
+    for width in GRID:
+        runs = cut(rows.mapInArrow(_parting(width, before), RUNS), "runs")
+        place, span = ["t1", "run", "common"], ["t1", "run", "least", "most", "whole"]
+        met = runs.groupBy(*place).agg(F.count("*").alias("_met")).where("_met > 1").drop("_met")
+        equal = runs.groupBy(*span).agg(F.count("*").alias("_n"), F.min(F.struct("ref", "lo")).alias("_lead")).where("_n > 1")
+        kept = cut(runs.join(met, place, "left_semi").join(equal, span, "left").select(
+            *runs.columns, F.col("_n").isNotNull().alias("settled"), (F.col("_lead") == F.struct("ref", "lo")).alias("leads")
+        ), "met")
+        start = F.col("lo") + F.col("off")
+        found = kept.where("settled").select("ref", (start - F.col("most")).alias("begin"), (start - F.col("least") + STRING).alias("end"))
+        out = found if out is None else out.unionByName(found)
+        # one of the equal ones goes on for those at its place that are still open
+        still = kept.where("not settled")
+        partners = kept.where("settled and leads").join(still.select(*place).distinct(), place, "left_semi").select(*kept.columns)
+        rows, before = cut(still.unionByName(partners).drop("settled", "leads", "least", "most", "common", "whole"), "open"), width
+        if rows.isEmpty():
+            break
+    return out
 
 
 SPANS = "ref long, begin int, end int"
@@ -353,17 +404,6 @@ def _sorting_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield spans(held.combine_chunks())
 
 
-def _dealing(splitters):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t0, t1, t2, ref, lo = (batch.column(i).to_numpy() for i in range(5))
-            salt = ((ref.view(U64) + lo.astype(U64)) * U64(ODD) >> U64(40)).astype(np.int64)
-            bucket = bucket_of(*[t.view(U64) for t in (t0, t1, t2)], salt, splitters.value)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
-
-    return run
-
-
 def repeated_spans(texts: DataFrame, many: int = MANY) -> DataFrame:
     """(ref, begin, end): byte spans of (ref, text) rows that are covered by repeated strings."""
     spark = texts.sparkSession
@@ -379,17 +419,10 @@ def repeated_spans(texts: DataFrame, many: int = MANY) -> DataFrame:
     verdicts = compared(dealt, buckets, many)
     runs = verdicts.where(F.col("kind") == WHOLE).select("ref", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") - 1 + STRING).alias("end"))
     wanted = verdicts.where(F.col("kind") != WHOLE).groupBy("ref").agg(F.collect_list(F.struct("kind", "t1", "lo", "off", "n")).alias("wanted"))
-    strings = cut(texts.join(wanted, "ref").dropDuplicates(["ref"]).select("ref", "text", "wanted").mapInArrow(_cutting_out, STRINGS), "strings")
-    local = strings.where(~F.col("spread")).drop("spread", "t0", "t2").repartition("t1").sortWithinPartitions("t1").mapInArrow(_sorting_strings, SPANS)
-    rest = strings.where("spread").select("t0", "t1", "t2", "ref", "lo", "off", "n")
-    amount = rest.count()
-    out = runs.unionByName(local)
-    if amount:
-        some = rest.where(F.pmod(F.xxhash64("ref", "lo"), F.lit(max(1, amount // SAMPLE))) == 0)
-        own = spark.sparkContext.broadcast(take_splitters(some, buckets))
-        again = compared(rest.mapInArrow(_dealing(own), kinds), buckets, many).where(F.col("kind") == WHOLE)
-        out = out.unionByName(again.select("ref", F.col("lo").alias("begin"), (F.col("lo") + STRING).alias("end")))
-    return out
+    contexts = cut(texts.join(wanted, "ref").dropDuplicates(["ref"]).select("ref", "text", "wanted").mapInArrow(_cutting_out, CONTEXTS), "contexts")
+    local = contexts.where(~F.col("spread")).drop("spread").repartition("t1").sortWithinPartitions("t1").mapInArrow(_sorting_strings, SPANS)
+    out, spread = runs.unionByName(local), contexts.where("spread").drop("spread")
+    return out if spread.isEmpty() else out.unionByName(met_runs(spread))
 
 
 def _removing(with_text: bool, names: list[str]):
@@ -421,7 +454,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = True, doc
     """``keep`` columns of every row, in place, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text at the end."""
     ref = F.xxhash64(f"`{doc_id}`", f"`{text}`")
     texts = docs.select(ref.alias("ref"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts, many).groupBy("ref").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    spans = repeated_spans(texts, many).distinct().groupBy("ref").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], ref.alias("ref"), F.col(f"`{text}`").cast("string").alias("_body"))
     joined = rows.join(spans, "ref", "left").select(*[f"c{i}" for i in range(len(keep))], "_body", "_spans")
     added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
