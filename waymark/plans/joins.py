@@ -211,7 +211,7 @@ _J16_KM, _J16_MIN = leg_sql("a.lat", "a.lon", "b.lat", "b.lon", "a.mode")
 VIEWS["v_day_pool"] = f"""
   SELECT plan, day, place, lat, lon, CAST(rn - 1 AS INT) AS i, mode FROM (
     SELECT s.plan, s.day, s.place, s.lat, s.lon, t.mode, row_number() OVER (PARTITION BY s.plan, s.day ORDER BY min(s.start_min), s.place) AS rn
-    FROM v_stops s JOIN v_trips t ON t.trip = s.plan GROUP BY s.plan, s.day, s.place, s.lat, s.lon, t.mode) WHERE rn <= {K.DAY_POOL}"""
+    FROM v_stops s JOIN v_trips t ON t.trip = s.plan GROUP BY s.plan, s.day, s.place, s.lat, s.lon, t.mode)"""
 
 
 @query("J16_leg_matrix", f"SELECT a.plan, a.day, a.i, b.i AS j, {_J16_KM} AS km, {_J16_MIN} AS minutes FROM v_day_pool a JOIN v_day_pool b ON a.plan = b.plan AND a.day = b.day AND a.i <> b.i")
