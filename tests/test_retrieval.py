@@ -10,7 +10,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import constants as K
+from waymark.functions import constants as K, text
 from waymark.operators import embedding as E
 from waymark.operators import retrieval as R
 
@@ -22,8 +22,8 @@ CHUNKS = [(i, i, "en", f"p{i % 2}", K.TOPICS[i % 3], "official" if i % 2 else "b
 QUESTIONS = [(1, "when was the fort built", "en", None), (2, "ticket price right now", "en", "p1"), (3, "penguins in reykjavik", "en", "p9")]
 
 
-def words(text):
-    return [t for t in re.findall("[a-z0-9]+", text.lower()) if len(t) > 1 and t not in K.STOP_WORDS]
+def words(said):
+    return [t for t in re.findall("[a-z0-9]+", said.lower()) if len(t) > 1 and t not in K.STOP_WORDS]
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +36,8 @@ def questions(spark):
     return spark.createDataFrame(QUESTIONS, "q bigint, question string, cluster string, place string")
 
 
-def vector(text):
-    tokens = words(text)
+def vector(said):
+    tokens = words(said)
     line = " ".join(tokens)
     feats = Counter("w:" + t for t in tokens)
     feats.update(f"b:{a}_{b}" for a, b in zip(tokens, tokens[1:]))
@@ -51,12 +51,28 @@ def vector(text):
     return [v / norm for v in out] if norm else out
 
 
-def test_vectors_equal_plain_hashing():
-    slots = E.Slots()
-    for text in [*TEXTS, "", None]:
-        assert E.embed_texts([text], slots)[0] == pytest.approx(vector(text or ""), abs=1e-12)
-    together = E.embed_texts(TEXTS, slots)
-    assert together[3] == pytest.approx(vector(TEXTS[3]), abs=1e-12)
+def test_vectors_equal_plain_hashing(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "", None, "abcd", "a b", "one two one two three three"])], "id int, text string")
+    got = {r["id"]: r for r in E.vectors(rows, ["id"], text.tokens(F.col("text"))).collect()}
+    assert len(got) == rows.count()
+    for r in rows.collect():
+        out = [0.0] * K.EMBED_DIM
+        for b, v in zip(got[r["id"]]["b"], got[r["id"]]["v"]):
+            out[b] = v
+        assert out == pytest.approx(vector(r["text"] or ""), abs=1e-12)
+
+
+def test_cell_vectors_equal_plain_hashing():
+    said = [*TEXTS, "", "abcd", "a b", "one two one two three three", ""]
+    for got, text_ in zip(E.text_vectors([words(t) for t in said]), said):
+        assert got == pytest.approx(vector(text_), abs=1e-12)
+    assert E.text_vectors([[]]).tolist() == [[0.0] * K.EMBED_DIM]
+
+
+def test_pair_scores_equal_plain_cosine(spark):
+    pairs = spark.createDataFrame([(1, 1, TEXTS[0], TEXTS[3]), (1, 2, TEXTS[0], ""), (2, 1, TEXTS[1], TEXTS[1])], "q int, chunk int, a string, b string")
+    for r in E.pair_scores(pairs, ["q", "chunk"], F.col("a"), F.col("b")).collect():
+        assert r["dense"] == pytest.approx(sum(x * y for x, y in zip(vector(r["a"]), vector(r["b"]))), abs=1e-8)
 
 
 def test_scope_widens_only_when_starved(questions, chunks):
@@ -66,26 +82,71 @@ def test_scope_widens_only_when_starved(questions, chunks):
     assert scopes[3] == ("en|*|*", 6)  # unknown place
 
 
+def plain_bm25(scope, question, rows):
+    """Score of every chunk of a scope that has a term of the question."""
+    _, place, topic = scope
+    cand = {c[0]: words(f"{c[6]} {c[7]}") for c in rows if place in ("*", c[3]) and topic in ("*", c[4])}
+    mean = sum(map(len, cand.values())) / len(cand)
+    out = {}
+    for chunk, doc in cand.items():
+        score = 0.0
+        for term in set(words(question)):
+            df, tf = sum(term in d for d in cand.values()), doc.count(term)
+            if tf:
+                score += math.log(1 + (len(cand) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(doc) / mean))
+        if score:
+            out[chunk] = score
+    return out
+
+
 def test_bm25_equals_loop(questions, chunks):
-    scoped = R.with_scope(questions, chunks)
-    got = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_scores(scoped, chunks).collect()}
+    index = R.chunk_index(chunks)
+    scoped = R.with_scope(questions, index)
+    got = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_top(scoped, index).collect()}
     scope = {r["q"]: r["scope"].split("|") for r in scoped.collect()}
-    for q, question, _, _ in QUESTIONS:
-        _, place, topic = scope[q]
-        cand = {c[0]: words(f"{c[6]} {c[7]}") for c in CHUNKS if place in ("*", c[3]) and topic in ("*", c[4])}
-        mean = sum(map(len, cand.values())) / len(cand)
-        for chunk, doc in cand.items():
-            score = 0.0
-            for term in set(words(question)):
-                df, tf = sum(term in d for d in cand.values()), doc.count(term)
-                if tf:
-                    score += math.log(1 + (len(cand) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(doc) / mean))
-            assert got.get((q, chunk), 0.0) == pytest.approx(score, abs=1e-6)
+    want = {(q, chunk): score for q, question, _, _ in QUESTIONS for chunk, score in plain_bm25(scope[q], question, CHUNKS).items()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Three hundred chunks of one scope, with very common and rare words, ties and equal texts."""
+    word = lambda i, j: f"w{(i * 7 + j * j * 13 + i * j) % (5 if j % 3 else 97)}"
+    rows = [(i, i, "en", "p0", "history", "blog", "heading", " ".join(word(i % 240, j) for j in range(4 + i % 9))) for i in range(300)]
+    asked = [(q, f"w{q % 5} w{q * 11 % 97} w{q * 29 % 97} w1", "en", None) for q in range(40)]
+    index = R.chunk_index(spark.createDataFrame(rows, "chunk bigint, doc_id bigint, cluster string, place string, topic string, source_type string, heading string, body string"))
+    return rows, asked, index, R.with_scope(spark.createDataFrame(asked, "q bigint, question string, cluster string, place string"), index)
+
+
+@pytest.mark.parametrize("block,first,top", [(8, 1, 3), (40, 2, 30), (1000, 2, 30)])
+def test_block_maxima_lose_no_row_of_a_pool(many, block, first, top):
+    rows, asked, index, scoped = many
+    got = {(r["q"], r["lexical_rank"]): (r["chunk"], round(r["lexical"], 7)) for r in R.lexical_top(scoped, index, top, block, first).collect()}
+    want = {}
+    for q, question, _, _ in asked:
+        scores = plain_bm25(("en", "*", "*"), question, rows)
+        best = sorted((-round(s + 1e-9, 9), c) for c, s in scores.items())[:top]
+        want |= {(q, n): (c, round(-s, 7)) for n, (s, c) in enumerate(best, 1)}
+    assert got == want and len(got) <= top * len(asked)
+
+
+def test_cells_of_any_size_give_the_same_dense_pools(many):
+    _, _, index, scoped = many
+    whole = sorted(map(tuple, E.dense_top(index, scoped, top=7).collect()))
+    assert len(whole) == 7 * 40
+    assert sorted(map(tuple, E.dense_top(index, scoped, top=7, cell=(16, 5)).collect())) == whole
+
+
+def test_no_retrieval_arm_collects_or_broadcasts_vectors(many):
+    _, _, index, scoped = many
+    plan = E.dense_top(index, scoped)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInPandas" in plan
 
 
 def test_dense_top_equals_loop(questions, chunks):
-    scoped = R.with_scope(questions, chunks)
-    rows = E.dense_top(R.corpus_text(chunks), scoped, top=2).collect()
+    index = R.chunk_index(chunks)
+    scoped = R.with_scope(questions, index)
+    rows = E.dense_top(index, scoped, top=2).collect()
     for q, question, _, _ in QUESTIONS:
         mine = sorted((r["dense_rank"], r["chunk"]) for r in rows if r["q"] == q)
         scope = next(r["scope"] for r in scoped.collect() if r["q"] == q).split("|")
@@ -93,13 +154,6 @@ def test_dense_top_equals_loop(questions, chunks):
         assert [c for _, c in mine] == [c for _, c in sorted(sims)[:2]]
 
 
-def test_question_passes_give_the_same_result(questions, chunks, monkeypatch):
-    scoped = R.with_scope(questions, chunks)
-    whole = sorted(map(tuple, E.dense_top(R.corpus_text(chunks), scoped).collect()))
-    monkeypatch.setattr(E, "QUERIES_PER_PASS", 4)
-    assert sorted(map(tuple, E.dense_top(R.corpus_text(chunks), scoped).collect())) == whole
-
-
 def test_empty_arm_falls_back(spark):
     pools = spark.createDataFrame([(1, 7, 1, None), (2, 8, None, 1)], "q bigint, chunk bigint, dense_rank int, lexical_rank int")
     rows = {r["q"]: r["fused"] for r in R.fuse(pools, "lexical").collect()}
@@ -107,9 +161,10 @@ def test_empty_arm_falls_back(spark):
 
 
 def test_evidence_separates_in_scope_from_out_of_scope(questions, chunks):
-    scoped = R.with_scope(questions, chunks)
-    final = R.rerank(R.fuse(R.arms(questions, chunks)), scoped, chunks)
-    found = {r["q"]: r["evidence"] for r in R.evidence(final, R.corpus_idf(scoped, chunks)).collect()}
+    index = R.chunk_index(chunks)
+    scoped = R.with_scope(questions, index)
+    final = R.rerank(R.fuse(R.arms(scoped, index)), scoped, index)
+    found = {r["q"]: r["evidence"] for r in R.evidence(final, R.corpus_idf(scoped, index)).collect()}
     assert found[1] > K.MIN_EVIDENCE
     assert found[3] < K.MIN_EVIDENCE
     # "price" and "ticket" are covered by the synonym "fee" of a chunk that never says them

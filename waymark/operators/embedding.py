@@ -1,158 +1,148 @@
-"""Signed feature-hash vectors and scoped dense top-k, in Arrow batches.
+"""Signed feature-hash vectors and scoped dense top-k.
 
-The text goes in once and only the best rows per question come out: vectors of the corpus are
-never shuffled, and no (question, chunk) pair leaves the task that scored it unless it is among
-that task's best.
+Stored vectors are made of column expressions: a text's features are counted, hashed and summed per
+bucket inside the partition that the text was dealt to, so only texts are shuffled, never features.
+The dense arm deals the chunks' tokens and the questions' vectors to cells of a scope, of bounded
+size on both sides; a cell hashes its distinct words once, scores by one matrix product and gives its
+best rows per question. No vector of a chunk is shuffled, none reaches the driver, none is broadcast.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from waymark.functions import constants as K
+from waymark.functions import constants as K, text
 from waymark.operators import grouped
+from waymark.session import cut
 
-_WORD = re.compile("[a-z0-9]+")
-_STOP = frozenset(K.STOP_WORDS)
-QUERIES_PER_PASS = 20_000  # 20,000 vectors of 384 doubles are 61 MB, the most that is broadcast at once
+CELL_CHUNKS, CELL_QUESTIONS = 1024, 512  # about; a cell's scores are one matrix product
+WEIGHTS = {"w": 1.0, "b": 0.85, "c": 0.35}
 
 
-class Slots:
-    """Bucket and signed kind weight of every feature met so far, by feature number.
+def features(tokens: Column) -> Column:
+    """Words, neighbouring pairs, and four-letter pieces of words, each with its kind in front."""
+    more = F.greatest(F.size(tokens) - 1, F.lit(0))
+    words = F.transform(tokens, lambda t: F.concat(F.lit("w:"), t))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), more), F.slice(tokens, F.lit(2), more), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
+    pieces = F.transform(
+        F.filter(tokens, lambda t: F.length(t) > 3),
+        lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 3), lambda i: F.concat(F.lit("c:"), F.substring(t, i, F.lit(4)))),
+    )
+    return F.concat(words, pairs, F.flatten(pieces))
 
-    Four-letter pieces never cross a word, so a word brings its own feature and all its pieces
-    at once; texts are then counted as arrays of feature numbers.
-    """
 
-    LIMIT = 2_000_000
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.bucket: list[int] = []
-        self.weight: list[float] = []
-
-    def number(self, feature: str) -> int:
-        n = self.numbers.get(feature)
-        if n is None:
-            n = self.numbers[feature] = len(self.bucket)
-            digest = md5(feature.encode()).hexdigest()
-            self.bucket.append(int(digest[:15], 16) % K.EMBED_DIM)
-            sign = 1.0 if digest[15] >= "8" else -1.0
-            self.weight.append(sign * {"w": 1.0, "b": 0.85, "c": 0.35}[feature[0]])
-        return n
-
-    def word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            pieces = [self.number("c:" + word[i : i + 4]) for i in range(len(word) - 3)]
-            found = self.words[word] = [self.number("w:" + word), *pieces]
-        return found
-
-
-def embed_texts(texts, slots: Slots) -> np.ndarray:
-    """Unit rows, one per text; all-zero where a text has no tokens."""
-    if len(slots.numbers) > slots.LIMIT:
-        slots.clear()
-    numbers: list[int] = []
-    sizes: list[int] = []
-    for text in texts:
-        words = [t for t in _WORD.findall((text or "").lower()) if len(t) > 1 and t not in _STOP]
-        before = len(numbers)
-        for word in words:
-            numbers.extend(slots.word(word))
-        numbers.extend(slots.number(f"b:{a}_{b}") for a, b in zip(words, words[1:]))
-        sizes.append(len(numbers) - before)
-    kinds = max(1, len(slots.bucket))
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-    cells, counts = np.unique(owner * kinds + np.asarray(numbers, dtype=np.int64), return_counts=True)
-    feature = cells % kinds
-    weights = np.asarray(slots.weight, dtype=float)[feature] * (1.0 + np.log(counts))
-    places = cells // kinds * K.EMBED_DIM + np.asarray(slots.bucket, dtype=np.int64)[feature]
-    out = np.bincount(places, weights, minlength=len(sizes) * K.EMBED_DIM).astype(float).reshape(-1, K.EMBED_DIM)
-    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norms, out=out, where=norms > 0)
+def weights(rows: DataFrame, keys: list[str], tokens: Column | None = None, deal_by: list[str] | None = None) -> DataFrame:
+    """(keys, b, v): bucket and signed weight of every distinct feature; one row with null b where there is none.
 
+    Rows are dealt once, by ``deal_by`` (a part of the keys, or all); every step after that, the cutting
+    into ``tokens`` (by default the column of that name) included, stays in its partition.
+    """
+    dealt = rows.repartition(*(deal_by or keys)).select(*keys, (F.col("tokens") if tokens is None else tokens).alias("tokens"))
+    counted = dealt.select(*keys, F.explode_outer(features(F.col("tokens"))).alias("f")).groupBy(*keys, "f").agg(F.count("f").alias("n"))
+    h, kind = F.md5("f"), F.substring("f", 1, 1)
+    weight = F.when(kind == "w", WEIGHTS["w"]).when(kind == "b", WEIGHTS["b"]).otherwise(WEIGHTS["c"]) * (1 + F.log("n"))
+    signed = F.when(F.substring(h, 16, 1) >= "8", weight).otherwise(-weight)
+    bucket = (F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % K.EMBED_DIM).cast("int")
+    return counted.select(*keys, bucket.alias("b"), F.when(F.col("f").isNotNull(), signed).alias("v"))
 
-def _embed_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    slots = Slots()
-    for batch in texts:
-        yield pd.Series(list(embed_texts(batch, slots)))
 
+def postings(rows: DataFrame, keys: list[str], tokens: Column | None = None, deal_by: list[str] | None = None) -> DataFrame:
+    """(keys, b, v): summed weight of every filled bucket; one row with null b where there is no token."""
+    return weights(rows, keys, tokens, deal_by).groupBy(*keys, "b").agg(F.sum("v").alias("v"))
 
-def embed(column: Column) -> Column:
-    """Vector of a text column."""
-    return F.pandas_udf(_embed_batches, T.ArrayType(T.DoubleType()))(column)
 
+def vectors(rows: DataFrame, keys: list[str], tokens: Column | None = None, deal_by: list[str] | None = None) -> DataFrame:
+    """(keys, b, v): unit vectors as arrays of filled buckets and their values; empty without tokens."""
+    found = postings(rows, keys, tokens, deal_by).groupBy(*keys).agg(
+        F.collect_list("b").alias("b"), F.collect_list("v").alias("_v"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm")
+    )
+    return found.select(*keys, "b", F.transform("_v", lambda x: F.try_divide(x, F.col("_norm"))).alias("v"))
 
-def dense_top(chunks: DataFrame, questions: DataFrame, top: int = K.DENSE_POOL) -> DataFrame:
-    """(q, chunk, dense) best ``top`` per question among the chunks of its scope.
 
-    ``chunks``: chunk, scopes (array of scope keys), text. ``questions``: q, scope, question.
-    Question vectors are broadcast in passes of bounded size.
+def dense_top(index: DataFrame, questions: DataFrame, top: int = K.DENSE_POOL, cell: tuple[int, int] = (CELL_CHUNKS, CELL_QUESTIONS)) -> DataFrame:
+    """(q, chunk, dense, dense_rank): best ``top`` per question among the chunks of its scope.
+
+    ``index``: chunk, scopes, tokens. ``questions``: q, scope, candidates (size of the scope), question.
     """
-    passes = max(1, math.ceil(questions.count() / (QUERIES_PER_PASS // 2)))
-    sliced = questions.select("q", "scope", "question").withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(passes)))
-    parts = [_dense_pass(chunks, sliced.where(F.col("slice") == p), top) for p in range(passes)]
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    scored = best.withColumn("dense", F.round(F.col("dense") + 1e-9, 9))
-    return grouped.top_n(scored, ["q"], [F.desc("dense"), F.col("chunk")], top, "dense_rank")
-
-
-def _dense_pass(chunks: DataFrame, questions: DataFrame, top: int) -> DataFrame:
-    rows = questions.select("q", "scope", embed(F.col("question")).alias("v")).collect()
-    if len(rows) > QUERIES_PER_PASS:
-        raise ValueError("question slice exceeds the broadcast bound; raise the number of passes")
-    by_scope: dict[str, tuple[list, np.ndarray]] = {}
-    for scope in {r["scope"] for r in rows}:
-        mine = [r for r in rows if r["scope"] == scope]
-        by_scope[scope] = ([r["q"] for r in mine], np.array([r["v"] for r in mine]).T)
-    shared = chunks.sparkSession.sparkContext.broadcast(by_scope)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = Slots()
-        best: dict = {}
-        for batch in batches:
-            vectors = embed_texts(batch["text"], slots)
-            rows_of: dict[str, list[int]] = {}
-            for i, keys in enumerate(batch["scopes"]):
-                for key in keys:
-                    if key in shared.value:
-                        rows_of.setdefault(key, []).append(i)
-            ids = batch["chunk"].to_numpy()
-            for key, index in rows_of.items():
-                qs, matrix = shared.value[key]
-                sims = vectors[index] @ matrix
-                keys_of = -np.round(sims + 1e-9, 9)
-                names = ids[index]
-                for column, q in enumerate(qs):
-                    order = np.lexsort((names, keys_of[:, column]))[:top]
-                    kept = best.get(q, []) + [(keys_of[j, column], int(names[j]), sims[j, column]) for j in order]
-                    best[q] = sorted(kept)[:top]
-        out = [(q, chunk, sim) for q, kept in best.items() for _, chunk, sim in kept]
-        yield pd.DataFrame(out, columns=["q", "chunk", "dense"]).astype({"q": "int64", "chunk": "int64", "dense": "float64"})
-
-    # few questions: drop chunks outside their scopes before the text leaves the JVM
-    pruned = chunks.where(F.arrays_overlap("scopes", F.array(*[F.lit(s) for s in by_scope]))) if len(by_scope) <= 500 else chunks
-    return pruned.select("chunk", "scopes", "text").mapInPandas(score, "q bigint, chunk bigint, dense double")
-
-
-def pair_scores(pairs: DataFrame, left: str, right: str, name: str = "dense") -> DataFrame:
-    """Dense score of each (left text, right text) row; for the few rows that reach an answer."""
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    rows = pairs.withColumns({"_a": embed(F.col(left)), "_b": embed(F.col(right))})
-    return rows.withColumn(name, F.round(dot + 1e-9, 9)).drop("_a", "_b")
+    key = ["nr", "part", "block"]
+    cells = questions.groupBy("scope").agg(
+        F.ceil(F.max("candidates") / cell[0]).cast("int").alias("parts"), F.ceil(F.count("*") / cell[1]).cast("int").alias("blocks")
+    )
+    cells = cut(cells.withColumn("nr", F.monotonically_increasing_id()), "cells")  # numbers go to the tasks, not names
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = index.select("chunk", F.explode("scopes").alias("scope"), "tokens").join(cells, "scope").select(
+        "chunk", "nr", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int").alias("part"), each("blocks").alias("block"), "tokens"
+    )
+    asked = postings(questions.select("q", "question"), ["q"], text.tokens(F.col("question"))).join(questions.select("q", "scope"), "q").join(cells, "scope").select(
+        "q", F.col("nr").alias("nr"), each("parts").alias("part"), F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "b", "v"
+    )
+    best = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_scoring(top), "q bigint, chunk bigint, dense double")
+    return grouped.top_n(best, ["q"], [F.desc("dense"), F.col("chunk")], top, "dense_rank")
+
+
+def _unit(place: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of unit length from values at flat places; all-zero rows stay so."""
+    out = np.bincount(place, values, minlength=rows * K.EMBED_DIM).reshape(rows, K.EMBED_DIM)
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norms, out=np.zeros(out.shape), where=norms > 0)
+
+
+def text_vectors(lists: list) -> np.ndarray:
+    """The vectors of a cell's token lists: distinct words, pairs and pieces are hashed once each."""
+    sizes = np.asarray([len(x) for x in lists], dtype=np.int64)
+    flat = pa.array(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if sizes.sum() else [], pa.string()).dictionary_encode()
+    words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    numbers: dict[str, int] = {}
+    cut_up = [[numbers.setdefault(w[i:i + 4], len(numbers)) for i in range(len(w) - 3)] for w in words]
+    many = np.asarray([len(p) for p in cut_up], dtype=np.int64)
+    start, pieces = np.cumsum(many) - many, np.asarray([n for p in cut_up for n in p], dtype=np.int64)
+    taken = many[code]
+    at = np.repeat(start[code] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
+    inside = owner[1:] == owner[:-1]
+    pairs, pair = np.unique(code[:-1][inside] * len(words) + code[1:][inside], return_inverse=True)
+    names = ["w:" + w for w in words] + ["c:" + p for p in numbers] + [f"b:{words[p // len(words)]}_{words[p % len(words)]}" for p in pairs.tolist()]
+    digests = [md5(n.encode()).hexdigest() for n in names]
+    bucket = np.asarray([int(d[:15], 16) % K.EMBED_DIM for d in digests], dtype=np.int64)
+    weight = np.asarray([(1 if d[15] >= "8" else -1) * WEIGHTS[n[0]] for n, d in zip(names, digests)], dtype=float)
+    kinds = max(1, len(names))
+    feature = np.concatenate((code, len(words) + pieces[at], len(words) + len(numbers) + pair))
+    cells, counts = np.unique(np.concatenate((owner, np.repeat(owner, taken), owner[:-1][inside])) * kinds + feature, return_counts=True)
+    feature = cells % kinds
+    return _unit(cells // kinds * K.EMBED_DIM + bucket[feature], weight[feature] * (1.0 + np.log(counts)), len(lists))
+
+
+def _scoring(top: int):
+    def filled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Questions and their vectors, all-zero where a text has no tokens."""
+        qs, at = np.unique(rows["q"].to_numpy(), return_inverse=True)
+        real = rows["b"].notna().to_numpy()
+        place = at[real] * K.EMBED_DIM + rows["b"].to_numpy()[real].astype(np.int64)
+        return qs, _unit(place, rows["v"].to_numpy()[real], len(qs))
+
+    def score(chunks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(chunks) or not len(asked):
+            return pd.DataFrame({"q": [], "chunk": [], "dense": []}).astype({"q": "int64", "chunk": "int64", "dense": "float64"})
+        chunks = chunks.sort_values("chunk")
+        ids, (qs, own) = chunks["chunk"].to_numpy(), filled(asked)
+        rounded = np.round(own @ text_vectors(chunks["tokens"].to_list()).T + 1e-9, 9)
+        order = [np.argsort(-row, kind="stable")[:top] for row in rounded]  # ids ascend, so ties go to the smaller
+        return pd.DataFrame({"q": np.repeat(qs, [len(o) for o in order]), "chunk": ids[np.concatenate(order)], "dense": np.concatenate([row[o] for row, o in zip(rounded, order)])})
+
+    return score
+
+
+def pair_scores(pairs: DataFrame, keys: list[str], left: Column, right: Column, name: str = "dense") -> DataFrame:
+    """``pairs`` with the dense score of two texts; for the few rows that reach an answer."""
+    sides = pairs.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("side"), c.alias("said")) for i, c in enumerate((left, right))])))
+    found = postings(sides, [*keys, "side"], text.tokens(F.col("said")), deal_by=keys)
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("v"))), F.lit(0.0))
+    both = found.groupBy(*keys, "b").agg(of(0).alias("x"), of(1).alias("y"))
+    dot = F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))), F.lit(0.0))
+    return pairs.join(both.groupBy(*keys).agg(F.round(dot + 1e-9, 9).alias(name)), keys)

@@ -1,7 +1,7 @@
 """Batch hybrid retrieval: scopes, BM25, rank fusion, reranking, evidence, answers, citations.
 
-Questions are the small side. The corpus is read once per arm, and what is kept per question is
-the arm's pool, so texts are joined back for a few dozen chunks per question only.
+The corpus is read and cut into tokens once, and every stage reads that table. What is kept per
+question is each arm's pool, so texts are joined back for a few dozen chunks per question only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from waymark.functions import constants as K, text
 from waymark.functions.stats import lookup, rnd
 from waymark.operators import grouped
 from waymark.operators.embedding import dense_top, pair_scores
+from waymark.session import cut
+
+BLOCK = 128  # chunks of a block of postings, about
+FIRST = 2  # blocks of a question that are scored first
 
 
 def scope_key(cluster: Column, place: Column | None, topic: Column | None) -> Column:
@@ -47,40 +51,64 @@ def with_scope(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(chosen, "q")
 
 
-def lexical_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q, chunk, lexical): BM25 with statistics over each question's own candidate set.
+def chunk_index(chunks: DataFrame) -> DataFrame:
+    """The chunks of a run with their scopes and tokens, dealt by a hash of the chunk and stored once.
 
-    Only query terms are kept from the corpus before anything is shuffled.
+    Every later stage reads this table, not the documents.
     """
-    terms = questions.select("q", "scope", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
-    # chunks outside every asked scope are dropped before their text is tokenized
-    scoped = chunks.select("chunk", F.explode(chunk_scopes()).alias("scope"), "heading", "body").join(
-        questions.select("scope").distinct(), "scope", "left_semi"
-    ).select("scope", "chunk", text.tokens(F.concat_ws(" ", "heading", "body")).alias("t"))
-    stats = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    postings = (
-        scoped.select("scope", "chunk", F.size("t").alias("len"), F.explode("t").alias("term"))
-        .join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
-        .groupBy("scope", "chunk", "len", "term").agg(F.count("*").alias("tf"))
+    dealt = chunks.repartition("chunk").withColumn("scopes", chunk_scopes())
+    return cut(dealt.withColumn("tokens", text.tokens(F.concat_ws(" ", "heading", "body"))), "chunks")
+
+
+def scored_postings(questions: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(scope, term, block, chunk, score) of the asked terms: BM25 with statistics over the scope.
+
+    A term weighs the same for every question of a scope, so its part of a chunk's score is worked out
+    once. ``block`` parts a scope's chunks, and with them the chunks of a very common term.
+    """
+    terms = questions.select("scope", F.explode(text.tokens(F.col("question"))).alias("term")).distinct()
+    scoped = index.select("chunk", F.explode("scopes").alias("scope"), "tokens").join(questions.select("scope").distinct(), "scope", "left_semi")
+    stats = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+    counted = (
+        scoped.select("scope", "chunk", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+        .join(terms, ["scope", "term"], "left_semi").groupBy("scope", "chunk", "len", "term").agg(F.count("*").alias("tf"))
     )
-    df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    counted = cut(counted, "postings")
+    held = counted.groupBy("scope", "term").agg(F.count("*").alias("df")).join(stats, "scope")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("len") / F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len")))
-    asked = terms.join(df, ["scope", "term"]).join(stats, "scope").select("q", "scope", "term", idf.alias("idf"), "avg_len")
-    hits = postings.join(asked, ["scope", "term"])
-    return hits.groupBy("q", "chunk").agg(rnd(F.sum(F.col("idf") * F.col("tf") * (K.BM25_K1 + 1) / damp), 9).alias("lexical"))
+    return counted.join(held, ["scope", "term"]).select(
+        "scope", "term", F.pmod(F.xxhash64("chunk"), F.ceil(F.col("n") / block)).alias("block"), "chunk", (idf * F.col("tf") * (K.BM25_K1 + 1) / damp).alias("score")
+    )
 
 
-def arms(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q, chunk, dense, dense_rank, lexical, lexical_rank): both pools of every question."""
-    scoped = with_scope(questions, chunks)
-    dense = dense_top(corpus_text(chunks), scoped)
-    lexical = grouped.top_n(lexical_scores(scoped, chunks).where("lexical > 0"), ["q"], [F.desc("lexical"), F.col("chunk")], K.LEXICAL_POOL, "lexical_rank")
-    return dense.join(lexical, ["q", "chunk"], "full_outer")
+def lexical_top(questions: DataFrame, index: DataFrame, top: int = K.LEXICAL_POOL, block: int = BLOCK, first: int = FIRST) -> DataFrame:
+    """(q, chunk, lexical, lexical_rank): the pool of every question, by block maxima.
+
+    A block's largest posting per term bounds what any chunk of it can score for a question. The
+    blocks of the highest bounds are scored first; the ``top``-th score found there is a bound from
+    below, and of the other blocks only those that can reach it are scored. No pair of a
+    question and a chunk outside these blocks is ever made.
+    """
+    postings = cut(scored_postings(questions, index, block), "scored")
+    terms = questions.select("q", "scope", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
+    largest = postings.groupBy("scope", "term", "block").agg(F.max("score").alias("most"))
+    bounds = cut(terms.join(largest, ["scope", "term"]).groupBy("q", "scope", "block").agg(F.sum("most").alias("bound")), "bounds")
 
+    def pool(blocks: DataFrame) -> DataFrame:
+        hits = blocks.select("q", "scope", "block").join(terms, ["q", "scope"]).join(postings, ["scope", "term", "block"])
+        scores = hits.groupBy("q", "chunk").agg(rnd(F.sum("score"), 9).alias("lexical")).where("lexical > 0")
+        return grouped.top_n(scores, ["q"], [F.desc("lexical"), F.col("chunk")], top, "lexical_rank")
 
-def corpus_text(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk", chunk_scopes().alias("scopes"), F.concat_ws("\n", "heading", "body").alias("text"))
+    seeds = grouped.top_n(bounds, ["q"], [F.desc("bound"), F.col("block")], first, "nth")
+    least = pool(seeds).where(F.col("lexical_rank") == top).select("q", F.col("lexical").alias("least"))
+    reach = F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-6  # scores are rounded, sums have no fixed order
+    return pool(bounds.join(least, "q", "left").where(reach))
+
+
+def arms(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(q, chunk, dense, dense_rank, lexical, lexical_rank): both pools of every question."""
+    return dense_top(index, questions).join(lexical_top(questions, index), ["q", "chunk"], "full_outer")
 
 
 def fuse(pools: DataFrame, strategy: str = "hybrid") -> DataFrame:
@@ -112,13 +140,13 @@ def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, enabled: b
     order = [F.desc("rerank") if enabled else F.desc("fused"), F.col("chunk")]
     final = grouped.top_n(ranked, ["q"], order, top, "rank")
     # a chunk may have come from the lexical arm alone, so the few final rows are scored densely
-    return pair_scores(final.withColumn("_text", F.concat_ws("\n", "heading", "body")), "_text", "question").drop("_text")
+    return pair_scores(final.drop("dense"), ["q", "chunk"], F.concat_ws("\n", "heading", "body"), F.col("question"))
 
 
 def corpus_idf(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(q, terms): evidence terms with corpus-wide weights and accepted synonyms, per question."""
     terms = questions.select("q", F.explode(text.evidence_terms(F.col("question"))).alias("term"))
-    words = chunks.select(F.explode(F.array_distinct(text.tokens(F.concat_ws(" ", "heading", "body")))).alias("term"))
+    words = chunks.select(F.explode(F.array_distinct("tokens")).alias("term"))
     df = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))
     synonyms = F.expr("map(" + ", ".join(f"'{h}', array({', '.join(repr(s) for s in t)})" for h, t in K.SYNONYMS.items()) + ")")

@@ -20,13 +20,16 @@ def parts(spark, root):
     return R.with_scope(V.questions(spark, root), chunks), chunks
 
 
+def prepared(spark, root):
+    """Scoped questions and the chunk index, both written once."""
+    index = R.chunk_index(V.chunks(spark, root))
+    return cut(R.with_scope(V.questions(spark, root), index), "questions"), index
+
+
 def pooled(spark, root):
     """Both retrieval pools of every question, written once and read by all later stages."""
-    questions, chunks = parts(spark, root)
-    questions = cut(questions, "questions")
-    lexical = grouped.top_n(R.lexical_scores(questions, chunks).where("lexical > 0"), ["q"], [F.desc("lexical"), F.col("chunk")], K.LEXICAL_POOL, "lexical_rank")
-    dense = E.dense_top(R.corpus_text(chunks), questions)
-    return cut(dense.join(lexical, ["q", "chunk"], "full_outer"), "pools"), questions, chunks
+    questions, index = prepared(spark, root)
+    return cut(R.arms(questions, index), "pools"), questions, index
 
 
 def final_chunks(spark, root, strategy="hybrid", reranked=True):
@@ -105,11 +108,12 @@ for _s in ("hybrid", "dense", "lexical"):
 CHECK = f"count(*) FILTER (abs(v) > 1e-9) AS filled, {r('sum(v * (idx + 1))', 6)} AS weighted, {r('max(abs(v))', 6)} AS peak"
 
 
-def vector_check(vectors, key):
-    """Filled buckets, position-weighted sum and largest entry of a vector."""
-    moved = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.lit(K.EMBED_DIM)), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
-    filled = F.size(F.filter("v", lambda x: F.abs(x) > 1e-9)).cast("long")
-    return vectors.where(filled > 0).select(key, filled.alias("filled"), rnd(moved, 6).alias("weighted"), rnd(F.array_max(F.transform("v", lambda x: F.abs(x))), 6).alias("peak"))
+def vector_check(rows, key):
+    """Filled buckets, position-weighted sum and largest entry of the vectors of (key, text)."""
+    sums = E.postings(rows, [key], text.tokens(F.col("text"))).where(F.abs("v") > 1e-9).groupBy(key).agg(
+        F.count("*").alias("filled"), F.sum(F.col("v") * (F.col("b") + 1)).alias("moved"), F.max(F.abs("v")).alias("most"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")
+    )
+    return sums.select(key, "filled", rnd(F.col("moved") / F.col("norm"), 6).alias("weighted"), rnd(F.col("most") / F.col("norm"), 6).alias("peak"))
 
 
 _all_chunks = f"(SELECT chunk AS id, {toks('heading || chr(10) || body')} AS t FROM v_chunks)"
@@ -118,7 +122,7 @@ _all_chunks = f"(SELECT chunk AS id, {toks('heading || chr(10) || body')} AS t F
 @query("R1_hash_embedding", f"SELECT id AS chunk, {CHECK} FROM ({vectors_sql(_all_chunks)}) GROUP BY id")
 def r1(spark, root):
     texts = V.chunks(spark, root).select("chunk", F.concat_ws("\n", "heading", "body").alias("text"))
-    return vector_check(texts.select("chunk", E.embed(F.col("text")).alias("v")), "chunk")
+    return vector_check(texts, "chunk")
 
 
 def topic_texts(places):
@@ -198,7 +202,7 @@ _pending = f"(SELECT doc_id AS id, {toks('text')} AS t FROM documents WHERE doc_
 def r4(spark, root):
     stored = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"))
     pending = V.documents(spark, root).select("doc_id", "text").join(stored, "doc_id", "left_anti")
-    return vector_check(pending.select("doc_id", E.embed(F.col("text")).alias("v")), "doc_id")
+    return vector_check(pending, "doc_id")
 
 
 # ------------------------------------------------------------------ retrieval stages
@@ -211,14 +215,14 @@ def r5(spark, root):
 
 @query("R6_dense_scores", "SELECT q, chunk, dense, dense_rank FROM v_dense30")
 def r6(spark, root):
-    questions, chunks = parts(spark, root)
-    return E.dense_top(R.corpus_text(chunks), cut(questions, "questions")).select("q", "chunk", "dense", "dense_rank")
+    questions, index = prepared(spark, root)
+    return E.dense_top(index, questions)
 
 
-@query("R7_bm25", "SELECT q, chunk, lexical FROM v_bm25")
+@query("R7_bm25", "SELECT q, chunk, lexical, lexical_rank FROM v_lex30")
 def r7(spark, root):
-    questions, chunks = parts(spark, root)
-    return R.lexical_scores(questions, chunks)
+    questions, index = prepared(spark, root)
+    return R.lexical_top(questions, index)
 
 
 @query("W8_retrieval_ranks", "SELECT q, chunk, dense_rank, lexical_rank FROM v_pools")
