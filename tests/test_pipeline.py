@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -87,34 +88,89 @@ def test_empty_plan_is_an_error_and_clean_plan_is_valid(spark):
     assert rows == {1: (1, 1, False), 2: (0, 0, True)}
 
 
+def plain_sessions(events):
+    """Closed sessions of actions in order of time, and those that the watermark closes."""
+    rows = events.orderBy("at", "event_id").collect()
+    held, closed = {}, []
+    for r in rows:
+        key = (r["trip"], r["member"])
+        held[key], done, _ = sharing.advance(held.get(key), r["at"], r["kind"], r["hours"])
+        if done:
+            closed.append((*key, *done))
+    mark = max(r["at"] for r in rows) // 1000 - 3_600_000
+    return sorted(closed + [(*key, *sharing.expired(s)) for key, s in held.items() if s and s[1] // 1000 <= mark])
+
+
 def test_sharing_stream_equals_plain_loop(spark, root):
-    got = sorted(tuple(r) for r in runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, root)), "sharing").where("outcome = 'stopped'").collect())
-    events = sharing.sharing_actions(spark.read.parquet(f"{root}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-    by_member = {}
-    for r in events.orderBy("at", "event_id").collect():
-        by_member.setdefault((r["trip"], r["member"]), []).append(r)
-    expected = []
-    for key, rows in by_member.items():
-        live = None  # [started, expires, starts]
-        for r in rows:
-            if live and r["at"] >= live[1]:
-                live = None
-            if r["kind"] == "start":
-                ends = r["at"] + max(1, min(r["hours"], 12)) * 3_600_000_000
-                live = [live[0], ends, live[2] + 1] if live else [r["at"], ends, 1]
-            elif live:
-                expected.append((*key, live[0], r["at"], live[2], "stopped"))
-                live = None
-    assert got == sorted(expected) and got
-
-
-def test_sharing_sessions_clamp_hours():
-    state, closed = sharing.advance(None, 0, "start", 0)
-    assert state == (0, sharing.HOUR, 1) and closed is None
-    state, _ = sharing.advance(state, 10, "start", 99)
-    assert state == (0, 10 + 12 * sharing.HOUR, 2)
-    state, closed = sharing.advance(state, 14 * sharing.HOUR, "stop", 1)
-    assert state is None and closed[3] == "expired"
+    with sharing.timed_state(spark):
+        got = runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, root)), "sharing").collect()
+    want = plain_sessions(sharing.sharing_actions(spark.read.parquet(f"{root}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))))
+    assert sorted(map(tuple, got)) == want
+    assert {r["outcome"] for r in got} == {"stopped", "expired"} and any(r["pauses"] for r in got)
+    assert all(r["points_kept"] == 0 for r in got if r["outcome"] == "stopped")  # stopping deletes the trail
+    assert spark.conf.get(sharing.PROVIDER) != sharing.STORE
+
+
+def in_order_of_time(spark, root, folder, parts):
+    """Events in part files by time, one for each trigger."""
+    events = spark.read.parquet(f"{root}/events.parquet").orderBy("ts", "event_id").toPandas()
+    step = -(-len(events) // parts)
+    for n in range(parts):
+        part = spark.createDataFrame(events[n * step:(n + 1) * step], runs.EVENT_SCHEMA)
+        part.coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+        time.sleep(0.05)
+    return str(folder)
+
+
+def test_sessions_and_positions_over_several_triggers(spark, root, tmp_path):
+    folder = in_order_of_time(spark, root, tmp_path, 5)
+    with sharing.timed_state(spark):
+        got = runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, folder, maxFilesPerTrigger=1)), "sharing").collect()
+    assert sorted(map(tuple, got)) == plain_sessions(sharing.sharing_actions(spark.read.parquet(f"{root}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+def test_position_state_shrinks_once_points_expire(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    seen = []
+
+    def stream():
+        schema = "trip bigint, member bigint, point bigint, ts timestamp, expires timestamp"
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def put(rows):
+        spark.createDataFrame([(1, m, p, start + dt.timedelta(hours=h), start + dt.timedelta(hours=h + 2)) for m, p, h in rows], "trip bigint, member bigint, point bigint, ts timestamp, expires timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+
+    put([(m, m, 0) for m in range(50)])
+    put([(m, 100 + m, 1) for m in range(5)])
+    put([(99, 999, 30)])
+    put([(99, 1000, 30.5)])
+    with sharing.timed_state(spark):
+        run = sharing.latest_positions(stream()).writeStream.outputMode("update").foreachBatch(lambda batch, n: seen.extend(batch.collect())).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")
+        ).trigger(availableNow=True).start()
+        run.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    newest = {}
+    for r in seen:
+        newest[r["member"]] = r["point"]
+    assert newest == {**{m: m for m in range(50)}, **{m: 100 + m for m in range(5)}, 99: 1000}
+    assert max(states) > 50 and states[-1] < 10
+
+
+def test_sharing_sessions_clamp_hours_pause_and_resume():
+    live, closed, _ = sharing.advance(None, 0, "start", 0)
+    assert live == (0, sharing.HOUR, 1, 0, 0, 0, False) and closed is None
+    live, _, _ = sharing.advance(live, 10, "start", 99)
+    assert live == (0, 10 + 12 * sharing.HOUR, 2, 0, 0, 0, False)
+    for kind, kept in (("point", True), ("pause", False), ("pause", False), ("point", False), ("resume", False), ("point", True)):
+        live, closed, took = sharing.advance(live, 20, kind, 1)
+        assert closed is None and took == kept
+    assert live[3:] == (1, 2, 1, False)
+    assert sharing.advance(live, 30, "stop", 1)[:2] == (None, (0, 30, 2, 1, 0, 2, 1, "stopped"))
+    state, closed, _ = sharing.advance(live, 14 * sharing.HOUR, "stop", 1)
+    assert state is None and closed[4:] == (2, 0, 1, "expired")
+    assert sharing.advance(None, 5, "point", 1) == (None, None, False) == sharing.advance(None, 5, "stop", 1)
 
 
 def test_update_stream_over_several_batches_equals_batch(spark, root):

@@ -53,10 +53,38 @@ def st3b(spark, root):
     return runs.trailing_requests(events, "event_type", 3600, 3).select("event_id", "hits", "over", "retry_after")
 
 
-@query("ST4_sharing_sessions")
+# one step of the recursion is one event of a member, in order of time; what is still open expires up to the watermark
+VIEWS["v_sharing"] = f"""
+  SELECT user_id // 5 * 97 AS trip, user_id AS member, epoch_us(ts) AS at_us, json_extract_string(props, '$.k')::INT AS k,
+    CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' WHEN 'purchase' THEN CASE WHEN json_extract_string(props, '$.k')::INT % 2 = 0 THEN 'pause' ELSE 'resume' END ELSE 'point' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts IS NOT NULL"""
+ST4_SQL = f"""
+  WITH RECURSIVE a AS MATERIALIZED (SELECT * FROM v_sharing),
+  s AS (
+    SELECT DISTINCT trip, member, 0::BIGINT AS rn, NULL::BIGINT AS started, NULL::BIGINT AS expires, 0 AS starts, 0 AS pauses, 0 AS points, 0 AS refused, false AS paused,
+      NULL::STRUCT(started BIGINT, ended BIGINT, starts INT, pauses INT, points_kept INT, points_deleted INT, points_refused INT, outcome VARCHAR) AS closed FROM a
+    UNION ALL
+    SELECT trip, member, rn,
+      CASE WHEN kind = 'start' AND NOT live THEN at_us WHEN live AND kind <> 'stop' THEN started END,
+      CASE WHEN kind = 'start' THEN at_us + greatest(1, least(coalesce(k % 15, 0), {sharing.MOST_HOURS})) * {sharing.HOUR} WHEN live AND kind <> 'stop' THEN expires END,
+      CASE WHEN live THEN starts ELSE 0 END + (kind = 'start')::INT, CASE WHEN live THEN pauses ELSE 0 END + (live AND kind = 'pause' AND NOT paused)::INT,
+      CASE WHEN live THEN points ELSE 0 END + (live AND kind = 'point' AND NOT paused)::INT, CASE WHEN live THEN refused ELSE 0 END + (live AND kind = 'point' AND paused)::INT,
+      CASE kind WHEN 'start' THEN false WHEN 'pause' THEN live WHEN 'resume' THEN false ELSE live AND paused END,
+      CASE WHEN started IS NOT NULL AND NOT live THEN {{'started': started, 'ended': expires, 'starts': starts, 'pauses': pauses, 'points_kept': points, 'points_deleted': 0, 'points_refused': refused, 'outcome': 'expired'}}
+        WHEN live AND kind = 'stop' THEN {{'started': started, 'ended': at_us, 'starts': starts, 'pauses': pauses, 'points_kept': 0, 'points_deleted': points, 'points_refused': refused, 'outcome': 'stopped'}} END
+    FROM (SELECT s.trip, s.member, a.rn, a.at_us, a.kind, a.k, s.started, s.expires, s.starts, s.pauses, s.points, s.refused, s.paused, coalesce(a.at_us < s.expires, false) AS live
+      FROM s JOIN a ON a.trip = s.trip AND a.member = s.member AND a.rn = s.rn + 1)),
+  ends AS (
+    SELECT trip, member, closed.* FROM s WHERE closed IS NOT NULL
+    UNION ALL SELECT trip, member, started, expires, starts, pauses, points, 0, refused, 'expired' FROM (SELECT *, row_number() OVER (PARTITION BY trip, member ORDER BY rn DESC) AS back FROM s)
+    WHERE back = 1 AND expires // 1000 <= (SELECT max(at_us) // 1000 - 3600000 FROM a))
+  SELECT * FROM ends"""
+
+
+@query("ST4_sharing_sessions", ST4_SQL)
 def st4(spark, root):
-    """Custom keyed state with event-time timers: no SQL twin; the tests compare it with a plain loop."""
-    return runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, root, maxBytesPerTrigger=64 * 1024 * 1024)), "sharing")
+    with sharing.timed_state(spark):
+        return runs.append_run(sharing.sharing_sessions(runs.event_stream(spark, root, maxBytesPerTrigger=64 * 1024 * 1024)), "sharing")
 
 
 @query("ST5_stream_positions", "SELECT trip, member, point FROM (SELECT *, row_number() OVER (PARTITION BY trip, member ORDER BY ts DESC, point DESC) AS rn FROM v_points) WHERE rn = 1 AND expires > TIMESTAMP '" + V.AS_OF + "'")
@@ -66,8 +94,8 @@ def st5(spark, root):
         F.expr("(user_id div 5) * 97").alias("trip"), F.col("user_id").alias("member"), F.col("event_id").alias("point"), "ts",
         (F.col("ts") + F.make_dt_interval(hours=(F.lit(1) + k % 12) * 12)).alias("expires"),
     )
-    latest = stream.groupBy("trip", "member").agg(F.max(F.struct("ts", "point", "expires")).alias("p")).select("trip", "member", "p.point", "p.expires")
-    held = runs.update_run(latest, ["trip", "member"], "positions")
+    with sharing.timed_state(spark):
+        held = runs.update_run(sharing.latest_positions(stream), ["trip", "member"], "positions")
     return held.where(F.col("expires") > F.lit(V.AS_OF).cast("timestamp")).select("trip", "member", "point")
 
 
