@@ -7,6 +7,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -221,6 +222,20 @@ def test_bootstrap_interval_holds_the_exact_gap(spark):
     auc = lambda i: sum((a > b) + 0.5 * (a == b) for a in [r[i] for r in rows if r[1]] for b in [r[i] for r in rows if not r[1]]) / (sum(r[1] for r in rows) * sum(1 - r[1] for r in rows))
     assert out["ci_low"] <= auc(2) - auc(3) <= out["ci_high"]
     assert out["resamples"] == 200 and out["significant"]
+    assert M.bootstrap_gap(df.repartition(7), 200).first() == out  # draws follow the cells, not the partitions
+
+
+def test_resampled_auc_equals_plain_auc(spark):
+    """Many equal scores, several ranges, and weights drawn again outside of Spark."""
+    rng = random.Random(4)
+    rows = [(rng.random() < 0.4, rng.randrange(12) / 12, rng.randrange(5) / 5) for _ in range(400)]
+    df = spark.createDataFrame([(int(y), a, b) for y, a, b in rows], "label int, challenger double, control double")
+    cells = df.groupBy("challenger", "control", "label").count().withColumnRenamed("count", "n").withColumn("seed", F.xxhash64("challenger", "control", "label"))
+    drawn = [(c, np.random.Generator(np.random.PCG64(c["seed"] & (1 << 63) - 1)).poisson(c["n"], 20)) for c in cells.collect()]
+    got = {r["resample"]: r["auc"] for r in M._resampled_auc(cells, "challenger", 20).collect()}
+    for i in range(20):
+        pairs = [(w[i] * v[i], (c["challenger"] > d["challenger"]) + 0.5 * (c["challenger"] == d["challenger"])) for c, w in drawn if c["label"] for d, v in drawn if not d["label"]]
+        assert got[i] == pytest.approx(sum(w * s for w, s in pairs) / sum(w for w, _ in pairs), abs=1e-12)
 
 
 def test_cut_writes_to_the_shared_folder_and_ends_the_plan(spark):

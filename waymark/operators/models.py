@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import constants as K
 from waymark.functions.stats import rnd
 from waymark.operators import grouped
+from waymark.session import cut
 
 FEATURES = [*K.SCORE_WEIGHTS, *K.SCORE_PENALTIES]
 SCORE_STEPS = 256
@@ -75,28 +81,60 @@ def predict(model, rows: DataFrame, name: str) -> DataFrame:
     return out.select(F.lit(name).alias("model"), "doc_id", "label", "score")
 
 
+def _weighted_parts(resamples: int, at_once: int = 256):
+    """Sorted cells of a score range to one row: weights drawn per resample and the range's own AUC numerators.
+
+    Equal scores never lie in two ranges. A cell of n rows draws Poisson(n), the sum of n draws of mean 1,
+    from a generator of its own, so both scores see the same resample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zeros = lambda: np.zeros(resamples)
+        # per resample: negatives below the current score; positives, negatives and half of the positives' ties at it
+        below, pos, num, tied_pos, tied_neg, low, score = zeros(), zeros(), zeros(), zeros(), zeros(), None, None
+        for batch in batches:
+            for value, label, n, seed in zip(*(batch.column(c).to_pylist() for c in ("score", "label", "n", "seed"))):
+                if value != score:
+                    num += tied_pos * (below + 0.5 * tied_neg)
+                    below += tied_neg
+                    tied_pos, tied_neg, score = zeros(), zeros(), value
+                    low = value if low is None else low
+                drawn = np.random.Generator(np.random.PCG64(seed & (1 << 63) - 1)).poisson(n, resamples)
+                if label:
+                    tied_pos += drawn
+                    pos += drawn
+                else:
+                    tied_neg += drawn
+        if low is None:
+            return
+        num += tied_pos * (below + 0.5 * tied_neg)
+        yield pa.RecordBatch.from_pydict({"low": [low], "pos": [pos.tolist()], "neg": [(below + tied_neg).tolist()], "num": [num.tolist()]})
+
+    return run
+
+
+def _resampled_auc(cells: DataFrame, score: str, resamples: int) -> DataFrame:
+    """(resample, auc) of one score: cells are dealt by ranges of it, and one row a range meets the others."""
+    ordered = cells.select(F.col(score).cast("double").alias("score"), "label", "n", "seed").repartitionByRange("score").sortWithinPartitions("score")
+    parts = ordered.mapInArrow(_weighted_parts(resamples), "low double, pos array<double>, neg array<double>, num array<double>")
+    each = parts.select("low", F.posexplode(F.arrays_zip("pos", "neg", "num")).alias("resample", "w"))
+    before = F.coalesce(F.sum("w.neg").over(W.partitionBy("resample").orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    summed = each.select("resample", "w", (F.col("w.num") + F.col("w.pos") * before).alias("num")).groupBy("resample").agg(
+        F.sum("num").alias("num"), F.sum("w.pos").alias("pos"), F.sum("w.neg").alias("neg")
+    )
+    return summed.where("pos > 0 and neg > 0").select("resample", (F.col("num") / (F.col("pos") * F.col("neg"))).alias("auc"))
+
+
 def bootstrap_gap(scored: DataFrame, resamples: int = 2000) -> DataFrame:
     """Percentile interval of AUC(challenger) - AUC(control) over Poisson resamples of the same rows.
 
-    ``scored``: doc_id, label, challenger, control. Each row draws its own count per resample from
-    a hash, so both scores see the same resample and no resample is gathered anywhere.
+    ``scored``: label, challenger, control. Rows with equal scores and label are one cell; what is
+    shuffled are the cells, once a score, and one row for each range of scores, whatever the resamples.
     """
-    u = F.pmod(F.xxhash64("doc_id", "resample"), F.lit(1_000_000)) / 1_000_000.0
-    # cumulative Poisson(1) probabilities
-    cdf, p = [], 0.36787944117144233
-    for n in range(1, 9):
-        cdf.append((cdf[-1] if cdf else 0.0) + p)
-        p /= n
-    count = sum((F.when(u >= c, 1).otherwise(0) for c in cdf[1:]), F.when(u >= cdf[0], 1).otherwise(0))
-    drawn = scored.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", count.cast("double")).where("w > 0")
-    both = F.array(
-        F.struct(F.lit("challenger").alias("side"), F.col("challenger").alias("score")), F.struct(F.lit("control").alias("side"), F.col("control").alias("score"))
-    )
-    sides = drawn.select("resample", "label", "w", F.inline(both))
-    auc = ranking_metrics(sides, ["resample", "side"], "w").where("auc is not null")
-    gaps = auc.groupBy("resample").agg(
-        (F.max(F.when(F.col("side") == "challenger", F.col("auc"))) - F.max(F.when(F.col("side") == "control", F.col("auc")))).alias("gap")
-    ).where("gap is not null")
+    seed = F.xxhash64("challenger", "control", "label")
+    cells = cut(scored.groupBy("challenger", "control", "label").agg(F.count("*").alias("n")).withColumn("seed", seed), "cells")
+    a, b = (_resampled_auc(cells, side, resamples).withColumnRenamed("auc", side) for side in ("challenger", "control"))
+    gaps = a.join(b, "resample").select((F.col("challenger") - F.col("control")).alias("gap"))
     low, high = F.percentile("gap", F.lit(0.025)), F.percentile("gap", F.lit(0.975))
     return gaps.agg(
         rnd(F.avg("gap"), 4).alias("point_estimate"), rnd(low, 4).alias("ci_low"), rnd(high, 4).alias("ci_high"), F.count("*").alias("resamples"), ((low > 0) | (high < 0)).alias("significant")

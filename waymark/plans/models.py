@@ -117,11 +117,35 @@ def m2_boosting(spark, root):
     return held_out(spark, root, "gradient_boosting")
 
 
+RESAMPLES = 2000
+
+
+def paired_scores(spark, root):
+    return control(spark, root).where("test").select("label", F.col("interest_match").alias("challenger"), F.col("score").alias("control"))
+
+
 @query("M5_bootstrap_gap")
 def m5(spark, root):
-    """Hash-drawn resamples: no SQL twin; the tests check the interval around the exact gap."""
-    rows = control(spark, root).where("test").select("doc_id", "label", F.col("interest_match").alias("challenger"), F.col("score").alias("control"))
-    return M.bootstrap_gap(cut(rows, "scores"), 2000)
+    """Resamples drawn by generators: no SQL twin; M5_interval_check compares what SQL can say about the interval."""
+    return M.bootstrap_gap(cut(paired_scores(spark, root), "scores"), RESAMPLES)
+
+
+# the interval must hold the gap of the whole sample; SQL knows the gap, and that every resample counts
+@query("M5_interval_check", f"""
+  WITH x AS (SELECT label, interest_match AS challenger, score AS control FROM v_control WHERE test),
+  a AS (SELECT sum(CASE WHEN p.challenger > n.challenger THEN 1e0 WHEN p.challenger = n.challenger THEN 0.5e0 ELSE 0e0 END) / count(*) AS challenger,
+    sum(CASE WHEN p.control > n.control THEN 1e0 WHEN p.control = n.control THEN 0.5e0 ELSE 0e0 END) / count(*) AS control FROM x p JOIN x n ON p.label = 1 AND n.label = 0)
+  SELECT {r('challenger - control', 4)} AS exact_gap, {RESAMPLES}::BIGINT AS resamples, true AS holds_gap, true AS centred FROM a""")
+def m5_check(spark, root):
+    rows = cut(paired_scores(spark, root), "scores")
+    sides = rows.select("label", F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("score")) for c in ("challenger", "control")])))
+    auc = M.ranking_metrics(sides, ["side"])
+    exact = auc.agg((F.max(F.when(F.col("side") == "challenger", F.col("auc"))) - F.max(F.when(F.col("side") == "control", F.col("auc")))).alias("gap"))
+    found = M.bootstrap_gap(rows, RESAMPLES).withColumn("gap", exact.scalar())
+    return found.select(
+        rnd(F.col("gap"), 4).alias("exact_gap"), "resamples", F.col("gap").between(F.col("ci_low"), F.col("ci_high")).alias("holds_gap"),
+        (F.abs(F.col("point_estimate") - F.col("gap")) < (F.col("ci_high") - F.col("ci_low")) / 10).alias("centred"),
+    )
 
 
 @query("M6_feature_importance")
