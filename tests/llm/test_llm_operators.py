@@ -23,7 +23,7 @@ from waymark.llm.queries import ORACLES, QUERIES
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, ref string, fp string, _size int, _mine int, _g_lang string, kept string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, ref string, fp string, _size int, _mine int, _g_lang string, kept string, col int, pos int"
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def awkward(spark):
         (5, " \n\t ", "fr", "a"), (6, LONG, "en", None), (7, "x" * 300_000, "de", "b"), (None, base + "three", "en", "a"), (None, None, None, None),
         (8, "ßÄ é 漢字 \U0001F600 " * 60, "de", "c"), (9, "</s>\\ \x00 <|im_start|>", "en", "c"), (3, "same id, other text", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, None, 1, "r", "f", 2, 3, "g", "k") for r in rows], COLUMNS)
+    return spark.createDataFrame([(*r, None, 1, "r", "f", 2, 3, "g", "k", 4, 5) for r in rows], COLUMNS)
 
 
 @pytest.fixture(scope="module")
@@ -135,6 +135,19 @@ def test_quality_filter_keeps_columns_and_rejects_by_source(spark, awkward, noth
     assert quality.quality_filter(nothing).count() == 0
 
 
+def test_fences_follow_the_corpus_without_a_size_switch(spark):
+    """A source of its own kind is judged by itself, a small one by its language, and ten times the rows change no verdict of either."""
+    rng = np.random.default_rng(12)
+    text = lambda size, marks: " ".join("".join(rng.choice(list("abcdefgh"), size)) + "#" * (i < marks) for i in range(80))
+    rows = [(i, text(4 + i % 3, 0), "en", "plain") for i in range(900)] + [(1000 + i, text(14 + i % 3, 0), "en", "long") for i in range(300)]
+    rows += [(5000, text(5, 0), "en", "tiny"), (5001, text(60, 0), "en", "tiny"), (5002, text(5, 70), "en", "tiny"), (5003, text(5, 3), "en", "tiny"), (5004, text(15, 0), "en", "plain")]
+    schema = "doc_id long, text string, lang string, source string"
+    once = {r["doc_id"] for r in quality.quality_filter(spark.createDataFrame(rows, schema)).collect()}
+    assert once == {r[0] for r in rows} - {5001, 5002, 5004}
+    many = spark.createDataFrame([(d + 10_000 * c, *rest) for c in range(10) for d, *rest in rows if d < 5000] + [r for r in rows if r[0] >= 5000], schema)
+    assert {d for d in once if d >= 5000} == {r["doc_id"] for r in quality.quality_filter(many).collect() if 5000 <= r["doc_id"] < 6000}
+
+
 def test_sketches_merge_in_any_order(spark, awkward):
     measured, names = quality.measure(awkward)
     rules = quality.Rules(min_words=1)
@@ -268,6 +281,12 @@ def test_full_texts_and_any_copyright_head_are_known(spark):
     assert len(got) == len(cases) and not wrong
 
 
+def test_notices_belong_to_rows(spark):
+    rows = [(None, "Released under the MIT License."), (None, "bar"), (1, "x\nLicensed under CC BY 4.0."), (1, "y"), (1, "y")]
+    got = sorted(((r["doc_id"] or 0, r["notices"], r["n_notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()))
+    assert got == [(0, "", 0), (0, "MIT", 1), (1, "", 0), (1, "CC-BY-4.0", 1)]
+
+
 # 5 source mix
 
 

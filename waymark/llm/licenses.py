@@ -11,8 +11,8 @@ Full texts of common licences lie in ``texts``, one file for each, named by lice
 
 Edge cases: a null or empty text has the digest of nothing and no licence; texts of any length are
 digested whole; the known texts are joined by digest, so two names for one canonical text both
-count and the smaller name is reported; repeated rows and equal ids are reported together, once
-per distinct (id, digest); an empty table gives an empty result; other columns play no part.
+count and the smaller name is reported; repeated rows are reported once, with their notices once for
+each of them; rows with equal or null ids and different texts are reported each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -147,22 +147,23 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     """
     full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     held = F.when(_marked(F.lower(full)), held_digest(full))  # else both forms are one
-    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical_lines(full).alias("lines"), held.alias("held"))
+    ref = F.xxhash64(F.col(f"`{doc_id}`"), full)  # notices belong to a row; its id may be null or shared
+    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), ref.alias("ref"), canonical_lines(full).alias("lines"), held.alias("held"))
     md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
     none = F.lit(None).cast("string")
     entry = lambda of, look: F.struct(of.alias("of"), look.alias("digest"))
-    entries = lines.select("doc_id", "held", md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", lambda line: md5(line)).alias("lines")).select(
-        "doc_id", F.explode(F.concat(
+    entries = lines.select("doc_id", "ref", "held", md5(F.array_join("lines", " ")).alias("whole"), F.transform("lines", lambda line: md5(line)).alias("lines")).select(
+        "doc_id", "ref", F.explode(F.concat(
             F.array(entry(F.col("whole"), F.col("whole"))),
             F.when(F.col("held") != F.col("whole"), F.array(entry(F.col("whole"), F.col("held")))).otherwise(F.array().cast("array<struct<of:string,digest:string>>")),
             F.transform("lines", lambda d: entry(none, d)),
         )).alias("e"),
-    ).select("doc_id", "e.*")
+    ).select("doc_id", "ref", "e.*")
     met = cut(entries.join(known, "digest", "left").where(F.col("of").isNotNull() | F.col("licence").isNotNull()), "licences")
-    whole = met.where("of IS NOT NULL").groupBy("doc_id", F.col("of").alias("digest")).agg(F.min("licence").alias("licence"))
-    found = met.where("of IS NULL").groupBy(F.col("doc_id").alias("_of")).agg(
+    whole = met.where("of IS NOT NULL").groupBy("doc_id", "ref", F.col("of").alias("digest")).agg(F.min("licence").alias("licence"))
+    found = met.where("of IS NULL").groupBy("ref").agg(
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count("*").alias("n_notices"),
     )
-    return whole.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(
+    return whole.join(found, "ref", "left").select(
         "doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
     )

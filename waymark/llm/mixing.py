@@ -149,4 +149,4 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "
     left = docs.select(*own, F.col(f"`{doc_id}`").cast("long").alias(my_id), word_count(text_or_empty(f"`{text}`")).alias(my_size))
     left = left.withColumn(my_nth, F.row_number().over(W.partitionBy(my_id, my_size).orderBy(F.xxhash64(f"`{text}`"))))
     j = left.join(right, F.col(my_id).eqNullSafe(F.col(id_)) & (F.col(my_size) == F.col(size)) & (F.col(my_nth) == F.col(nth)))
-    return j.select(*own, F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int")))).select(*own)
+    return j.select(*own, F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int"))).alias(free_name(docs, "_copy"))).select(*own)

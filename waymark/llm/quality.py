@@ -2,10 +2,11 @@
 
 Each document gets counts and rates. A rate's sketch is a histogram over logarithmic bins, so
 sketches of tasks, sources and languages merge by adding counts, give the same bins whatever the
-merge order, and hold a bounded number of bins. From the sketch of its (language, source) a rule
-takes the quartiles and sets a fence beyond them; a source with few documents uses the merged
-sketch of its language, and a rare language the sketch of everything. The fences are joined back
-and documents outside them are rejected.
+merge order, and hold a bounded number of bins. A (language, source) is judged by its own sketch
+blended with its language's, which is blended with that of everything, each as a fixed number of
+documents: no size switches between them, and a small source is judged like its language. A fence
+lies beyond a high (or low) quantile of the blend, by a multiple of that quantile's distance from the
+median. The fences are joined back and documents outside them are rejected.
 
 Edge cases: a null text counts as empty (no words, base rule fails); null language and source are
 groups of their own; repeated rows are judged one by one; an empty table gives an empty result;
@@ -29,27 +30,31 @@ LOWEST = -12.0  # rates below exp(-12), zero included, share the lowest bin
 
 @dataclass(frozen=True)
 class Fence:
-    """A rate is an outlier beyond its quartiles by ``reach`` quartile distances, but at least by ``margin``."""
+    """A rate is an outlier beyond a high (or low) quantile by ``reach`` times that quantile's distance from the median.
+
+    ``spare`` occurrences more are allowed to every document, so that a rate which is zero nearly
+    everywhere does not turn single characters into outliers.
+    """
 
     rate: str
+    quantile: float
     reach: float
-    margin: float
-    low: bool = False
+    spare: int = 0
 
 
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    enough: int = 400  # documents that a source or language needs for a sketch of its own
+    prior: int = 200  # documents that the language's sketch counts for in a source's, and that of all in a language's
     fences: tuple[Fence, ...] = field(default=(
-        Fence("word_length", 6.0, 2.0),
-        Fence("word_length", 6.0, 2.0, low=True),
-        Fence("symbol_rate", 6.0, 0.15),
-        Fence("mark_rate", 6.0, 0.5),
-        Fence("upper_share", 6.0, 0.4),
-        Fence("line_share", 6.0, 0.4),
-        Fence("repeat_share", 6.0, 0.45),
+        Fence("word_length", 0.9, 3.0),
+        Fence("word_length", 0.1, 3.0),
+        Fence("symbol_rate", 0.9, 3.0, spare=5),
+        Fence("mark_rate", 0.9, 3.0, spare=5),
+        Fence("upper_share", 0.99, 1.0, spare=5),
+        Fence("line_share", 0.99, 1.0, spare=2),
+        Fence("repeat_share", 0.99, 1.0, spare=5),
     ))
 
 
@@ -113,6 +118,10 @@ def rates(names: dict[str, str]) -> dict[str, Column]:
     }
 
 
+#: What a rate's denominator counts.
+UNITS = {"word_length": "n_words", "symbol_rate": "n_words", "mark_rate": "n_words", "upper_share": "word_chars", "line_share": "n_lines", "repeat_share": "n_words"}
+
+
 def base_failed(names: dict[str, str], rules: Rules) -> Column:
     n = F.col(f"`{names['n_words']}`")
     return (n < rules.min_words) | (100 * F.col(f"`{names['n_repeat_words']}`") > rules.max_repeat_percent * n)
@@ -124,9 +133,14 @@ def _bin(rate: Column) -> Column:
     return F.floor(logged * BINS_PER_E + F.lit(1e-6)).cast("int")
 
 
-def _value(bin_: Column) -> Column:
-    """Middle of a bin; the lowest one stands for zero."""
-    return F.when(bin_ <= LOWEST * BINS_PER_E, F.lit(0.0)).otherwise(F.exp((bin_ + 0.5) / BINS_PER_E))
+def edge(quantile: float) -> float:
+    """Where in a bin a quantile is taken to lie: the outer edge for a fence, so that none parts a bin, else the middle."""
+    return 1.0 if quantile > 0.5 else -0.001 if quantile < 0.5 else 0.5
+
+
+def _value(bin_: Column, at: float) -> Column:
+    """A place in a bin; the lowest bin stands for zero."""
+    return F.when(bin_ <= LOWEST * BINS_PER_E, F.lit(0.0)).otherwise(F.exp((bin_ + F.lit(at)) / BINS_PER_E))
 
 
 def sketches(measured: DataFrame, names: dict[str, str], rules: Rules, lang: str, source: str) -> DataFrame:
@@ -138,32 +152,46 @@ def sketches(measured: DataFrame, names: dict[str, str], rules: Rules, lang: str
     return binned.groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each merged sketch, from cumulative counts over its few hundred bins."""
+def _blended(own: DataFrame, keys: list[str], base: DataFrame, base_keys: list[str], prior: int) -> DataFrame:
+    """Sketches per ``keys`` with the base sketch added as so many documents: (keys, rate, bin, n)."""
+    of = F.sum("n").over(W.partitionBy(*base_keys, "rate"))
+    shares = base.select(*[F.col(k).alias(f"_{k}") for k in base_keys], F.col("rate").alias("_rate"), "bin", (F.col("n") / of * prior).alias("n"))
+    same = F.col("rate") == F.col("_rate")
+    for k in base_keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    added = own.select(*keys, "rate").distinct().join(shares, same).select(*keys, "rate", "bin", "n")
+    return own.withColumn("n", F.col("n").cast("double")).unionByName(added).groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
+
+
+def _quantiles(sketch: DataFrame, keys: list[str], fences: tuple[Fence, ...]) -> DataFrame:
+    """(keys, rate, m, and q0, q1, ... of the fences), from cumulative counts over a sketch's few hundred bins."""
     by = W.partitionBy(*keys, "rate")
     upto = by.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
-    c = merged.select(*keys, "rate", "bin", F.sum("n").over(upto).alias("c"), F.sum("n").over(by).alias("t"))
-    at = lambda q: _value(F.min(F.when(F.col("c") >= F.col("t") * q, F.col("bin"))))
-    return c.groupBy(*keys, "rate").agg(F.max("t").alias("docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    c = sketch.select(*keys, "rate", "bin", F.sum("n").over(upto).alias("c"), F.sum("n").over(by).alias("t"))
+    at = lambda q: _value(F.min(F.when(F.col("c") >= F.col("t") * (q - 1e-9), F.col("bin"))), edge(q))
+    return c.groupBy(*keys, "rate").agg(at(0.5).alias("m"), *[at(f.quantile).alias(f"q{i}") for i, f in enumerate(fences)])
 
 
 def thresholds(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """(lang, source, limits): lower and upper limit of each rate, null where there is none."""
-    up = {f.rate: f for f in rules.fences if not f.low}
-    down = {f.rate: f for f in rules.fences if f.low}
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("rate").alias("r"), *[F.col(c).alias(f"l_{c}") for c in ("docs", "q1", "q3")])
-    whole = _quartiles(sketch, []).select(F.col("rate").alias("w"), *[F.col(c).alias(f"w_{c}") for c in ("q1", "q3")])
-    j = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r"))).join(whole, F.col("rate") == F.col("w"))
-    pick = lambda c: F.when(F.col("docs") >= rules.enough, F.col(c)).when(F.col("l_docs") >= rules.enough, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    j = j.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    beyond = lambda f: F.greatest((F.col("q3") - F.col("q1")) * f.reach, F.lit(f.margin))
-    is_ = lambda f: F.col("rate") == f.rate
-    return j.groupBy("lang", "source").agg(
-        *[F.max(F.when(is_(f), F.col("q3") + beyond(f))).alias(f"hi_{r}") for r, f in up.items()],
-        *[F.max(F.when(is_(f), F.col("q1") - beyond(f))).alias(f"lo_{r}") for r, f in down.items()],
-    )
+    """(lang, source, f0, f1, ...): the limit of every fence.
+
+    Nothing switches by size: a source's sketch is its own counts and, as ``prior`` documents, its
+    language's, which holds that of all in the same way. A small source is judged like its language.
+    """
+    merged = lambda keys: sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
+    langs = _blended(merged(["lang"]), ["lang"], merged([]), [], rules.prior)
+    found = _quantiles(_blended(sketch, ["lang", "source"], langs, ["lang"], rules.prior), ["lang", "source"], rules.fences)
+    limit = lambda i, f: F.col(f"q{i}") + (F.col(f"q{i}") - F.col("m")) * f.reach
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == f.rate, limit(i, f))).alias(f"f{i}") for i, f in enumerate(rules.fences)])
+
+
+def beyond(names: dict[str, str], rules: Rules, limit) -> list[Column]:
+    """For every fence, whether a document lies outside of it; ``limit`` gives the column of a fence's number."""
+    value, out = rates(names), []
+    for i, f in enumerate(rules.fences):
+        spare = F.lit(float(f.spare)) / F.greatest(F.col(f"`{names[UNITS[f.rate]]}`"), F.lit(1))
+        out.append(F.coalesce((value[f.rate] < limit(i) - spare) if f.quantile < 0.5 else (value[f.rate] > limit(i) + spare), F.lit(False)))
+    return out
 
 
 def judge(measured: DataFrame, names: dict[str, str], rules: Rules = Rules(), lang: str = "lang", source: str = "source") -> DataFrame:
@@ -174,15 +202,14 @@ def judge(measured: DataFrame, names: dict[str, str], rules: Rules = Rules(), la
     """
     g_lang, g_source, g_limits = (free_name(measured, n) for n in ("_g_lang", "_g_source", "_g_limits"))
     limits = thresholds(sketches(measured, names, rules, lang, source), rules).select(
-        F.col("lang").alias(g_lang), F.col("source").alias(g_source), F.struct(*[f"{'lo' if f.low else 'hi'}_{f.rate}" for f in rules.fences]).alias(g_limits)
+        F.col("lang").alias(g_lang), F.col("source").alias(g_source), F.struct(*[f"f{i}" for i in range(len(rules.fences))]).alias(g_limits)
     )
     j = measured.join(
         limits, F.col(f"`{lang}`").eqNullSafe(F.col(g_lang)) & F.col(f"`{source}`").eqNullSafe(F.col(g_source)), "left"
     )
-    value, bad = rates(names), F.lit(False)
-    for f in rules.fences:
-        limit = F.col(f"{g_limits}.{'lo' if f.low else 'hi'}_{f.rate}")
-        bad = bad | F.coalesce((value[f.rate] < limit) if f.low else (value[f.rate] > limit), F.lit(False))
+    bad = F.lit(False)
+    for outside in beyond(names, rules, lambda i: F.col(f"{g_limits}.f{i}")):
+        bad = bad | outside
     failed = base_failed(names, rules)
     return j.select(*[F.col(f"`{c}`") for c in measured.columns], failed.alias(free_name(measured, "base_failed")), (~failed & ~bad).alias(free_name(measured, "kept")))
 

@@ -18,17 +18,13 @@ def _quality_sql(rules: quality.Rules = quality.Rules()) -> str:
     bins = " UNION ALL ".join(
         f"SELECT lang, source, '{r}' AS rate, CAST(floor((CASE WHEN {r} > 0 THEN greatest(ln({r}), {quality.LOWEST}) ELSE {quality.LOWEST} END) * {per} + 1e-6) AS INT) AS bin FROM rated WHERE NOT base_failed" for r in rates
     )
-    value = f"CASE WHEN min(bin) FILTER (c >= t * {{q}}) <= {quality.LOWEST * per} THEN 0.0 ELSE exp((min(bin) FILTER (c >= t * {{q}}) + 0.5) / {per}) END"
+    value = f"CASE WHEN min(bin) FILTER (c >= t * ({{q}} - 1e-9)) <= {quality.LOWEST * per} THEN 0.0 ELSE exp((min(bin) FILTER (c >= t * ({{q}} - 1e-9)) + {{edge}}) / {per}) END"
+    quantiles = ", ".join(f"{value.format(q=f.quantile, edge=quality.edge(f.quantile))} AS q{i}" for i, f in enumerate(rules.fences))
+    limits = ", ".join(f"max(q{i} + (q{i} - m) * {f.reach}) FILTER (rate = '{f.rate}') AS f{i}" for i, f in enumerate(rules.fences))
 
-    def quartiles(keys: str, cols: str) -> str:
-        k = f"{cols}, " if cols else ""
-        return f"""SELECT {k}rate, max(t) AS docs, {value.format(q=0.25)} AS q1, {value.format(q=0.75)} AS q3 FROM (
-          SELECT {k}rate, bin, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS c, sum(n) OVER (PARTITION BY {keys}) AS t FROM (
-            SELECT {k}rate, bin, count(*) AS n FROM bins GROUP BY ALL)) GROUP BY ALL"""
-
-    def bad(f: quality.Fence) -> str:
-        limit = f"q1_{f.rate} - greatest((q3_{f.rate} - q1_{f.rate}) * {f.reach}, {f.margin})" if f.low else f"q3_{f.rate} + greatest((q3_{f.rate} - q1_{f.rate}) * {f.reach}, {f.margin})"
-        return f"coalesce({f.rate} {'<' if f.low else '>'} {limit}, false)"
+    def bad(i: int, f: quality.Fence) -> str:
+        spare = f"{f.spare}e0 / greatest({quality.UNITS[f.rate]}, 1)"
+        return f"coalesce({f.rate} < f{i} - {spare}, false)" if f.quantile < 0.5 else f"coalesce({f.rate} > f{i} + {spare}, false)"
 
     return f"""
     WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -42,14 +38,18 @@ def _quality_sql(rules: quality.Rules = quality.Rules()) -> str:
       FROM (SELECT *, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM words) LEFT JOIN cover USING (doc_id)),
     rated AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, {', '.join(f'{x} AS {r}' for r, x in rates.items())} FROM counted),
     bins AS ({bins}),
-    own AS ({quartiles('lang, source, rate', 'lang, source')}), by_lang AS ({quartiles('lang, rate', 'lang')}), whole AS ({quartiles('rate', '')}),
-    picked AS (
-      SELECT own.lang, own.source, own.rate,
-        CASE WHEN own.docs >= {rules.enough} THEN own.q1 WHEN by_lang.docs >= {rules.enough} THEN by_lang.q1 ELSE whole.q1 END AS q1,
-        CASE WHEN own.docs >= {rules.enough} THEN own.q3 WHEN by_lang.docs >= {rules.enough} THEN by_lang.q3 ELSE whole.q3 END AS q3
-      FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.rate = by_lang.rate JOIN whole ON own.rate = whole.rate),
-    limits AS (SELECT lang, source, {', '.join(f"max(q1) FILTER (rate = '{r}') AS q1_{r}, max(q3) FILTER (rate = '{r}') AS q3_{r}" for r in rates)} FROM picked GROUP BY lang, source)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(bad(f) for f in rules.fences)}) AS kept
+    own AS (SELECT lang, source, rate, bin, count(*) AS n FROM bins GROUP BY ALL), by_lang AS (SELECT lang, rate, bin, sum(n) AS n FROM own GROUP BY ALL), whole AS (SELECT rate, bin, sum(n) AS n FROM own GROUP BY ALL),
+    langs AS (SELECT lang, rate, bin, sum(n) AS n FROM (
+      SELECT lang, rate, bin, n::DOUBLE AS n FROM by_lang
+      UNION ALL SELECT l.lang, l.rate, w.bin, w.n * {rules.prior}e0 / w.t FROM (SELECT DISTINCT lang, rate FROM by_lang) l JOIN (SELECT *, sum(n) OVER (PARTITION BY rate) AS t FROM whole) w ON w.rate = l.rate) GROUP BY ALL),
+    blended AS (SELECT lang, source, rate, bin, sum(n) AS n FROM (
+      SELECT lang, source, rate, bin, n::DOUBLE AS n FROM own
+      UNION ALL SELECT o.lang, o.source, o.rate, l.bin, l.n * {rules.prior}e0 / l.t FROM (SELECT DISTINCT lang, source, rate FROM own) o
+        JOIN (SELECT *, sum(n) OVER (PARTITION BY lang, rate) AS t FROM langs) l ON l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang) GROUP BY ALL),
+    picked AS (SELECT lang, source, rate, {value.format(q=0.5, edge=quality.edge(0.5))} AS m, {quantiles} FROM (
+      SELECT lang, source, rate, bin, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bin) AS c, sum(n) OVER (PARTITION BY lang, source, rate) AS t FROM blended) GROUP BY ALL),
+    limits AS (SELECT lang, source, {limits} FROM picked GROUP BY lang, source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(bad(i, f) for i, f in enumerate(rules.fences))}) AS kept
     FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source"""
 
 
@@ -64,12 +64,12 @@ def _licence_sql() -> str:
 
     return f"""
     WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {digest('text')} AS digest FROM (VALUES {known}) v(licence, text)) GROUP BY digest),
-    base AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-    whole AS (SELECT DISTINCT doc_id, {digest('body')} AS digest FROM base),
-    lines AS (SELECT doc_id, {digest('line')} AS digest FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM base)),
-    found AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices, count(*) AS n_notices FROM lines JOIN known USING (digest) GROUP BY doc_id)
+    base AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, body, copies FROM (SELECT doc_id, coalesce(text, '') AS body, count(*) AS copies FROM documents GROUP BY ALL)),
+    whole AS (SELECT r, doc_id, {digest('body')} AS digest FROM base),
+    lines AS (SELECT r, copies, {digest('line')} AS digest FROM (SELECT r, copies, unnest(string_split(body, chr(10))) AS line FROM base)),
+    found AS (SELECT r, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices, CAST(sum(copies) AS BIGINT) AS n_notices FROM lines JOIN known USING (digest) GROUP BY r)
     SELECT doc_id, whole.digest AS digest, known.licence AS licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
-    FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN found USING (doc_id)"""
+    FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN found USING (r)"""
 
 
 TOP_K = """
