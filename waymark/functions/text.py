@@ -73,10 +73,8 @@ def host(url: Column) -> Column:
 
 def allowed_host(name: Column, domains: list[str] = K.ALLOWED_DOMAINS) -> Column:
     """Exact domain or dot-suffix; the suffixes of a host are few, so test set membership."""
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(F.split(name, r"\."))),
-        lambda i: F.array_join(F.slice(F.split(name, r"\."), i, F.lit(1000)), "."),
-    )
+    labels = F.split(name, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.coalesce(F.exists(suffixes, lambda s: s.isin(domains)), F.lit(False))
 
 

@@ -35,8 +35,10 @@ def one_of(name: str, values) -> Rule:
     return Rule(f"{name}_allowed", F.col(name).isNull() | F.col(name).isin(list(values)))
 
 
-def length(name: str, low: int, high: int = 1_000_000) -> Rule:
-    return Rule(f"{name}_length", F.col(name).isNull() | F.length(name).between(low, high))
+def length(name: str, low: int, high: int | None = None) -> Rule:
+    """At least ``low`` characters, and at most ``high`` where it is given."""
+    n = F.length(name)
+    return Rule(f"{name}_length", F.col(name).isNull() | ((n >= low) if high is None else n.between(low, high)))
 
 
 def starts(name: str, prefix: str) -> Rule:

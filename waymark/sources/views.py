@@ -220,7 +220,7 @@ def activities(spark: SparkSession, root: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    """Documents over all cores: text work is heavy per row and small files come in one split."""
+    """The columns of the documents that the queries use."""
     return table(spark, root, "documents").select("doc_id", "lang", "source", "text")
 
 
