@@ -7,6 +7,8 @@ import statistics
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from waymark.operators import days as D
 from waymark.operators import fairness as G
 
@@ -125,7 +127,7 @@ def brute_clusters(points, k):
     assign = [min(range(k), key=lambda c: (dist(p, centres[c]), c)) for p in xy]
     n = len(order)
     upper, lower = math.ceil(n / k * 1.4), max(1, math.floor(n / k * 0.5))
-    while True:
+    for _ in range(n):
         sizes = [assign.count(c) for c in range(k)]
         over, under = [c for c in range(k) if sizes[c] > upper], [c for c in range(k) if sizes[c] < lower]
         if not over or not under:
@@ -149,19 +151,43 @@ def test_balanced_days_equal_brute_force(spark):
             rows.append((trip, trip * 100 + i, lat, lon, days, ((i * 37 + trip * 11) % 100) / 100))
     items = spark.createDataFrame(rows, "trip bigint, place bigint, lat double, lon double, days int, score double")
     got = {}
-    for r in D.balance(D.day_clusters(items, 60, until_stable=True)).collect():
+    days = {}
+    for r in D.day_clusters(items, balanced=True).collect():
         got.setdefault(r["trip"], {})[r["place"]] = r["c"]
-    points = {}
-    for r in D.project(items).collect():
-        points.setdefault((r["trip"], r["k"]), []).append(r.asDict())
+        days.setdefault(r["trip"], {})[r["place"]] = r["day"]
+    points = {(r["trip"], r["k"]): [p.asDict() for p in r["points"]] for r in D.project(items).collect()}
     assert len(points) == len(got)
     for (trip, k), mine in points.items():
         assert got[trip] == brute_clusters(mine, k), trip
+        groups = list(got[trip].values())
+        largest_first = sorted(range(k), key=lambda c: (-groups.count(c), c))
+        assert days[trip] == {p: largest_first.index(c) for p, c in got[trip].items()}
+
+
+def test_days_of_one_place_and_of_equal_places(spark):
+    schema = "trip bigint, place bigint, lat double, lon double, days int, score double"
+    rows = [(1, 7, 12.0, 77.0, 4, 0.5)] + [(2, i, 12.0, 77.0, 3, 0.5) for i in range(5)]
+    got = {(r["trip"], r["place"]): r["c"] for r in D.day_clusters(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1, 7] == 0 and [got[2, i] for i in range(5)] == [0] * 5
+    assert D.day_clusters(spark.createDataFrame([], schema), balanced=True).count() == 0
+    rows = [(1, i, 12.0 + i // 3, 77.0, 2, 1.0 - i / 10) for i in range(6)]
+    lost = rows + [(1, 9, None, None, 2, 0.1)]
+    got = {r["place"]: r["c"] for r in D.day_clusters(spark.createDataFrame(lost, schema)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 9: 0}
+
+
+def test_one_run_of_picks_serves_every_smaller_size(grid, spark):
+    scores = spark.createDataFrame([(1, 1, 0.6, False), (1, 2, 0.5, False), (1, 3, 1.4, True), (1, 4, 0.55, False)], "trip bigint, place bigint, total double, mandatory boolean")
+    picks = G.select_fairly(grid, scores, 4)
+    for k in (1, 2, 3, 4):
+        alone = sorted((r["step"], r["place"]) for r in G.select_fairly(grid, scores.selectExpr("*", f"{k} AS wanted"), "wanted").collect())
+        assert alone == sorted((r["step"], r["place"]) for r in G.chosen_first(picks, F.lit(k)).collect())
+    assert G.chosen_first(picks, F.lit(0)).first()["place"] == 3  # a mandatory place stays
 
 
 def test_shuffled_input_gives_the_same_days(spark):
     rows = [(1, i, 12 + (i % 4) * 0.1, 77 + (i % 3) * 0.1, 3, i / 20) for i in range(10)]
     schema = "trip bigint, place bigint, lat double, lon double, days int, score double"
-    a = D.day_clusters(spark.createDataFrame(rows, schema), 2).select("place", "c")
-    b = D.day_clusters(spark.createDataFrame(rows[::-1], schema).repartition(3), 2).select("place", "c")
+    a = D.day_clusters(spark.createDataFrame(rows, schema)).select("place", "c")
+    b = D.day_clusters(spark.createDataFrame(rows[::-1], schema).repartition(3)).select("place", "c")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -40,6 +40,11 @@ def clamp(col: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def jain(value: Column) -> Column:
     """Aggregate: (sum x)^2 / (n sum x^2) over non-negative parts."""
     x = F.greatest(F.lit(0.0), value)

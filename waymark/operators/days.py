@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import constants as K, geo
-from waymark.functions.stats import rnd
-from waymark.session import cut
+from waymark.functions.stats import bound, rnd
 
 
 def _dist(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -17,120 +14,106 @@ def _dist(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.floor(F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) * 1e6 + 0.5)
 
 
-def _nearest(centres: Column) -> Column:
+def _gap(a: Column, b: Column) -> Column:
+    return _dist(a["x"], a["y"], b["x"], b["y"])
+
+
+def _nearest(point: Column, centres: Column) -> Column:
     """Index of the nearest centre; the lowest on ties."""
-    ranked = F.transform(
-        centres, lambda s, i: F.struct(_dist(F.col("x"), F.col("y"), s["x"], s["y"]).alias("d"), i.alias("i"))
-    )
-    return F.array_min(ranked)["i"]
+    return F.array_min(F.transform(centres, lambda s, i: F.struct(_gap(point, s).alias("d"), i.alias("i"))))["i"]
 
 
 def project(items: DataFrame) -> DataFrame:
-    """Add planar kilometres and the number of groups ``k`` of each trip."""
-    ref = items.groupBy("trip").agg(F.avg("lat").alias("ref"), F.count("*").alias("n"))
-    return items.join(ref, "trip").select(
-        "trip", "place", "score", "n", geo.project_x(F.col("lat")).alias("x"), geo.project_y(F.col("lon"), F.col("ref")).alias("y"),
-        F.least(F.col("days"), F.col("n")).cast("int").alias("k"),
+    """One row a trip: its places by id in planar kilometres, and the number ``k`` of groups."""
+    ref = items.groupBy("trip").agg(
+        F.avg("lat").alias("ref"), F.least(F.greatest(F.lit(1), F.max("days")), F.count("*")).cast("int").alias("k")
     )
+    here = F.struct("place", geo.project_x(F.col("lat")).alias("x"), geo.project_y(F.col("lon"), F.col("ref")).alias("y"), "score")
+    return items.join(ref, "trip").groupBy("trip", "k").agg(F.array_sort(F.collect_list(here)).alias("points"))
 
 
-def seeds(points: DataFrame, most: int) -> DataFrame:
-    """Per trip: the best-scored place, then repeatedly the place furthest from all seeds."""
-    here = F.struct("place", "x", "y")
-    state = points.groupBy("trip").agg(
-        F.array(F.max_by(here, F.struct("score", (-F.col("place")).alias("p")))).alias("seeds")
-    )
-    for n in range(2, most + 1):
-        gap = F.array_min(F.transform("seeds", lambda s: _dist(F.col("x"), F.col("y"), s["x"], s["y"])))
-        free = (F.col("k") >= n) & ~F.array_contains(F.transform("seeds", lambda s: s["place"]), F.col("place"))
-        order = F.when(free, F.struct(gap.alias("d"), (-F.col("place")).alias("p")))
-        picked = points.join(state, "trip").groupBy("trip").agg(
-            F.any_value("seeds").alias("seeds"), F.max_by(F.when(free, here), order).alias("far")
-        )
-        state = picked.select("trip", F.array_compact(F.concat("seeds", F.array("far"))).alias("seeds"))
-    return state.select("trip", F.transform("seeds", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("centres"))
+def _seeds() -> Column:
+    """The best-scored place, then repeatedly the place furthest from all seeds."""
+    spot = lambda p: F.struct(p["place"].alias("place"), p["x"].alias("x"), p["y"].alias("y"))
+    first = F.array_max(F.transform("points", lambda p: F.struct(p["score"].alias("s"), (-p["place"]).alias("o"), spot(p).alias("at"))))["at"]
 
+    def further(seeds):
+        free = F.filter("points", lambda p: ~F.exists(seeds, lambda s: s["place"] == p["place"]))
+        far = F.array_max(F.transform(free, lambda p: F.struct(
+            F.array_min(F.transform(seeds, lambda s: _gap(p, s))).alias("d"), (-p["place"]).alias("o"), spot(p).alias("at")
+        )))["at"]
+        return F.array_compact(F.concat(seeds, F.array(far)))
 
-def _move_centres(points: DataFrame, state: DataFrame) -> DataFrame:
-    """One round: assign to the nearest centre, then average; an empty group keeps its centre."""
-    means = points.join(state, "trip").groupBy("trip", _nearest(F.col("centres")).alias("c")).agg(
-        F.any_value("centres").alias("centres"), F.avg("x").alias("x"), F.avg("y").alias("y")
-    )
-    found = means.groupBy("trip").agg(
-        F.any_value("centres").alias("centres"), F.map_from_entries(F.collect_list(F.struct("c", F.struct("x", "y")))).alias("moved")
-    )
-    return found.select("trip", F.transform("centres", lambda s, i: F.coalesce(F.try_element_at("moved", i), s)).alias("centres"))
+    chosen = F.aggregate(F.slice(F.sequence(F.lit(0), F.col("k")), 3, F.col("k")), F.array(first), lambda seeds, _: further(seeds))
+    return F.transform(chosen, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
 
 
-def day_clusters(items: DataFrame, rounds: int, until_stable: bool = False, check_every: int = 4) -> DataFrame:
-    """(trip, place, c, x, y, n, k, centres): all trips advance one round at a time.
+def _mean(points: Column, field: str) -> Column:
+    return F.aggregate(points, F.lit(0.0), lambda s, p: s + p[field]) / F.size(points)
 
-    ``items``: trip, place, lat, lon, days, score. With ``until_stable`` rounds end once no
-    centre moves; the state is written to the shared folder every few rounds.
-    """
-    points = project(items)
-    most = items.agg(F.max("days")).first()[0] or 1
-    state = seeds(points, most)
-    if not until_stable:
-        for _ in range(rounds - 1):
-            state = _move_centres(points, state)
-    else:
-        points = cut(points, "points")
-        moving, settled = cut(state, "centres"), []
-        for done in range(0, rounds, check_every):
-            after = moving.withColumnRenamed("centres", "was")
-            for _ in range(min(check_every, rounds - done)):
-                moving = _move_centres(points, moving)
-            both = cut(moving.join(after, "trip"), "centres")
-            settled.append(both.where("centres = was").select("trip", "centres"))
-            moving = both.where("centres <> was").select("trip", "centres")
-            if moving.isEmpty():
-                break
-        state = reduce(DataFrame.unionByName, settled, moving)
-    return points.join(state, "trip").withColumn("c", _nearest(F.col("centres")).cast("int"))
-
-
-def balance(assigned: DataFrame) -> DataFrame:
-    """Move single places from over-full to under-full groups of a trip, never far from home.
-
-    Every trip makes at most one move per round; trips that cannot move drop out, and the rounds
-    end with the first one in which nothing moves.
-    """
-    current, settled = cut(assigned, "assigned"), []
-    while True:
-        sizes = current.groupBy("trip", "c").agg(F.count("*").alias("size"), F.any_value("k").alias("k"), F.any_value("n").alias("n"))
-        per_trip = sizes.groupBy("trip").agg(
-            F.map_from_entries(F.collect_list(F.struct("c", "size"))).alias("sizes"), F.any_value("k").alias("k"), F.any_value("n").alias("n")
-        )
-        listed = F.transform(
-            F.sequence(F.lit(0), F.col("k") - 1),
-            lambda c: F.struct(F.coalesce(F.try_element_at("sizes", c), F.lit(0)).alias("size"), c.alias("c")),
-        )
-        upper, lower = F.ceil(F.col("n") / F.col("k") * 1.4), F.greatest(F.lit(1), F.floor(F.col("n") / F.col("k") * 0.5))
-        fullest = F.array_min(F.transform(F.filter("listed", lambda s: s["size"] > upper), lambda s: F.struct((-s["size"]).alias("o"), s["c"].alias("c"))))["c"]
-        thinnest = F.array_min(F.filter("listed", lambda s: s["size"] < lower))["c"]
-        moves = per_trip.withColumn("listed", listed).select("trip", fullest.alias("source"), thinnest.alias("target")).where("source is not null and target is not null")
-        centre = lambda name: F.element_at("centres", F.col(name) + 1)
-        extra = _dist(F.col("x"), F.col("y"), centre("target")["x"], centre("target")["y"]) - _dist(
-            F.col("x"), F.col("y"), centre("source")["x"], centre("source")["y"]
-        )
-        cheapest = current.join(moves, "trip").where("c = source").groupBy("trip").agg(
-            F.min(F.struct(extra.alias("extra"), "place", "target")).alias("m")
-        )
-        moved = cut(cheapest.where(F.col("m.extra") <= K.BALANCE_MOVE_KM * 1e6).select("trip", "m.place", F.col("m.target").alias("to")), "moves")
-        settled.append(current.join(moved.select("trip"), "trip", "left_anti"))
-        if moved.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
-        going = current.join(moved.select("trip"), "trip", "left_semi")
-        current = cut(going.join(moved, ["trip", "place"], "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "assigned")
 
+def _round(state: Column) -> Column:
+    """Every place to its nearest centre, every centre to the mean of its places; an empty group keeps its centre."""
 
-# ------------------------------------------------------------------ filling a day
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once for use in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    def recentre(group):
+        mine = lambda i: F.filter("points", lambda p, j: (F.get(group, j) == i) & p["x"].isNotNull() & p["y"].isNotNull())
+        centres = F.transform(state["centres"], lambda s, i: bound(mine(i), lambda m: F.when(F.size(m) == 0, s).otherwise(
+            F.struct(_mean(m, "x").alias("x"), _mean(m, "y").alias("y"))
+        )))
+        return F.struct(centres.alias("centres"), group.alias("grp"), (group != state["grp"]).alias("moving"))
+
+    return bound(F.transform("points", lambda p: _nearest(p, state["centres"])), recentre)
+
+
+def _level(state: Column) -> Column:
+    """One place from the fullest over-full to the thinnest under-full group, unless it would end up far from home."""
+    n, k = F.size("points"), F.col("k")
+    upper, lower = F.ceil(n / k * 1.4), F.greatest(F.lit(1), F.floor(n / k * 0.5))
+    sizes = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.struct(F.size(F.filter(state["grp"], lambda g: g == c)).alias("size"), c.alias("c")))
+    stop = F.struct(state["grp"].alias("grp"), F.lit(False).alias("moving"))
+
+    def between(ends):
+        centre = lambda c: F.get("centres", c)
+        extra = F.transform("points", lambda p, j: F.when(F.get(state["grp"], j) == ends["source"], F.struct(
+            (_gap(p, centre(ends["target"])) - _gap(p, centre(ends["source"]))).alias("extra"), j.alias("j")
+        )))
+        move = lambda best: F.when(best["extra"] <= K.BALANCE_MOVE_KM * 1e6, F.struct(
+            F.transform(state["grp"], lambda g, j: F.when(j == best["j"], ends["target"]).otherwise(g)).alias("grp"), F.lit(True).alias("moving")
+        )).otherwise(stop)
+        return F.when(ends["source"].isNull() | ends["target"].isNull(), stop).otherwise(bound(F.array_min(F.array_compact(extra)), move))
+
+    def ends_of(listed):
+        full = F.array_min(F.transform(F.filter(listed, lambda s: s["size"] > upper), lambda s: F.struct((-s["size"]).alias("o"), s["c"].alias("c"))))
+        return F.struct(full["c"].alias("source"), F.array_min(F.filter(listed, lambda s: s["size"] < lower))["c"].alias("target"))
 
+    return bound(bound(sizes, ends_of), between)
 
+
+def day_clusters(items: DataFrame, rounds: int = 60, balanced: bool = False) -> DataFrame:
+    """(trip, place, c, day): the places of each trip in as many geographic groups as it has days.
+
+    ``items``: trip, place, lat, lon, days, score; a place occurs once in a trip. Seeds, rounds until
+    no place changes its group and, if asked for, at most as many balancing moves as there are places
+    are folds over the one row of a trip, which holds the places of one circuit: no job per round.
+    ``day`` numbers the groups by falling size. A place without a position goes to the first group
+    and does not move its centre.
+    """
+    trips = project(items).withColumn("centres", _seeds())
+    start = F.struct("centres", F.transform("points", lambda p: F.lit(0)).alias("grp"), F.lit(True).alias("moving"))
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda a, _: F.when(a["moving"], _round(a)).otherwise(a))
+    trips = trips.withColumn("last", moved).select("trip", "k", "points", "last.centres", "last.grp")
+    if balanced:
+        begin = F.struct("grp", F.lit(True).alias("moving"))
+        trips = trips.withColumn("grp", F.aggregate("points", begin, lambda a, _: F.when(a["moving"], _level(a)).otherwise(a))["grp"])
+    sizes = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.struct((-F.size(F.filter("grp", lambda g: g == c))).alias("o"), c.alias("c")))
+    order = F.transform(F.array_sort(sizes), lambda s: s["c"])
+    placed = F.transform("points", lambda p, j: F.struct(
+        p["place"].alias("place"), F.get("grp", j).alias("c"), (F.array_position("order", F.get("grp", j)) - 1).cast("int").alias("day")
+    ))
+    return trips.withColumn("order", order).select("trip", F.inline(placed))
+
+
+# ------------------------------------------------------------------ filling a day
 def fill_day() -> Column:
     """Fold the score-ordered ``stops`` of a day into a schedule under clock, travel and fee limits.
 
@@ -163,7 +146,7 @@ def fill_day() -> Column:
                 affordable = s["mandatory"] | F.col("fee_budget").isNull() | (a["spent"] + s["fee"] <= F.col("fee_budget"))
                 taken = reachable & (begin <= s["latest"]) & (begin + s["service"] <= F.col("day_end")) & affordable
                 note = F.concat(F.when(a["n"] > 0, ",").otherwise(""), s["place"].cast("string"), F.lit("@"), begin.cast("string"))
-                return _let(taken, lambda t: F.struct(
+                return bound(taken, lambda t: F.struct(
                     F.when(t, begin + s["service"]).otherwise(b["clock"]).cast("int").alias("clock"),
                     F.when(t, s["lat"]).otherwise(a["lat"]).alias("lat"),
                     F.when(t, s["lon"]).otherwise(a["lon"]).alias("lon"),
@@ -175,9 +158,9 @@ def fill_day() -> Column:
                     F.when(t, F.concat(a["log"], note)).otherwise(a["log"]).alias("log"),
                 ))
 
-            return _let(F.struct(clock.cast("int").alias("clock"), minutes.cast("int").alias("minutes")), with_clock)
+            return bound(F.struct(clock.cast("int").alias("clock"), minutes.cast("int").alias("minutes")), with_clock)
 
-        return _let(hop(a["lat"], a["lon"], s["lat"], s["lon"]), with_leg)
+        return bound(hop(a["lat"], a["lon"], s["lat"], s["lon"]), with_leg)
 
     def finish(a):
         late_meal = F.greatest(a["clock"] + K.MEAL_TRAVEL, F.lit(K.MEAL_FROM)) + K.MEAL_MINUTES <= F.col("day_end")

@@ -14,9 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import clock, constants as K, geo
-from waymark.functions.stats import clamp, consensus, jain, lookup, rnd
+from waymark.functions.stats import bound, clamp, consensus, jain, lookup, rnd
 from waymark.operators import shaping as S
-from waymark.session import cut
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -128,44 +127,90 @@ def deficits(coverage: DataFrame) -> DataFrame:
     )
 
 
-def select_fairly(grid: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """(trip, place, step): mandatory places first, then ``k`` rounds of the best marginal pick.
+def _with_pick(state: Column, item: Column) -> Column:
+    """``state`` after one more place: its number, each member's five best utilities and wishes met."""
+    mine = lambda i: F.filter(item["votes"], lambda v: v["i"] == i)
+    return F.struct(
+        F.concat(state["picked"], F.array(item["place"])).alias("picked"),
+        F.transform(
+            state["best"], lambda b, i: F.slice(F.sort_array(F.concat(b, F.transform(mine(i), lambda v: v["u"])), False), 1, 5)
+        ).alias("best"),
+        F.transform(state["met"], lambda n, i: n + F.aggregate(mine(i), F.lit(0), lambda s, v: s + v["wished"])).alias("met"),
+    )
+
+
+def _worth(state: Column, item: Column) -> Column:
+    """What a place would add: the satisfaction of its members with it, mixed with its own score."""
+
+    def value(v):
+        held = F.concat(F.get(state["best"], v["i"]), F.array(v["u"]))
+        five = F.slice(F.sort_array(held, False), 1, 5)
+        mean = F.aggregate(five, F.lit(0.0), lambda s, x: s + x) / F.size(five)
+        honoured = (F.get(state["met"], v["i"]) + v["wished"]) / v["wishes"]
+        return rnd(F.least(F.lit(1.0), F.when(v["wishes"] > 0, 0.7 * mean + 0.3 * honoured).otherwise(mean)), 6)
+
+    def mixed(values):
+        mean = rnd(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values), 6)
+        objective = K.ALPHA * mean + (1 - K.ALPHA) * F.array_min(values)
+        return rnd((1 - K.ITEM_WEIGHT) * objective + K.ITEM_WEIGHT * item["score"], 9)
+
+    return bound(F.transform(item["votes"], value), mixed)
+
+
+def select_fairly(grid: DataFrame, scores: DataFrame, k: int | str) -> DataFrame:
+    """(trip, place, step): mandatory places (step 0) first, then the best marginal pick until ``k`` are chosen.
 
-    ``scores`` carries (trip, place, total, mandatory). A round evaluates every remaining place
-    of every trip at once; its picks are written to the shared folder, so the plan of a round
-    never contains the rounds before it.
+    ``scores`` carries (trip, place, total, mandatory); ``k`` is a number or the name of a column of
+    ``scores`` that holds one per trip. A trip meets the places of one circuit and its own travellers
+    only, so all of it fits one row, and the picks are one fold over that row: no job per pick. The
+    picks do not depend on ``k``, so one run serves every smaller number through ``chosen_first``.
     """
-    scores = cut(scores, "scores")
-    scale = scores.groupBy("trip").agg(F.max(F.abs("total")).alias("top"))
-    scaled = (scores.join(scale, "trip").select(
-        "trip", "place", "mandatory", F.coalesce(F.try_divide(F.col("total"), F.col("top")), F.lit(0.0)).alias("score")
+    size = F.col(k) if isinstance(k, str) else F.lit(k)
+    scale = scores.groupBy("trip").agg(F.max(F.abs("total")).alias("top"), F.max(size).cast("int").alias("most"))
+    wished = F.coalesce(F.array_contains("must_places", F.col("place")).cast("int"), F.lit(0))
+    vote = F.struct("member", "u", wished.alias("wished"), wishes().alias("wishes"))
+    voted = grid.groupBy("trip", "place").agg(F.array_sort(F.collect_list(vote)).alias("votes"))
+    items = scores.select("trip", "place", "mandatory", "total").join(scale, "trip").join(voted, ["trip", "place"], "left").groupBy("trip").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "place", "mandatory", F.coalesce(F.try_divide(F.col("total"), F.col("top")), F.lit(0.0)).alias("score"),
+            F.coalesce("votes", F.array().cast("array<struct<member:bigint,u:double,wished:int,wishes:int>>")).alias("votes"),
+        ))).alias("items"),
+        F.max("most").alias("most"),
+    )
+    people = F.array_sort(F.array_distinct(F.flatten(F.transform("items", lambda t: F.transform(t["votes"], lambda v: v["member"])))))
+    seat = lambda v: (F.array_position("people", v["member"]) - 1).cast("int").alias("i")
+    seated = F.transform("items", lambda t: F.struct(
+        t["place"].alias("place"), t["mandatory"].alias("mandatory"), t["score"].alias("score"),
+        F.transform(t["votes"], lambda v: F.struct(seat(v), v["u"].alias("u"), v["wished"].alias("wished"), v["wishes"].alias("wishes"))).alias("votes"),
     ))
-    chosen = scaled.where("mandatory").select("trip", "place", F.lit(0).alias("step"))
-    wished = F.array_contains("must_places", F.col("place"))
-    g = cut(grid.select("trip", "member", wishes().alias("wishes"), F.coalesce(wished.cast("int"), F.lit(0)).alias("wished"), "place", "u"), "grid")
-    for step in range(1, k + 1):
-        chosen = cut(chosen, "picks")
-        counts = chosen.groupBy("trip").agg(F.count("*").alias("n"))
-        state = g.join(chosen.select("trip", "place"), ["trip", "place"]).groupBy("trip", "member").agg(
-            F.slice(F.sort_array(F.collect_list("u"), False), 1, 5).alias("top"),
-            F.sum("wished").alias("kept"),
-        )
-        open_trips = scaled.select("trip").distinct().join(counts.where(F.col("n") >= k), "trip", "left_anti")
-        pool = g.join(open_trips, "trip").join(chosen.select("trip", "place"), ["trip", "place"], "left_anti")
-        tried = pool.join(state, ["trip", "member"], "left")
-        trial = F.slice(F.sort_array(F.concat(F.coalesce("top", F.array().cast("array<double>")), F.array("u")), False), 1, 5)
-        mean = F.aggregate(trial, F.lit(0.0), lambda s, x: s + x) / F.size(trial)
-        honoured = (F.coalesce("kept", F.lit(0)) + F.col("wished")) / F.col("wishes")
-        value = F.when(F.col("wishes") > 0, 0.7 * mean + 0.3 * honoured).otherwise(mean)
-        outcome = tried.select("trip", "place", rnd(F.least(F.lit(1.0), value), 6).alias("value")).groupBy("trip", "place").agg(
-            (K.ALPHA * rnd(F.avg("value"), 6) + (1 - K.ALPHA) * F.min("value")).alias("objective")
-        )
-        worth = rnd((1 - K.ITEM_WEIGHT) * F.col("objective") + K.ITEM_WEIGHT * F.col("score"), 9)
-        best = outcome.join(scaled, ["trip", "place"]).groupBy("trip").agg(
-            F.max_by("place", F.struct(worth.alias("worth"), (-F.col("place")).alias("p"))).alias("place")
-        )
-        chosen = chosen.unionByName(best.select("trip", "place", F.lit(step).alias("step")))
-    return chosen
+    nobody = F.struct(
+        F.array().cast("array<bigint>").alias("picked"),
+        F.transform("people", lambda m: F.array().cast("array<double>")).alias("best"),
+        F.transform("people", lambda m: F.lit(0)).alias("met"),
+    )
+
+    def pick(state):
+        rest = F.filter("items", lambda t: (F.size(t["votes"]) > 0) & ~F.array_contains(state["picked"], t["place"]))
+        ranked = F.transform(rest, lambda t: F.struct(_worth(state, t).alias("worth"), (-t["place"]).alias("p"), t.alias("item")))
+        return bound(F.array_max(F.transform(ranked, lambda w: F.struct(w["worth"].alias("worth"), w["p"].alias("p")))), lambda top: F.when(
+            top.isNull(), state
+        ).otherwise(_with_pick(state, F.get(F.filter("items", lambda t: t["place"] == -top["p"]), F.lit(0)))))
+
+    start = F.aggregate(F.filter("items", lambda t: t["mandatory"]), nobody, _with_pick)
+    chosen = F.aggregate(
+        "items", F.col("start"), lambda state, _: F.when(F.size(state["picked"]) < F.col("most"), pick(state)).otherwise(state),
+        lambda state: state["picked"],
+    )
+    folded = items.withColumn("people", people).withColumn("items", seated).withColumn("start", start).select(
+        "trip", F.size("start.picked").alias("given"), F.posexplode(chosen).alias("pos", "place")
+    )
+    return folded.select("trip", "place", F.greatest(F.lit(0), F.col("pos") + 1 - F.col("given")).alias("step"))
+
+
+def chosen_first(picks: DataFrame, k: Column) -> DataFrame:
+    """The selection of at most ``k`` places within ``picks`` of select_fairly; mandatory places always stay."""
+    given = picks.where("step = 0").groupBy("trip").agg(F.countDistinct("place").alias("given"))
+    return picks.join(given, "trip", "left").fillna(0, ["given"]).where((F.col("step") == 0) | (F.col("given") + F.col("step") <= k)).drop("given")
 
 
 # ------------------------------------------------------------------ eligibility and scores

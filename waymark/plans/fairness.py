@@ -15,6 +15,7 @@ from waymark.plans.ranking import top_components
 from waymark.plans.registry import query
 from waymark.plans.shaping import EVIDENCE_SQL, STRENGTH, weather
 from waymark.plans.view_sql import VIEWS, hav, rnd as r, sql_lookup
+from waymark.session import cut
 from waymark.sources import views as V
 
 
@@ -297,6 +298,23 @@ def g7(spark, root):
     return G.select_fairly(grid(spark, root), kept, ROUNDS)
 
 
+# one step of the recursion is one pick of every trip, until all places are picked
+VIEWS["v_voted"] = """
+  SELECT u.trip, u.member, any_value(u.must_places) AS musts, list({'place': u.place, 'u': u.u}) AS us
+  FROM v_utility u JOIN v_pool p ON p.trip = u.trip AND p.place = u.place GROUP BY u.trip, u.member"""
+VIEWS["v_picks"] = f"""
+  WITH RECURSIVE f AS (
+    SELECT trip, coalesce(list(place) FILTER (mandatory), []) AS picked, 0 AS step, NULL::BIGINT AS place FROM v_pool GROUP BY trip
+    UNION ALL
+    SELECT trip, list_append(any_value(picked), first(candidate ORDER BY worth DESC, candidate)), any_value(step) + 1, first(candidate ORDER BY worth DESC, candidate) FROM (
+      SELECT trip, candidate, any_value(picked) AS picked, any_value(step) AS step,
+        {r(f"0.65e0 * (0.65e0 * {r('avg(value)', 6)} + 0.35e0 * min(value)) + 0.35e0 * any_value(score)", 9)} AS worth FROM (
+        SELECT *, {r('least(1e0, CASE WHEN len(musts) > 0 THEN 0.7e0 * top_mean + 0.3e0 * (honoured / CAST(len(musts) AS DOUBLE)) ELSE top_mean END)', 6)} AS value FROM (
+          SELECT f.trip, f.picked, f.step, p.place AS candidate, p.score, v.musts,
+            list_avg(list_sort(list_transform(list_filter(v.us, lambda x: x.place = p.place OR list_contains(f.picked, x.place)), lambda x: x.u), 'DESC')[1:5]) AS top_mean,
+            len(list_filter(v.musts, lambda x: x = p.place OR list_contains(f.picked, x))) AS honoured
+          FROM f JOIN v_pool p ON p.trip = f.trip AND NOT list_contains(f.picked, p.place) JOIN v_voted v ON v.trip = f.trip)) GROUP BY trip, candidate) GROUP BY trip)
+  SELECT trip, place, step FROM f WHERE step > 0 UNION ALL SELECT trip, place, 0 FROM v_pool WHERE mandatory"""
 METHODS = ["simple", "weighted", "borda", "least", "fair"]
 VIEWS["v_methods"] = """
   SELECT k.trip, k.place, k.mandatory, k.total - 0.3e0 * k.interest_match AS rest, r.simple, r.weighted, r.least, r.fair, b.borda FROM v_kept k
@@ -304,7 +322,10 @@ VIEWS["v_methods"] = """
 _ranked = " UNION ALL ".join(
     f"SELECT '{m}' AS method, trip, place, row_number() OVER (PARTITION BY trip ORDER BY {r(f'rest + 0.3e0 * round(least(1e0, {m}) + 1e-9, 4)', 6)} DESC, place) AS rn FROM v_methods" for m in METHODS
 )
-VIEWS["v_selections"] = f"SELECT r.method, k.k, r.trip, r.place FROM ({_ranked}) r JOIN (SELECT unnest([5, 8, 12]) AS k) k ON r.rn <= k.k"
+VIEWS["v_selections"] = f"""
+  SELECT r.method, k.k, r.trip, r.place FROM ({_ranked}) r JOIN (SELECT unnest([5, 8, 12]) AS k) k ON r.rn <= k.k
+  UNION ALL SELECT 'iterative', k.k, p.trip, p.place FROM (SELECT *, count(*) FILTER (step = 0) OVER (PARTITION BY trip) AS given FROM v_picks) p
+    JOIN (SELECT unnest([5, 8, 12]) AS k) k ON p.step = 0 OR p.given + p.step <= k.k"""
 
 
 @query("G13_method_comparison", f"""
@@ -312,18 +333,24 @@ VIEWS["v_selections"] = f"SELECT r.method, k.k, r.trip, r.place FROM ({_ranked})
   g AS (SELECT method, k, trip, {SATISFIED} FROM c GROUP BY method, k, trip),
   d AS ({DEMAND}), v AS (SELECT s.method, s.k, s.trip, i.interest, max(i.weight) AS supply FROM v_selections s JOIN v_place_interest i ON i.place = s.place GROUP BY ALL),
   n AS (SELECT g.method, g.k, g.trip, count(*) FILTER (coalesce(v.supply, 0e0) >= 0.5e0) / CAST(greatest(1, count(*)) AS DOUBLE) AS covered FROM g JOIN d ON d.trip = g.trip AND d.demand > 0.35e0
-    LEFT JOIN v ON v.method = g.method AND v.k = g.k AND v.trip = g.trip AND v.interest = d.interest GROUP BY ALL)
-  SELECT g.method, g.k, {r('avg(g.mean)', 4)} AS mean, {r('avg(g.least)', 4)} AS least, {r('avg(g.jain)', 4)} AS jain, {r('avg(g.consensus)', 4)} AS consensus, {r('avg(g.spread)', 4)} AS spread,
-    {r('avg(n.covered)', 4)} AS interests_covered FROM g LEFT JOIN n ON n.method = g.method AND n.k = g.k AND n.trip = g.trip GROUP BY g.method, g.k""")
+    LEFT JOIN v ON v.method = g.method AND v.k = g.k AND v.trip = g.trip AND v.interest = d.interest GROUP BY ALL),
+  m AS (SELECT g.method, g.k, {r('avg(g.mean)', 4)} AS mean, {r('avg(g.least)', 4)} AS least, {r('avg(g.jain)', 4)} AS jain, {r('avg(g.consensus)', 4)} AS consensus, {r('avg(g.spread)', 4)} AS spread,
+    {r('avg(n.covered)', 4)} AS interests_covered FROM g LEFT JOIN n ON n.method = g.method AND n.k = g.k AND n.trip = g.trip GROUP BY g.method, g.k)
+  SELECT m.*, {r('100 * (m.least - b.least) / nullif(b.least, 0)', 2)} AS floor_gain, {r('100 * (b.mean - m.mean) / nullif(b.mean, 0)', 2)} AS mean_cost,
+    {r('100 * (b.spread - m.spread) / nullif(b.spread, 0)', 2)} AS spread_cut FROM m JOIN m b ON b.k = m.k AND b.method = 'simple'""")
 def g13(spark, root):
-    from waymark.session import cut
-
+    """Six methods at three sizes, and what each gains and costs against the plain average."""
     g = cut(grid(spark, root), "grid")
-    kept = ranked_kept(scored(spark, root)).select("trip", "place", (F.col("total") - 0.3 * F.col("interest_match")).alias("rest"))
+    kept = cut(ranked_kept(scored(spark, root)).select(
+        "trip", "place", "total", "mandatory", (F.col("total") - 0.3 * F.col("interest_match")).alias("rest")
+    ), "kept")
     rules = kept.join(G.aggregated(g), ["trip", "place"]).join(G.borda(g), ["trip", "place"])
     by_method = F.array(*[F.struct(F.lit(m).alias("method"), rnd(F.col("rest") + 0.3 * rnd(F.least(F.lit(1.0), F.col(m)), 4), 6).alias("score")) for m in METHODS])
     top = grouped.top_n(rules.select("trip", "place", F.inline(by_method)), ["method", "trip"], [F.desc("score"), F.col("place")], 12, "rn")
-    selections = cut(top.withColumn("k", F.explode(F.array(F.lit(5), F.lit(8), F.lit(12)))).where("rn <= k").select("method", "k", "trip", "place"), "selections")
+    sizes = F.explode(F.array(F.lit(5), F.lit(8), F.lit(12)))
+    one_pass = top.withColumn("k", sizes).where("rn <= k").select("method", "k", "trip", "place")
+    in_turn = G.chosen_first(G.select_fairly(g, kept, 12).withColumn("k", sizes), F.col("k"))
+    selections = cut(one_pass.unionByName(in_turn.select(F.lit("iterative").alias("method"), "k", "trip", "place")), "selections")
     keys = ["method", "k", "trip"]
     metrics = G.satisfaction(G.member_coverage(g, selections, keys), keys)
     joined = V.members(spark, root).join(V.trips(spark, root).select("trip"), "trip")
@@ -331,44 +358,115 @@ def g13(spark, root):
         (F.count_if(F.col("covered") >= 0.5) / F.count("*")).alias("covered")
     )
     mean = lambda c, name=None: rnd(F.avg(c), 4).alias(name or c)
-    return metrics.join(covered, keys, "left").groupBy("method", "k").agg(
+    means = cut(metrics.join(covered, keys, "left").groupBy("method", "k").agg(
         *[mean(c) for c in ("mean", "least", "jain", "consensus", "spread")], mean("covered", "interests_covered")
+    ), "means")
+    plain = means.where("method = 'simple'").select("k", *[F.col(c).alias(f"plain_{c}") for c in ("mean", "least", "spread")])
+    share = lambda c, sign: rnd(sign * 100 * F.try_divide(F.col(c) - F.col(f"plain_{c}"), F.col(f"plain_{c}")), 2)
+    return means.join(plain, "k").select(
+        *means.columns, share("least", 1).alias("floor_gain"), share("mean", -1).alias("mean_cost"), share("spread", -1).alias("spread_cut")
     )
 
 
+def shortlist(spark, root):
+    """(trip, place, pos, total, days): picks in turn where several travel together, else the best by total."""
+    kept = cut(ranked_kept(scored(spark, root)).select("trip", "place", "total", "mandatory", "days"), "kept")
+    kept = kept.withColumn("most", F.greatest(F.lit(9), 3 * F.col("days")) * F.col("days"))
+    together = V.members(spark, root).where("status <> 'opted_out'").groupBy("trip").agg((F.count("*") > 1).alias("together"))
+    picks = G.select_fairly(grid(spark, root), kept, "most").select("trip", "place", "step")
+    turn = F.when(F.col("together"), F.col("step")).otherwise(1 - F.col("mandatory").cast("int"))
+    order = W.partitionBy("trip").orderBy(turn, F.desc("total"), "place")
+    # picks stop at the size of the list, so places without a turn come last
+    ranked = kept.join(together, "trip").join(picks, ["trip", "place"], "left").where("not together or step is not null").withColumn("pos", F.row_number().over(order))
+    return ranked.where((F.col("pos") <= F.col("most")) | F.col("mandatory")).select("trip", "place", "pos", "total", "days")
+
+
+VIEWS["v_fair_shortlist"] = """
+  SELECT trip, place, pos, total, days FROM (
+    SELECT k.*, greatest(9, 3 * k.days) * k.days AS most, row_number() OVER (PARTITION BY k.trip ORDER BY CASE WHEN m.n > 1 THEN p.step ELSE 1 - k.mandatory::INT END, k.total DESC, k.place) AS pos
+    FROM v_kept k JOIN v_picks p ON p.trip = k.trip AND p.place = k.place JOIN (SELECT trip, count(*) AS n FROM v_members WHERE status <> 'opted_out' GROUP BY trip) m ON m.trip = k.trip)
+  WHERE pos <= most OR mandatory"""
+
+
+@query("K6_fair_shortlist", "SELECT trip, place, pos FROM v_fair_shortlist")
+def k6b(spark, root):
+    return shortlist(spark, root).select("trip", "place", "pos")
+
+
 # ------------------------------------------------------------------ day clusters and day filling
-VIEWS["v_xy"] = f"""
-  SELECT g.trip, g.place, g.quality, g.lat * 111.32e0 AS x, g.lon * 111.32e0 * cos(radians(m.ref)) AS y, least(g.days, m.n) AS k FROM v_groups g
-  JOIN (SELECT trip, avg(lat) AS ref, count(*) AS n FROM v_groups GROUP BY 1) m ON m.trip = g.trip"""
-VIEWS["v_seed1"] = "SELECT trip, 0 AS c, place, x, y FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY quality DESC, place) AS rn FROM v_xy) WHERE rn = 1"
-for _n in range(2, 6):
-    VIEWS[f"v_seed{_n}"] = f"""
-      SELECT * FROM v_seed{_n - 1} UNION ALL SELECT trip, {_n - 1}, place, x, y FROM (
-        SELECT p.trip, p.place, p.x, p.y, row_number() OVER (PARTITION BY p.trip ORDER BY round(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))), 6) DESC, p.place) AS rn
-        FROM v_xy p JOIN v_seed{_n - 1} s ON s.trip = p.trip WHERE p.k >= {_n} AND NOT EXISTS (SELECT 1 FROM v_seed{_n - 1} z WHERE z.trip = p.trip AND z.place = p.place)
-        GROUP BY p.trip, p.place, p.x, p.y) WHERE rn = 1"""
-VIEWS["v_cent0"] = "SELECT trip, c, x, y FROM v_seed5"
-for _n in (1, 2):
-    VIEWS[f"v_assign{_n}"] = f"""
-      SELECT trip, place, x, y, c FROM (SELECT p.trip, p.place, p.x, p.y, s.c, row_number() OVER (PARTITION BY p.trip, p.place ORDER BY round(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2)), 6), s.c) AS rn
-        FROM v_xy p JOIN v_cent{_n - 1} s ON s.trip = p.trip) WHERE rn = 1"""
-    VIEWS[f"v_cent{_n}"] = f"""
-      SELECT o.trip, o.c, coalesce(a.x, o.x) AS x, coalesce(a.y, o.y) AS y FROM v_cent{_n - 1} o LEFT JOIN (SELECT trip, c, avg(x) AS x, avg(y) AS y FROM v_assign{_n} GROUP BY ALL) a ON a.trip = o.trip AND a.c = o.c"""
-
-
-@query("G12_day_clusters", "SELECT trip, place, CAST(c AS INT) AS c FROM v_assign2")
+def cluster_views(tag, source):
+    """SQL of seeds, rounds and balancing over ``source`` (trip, place, lat, lon, days, score), under names ending in ``tag``."""
+    VIEWS[f"v_xy{tag}"] = f"""
+      SELECT g.trip, g.place, g.score, g.lat * 111.32e0 AS x, g.lon * 111.32e0 * cos(radians(m.ref)) AS y, least(g.days, m.n) AS k FROM ({source}) g
+      JOIN (SELECT trip, avg(lat) AS ref, count(*) AS n FROM ({source}) GROUP BY 1) m ON m.trip = g.trip"""
+    VIEWS[f"v_seed1{tag}"] = f"SELECT trip, 0 AS c, place, x, y FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY score DESC, place) AS rn FROM v_xy{tag}) WHERE rn = 1"
+    for n in range(2, 6):
+        VIEWS[f"v_seed{n}{tag}"] = f"""
+          SELECT * FROM v_seed{n - 1}{tag} UNION ALL SELECT trip, {n - 1}, place, x, y FROM (
+            SELECT p.trip, p.place, p.x, p.y, row_number() OVER (PARTITION BY p.trip ORDER BY round(min(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))), 6) DESC, p.place) AS rn
+            FROM v_xy{tag} p JOIN v_seed{n - 1}{tag} s ON s.trip = p.trip WHERE p.k >= {n} AND NOT EXISTS (SELECT 1 FROM v_seed{n - 1}{tag} z WHERE z.trip = p.trip AND z.place = p.place)
+            GROUP BY p.trip, p.place, p.x, p.y) WHERE rn = 1"""
+    far = "round(sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)), 6)"
+    own = "list_filter(pts, lambda p, j: g[j] = i - 1)"
+    VIEWS[f"v_rounds{tag}"] = f"""
+      WITH RECURSIVE f AS (
+        SELECT p.trip, 0 AS step, p.pts, c.cents, list_transform(p.pts, lambda p: 0::BIGINT) AS g, true AS moving
+        FROM (SELECT trip, list({{'place': place, 'x': x, 'y': y}} ORDER BY place) AS pts FROM v_xy{tag} GROUP BY trip) p
+        JOIN (SELECT trip, list({{'x': x, 'y': y}} ORDER BY c) AS cents FROM v_seed5{tag} GROUP BY trip) c ON c.trip = p.trip
+        UNION ALL
+        SELECT trip, step + 1, pts, list_transform(cents, lambda s, i: CASE WHEN len({own}) = 0 THEN s
+          ELSE {{'x': list_sum(list_transform({own}, lambda p: p.x)) / len({own}), 'y': list_sum(list_transform({own}, lambda p: p.y)) / len({own})}} END), g, g <> was FROM (
+          SELECT trip, step, pts, cents, g AS was,
+            list_transform(pts, lambda p: (list_position(list_transform(cents, lambda c: {far}), list_min(list_transform(cents, lambda c: {far}))) - 1)::BIGINT) AS g
+          FROM f WHERE moving AND step < 60))
+      SELECT trip, pts, cents, g FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY step DESC) AS rn FROM f) WHERE rn = 1"""
+    # a step of this recursion moves one place of every trip that still has an over-full and an under-full group
+    VIEWS[f"v_moves{tag}"] = f"""
+      WITH RECURSIVE f AS (
+        SELECT trip, 0 AS step, pts, cents, g FROM v_rounds{tag}
+        UNION ALL
+        SELECT trip, step + 1, pts, cents, list_transform(g, lambda c, j: CASE WHEN j = best.j THEN target ELSE c END) FROM (
+          SELECT *, list_min(list_filter(list_transform(pts, lambda p, j: CASE WHEN g[j] = source THEN
+            {{'extra': round(sqrt(pow(p.x - cents[target + 1].x, 2) + pow(p.y - cents[target + 1].y, 2)), 6) - round(sqrt(pow(p.x - cents[source + 1].x, 2) + pow(p.y - cents[source + 1].y, 2)), 6), 'j': j}} END), lambda e: e IS NOT NULL)) AS best FROM (
+            SELECT *, list_position(sizes, list_max(list_filter(sizes, lambda s: s > ceil(n / k * 1.4e0)))) - 1 AS source,
+              list_position(sizes, list_min(list_filter(sizes, lambda s: s < greatest(1, floor(n / k * 0.5e0))))) - 1 AS target FROM (
+              SELECT *, CAST(len(pts) AS DOUBLE) AS n, len(cents) AS k, list_transform(cents, lambda s, i: len(list_filter(g, lambda c: c = i - 1))) AS sizes FROM f WHERE step < len(pts)))
+          WHERE source IS NOT NULL AND target IS NOT NULL)
+        WHERE best.extra <= {K.BALANCE_MOVE_KM}e0)
+      SELECT trip, pts, cents, g FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY step DESC) AS rn FROM f) WHERE rn = 1"""
+
+
+def clusters_sql(view):
+    return f"""
+      SELECT a.trip, a.place, CAST(a.c AS INT) AS c, CAST(s.day AS INT) AS day FROM (SELECT trip, unnest(pts).place AS place, unnest(g) AS c FROM {view}) a JOIN (
+        SELECT trip, c, row_number() OVER (PARTITION BY trip ORDER BY count(*) DESC, c) - 1 AS day FROM (SELECT trip, unnest(g) AS c FROM {view}) GROUP BY trip, c) s ON s.trip = a.trip AND s.c = a.c"""
+
+
+cluster_views("", "SELECT trip, place, lat, lon, days, quality AS score FROM v_groups")
+cluster_views("_s", "SELECT s.trip, s.place, p.lat, p.lon, s.days, s.total AS score FROM v_fair_shortlist s JOIN v_places p ON p.place = s.place")
+
+
+@query("G12_day_clusters", clusters_sql("v_rounds"))
 def g12(spark, root):
+    """All places of a trip's circuit, in rounds until no place changes its group."""
     trips = V.trips(spark, root).select("trip", "circuit", "days")
     items = trips.join(V.places(spark, root).select("place", "circuit", "lat", "lon", F.col("quality").alias("score")), "circuit")
-    return D.day_clusters(items, rounds=2).select("trip", "place", "c")
+    return D.day_clusters(items)
 
 
-@query("G12_balanced_day_clusters")
+@query("G12_balanced_day_clusters", clusters_sql("v_moves_s"))
 def g12b(spark, root):
-    """Rounds until nothing moves, then balancing; iterative, so checked against brute force in the tests."""
+    """The shortlist of a trip, in rounds and then balanced."""
+    items = shortlist(spark, root).join(V.places(spark, root).select("place", "lat", "lon"), "place")
+    return D.day_clusters(items.withColumnRenamed("total", "score"), balanced=True)
+
+
+@query("G12_balanced_circuits", clusters_sql("v_moves"))
+def g12c(spark, root):
+    """All places of a trip's circuit, in rounds and then balanced."""
     trips = V.trips(spark, root).select("trip", "circuit", "days")
     items = trips.join(V.places(spark, root).select("place", "circuit", "lat", "lon", F.col("quality").alias("score")), "circuit")
-    return D.balance(D.day_clusters(items, rounds=60, until_stable=True)).select("trip", "place", "c")
+    return D.day_clusters(items, balanced=True)
 
 
 _BEST = "row_number() OVER (PARTITION BY k.trip, k.place ORDER BY least(w.closes, t.day_end) - greatest(w.opens, t.day_start) DESC, w.opens) AS wr"
