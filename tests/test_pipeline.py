@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 import time
 
@@ -193,6 +194,37 @@ def test_trailing_requests_equal_loop(spark):
         assert got[i] == sum(1 for _, k, t in rows if k == key and dt.timedelta(0) <= ts - t <= dt.timedelta(seconds=60))
 
 
+def test_counts_and_unique_rows_with_late_rows_over_many_triggers(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    files = [[(1, 0), (2, 5), (3, 100)], [(4, 10), (5, 99), (5, 99)], [(6, 300), (3, 100), (7, None)], [(8, 200), (6, 300), (9, 290)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(k, None if h is None else at(h)) for k, h in rows], "k int, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    # one file a trigger, in order of their names: the marks after each are 100, 100 and 300 hours
+    stamp = 1_700_000_000
+    for i in range(len(files)):
+        for file in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            os.utime(file, (stamp + 10 * i, stamp + 10 * i))
+    stream = lambda: spark.readStream.schema("k int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    mark, late, on_time, known, unique = None, [], [], set(), []
+    for rows in files:
+        for k, h in rows:
+            if h is None or (mark is not None and h < mark - 24):
+                late.append(k)
+                continue
+            on_time.append(k)
+            if k not in known:
+                known.add(k)
+                unique.append(k)
+        mark = max([h for _, h in rows if h is not None] + ([mark] if mark else []))
+    count = lambda rows: rows.groupBy("k").agg(F.count("*").alias("n"))
+    counts, refused = runs.count_run(stream(), "24 hours", count, ["k"], "counted")
+    assert {r["k"]: r["n"] for r in counts.collect()} == {k: on_time.count(k) for k in on_time}
+    assert sorted(r["k"] for r in refused.collect()) == sorted(late) == [4, 7, 8]
+    kept, refused = runs.unique_run(stream(), "24 hours", "k", "unique")
+    assert sorted(r["k"] for r in kept.collect()) == sorted(unique)
+    assert refused.count() == len(late)
+
+
 def test_late_rows_go_to_a_side_table_and_none_is_lost(spark, root):
     from waymark.plans.registry import all_queries
 

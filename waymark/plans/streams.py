@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark.functions import geo, text
 from waymark.functions.stats import rate, rnd
@@ -12,7 +11,7 @@ from waymark.plans.registry import query
 from waymark.plans.shaping import leg_sql
 from waymark.plans.view_sql import VIEWS, hav, rnd as r
 from waymark.plans.windows import latest_positions
-from waymark.session import work_path
+from waymark.session import cut, work_path
 from waymark.sources import views as V
 from waymark.sources.tables import table
 from waymark.streaming import runs, sharing
@@ -28,20 +27,28 @@ def st1(spark, root):
 
 @query("ST2_daily_counts", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
 def st2(spark, root):
-    stream = runs.event_stream(spark, root).withWatermark("ts", "2 days")
-    counts = stream.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    flat = counts.select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
-    return runs.update_run(flat, ["event_type", "day"], "daily")
+    """On-time counts, with the late rows added on reading."""
+    rows, late = runs.count_run(runs.event_stream(spark, root), "2 days", daily_counts, ["event_type", "day"], "daily")
+    return rows.unionByName(daily_counts(late)).groupBy("event_type", "day").agg(F.sum("n").alias("n"))
+
+
+def daily_counts(events):
+    return events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("ST3_sliding_counts", """
   SELECT event_type, w AS start, count(*) AS hits, count(*) > 1 AS over FROM (
     SELECT event_type, unnest(range(epoch_us(ts) // 10000000 * 10 - 50, epoch_us(ts) // 10000000 * 10 + 10, 10)) AS w FROM events) GROUP BY ALL""")
 def st3(spark, root):
-    stream = runs.event_stream(spark, root).withWatermark("ts", "10 minutes")
-    counts = stream.groupBy("event_type", F.window("ts", "60 seconds", "10 seconds").alias("w")).agg(F.count("*").alias("hits"))
-    flat = counts.select("event_type", F.unix_seconds("w.start").alias("start"), "hits", (F.col("hits") > 1).alias("over"))
-    return runs.update_run(flat, ["event_type", "start"], "sliding")
+    """On-time counts of sliding windows, with the late rows added on reading."""
+    rows, late = runs.count_run(runs.event_stream(spark, root), "10 minutes", sliding_counts, ["event_type", "start"], "sliding")
+    hits = rows.unionByName(sliding_counts(late)).groupBy("event_type", "start").agg(F.sum("n").alias("hits"))
+    return hits.withColumn("over", F.col("hits") > 1)
+
+
+def sliding_counts(events):
+    window = F.window("ts", "60 seconds", "10 seconds").alias("w")
+    return events.groupBy("event_type", window).agg(F.count("*").alias("n")).select("event_type", F.unix_seconds("w.start").alias("start"), "n")
 
 
 @query("ST3_trailing_counts", """
@@ -171,8 +178,8 @@ def st9(spark, root):
     stream = runs.event_stream(spark, root)
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     hashed = twice.withColumn("content_hash", F.sha2(F.concat_ws("|", "event_type", "user_id", F.unix_micros("ts")), 256))
-    unique = hashed.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["content_hash"])
-    return runs.append_run(unique.select("content_hash", "event_type"), "unique")
+    unique, late = runs.unique_run(hashed.select("content_hash", "event_type", "ts"), "1 day", "content_hash", "unique")
+    return unique.unionByName(late.select(unique.columns)).groupBy("content_hash").agg(F.min("event_type").alias("event_type"))
 
 
 @query("ST10_cache_pruning", "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAY")
@@ -190,26 +197,32 @@ def prune(cache, now, days):
 @query("ST11_late_events")
 def st11(spark, root):
     """Late rows depend on how input arrives in micro-batches: no SQL twin; every row lands in one of two tables."""
+    return late_by_user(spark, root).groupBy("late").agg(F.count("*").alias("n"))
+
+
+@query("ST11_nothing_lost", "SELECT event_type, count(*) AS n, true AS late_are_old FROM events GROUP BY event_type")
+def st11b(spark, root):
+    """Both tables together hold every row once, and no row of the late one is within the delay of the newest."""
+    out = cut(late_by_user(spark, root), "split")
+    newest = out.agg(F.max("ts").alias("newest"))
+    old = F.coalesce(F.bool_and(F.when(F.col("late"), F.col("ts") < F.col("newest") - F.expr("interval 5 days"))), F.lit(True))
+    # one row of one value: broadcast
+    return out.join(F.broadcast(newest)).groupBy("event_type").agg(F.count("*").alias("n"), old.alias("late_are_old"))
+
+
+def late_by_user(spark, root):
+    """Arrival order differs from event order: files are ranges of the user, not of time."""
     staged = work_path(spark, "arrivals")
-    # arrival order differs from event order: files are ranges of the user, not of time
     table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartitionByRange(3, "user_id").write.parquet(staged)
-    out = route_late(runs.event_stream(spark, staged, "*.parquet", maxFilesPerTrigger=1).select("event_id", "event_type", "ts"), spark, "5 days")
-    return out.groupBy("late").agg(F.count("*").alias("n"))
+    return route_late(runs.event_stream(spark, staged, "*.parquet", maxFilesPerTrigger=1).select("event_id", "event_type", "ts"), spark, "5 days")
 
 
 def route_late(stream, spark, delay):
     """Rows older than the high mark of earlier batches minus ``delay`` go to the late table."""
     path = work_path(spark, "late")
-    days = F.expr(f"interval {delay}")
-    schema = stream.schema
-
-    def handle(batch, epoch):
-        marks = f"{path}/marks"
-        earlier = batch.sparkSession.read.schema("mark timestamp, epoch int").parquet(marks).where(F.col("epoch") < epoch) if epoch else None
-        mark = earlier.agg(F.max("mark")).scalar() if epoch else F.lit(None).cast("timestamp")
-        tagged = batch.withColumn("late", F.coalesce(F.col("ts") < mark - days, F.lit(False)))
-        tagged.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-        batch.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
-
-    runs.batch_run(stream, handle, "late-run")
-    return spark.read.schema(runs.with_field(schema, "late", T.BooleanType())).parquet(f"{path}/rows")
+
+    def write(rows, epoch, line):
+        rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    late = runs.split_run(stream, delay, write, path).withColumn("late", F.lit(True))
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns).withColumn("late", F.lit(False)).unionByName(late)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +73,62 @@ def batch_run(stream: DataFrame, handle: Callable[[DataFrame, int], None], name:
     run.awaitTermination()
 
 
+def split_run(stream: DataFrame, delay: str, write: Callable[[DataFrame, int, Column | None], None], path: str, at: str = "ts") -> DataFrame:
+    """Run ``write(rows, epoch, line)`` on the rows of every micro-batch that are on time; the late table is returned.
+
+    The line is the highest event time of the batches before, less ``delay``: a watermark that is
+    written down. Rows behind it, and rows without event time, go to the late table whole, so every
+    row of the stream is in one of two places. Each epoch reads the mark of the epoch before only,
+    and a replayed epoch overwrites its own folders.
+    """
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/marks/epoch={epoch - 1}").scalar() if epoch else F.lit(None).cast("timestamp")
+        line = before - F.expr(f"interval {delay}")
+        on_time = F.col(at).isNotNull() & F.coalesce(F.col(at) >= line, F.lit(True))
+        write(batch.where(on_time), epoch, line)
+        batch.where(~on_time).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        mark = F.greatest(F.max(at), before).alias("mark")
+        batch.agg(mark).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
+
+    batch_run(stream, handle, "split")
+    return spark.read.schema(with_field(stream.schema, "epoch", T.IntegerType())).parquet(f"{path}/late").drop("epoch")
+
+
+def count_run(stream: DataFrame, delay: str, count: Callable[[DataFrame], DataFrame], keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(counts of on-time rows, late rows). ``count`` gives keys and ``n``; each epoch adds its own part."""
+    path = work_path(stream.sparkSession, name)
+    shape = count(stream).schema
+
+    def write(rows: DataFrame, epoch: int, line: Column | None) -> None:
+        count(rows).write.mode("overwrite").parquet(f"{path}/parts/epoch={epoch}")
+
+    late = split_run(stream, delay, write, path)
+    parts = stream.sparkSession.read.schema(shape).parquet(f"{path}/parts")
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n")), late
+
+
+def unique_run(stream: DataFrame, delay: str, key: str, name: str, at: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(first row of each key, late rows). A key is known for as long as its row is on time.
+
+    Of the rows of a key in one micro-batch the first by event time stays, ties by the whole row.
+    """
+    path = work_path(stream.sparkSession, name)
+    stored = with_field(stream.schema, "epoch", T.IntegerType())
+    rest = [at, *[c for c in stream.columns if c not in (key, at)]]
+
+    def write(rows: DataFrame, epoch: int, line: Column | None) -> None:
+        fresh = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*stream.columns)
+        if epoch:
+            held = rows.sparkSession.read.schema(stored).parquet(f"{path}/table").where((F.col("epoch") < epoch) & F.coalesce(F.col(at) >= line, F.lit(True)))
+            fresh = fresh.join(held.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
+
+    late = split_run(stream, delay, write, path, at)
+    return stream.sparkSession.read.schema(stored).parquet(f"{path}/table").drop("epoch"), late
+
+
 def trailing_requests(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
     """Exact count per request over the preceding ``seconds``, with over-limit flag and retry-after.
 
