@@ -225,6 +225,24 @@ def test_counts_and_unique_rows_with_late_rows_over_many_triggers(spark, tmp_pat
     assert refused.count() == len(late)
 
 
+def test_rolling_health_merges_panes_of_many_batches(spark):
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [("s", t0 + dt.timedelta(minutes=rng.randrange(3000)), rng.random() < 0.9, rng.random() < 0.1, rng.random()) for _ in range(3000)]
+    rows += [("empty", t0, True, False, None), ("s", None, True, False, 5.0)]
+    df = spark.createDataFrame(rows, "service string, ts timestamp, ok boolean, fallback boolean, value double")
+    parts = df.randomSplit([1.0, 1.0, 1.0], 1)
+    panes = runs.health_panes(parts[0]).unionByName(runs.health_panes(parts[1])).unionByName(runs.health_panes(parts[2]))
+    got = {(r["service"], r["start"].replace(tzinfo=dt.timezone.utc)): r for r in runs.rolling_health(panes).collect()}
+    assert got["empty", t0]["p95"] is None and got["empty", t0]["calls"] == 1
+    for (service, start), r in got.items():
+        mine = sorted((v, ok, fb) for s, ts, ok, fb, v in rows if s == service == "s" and ts and start <= ts < start + dt.timedelta(days=1))
+        if mine:
+            assert r["calls"] == len(mine)
+            assert r["error_rate"] == pytest.approx(sum(not ok for _, ok, _ in mine) / len(mine), abs=1e-4)
+            assert abs(sum(v <= r["p95"] for v, _, _ in mine) - 0.95 * len(mine)) <= 0.02 * len(mine) + 1
+
+
 def test_late_rows_go_to_a_side_table_and_none_is_lost(spark, root):
     from waymark.plans.registry import all_queries
 

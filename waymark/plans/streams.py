@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.functions.stats import rate, rnd
+from waymark.functions.stats import rnd
 from waymark.plans.joins import TODAY, next_activity
 from waymark.plans.registry import query
 from waymark.plans.shaping import leg_sql
@@ -162,15 +162,40 @@ def group_status(positions, ahead):
 
 @query("ST8_rolling_health")
 def st8(spark, root):
-    """Approximate percentile over sliding windows: no exact twin; A20_service_health is the exact batch form."""
+    """Percentile from merged sketches: no exact twin; ST8_health_check holds it against exact ranks."""
+    return health(spark, root)
+
+
+CALLS = """SELECT event_type AS service, epoch_us(ts) AS at_us, value, json_extract_string(props, '$.k')::INT AS k, CASE WHEN event_type = 'error' THEN json_extract_string(props, '$.k')::INT % 2 = 0
+  ELSE json_extract_string(props, '$.k')::INT % 13 <> 0 END AS ok FROM events"""
+
+
+@query("ST8_health_check", f"""
+  SELECT service, make_timestamp(start * 1000000) AS start, count(*) AS calls, {r("count(*) FILTER (NOT ok) / CAST(count(*) AS DOUBLE)", 4)} AS error_rate,
+    {r("count(*) FILTER (k % 10 = 0) / CAST(count(*) AS DOUBLE)", 4)} AS fallback_rate, true AS close FROM (
+    SELECT *, unnest(range(at_us // 21600000000 * 21600 - 64800, at_us // 21600000000 * 21600 + 1, 21600)) AS start FROM ({CALLS})) GROUP BY service, start""")
+def st8b(spark, root):
+    """Counts and rates, and whether the percentile lies within two per cent of the ranks of the window's values."""
+    found = cut(health(spark, root), "health")
+    pane = F.floor(F.unix_seconds("ts") / runs.PANE) * runs.PANE
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.timestamp_seconds(pane - i * runs.PANE)))
+    values = calls(table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp"))).where("value is not null").select("service", start.alias("start"), "value")
+    ranks = found.join(values, ["service", "start"], "left").groupBy("service", "start", "calls", "error_rate", "fallback_rate").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value") < F.col("p95")).alias("below"), F.count_if(F.col("value") <= F.col("p95")).alias("upto")
+    )
+    close = (F.col("n") == 0) | ((F.col("below") <= 0.97 * F.col("n") + 1) & (F.col("upto") >= 0.93 * F.col("n") - 1))
+    return ranks.select("service", F.col("start").cast("timestamp_ntz").alias("start"), "calls", "error_rate", "fallback_rate", close.alias("close"))
+
+
+def calls(events):
     k = F.get_json_object("props", "$.k").cast("int")
     ok = F.when(F.col("event_type") == "error", k % 2 == 0).otherwise(k % 13 != 0)
-    stream = runs.event_stream(spark, root).withWatermark("ts", "1 hour").withColumns({"ok": ok, "fallback": k % 10 == 0})
-    health = stream.groupBy(F.col("event_type").alias("service"), F.window("ts", "1 day", "6 hours").alias("w")).agg(
-        F.count("*").alias("calls"), rate(F.count_if(~F.col("ok")), F.count("*")).alias("error_rate"), rate(F.count_if("fallback"), F.count("*")).alias("fallback_rate"),
-        F.percentile_approx("value", 0.95, 1000).alias("p95"),
-    )
-    return runs.update_run(health.select("service", F.col("w.start").alias("start"), "calls", "error_rate", "fallback_rate", "p95"), ["service", "start"], "health")
+    return events.select(F.col("event_type").alias("service"), "ts", "value", ok.alias("ok"), (k % 10 == 0).alias("fallback"))
+
+
+def health(spark, root):
+    panes, late = runs.health_run(calls(runs.event_stream(spark, root)), "1 hour", "health")
+    return runs.rolling_health(panes.unionByName(runs.health_panes(late)))
 
 
 @query("ST9_deduplicated_ingest", "SELECT sha256(event_type || '|' || user_id || '|' || epoch_us(ts)) AS content_hash, event_type FROM events")

@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.functions.stats import rate
 from waymark.session import work_path
 
+PANE = 6 * 3600
+SKETCH = 400  # about 0.7 % error of rank
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -109,6 +112,39 @@ def count_run(stream: DataFrame, delay: str, count: Callable[[DataFrame], DataFr
     return parts.groupBy(*keys).agg(F.sum("n").alias("n")), late
 
 
+def health_panes(calls: DataFrame) -> DataFrame:
+    """Mergeable parts per service and pane of six hours; ``calls``: service, ts, ok, fallback, value."""
+    pane = F.floor(F.unix_seconds("ts") / PANE) * PANE
+    return calls.where("ts is not null").groupBy("service", pane.alias("pane")).agg(
+        F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.count_if("fallback").alias("fallbacks"),
+        F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"),
+    )
+
+
+def rolling_health(panes: DataFrame, panes_per_window: int = 4) -> DataFrame:
+    """Windows of several panes from the parts of any number of batches: sums, and merged sketches for the 95th percentile."""
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(panes_per_window - 1)), lambda i: F.col("pane") - i * PANE))
+    merged = panes.withColumn("start", starts).groupBy("service", "start").agg(
+        F.sum("calls").alias("calls"), rate(F.sum("errors"), F.sum("calls")).alias("error_rate"), rate(F.sum("fallbacks"), F.sum("calls")).alias("fallback_rate"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"),
+    )
+    # a window without any value has an empty sketch
+    p95 = F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)))
+    return merged.select("service", F.timestamp_seconds("start").alias("start"), "calls", "error_rate", "fallback_rate", p95.alias("p95"))
+
+
+def health_run(calls: DataFrame, delay: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(panes of all rows on time, late rows): each epoch writes its own panes, no window is kept as state."""
+    path = work_path(calls.sparkSession, name)
+    shape = health_panes(calls).schema
+
+    def write(rows: DataFrame, epoch: int, line: Column | None) -> None:
+        health_panes(rows).write.mode("overwrite").parquet(f"{path}/panes/epoch={epoch}")
+
+    late = split_run(calls, delay, write, path)
+    return calls.sparkSession.read.schema(shape).parquet(f"{path}/panes").select(shape.names), late
+
+
 def unique_run(stream: DataFrame, delay: str, key: str, name: str, at: str = "ts") -> tuple[DataFrame, DataFrame]:
     """(first row of each key, late rows). A key is known for as long as its row is on time.
 
