@@ -16,7 +16,7 @@ from waymark.sources.tables import TABLES
 SPREAD = [
     "S2_bronze_landing", "S5_keyed_upsert", "P9_reject_routing", "P21_advisories", "P34_widest_start", "F17_list_text", "J11_resolve_neighbours", "J16_leg_matrix",
     "A1_cluster_metrics", "A20_service_health", "W3_gap_and_overlap", "W6_borda_points", "K9_top_up", "U1_plan_diff", "G7_iterative_selection", "G9_day_fill", "G11_total_score",
-    "G12_day_clusters", "G12_balanced_day_clusters", "G13_method_comparison", "K6_fair_shortlist", "C12_issue_counts", "C14_cost_range", "Q1_contract_engine", "Q5_runtime_checks", "R9_rerank", "R13_citations", "R17_question_metrics", "ST2_daily_counts",
+    "G12_day_clusters", "G12_balanced_day_clusters", "G13_method_comparison", "K6_fair_shortlist", "C12_issue_counts", "C14_cost_range", "Q1_contract_engine", "Q5_runtime_checks", "R9_rerank", "R13_citations", "R17_question_metrics", "R18_open_summary", "ST8_health_check", "ST2_daily_counts",
     "ST7_group_status", "M3_ranking_metrics",
 ]
 ORACLES = entry_file.oracle_sql()

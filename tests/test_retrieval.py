@@ -183,3 +183,12 @@ def test_faithfulness_counts_wordless_sentences(spark):
         R.faithfulness(F.lit("The fort was built long ago. of the and of the and of the. Penguins live in reykjavik today."), F.array(F.array(F.lit("fort"), F.lit("built")))).alias("f")
     ).first()
     assert row["f"] == pytest.approx(1 / 3, abs=1e-4)
+
+
+def test_open_measures_count_the_place_looked_for(spark):
+    from waymark.plans.retrieval import open_metrics
+
+    final = spark.createDataFrame([(3, 1, "b"), (3, 2, "a"), (3, 3, None), (3, 4, "a"), (5, 1, "b"), (2, 1, "a")], "q bigint, rank int, chunk_place string")
+    questions = spark.createDataFrame([(3, "a"), (5, "a"), (7, "a"), (2, "a")], "q bigint, target string")
+    got = {r["q"]: (r["open_top1"], r["open_top3"], r["open_rr"], r["open_precision"]) for r in open_metrics(final, questions).collect()}
+    assert got == {1: (False, True, 0.5, 0.5), 2: (False, False, 0.0, 0.0), 3: (False, False, 0.0, 0.0)}

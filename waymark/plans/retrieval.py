@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from waymark.functions import clock, constants as K, text
 from waymark.functions.stats import rnd
 from waymark.operators import embedding as E, grouped, retrieval as R
 from waymark.plans.registry import query
-from waymark.plans.shaping import FEES_SQL, LIVE, MONTHS_SQL, SCHED_SQL, SENTENCES, fees_text, schedule_text
-from waymark.plans.view_sql import VIEWS, rnd as r, sql_lookup, toks, topic_case
+from waymark.plans.shaping import BAIT, FEES_SQL, INJECT, LIVE, MONTHS_SQL, SCHED_SQL, SENTENCES, fees_text, schedule_text
+from waymark.plans.view_sql import VIEWS, rnd as r, sql_list, sql_lookup, toks, topic_case
 from waymark.session import cut
 from waymark.sources import views as V
 from waymark.sources.tables import table
@@ -412,6 +414,106 @@ def r18(spark, root):
     return means.withColumns({"p50": marks.select("p50").scalar(), "p95": marks.select("p95").scalar()})
 
 
+# ------------------------------------------------------------------ retrieval without the place
+OPEN = "place IS NOT NULL AND NOT (q % 5 = 4 AND q % 4 <> 0)"
+VIEWS["v_open_questions"] = f"SELECT q, question, passage, cluster, NULL::VARCHAR AS place FROM v_questions WHERE {OPEN}"
+_chain = "v_questions v_qtopic v_scope v_cand v_tok v_tf v_qt v_bm25 v_cvec_src v_cvec v_qvec_src v_qvec v_dense v_dense30 v_lex30 v_pools v_fused_hybrid v_reranked_hybrid v_final_hybrid".split()
+for _name in _chain[1:]:
+    # the same stages over the open questions
+    VIEWS[f"{_name}_open"] = re.sub(rf"\b({'|'.join(_chain)})\b", lambda m: "v_open_questions" if m[1] == "v_questions" else f"{m[1]}_open", VIEWS[_name])
+VIEWS["v_open"] = f"""
+  SELECT q.q, coalesce(bool_or(f.chunk_place = q.place AND f.rank = 1), false) AS open_top1, coalesce(bool_or(f.chunk_place = q.place AND f.rank <= 3), false) AS open_top3,
+    {r('coalesce(1e0 / min(CASE WHEN f.chunk_place = q.place THEN f.rank END), 0e0)', 4)} AS open_rr,
+    {r('coalesce(avg(coalesce(f.chunk_place = q.place, false)::INT), 0e0)', 4)} AS open_precision
+  FROM (SELECT * FROM v_questions WHERE {OPEN}) q LEFT JOIN v_final_hybrid_open f ON f.q = q.q GROUP BY q.q"""
+TOPIC_OF_PHRASE = ["history", "significance", "facts", "visiting", "accessibility", "etiquette", "visiting"]
+VIEWS["v_flags"] = f"""
+  SELECT q.q, {sql_list(TOPIC_OF_PHRASE)}[CAST(q.q % 7 AS INT) + 1] AS topic_expected, {topic_case('q.question')} AS topic_detected,
+    regexp_matches(CASE WHEN q.q % 17 = 0 THEN '{BAIT}' ELSE '' END || q.question, '{INJECT}') AS injection_flagged,
+    coalesce(f.visiting OR {LIVE.format(c='q.question')}, false) AND coalesce(e.evidence, 0e0) >= {K.MIN_EVIDENCE}e0 AS time_warned,
+    q.q % 5 = 4 AND q.q % 4 <> 0 AS out_of_scope, coalesce(e.evidence, 0e0) AS evidence
+  FROM v_questions q LEFT JOIN (SELECT q, bool_or(chunk_topic = 'visiting') AS visiting FROM v_final_hybrid GROUP BY q) f ON f.q = q.q LEFT JOIN v_evid e ON e.q = q.q"""
+
+
+def open_and_scoped(spark, root):
+    """(final chunks, questions, index): each question within its place's scope and, where it has a place to be found, without it.
+
+    Both go through the stages together, as two questions over one chunk index: ``q`` is twice the
+    id, plus one for the open form, and ``target`` is the place looked for.
+    """
+    index = R.chunk_index(V.chunks(spark, root))
+    asked = V.questions(spark, root).withColumn("target", F.col("place"))
+    findable = asked.where(F.col("place").isNotNull() & ~out_of_scope(F.col("q")))
+    forms = asked.withColumn("q", F.col("q") * 2).unionByName(findable.withColumns({"q": F.col("q") * 2 + 1, "place": F.lit(None).cast("string")}))
+    questions = cut(R.with_scope(forms, index), "questions")
+    pools = cut(R.arms(questions, index), "pools")
+    return cut(R.rerank(R.fuse(pools), questions, index), "final"), questions, index
+
+
+def out_of_scope(q):
+    return (q % 5 == 4) & (q % 4 != 0)
+
+
+def open_metrics(final, questions):
+    """Per open question: whether the place looked for comes first, among three, its reciprocal rank and share."""
+    asked = questions.where("q % 2 = 1").select("q", "target")
+    rows = asked.join(final.select("q", "rank", "chunk_place"), "q", "left").withColumn("found", F.coalesce(F.col("chunk_place") == F.col("target"), F.lit(False)))
+    first = F.min(F.when(F.col("found"), F.col("rank")))
+    return rows.groupBy("q").agg(
+        F.coalesce(first == 1, F.lit(False)).alias("open_top1"), F.coalesce(first <= 3, F.lit(False)).alias("open_top3"),
+        rnd(F.coalesce(1.0 / first, F.lit(0.0)), 4).alias("open_rr"), rnd(F.avg(F.col("found").cast("double")), 4).alias("open_precision"),
+    ).withColumn("q", F.expr("q div 2"))
+
+
+def question_flags(final, questions, found):
+    """Per question: topics, injection and time warnings, class and evidence, of the scoped form."""
+    asked = questions.where("q % 2 = 0").withColumn("item", F.expr("q div 2"))
+    visiting = final.groupBy("q").agg(F.bool_or(F.col("chunk_topic") == "visiting").alias("visiting"))
+    rows = asked.join(visiting, "q", "left").join(found, "q", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
+    baited = F.concat(F.when(F.col("item") % 17 == 0, F.lit(BAIT)).otherwise(F.lit("")), F.col("question"))
+    warned = F.coalesce(F.col("visiting") | text.wants_live(F.col("question")), F.lit(False)) & (F.col("evidence") >= K.MIN_EVIDENCE)
+    return rows.select(
+        F.col("item").alias("q"), V.pick(TOPIC_OF_PHRASE, "item % 7").alias("topic_expected"), text.topic(F.col("question")).alias("topic_detected"),
+        (F.size(text.injections(baited)) > 0).alias("injection_flagged"), warned.alias("time_warned"), out_of_scope(F.col("item")).alias("out_of_scope"), "evidence",
+    )
+
+
+@query("R17_open_retrieval", "SELECT q, open_top1, open_top3, open_rr, open_precision FROM v_open")
+def r17b(spark, root):
+    final, questions, _ = open_and_scoped(spark, root)
+    return open_metrics(final, questions)
+
+
+@query("R17_question_flags", "SELECT q, topic_expected, topic_detected, topic_expected = topic_detected AS topic_correct, injection_flagged, time_warned FROM v_flags")
+def r17c(spark, root):
+    final, questions, index = open_and_scoped(spark, root)
+    found = R.evidence(final, R.corpus_idf(questions, index))
+    flags = question_flags(final, questions, found)
+    return flags.withColumn("topic_correct", F.col("topic_expected") == F.col("topic_detected")).drop("out_of_scope", "evidence")
+
+
+@query("R18_open_summary", f"""
+  SELECT o.*, f.* FROM (SELECT count(*) AS open_questions, {r('avg(open_top1::INT)', 4)} AS open_top1, {r('avg(open_top3::INT)', 4)} AS open_top3, {r('avg(open_rr)', 4)} AS open_mrr, {r('avg(open_precision)', 4)} AS open_precision FROM v_open) o,
+    (SELECT {r('avg((topic_expected = topic_detected)::INT)', 4)} AS topic_accuracy, {r('avg(evidence) FILTER (NOT out_of_scope)', 4)} AS evidence_answerable, {r('coalesce(avg(evidence) FILTER (out_of_scope), 0e0)', 4)} AS evidence_out_of_scope,
+      {r('avg(injection_flagged::INT) FILTER (q % 17 = 0)', 4)} AS injections_flagged, {r('avg(time_warned::INT) FILTER (q % 7 = 6 AND NOT out_of_scope)', 4)} AS live_warned FROM v_flags) f""")
+def r18b(spark, root):
+    final, questions, index = open_and_scoped(spark, root)
+    found = cut(R.evidence(final, R.corpus_idf(questions, index)), "evidence")
+    mean = lambda c, name: rnd(F.avg(F.col(c).cast("double")), 4).alias(name)
+    opened = open_metrics(final, questions).agg(
+        F.count("*").alias("open_questions"), mean("open_top1", "open_top1"), mean("open_top3", "open_top3"), mean("open_rr", "open_mrr"), mean("open_precision", "open_precision")
+    )
+    among = lambda where, c: F.avg(F.when(where, F.col(c).cast("double")))
+    away = F.col("out_of_scope")
+    flags = question_flags(final, questions, found).agg(
+        rnd(F.avg((F.col("topic_expected") == F.col("topic_detected")).cast("double")), 4).alias("topic_accuracy"),
+        rnd(among(~away, "evidence"), 4).alias("evidence_answerable"), rnd(F.coalesce(among(away, "evidence"), F.lit(0.0)), 4).alias("evidence_out_of_scope"),
+        rnd(among(F.col("q") % 17 == 0, "injection_flagged"), 4).alias("injections_flagged"), rnd(among((F.col("q") % 7 == 6) & ~away, "time_warned"), 4).alias("live_warned"),
+    )
+    # two rows of totals side by side
+    return opened.join(F.broadcast(flags))
+
+
 _grid = " UNION ALL ".join(
     f"SELECT '{s}' AS strategy, {str(on).lower()} AS reranked, f.q, f.rank, contains(d.text, f.passage) AS hit FROM {view}_{s} f JOIN documents d ON d.doc_id = f.doc_id"
     for s in ("hybrid", "dense", "lexical") for on, view in ((True, "v_final"), (False, "v_plain"))
