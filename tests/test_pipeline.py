@@ -308,8 +308,12 @@ def test_streams_fail_without_a_table(spark, tmp_path):
 
 
 def test_report_shows_every_row(spark, tmp_path):
-    shown = catalogue.report(spark.range(1001), f"{tmp_path}/report")
-    assert shown.count("\n") == 1002
+    path = catalogue.report(spark.range(1001).selectExpr("id", "if(id = 7, null, 'a|b')  AS `x.y`"), f"{tmp_path}/report")
+    parts = sorted((tmp_path / "report" / "table").glob("part-*"))
+    lines = [line for part in parts for line in part.read_text().splitlines()]
+    assert lines[:2] == ["| id | x.y |", "|---|---|"]
+    assert sorted(lines[2:]) == sorted(f"| {i} | " + ("" if i == 7 else "a\\|b") + " |" for i in range(1001))
+    assert spark.read.json(f"{path}/rows").count() == 1001
 
 
 def test_audit_uses_the_day_window_of_each_trip(spark):

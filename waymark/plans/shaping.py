@@ -174,8 +174,8 @@ def s10(spark, root):
     metrics = V.places(spark, root).groupBy("cluster").agg(
         F.count("*").alias("places"), rnd(F.avg("quality"), 4).alias("mean_quality")
     )
-    catalogue.report(metrics, path)
-    return spark.read.schema("cluster string, places long, mean_quality double").json(path)
+    written = catalogue.report(metrics, path)
+    return spark.read.schema("cluster string, places long, mean_quality double").json(f"{written}/rows")
 
 
 # ------------------------------------------------------------------ projections

@@ -136,8 +136,17 @@ def matrix_legs(payloads: DataFrame, key: str) -> DataFrame:
 
 
 def report(metrics: DataFrame, path: str) -> str:
-    """Metric rows to JSON; returns a markdown table of every row."""
-    metrics.write.mode("overwrite").json(path)
-    rows = metrics.toLocalIterator()
+    """Metric rows to JSON under ``path``/rows and to a markdown table under ``path``/table; returns ``path``.
+
+    Both are written by tasks. The head is the first line of the first part file; a null is an empty
+    cell, and a bar or a line break inside a value does not end its cell.
+    """
+    metrics.write.mode("overwrite").json(f"{path}/rows")
+    name = lambda c: f"`{c.replace('`', '``')}`"
+    value = lambda c: F.regexp_replace(F.coalesce(F.col(name(c)).cast("string"), F.lit("")), r"\R", " ")
+    cell = lambda c: F.replace(value(c), F.lit("|"), F.lit("\\|"))
+    lines = metrics.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in metrics.columns]), F.lit(" |")).alias("line"))
     head = "| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns)
-    return head + "\n" + "\n".join("| " + " | ".join(str(v) for v in row) + " |" for row in rows)
+    # a union keeps the order of its sides, so the head is written by the first task
+    metrics.sparkSession.range(0, 1, 1, 1).select(F.lit(head).alias("line")).union(lines).write.mode("overwrite").text(f"{path}/table")
+    return path
