@@ -349,3 +349,16 @@ def test_split_keeps_the_share_of_each_label(spark):
     rows = spark.range(1003).select("id", F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") % 10 == 0).cast("int")).alias("label"))
     got = {r["label"]: (r["n"], r["t"]) for r in M.split(rows, "id").groupBy("label").agg(F.count("*").alias("n"), F.count_if("test").alias("t")).collect()}
     assert sum(n for n, _ in got.values()) == 1003 and all(t == n // 4 for n, t in got.values())
+
+
+def test_audit_never_broadcasts_the_catalogue(spark, root):
+    from waymark.plans import audit
+    from waymark.sources import views as V
+
+    acts, places = V.activities(spark, root), V.places(spark, root)
+    stops = acts.withColumn("start_date", F.lit("2024-01-20").cast("date"))
+    trips = V.trips(spark, root)
+    for made in (audit.with_openings(stops, places), audit.with_attributes(acts, places), A.cost_range(trips, acts, places).select("trip", "low")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        exchanged = [part.split("FileScan", 1)[1] for part in plan.split("BroadcastExchange")[1:] if "FileScan" in part]
+        assert not any("p_partkey" in scan.split("\n")[0] for scan in exchanged), plan

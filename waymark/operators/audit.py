@@ -97,7 +97,7 @@ def report(issues: DataFrame, plans: DataFrame) -> DataFrame:
 
 def cost_range(trips: DataFrame, acts: DataFrame, places: DataFrame) -> DataFrame:
     """Low and high cost per trip: rooms, food, transport, entry fees, contingency."""
-    fees = places.select("place", "fee_min", "fee_max", F.col("kind").alias("exposure"))
+    fees = places.select("place", "fee_min", "fee_max", F.col("kind").alias("exposure")).hint("merge")  # rows outgrow the file that a broadcast is judged by
     visits = acts.where("kind = 'visit'").join(fees, "place").groupBy(F.col("plan").alias("trip")).agg(
         F.sum(F.when(F.col("fee_max") > 0, F.col("fee_min"))).alias("fee_low"), F.sum(F.when(F.col("fee_max") > 0, F.col("fee_max"))).alias("fee_high"),
         F.avg((F.col("exposure") == "outdoor").cast("double")).alias("exposed"),
