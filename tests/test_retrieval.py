@@ -130,6 +130,16 @@ def test_block_maxima_lose_no_row_of_a_pool(many, block, first, top):
     assert got == want and len(got) <= top * len(asked)
 
 
+def test_lexical_scores_hold_every_chunk_with_a_term_of_the_question(many):
+    from waymark.plans import registry
+
+    rows, asked, index, scoped = many
+    got = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_scores(scoped, index).collect()}
+    want = {(q, chunk): score for q, question, _, _ in asked for chunk, score in plain_bm25(("en", "*", "*"), question, rows).items()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) > K.LEXICAL_POOL * len(asked)
+    assert "v_lex30" not in registry.all_oracles()["R7_bm25"]
+
+
 def test_cells_of_any_size_give_the_same_dense_pools(many):
     _, _, index, scoped = many
     whole = sorted(map(tuple, E.dense_top(index, scoped, top=7).collect()))

@@ -82,6 +82,17 @@ def scored_postings(questions: DataFrame, index: DataFrame, block: int = BLOCK)
     )
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(q, scope, term): distinct terms of every question."""
+    return questions.select("q", "scope", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
+
+
+def lexical_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(q, chunk, lexical): BM25 of every chunk of a question's scope that has one of its terms."""
+    hits = asked_terms(questions).join(scored_postings(questions, index), ["scope", "term"])
+    return hits.groupBy("q", "chunk").agg(rnd(F.sum("score"), 9).alias("lexical"))
+
+
 def lexical_top(questions: DataFrame, index: DataFrame, top: int = K.LEXICAL_POOL, block: int = BLOCK, first: int = FIRST) -> DataFrame:
     """(q, chunk, lexical, lexical_rank): the pool of every question, by block maxima.
 
@@ -91,7 +102,7 @@ def lexical_top(questions: DataFrame, index: DataFrame, top: int = K.LEXICAL_POO
     question and a chunk outside these blocks is ever made.
     """
     postings = cut(scored_postings(questions, index, block), "scored")
-    terms = questions.select("q", "scope", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
+    terms = asked_terms(questions)
     largest = postings.groupBy("scope", "term", "block").agg(F.max("score").alias("most"))
     bounds = cut(terms.join(largest, ["scope", "term"]).groupBy("q", "scope", "block").agg(F.sum("most").alias("bound")), "bounds")
 

@@ -221,10 +221,10 @@ def r6(spark, root):
     return E.dense_top(index, questions)
 
 
-@query("R7_bm25", "SELECT q, chunk, lexical, lexical_rank FROM v_lex30")
+@query("R7_bm25", "SELECT q, chunk, lexical FROM v_bm25")
 def r7(spark, root):
     questions, index = prepared(spark, root)
-    return R.lexical_top(questions, index)
+    return R.lexical_scores(questions, index)
 
 
 @query("W8_retrieval_ranks", "SELECT q, chunk, dense_rank, lexical_rank FROM v_pools")
