@@ -69,6 +69,34 @@ def test_cell_vectors_equal_plain_hashing():
     assert E.text_vectors([[]]).tolist() == [[0.0] * K.EMBED_DIM]
 
 
+def test_vectors_of_equal_keys_count_as_one_text_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(E, "SLICE", 2 * E.BESIDES)
+    said = [(1, "fort lake"), (None, "fort"), (1, "lake fort lake"), (2, "harbour road"), (None, "lake lake"), (1, ""), (1, "fort lake"), (3, None), (None, "fort walls")]
+    rows = spark.createDataFrame(said, "id long, text string")
+    old = {r["id"]: r["f"] for r in E.weights(rows, ["id"], text.tokens(F.col("text"))).groupBy("id").agg(F.collect_list(F.struct("b", "v")).alias("f")).collect()}
+    run = E._keyed_vectors()
+    sorted_rows = rows.orderBy("id").select("id", text.tokens(F.col("text")).alias("tokens")).toArrow()
+    here = [r for batch in run(sorted_rows.to_batches(max_chunksize=3)) for r in batch.to_pylist()]
+    there = [r.asDict() for r in E.vectors(rows, ["id"], text.tokens(F.col("text"))).collect()]
+    assert len(here) == len(there) == len(old) == 4
+    for got in (*here, *there):
+        want = [0.0] * K.EMBED_DIM
+        for f in old[got["id"]]:
+            if f["b"] is not None:
+                want[f["b"]] += f["v"]
+        norm = math.sqrt(sum(v * v for v in want)) or 1.0
+        out = [0.0] * K.EMBED_DIM
+        for b, v in zip(got["b"], got["v"]):
+            out[b] = v
+        assert out == pytest.approx([v / norm for v in want], abs=1e-12)
+
+
+def test_stored_vectors_shuffle_texts_and_no_features(spark):
+    rows = spark.createDataFrame([(1, "fort lake"), (2, "")], "id long, text string")
+    plan = E.vectors(rows, ["id"], text.tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
 def test_pair_scores_equal_plain_cosine(spark):
     pairs = spark.createDataFrame([(1, 1, TEXTS[0], TEXTS[3]), (1, 2, TEXTS[0], ""), (2, 1, TEXTS[1], TEXTS[1])], "q int, chunk int, a string, b string")
     for r in E.pair_scores(pairs, ["q", "chunk"], F.col("a"), F.col("b")).collect():

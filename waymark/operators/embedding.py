@@ -1,7 +1,7 @@
 """Signed feature-hash vectors and scoped dense top-k.
 
-Stored vectors are made of column expressions: a text's features are counted, hashed and summed per
-bucket inside the partition that the text was dealt to, so only texts are shuffled, never features.
+Stored vectors are made inside the partition that a text was dealt to, a few rows at a time: only texts
+are shuffled and sorted, features are counted, hashed and summed per bucket in a task's memory.
 The dense arm deals the chunks' tokens and the questions' vectors to cells of a scope, of bounded
 size on both sides; a cell hashes its distinct words once, scores by one matrix product and gives its
 best rows per question. No vector of a chunk is shuffled, none reaches the driver, none is broadcast.
@@ -9,11 +9,14 @@ best rows per question. No vector of a chunk is shuffled, none reaches the drive
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from waymark.operators import grouped
 from waymark.session import cut
 
 CELL_CHUNKS, CELL_QUESTIONS = 1024, 512  # about; a cell's scores are one matrix product
+SLICE, BESIDES = 1 << 17, 64  # tokens whose features a task holds at a time, a text counting as some more
 WEIGHTS = {"w": 1.0, "b": 0.85, "c": 0.35}
 
 
@@ -58,11 +62,53 @@ def postings(rows: DataFrame, keys: list[str], tokens: Column | None = None, dea
 
 
 def vectors(rows: DataFrame, keys: list[str], tokens: Column | None = None, deal_by: list[str] | None = None) -> DataFrame:
-    """(keys, b, v): unit vectors as arrays of filled buckets and their values; empty without tokens."""
-    found = postings(rows, keys, tokens, deal_by).groupBy(*keys).agg(
-        F.collect_list("b").alias("b"), F.collect_list("v").alias("_v"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm")
-    )
-    return found.select(*keys, "b", F.transform("_v", lambda x: F.try_divide(x, F.col("_norm"))).alias("v"))
+    """(keys, b, v): unit vectors as arrays of filled buckets and their values; empty without tokens.
+
+    Rows of equal keys count as one text. They come sorted by key, and a task holds the features of
+    ``SLICE`` tokens or of one row at a time, and the distinct features of the key that is still open.
+    """
+    dealt = rows.repartition(*(deal_by or keys)).sortWithinPartitions(*keys).select(*keys, (F.col("tokens") if tokens is None else tokens).alias("tokens"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    return dealt.mapInArrow(_keyed_vectors(), f"{shape}, b array<int>, v array<double>")
+
+
+def _keyed_vectors():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(keys: list[tuple], kinds: list, found: np.ndarray) -> pa.RecordBatch:
+            at, b = np.nonzero(np.abs(found) > 1e-9)  # what features that cancel leave behind is not filled
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(keys))))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (b.astype(np.int32), found[at, b])]
+            return pa.RecordBatch.from_arrays([*[pa.array(c, kind) for c, kind in zip(zip(*keys), kinds)], *lists], [*names, "b", "v"])
+
+        def one(counts: Counter) -> np.ndarray:
+            bucket, weight = _weighed(list(counts))
+            return _unit(bucket, weight * (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))), 1)
+
+        key, held, kinds, names = None, None, [], []  # held: features of the last key seen, which may go on
+        for batch in batches:
+            kinds, names = batch.schema.types[:-1], batch.schema.names[:-1]
+            filled = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64) + BESIDES) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), batch.num_rows]
+            for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                of = list(zip(*[c.to_pylist() for c in part.columns[:-1]]))
+                new = np.asarray([i == 0 or of[i] != of[i - 1] for i in range(len(of))])
+                owner, keys = np.cumsum(new) - 1, [of[i] for i in np.flatnonzero(new)]
+                who, feature, n, features_ = _counted(part.column(part.num_columns - 1).to_pylist(), owner)
+                of_run = lambda i: Counter({features_[f]: int(m) for f, m in zip(feature[who == i].tolist(), n[who == i].tolist())})  # noqa: E731, B023
+                if held is not None and key != keys[0]:
+                    yield told([key], kinds, one(held))
+                    held = None
+                first = of_run(0) if held is None else held + of_run(0)
+                if len(keys) > 1:
+                    bucket, weight = _weighed(features_)
+                    found = _unit(who * K.EMBED_DIM + bucket[feature], weight[feature] * (1.0 + np.log(n)), len(keys))
+                    found[0] = one(first)[0]
+                    yield told(keys[:-1], kinds, found[:-1])
+                key, held = keys[-1], of_run(len(keys) - 1) if len(keys) > 1 else first
+        if held is not None:
+            yield told([key], kinds, one(held))
+
+    return run
 
 
 def dense_top(index: DataFrame, questions: DataFrame, top: int = K.DENSE_POOL, cell: tuple[int, int] = (CELL_CHUNKS, CELL_QUESTIONS)) -> DataFrame:
@@ -93,29 +139,40 @@ def _unit(place: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros(out.shape), where=norms > 0)
 
 
-def text_vectors(lists: list) -> np.ndarray:
-    """The vectors of a cell's token lists: distinct words, pairs and pieces are hashed once each."""
+def _counted(lists: list, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(owner, number of a feature, count, features) of token lists and their owners: a list's features are its own, an owner's are counted together."""
     sizes = np.asarray([len(x) for x in lists], dtype=np.int64)
     flat = pa.array(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if sizes.sum() else [], pa.string()).dictionary_encode()
     words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    row = np.repeat(np.arange(len(lists)), sizes)
     numbers: dict[str, int] = {}
     cut_up = [[numbers.setdefault(w[i:i + 4], len(numbers)) for i in range(len(w) - 3)] for w in words]
     many = np.asarray([len(p) for p in cut_up], dtype=np.int64)
     start, pieces = np.cumsum(many) - many, np.asarray([n for p in cut_up for n in p], dtype=np.int64)
     taken = many[code]
     at = np.repeat(start[code] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
-    inside = owner[1:] == owner[:-1]
+    inside = row[1:] == row[:-1]
     pairs, pair = np.unique(code[:-1][inside] * len(words) + code[1:][inside], return_inverse=True)
     names = ["w:" + w for w in words] + ["c:" + p for p in numbers] + [f"b:{words[p // len(words)]}_{words[p % len(words)]}" for p in pairs.tolist()]
-    digests = [md5(n.encode()).hexdigest() for n in names]
-    bucket = np.asarray([int(d[:15], 16) % K.EMBED_DIM for d in digests], dtype=np.int64)
-    weight = np.asarray([(1 if d[15] >= "8" else -1) * WEIGHTS[n[0]] for n, d in zip(names, digests)], dtype=float)
     kinds = max(1, len(names))
+    owner = own[row]
     feature = np.concatenate((code, len(words) + pieces[at], len(words) + len(numbers) + pair))
     cells, counts = np.unique(np.concatenate((owner, np.repeat(owner, taken), owner[:-1][inside])) * kinds + feature, return_counts=True)
-    feature = cells % kinds
-    return _unit(cells // kinds * K.EMBED_DIM + bucket[feature], weight[feature] * (1.0 + np.log(counts)), len(lists))
+    return cells // kinds, cells % kinds, counts, names
+
+
+def _weighed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and signed weight of every feature."""
+    digests = [md5(n.encode()).hexdigest() for n in names]
+    bucket = np.asarray([int(d[:15], 16) % K.EMBED_DIM for d in digests], dtype=np.int64)
+    return bucket, np.asarray([(1 if d[15] >= "8" else -1) * WEIGHTS[n[0]] for n, d in zip(names, digests)], dtype=float)
+
+
+def text_vectors(lists: list) -> np.ndarray:
+    """The vectors of a cell's token lists: distinct words, pairs and pieces are hashed once each."""
+    who, feature, n, names = _counted(lists, np.arange(len(lists)))
+    bucket, weight = _weighed(names)
+    return _unit(who * K.EMBED_DIM + bucket[feature], weight[feature] * (1.0 + np.log(n)), len(lists))
 
 
 def _scoring(top: int):

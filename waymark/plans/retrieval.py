@@ -112,10 +112,10 @@ CHECK = f"count(*) FILTER (abs(v) > 1e-9) AS filled, {r('sum(v * (idx + 1))', 6)
 
 def vector_check(rows, key):
     """Filled buckets, position-weighted sum and largest entry of the vectors of (key, text)."""
-    sums = E.postings(rows, [key], text.tokens(F.col("text"))).where(F.abs("v") > 1e-9).groupBy(key).agg(
-        F.count("*").alias("filled"), F.sum(F.col("v") * (F.col("b") + 1)).alias("moved"), F.max(F.abs("v")).alias("most"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")
-    )
-    return sums.select(key, "filled", rnd(F.col("moved") / F.col("norm"), 6).alias("weighted"), rnd(F.col("most") / F.col("norm"), 6).alias("peak"))
+    unit = E.vectors(rows, [key], text.tokens(F.col("text"))).where(F.size("b") > 0)
+    moved = F.aggregate(F.arrays_zip("b", "v"), F.lit(0.0), lambda s, x: s + x["v"] * (x["b"] + 1))
+    most = F.greatest(F.array_max("v"), -F.array_min("v"))
+    return unit.select(key, F.size("b").cast("long").alias("filled"), rnd(moved, 6).alias("weighted"), rnd(most, 6).alias("peak"))
 
 
 _all_chunks = f"(SELECT chunk AS id, {toks('heading || chr(10) || body')} AS t FROM v_chunks)"
