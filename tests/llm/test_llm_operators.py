@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import chat, language, licenses, mixing, packing, quality, simhash, suffixes, tokens, topk
-from waymark.llm.common import word_count
+from waymark.llm import chat, language, licenses, mixing, packing, prefix, quality, simhash, suffixes, tokens, topk
+from waymark.llm.common import cut, word_count
 from waymark.llm.components import components
 from waymark.llm.queries import ORACLES, QUERIES
 
@@ -448,6 +448,57 @@ def test_similar_texts_of_awkward_rows(awkward, nothing):
     assert simhash.one_per_group(nothing, words=5, jaccard=0.8).count() == 0
 
 
+def test_similar_texts_far_apart_in_bits_are_linked(spark):
+    """Texts of 0.8 exactly, with fingerprints more bits apart than any block or reach: none is left out."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(150):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 5000, 9)]  # 5 shingles, 4 of them in a text one word shorter
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_per_group(docs, words=5, jaccard=0.8).collect()} == {2 * g for g in range(150)}
+
+
+@pytest.mark.parametrize("run,slice_", [(2, 3), (6, 1024), (32, 1024)])
+def test_prefixes_join_what_all_pairs_join(spark, run, slice_):
+    rng = np.random.default_rng(5)
+    common, rows = rng.integers(0, 1 << 62, 30), []
+    for g in range(25):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 60))
+        for _ in range(8):
+            held = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.1, 0.2])]
+            rows.append(np.unique(np.concatenate((held, common[:rng.choice([0, 1, 30])], rng.integers(0, 1 << 62, rng.integers(0, 4))))))
+    rows = [r for r in rows if len(r)]
+    least = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if least(rows[i], rows[j])]
+    want = list(range(len(rows)))
+    for _ in rows:
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    sets = cut(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "node long, shingles array<long>"), "sets")
+    sets_of = lambda nodes: sets.join(nodes, "node")
+    edges = prefix.similar_sets(sets.unionByName(sets), sets_of, 0.8, spark.createDataFrame([], "u long, v long"), run, slice_)
+    assert {(max(r), min(r)) for r in map(tuple, edges.collect())} <= set(pairs)
+    hung = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert len(set(want)) < len(rows) - 40 and [hung.get(i, i) for i in range(len(rows))] == want
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(1, 80):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, n).astype(np.uint64)).view(np.int64)
+        rows += [(2 * n, a.tolist()), (2 * n + 1, a[rng.permutation(len(a))[:math.ceil(0.8 * len(a))]].tolist())]
+        rows += [(-n, rng.integers(-(1 << 63), 1 << 63, n).tolist())]
+    rows = [(node, sorted(s, key=lambda x: x % (1 << 64))) for node, s in rows]
+    held = defaultdict(set)
+    for r in prefix.postings(spark.createDataFrame(rows, "node long, shingles array<long>"), 0.8).collect():
+        held[r["node"]].add(r["shingle"])
+        assert r["pos"] < prefix.prefix_size(r["n"], 0.8)
+    assert all(held[2 * n] & held[2 * n + 1] for n in range(1, 80))
+    assert sum(len(held[-n]) for n in range(1, 80)) < sum(len(held[2 * n]) for n in range(1, 80)) / 4
+
+
 @pytest.mark.parametrize("slice_", [4, 2048])
 def test_shards_link_what_all_pairs_link(spark, slice_):
     rng = np.random.default_rng(9)
@@ -597,12 +648,13 @@ def test_pipeline_stage_by_stage(spark):
         kept[name] = (docs, out)
         docs = out
     before, after = kept["simhash_near_dedup"]
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before.collect()}
-    hung = plain_components(set(prints.values()), 4)
-    least = {}
-    for d, f in sorted(prints.items()):
-        least.setdefault(hung[f], d)
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(least.values())
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in before.collect()}
+    root = {d: d for d in sets}
+    for d in sorted(sets):
+        for e in (e for e in sets if e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])):
+            a, b = root[d], root[e]
+            root |= {x: min(a, b) for x in root if root[x] in (a, b)}
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(root.values()))
     before, after = kept["suffix_array_dedup"]
     plain = plain_repeats([(r["doc_id"], r["text"].encode()) for r in before.collect()])
     for r in after.collect():

@@ -14,13 +14,10 @@ with fewer words than a shingle is one shingle; repeated rows and equal texts sh
 a null id never names a component unless all its ids are null; an empty table gives an empty
 result; other columns play no part, but to choose among rows of equal id and text.
 
-Similar texts (``one_per_group`` with a least ``jaccard``): two texts whose word shingles agree to 0.8
-differ in about 10 of 64 bits, where trees pass over next to nothing and blocks that any such pair
-shares would be of some bits only. There a point is a text by its words with 128 bits, shards are
-pairs of ``BLOCKS`` blocks of the first 64, and a shard gives a forest of least distances within
-``REACH`` of the 128 bits. Only edges whose exact Jaccard similarity is enough link. A pair may be
-missed where it meets in no shard, is beyond the reach, or is passed over for a nearer path that
-does not hold; the README has the measured recall.
+Similar texts (``one_per_group`` with a least ``jaccard``): there a point is a text by its words.
+Texts whose fingerprints the trees link are checked, and as two texts whose word shingles agree to
+0.8 differ in about 10 of 64 bits, all others are found by the prefix filter of ``prefix``,
+which misses none. Only edges whose exact Jaccard similarity is enough link.
 
 Trees stay where their shard's rows were shuffled to: a broadcast of them would take all
 fingerprints through the driver.
@@ -40,13 +37,12 @@ from pyspark.sql import Window as W
 
 from waymark.llm.common import cut, free_name
 from waymark.llm.components import components
+from waymark.llm.prefix import similar_sets
 
 WORDS = 4
 RADIUS = 4
 SEED = 42
 SLICE = 2048
-BLOCKS = 11
-REACH = 30
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 AT_ONCE = 1 << 15
 
@@ -95,11 +91,11 @@ def _blocks(n: int) -> list[tuple[int, int]]:
     return list(zip(shifts, widths))
 
 
-def sharded(points: DataFrame, radius: int = RADIUS, slice_: int = SLICE, blocks: int | None = None) -> DataFrame:
+def sharded(points: DataFrame, radius: int = RADIUS, slice_: int = SLICE) -> DataFrame:
     """(shard, part, *points): every point in each of its shards; large shards as pairs of slices."""
     value = lambda b: F.shiftrightunsigned("fp", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     keys = [
-        F.lit(k << 40) + F.shiftleft(value(a), b[1]) + value(b) for k, (a, b) in enumerate(combinations(_blocks(blocks or radius + 2), 2))
+        F.lit(k << 40) + F.shiftleft(value(a), b[1]) + value(b) for k, (a, b) in enumerate(combinations(_blocks(radius + 2), 2))
     ]
     placed = points.select(*points.columns, F.explode(F.array(*keys)).alias("shard"))
     large = placed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > slice_).select("shard", F.ceil(F.col("n") / slice_).alias("slices"))
@@ -230,105 +226,54 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles."""
-    out = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-
-
 def _text_points(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.empty((3, batch.num_rows), dtype=np.uint64)
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                hashes = shingle_hashes(text, words)
-                rows[0, i] = xxhash.xxh64_intdigest(b" ".join((text or "").encode().translate(LOWER).split()), SEED)
-                rows[1, i], rows[2, i] = fingerprint(hashes), fingerprint(_mixed(hashes))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(r.view(np.int64)) for r in rows]], ["doc_id", "ref", "node", "fp", "fp2"])
+            texts = batch.column(2).to_pylist()
+            prints = np.fromiter((fingerprint(shingle_hashes(t, words)) for t in texts), dtype=np.uint64, count=batch.num_rows)
+            nodes = pa.array([text_node(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array(prints.view(np.int64))], ["doc_id", "ref", "node", "fp"])
 
     return run
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of least distances among points (a, b) at most ``reach`` bits apart."""
-    far, close = 255, []
-    apart = lambda i, of: (np.bitwise_count(a[of] ^ a[i]) + np.bitwise_count(b[of] ^ b[i])).astype(np.int64)
-    everyone = slice(None)
-    for at in range(0, len(a), 256):
-        rows = np.arange(at, min(at + 256, len(a)))
-        d = np.bitwise_count(a[rows, None] ^ a[None, :]) + np.bitwise_count(b[rows, None] ^ b[None, :])
-        close.append(rows[(d <= reach).sum(axis=1) > 1])  # each is near itself
-    alone = np.concatenate(close)
-    if not len(alone):
-        return []
-    a, b = a[alone], b[alone]
-    best, to, left, edges = np.full(len(a), far), np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=bool), []
-    for _ in range(len(a)):
-        x = int(np.where(left, best, far + 1).argmin())
-        if best[x] <= reach:
-            edges.append((int(alone[x]), int(alone[to[x]])))
-        left[x] = False
-        d = apart(x, everyone)
-        nearer = d < best
-        best[nearer], to[nearer] = d[nearer], x
-    return edges
-
-
-def _near_pairs(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard and part; a run of equal keys is a shard."""
-        held = None
-
-        def links(shard: np.ndarray, part: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> pa.RecordBatch:
-            new = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
-            found = []
-            for i, j in zip(np.concatenate(([0], new)).tolist(), np.concatenate((new, [len(fp)])).tolist()):
-                if j - i > 1:
-                    found += [(i + x, i + y) for x, y in nearest_forest(fp[i:j].view(np.uint64), fp2[i:j].view(np.uint64), reach)]
-            at = np.asarray(found, dtype=np.int64).reshape(-1, 2)
-            ends = np.sort(node[at], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
-
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            if held is not None:
-                columns = [np.concatenate(pair) for pair in zip(held, columns)]
-            shard, part = columns[:2]
-            if not len(shard):
-                continue
-            last = int(np.flatnonzero((shard != shard[-1]) | (part != part[-1])).max(initial=-1)) + 1
-            if last:
-                yield links(*[c[:last] for c in columns])
-            held = [c[last:] for c in columns]
-        if held is not None:
-            yield links(*held)
-
-    return run
+def text_node(text: str | None) -> int:
+    """The text by its words, as a signed number."""
+    value = xxhash.xxh64_intdigest(b" ".join((text or "").encode().translate(LOWER).split()), SEED)
+    return value - (value >> 63 << 64)
 
 
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
+                texts = batch.column(0).slice(at, 100).to_pylist()
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+                nodes = pa.array([text_node(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
     return run
 
 
-def similar(points: DataFrame, texts: DataFrame, words: int, jaccard: float, reach: int = REACH, blocks: int = BLOCKS, slice_: int = SLICE) -> DataFrame:
-    """(u, v): near pairs of (node, ref, fp, fp2) points whose texts (ref, text) share ``jaccard`` of their shingles."""
-    rows = sharded(points.select("node", "fp", "fp2"), slice_=slice_, blocks=blocks).select("shard", "part", "node", "fp", "fp2")
-    keyed = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "node")
-    near = cut(keyed.mapInArrow(_near_pairs(reach), "u long, v long").distinct(), "near")
-    asked = near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(points.select("node", "ref"), "node")
-    one = texts.join(asked, "ref").select("node", "text").dropDuplicates(["node"])
-    sets = cut(one.mapInArrow(_shingle_sets(words), "node long, shingles array<long>"), "shingles")
-    both = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("total"))
-    return met.where(F.col("met") >= F.lit(jaccard) * (F.col("total") - F.col("met")) - 1e-9).select("u", "v")
+def near_prints(points: DataFrame, radius: int) -> DataFrame:
+    """(u, v): nodes of (node, fp) points whose fingerprints are equal or linked, as pairs with one node of a fingerprint."""
+    named = cut(points.groupBy("fp").agg(F.min("node").alias("first")), "named")
+    equal = points.join(named, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    end = lambda fp, node: named.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    links = linked(named.select("fp"), radius).select(F.col("u").alias("a"), F.col("v").alias("b")).join(end("a", "u"), "a").join(end("b", "v"), "b")
+    return equal.unionByName(links.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def similar(points: DataFrame, texts: DataFrame, words: int, jaccard: float, radius: int = RADIUS) -> DataFrame:
+    """(u, v): edges that join all (node, ref, fp) points whose texts (ref, text) share ``jaccard`` of their shingles."""
+    hashed = lambda of: of.select("text").mapInArrow(_shingle_sets(words), "node long, shingles array<long>")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = points.join(nodes, "node").select("ref")
+        return hashed(texts.join(asked, "ref").dropDuplicates(["ref"]))
+
+    return similar_sets(hashed(texts), sets_of, jaccard, near_prints(points.select("node", "fp"), radius))
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS, jaccard: float | None = None) -> DataFrame:
@@ -336,7 +281,7 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     Rows are told apart by a hash of id and text, so a group keeps a row of its own also where ids
     are null or serve several texts; of rows that agree in both, one stays. With ``jaccard``, texts are linked that share at least that
-    part of their shingles, and ``radius`` plays no part.
+    part of their shingles, and ``radius`` only bounds what the trees propose.
     """
     mine, kept_ref, n = (free_name(docs, c) for c in ("_mine", "_kept", "_nth"))
     ref, own = F.xxhash64(f"`{doc_id}`", f"`{text}`"), [F.col(f"`{c}`") for c in docs.columns]
@@ -346,10 +291,10 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         prints = read.mapInArrow(_fingerprints(words), "doc_id long, ref long, fp long")
         rooted = _rooted(cut(prints.groupBy("fp").agg(least.alias("least")), "points"), radius)
     else:
-        prints = read.mapInArrow(_text_points(words), "doc_id long, ref long, node long, fp long, fp2 long")
-        points = cut(prints.groupBy("node", "fp", "fp2").agg(least.alias("least")), "points")
+        prints = read.mapInArrow(_text_points(words), "doc_id long, ref long, node long, fp long")
+        points = cut(prints.groupBy("node", "fp").agg(least.alias("least")), "points")
         texts = docs.select(ref.alias("ref"), F.col(f"`{text}`").cast("string").alias("text"))
-        hung = components(similar(points.select("node", F.col("least.ref").alias("ref"), "fp", "fp2"), texts, words, jaccard))
+        hung = components(similar(points.select("node", F.col("least.ref").alias("ref"), "fp"), texts, words, jaccard, radius))
         rooted = points.join(hung, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.ref").alias(kept_ref))
     rest = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
