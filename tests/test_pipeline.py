@@ -194,6 +194,17 @@ def test_trailing_requests_equal_loop(spark):
         assert got[i] == sum(1 for _, k, t in rows if k == key and dt.timedelta(0) <= ts - t <= dt.timedelta(seconds=60))
 
 
+def test_trailing_requests_of_a_busy_second_use_growing_frames(spark):
+    """A window of a sliding frame costs its own size per row; running counts do not. Nulls and ties are kept as before."""
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(0, "a", t0), (1, "a", t0), (2, None, t0), (3, None, t0 + dt.timedelta(seconds=60)), (4, "a", None), (5, "a", t0 + dt.timedelta(seconds=61)), (5, "a", t0 + dt.timedelta(seconds=61))]
+    out = runs.trailing_requests(spark.createDataFrame(rows, "id int, key string, ts timestamp"), "key", 60, 1)
+    assert out.columns == ["id", "key", "ts", "hits", "over", "retry_after"]
+    got = sorted((r["id"], r["hits"], r["over"], r["retry_after"]) for r in out.collect())
+    assert got == [(0, 2, True, 60.0), (1, 2, True, 60.0), (2, 1, False, 0.0), (3, 2, True, 0.0), (5, 2, True, 60.0), (5, 2, True, 60.0)]
+    assert "RangeFrame, -" not in out._jdf.queryExecution().toString()
+
+
 def test_counts_and_unique_rows_with_late_rows_over_many_triggers(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     files = [[(1, 0), (2, 5), (3, 100)], [(4, 10), (5, 99), (5, 99)], [(6, 300), (3, 100), (7, None)], [(8, 200), (6, 300), (9, 290)]]

@@ -168,16 +168,33 @@ def unique_run(stream: DataFrame, delay: str, key: str, name: str, at: str = "ts
 def trailing_requests(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
     """Exact count per request over the preceding ``seconds``, with over-limit flag and retry-after.
 
-    A request only needs requests of its own and the previous time bucket, so every row is also
-    sent to the next bucket and the window runs per (key, bucket): a busy key is split over time.
+    Times of a key are points with a count. Before the first row of a point's window stands a mark: running
+    counts at the point and at its mark differ by the rows of the window, and the next point from the mark on is
+    its first. A point only needs points of its own and the previous time bucket, so every point is also sent to the
+    next bucket: a busy key is split over time. All frames begin at the partition's edge and grow, so the work
+    follows the rows however many a window holds.
     """
     span = seconds * 1_000_000
-    at = F.unix_micros("ts")
-    bucket = F.floor(at / span)
-    copies = events.withColumn("_at", at).withColumn("_b", F.explode(F.array(bucket, bucket + 1))).withColumn("_own", F.col("_b") == F.floor(F.col("_at") / span))
-    frame = W.partitionBy(key, "_b").orderBy("_at").rangeBetween(-span, 0)
-    counted = copies.withColumns({"hits": F.count("*").over(frame), "_first": F.min("_at").over(frame)}).where("_own")
-    wait = F.round((F.col("_first") + span - F.col("_at")) / 1e6, 1)
+    taken = {c.lower() for c in events.columns} | {"hits", "over", "retry_after"}
+    own_key, own_at, stamped = "_k", "_at", events
+    while {own_key, own_at} & taken:
+        own_key, own_at = "_" + own_key, "_" + own_at
+    stamped = events.withColumns({own_key: F.col(key), own_at: F.unix_micros("ts")}).where(F.col(own_at).isNotNull())
+    points = stamped.groupBy(F.col(own_key).alias("k"), F.col(own_at).alias("at")).agg(F.count("*").alias("n"))
+    b = F.floor(F.col("at") / span)
+    entry = lambda bucket, t, kind, n: F.struct(bucket.alias("b"), t.alias("t"), F.lit(kind).alias("kind"), n.alias("n"))
+    entries = points.select("k", "at", F.inline(F.array(
+        entry(b, F.col("at"), 1, F.col("n")), entry(b + 1, F.col("at"), 2, F.col("n")), entry(b, F.col("at") - span, 0, F.lit(0).cast("long")),
+    )))
+    forward = W.partitionBy("k", "b").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    backward = W.partitionBy("k", "b").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = entries.withColumns({"upto": F.sum("n").over(forward), "next": F.min(F.when(F.col("kind") > 0, F.col("t"))).over(backward)}).where("kind < 2")
+    windows = run.groupBy("k", "b", "at").agg(
+        (F.max(F.when(F.col("kind") == 1, F.col("upto"))) - F.max(F.when(F.col("kind") == 0, F.col("upto")))).alias("hits"),
+        F.max(F.when(F.col("kind") == 0, F.col("next"))).alias("first"),
+    ).select(F.col("k").alias("_point_k"), F.col("at").alias("_point_at"), "hits", F.col("first").alias("_first"))
+    counted = stamped.join(windows, F.col(own_key).eqNullSafe(F.col("_point_k")) & (F.col(own_at) == F.col("_point_at")))
+    wait = F.round((F.col("_first") + span - F.col("_point_at")) / 1e6, 1)
     return counted.withColumns({
         "over": F.col("hits") > limit, "retry_after": F.when(F.col("hits") > limit, F.greatest(F.lit(0.0), wait)).otherwise(0.0)
-    }).drop("_at", "_b", "_own", "_first")
+    }).drop(own_key, own_at, "_point_k", "_point_at", "_first")
