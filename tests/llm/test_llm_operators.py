@@ -483,6 +483,23 @@ def test_prefixes_join_what_all_pairs_join(spark, run, slice_):
     assert len(set(want)) < len(rows) - 40 and [hung.get(i, i) for i in range(len(rows))] == want
 
 
+def test_a_long_run_sends_fewer_rows_than_sets(spark):
+    """A run whose sets all look alike gives a row a set, not a row a pair, and its joining pairs once each."""
+    n = 60
+    own = [np.asarray(sorted([1, *range(100, 170), *range(1000 * (i + 1), 1000 * (i + 1) + (4 if i % 2 else 40))]), dtype=np.uint64) for i in range(n)]
+    maps = pa.array([np.packbits(row).tobytes() for row in prefix.bit_rows(own)], pa.binary())
+    size, node = pa.array([len(s) for s in own], pa.int64()), pa.array(range(n), pa.int64())
+    same = pa.array([1] * n, pa.int64())
+    run = pa.RecordBatch.from_arrays([same, same, node, size, node, maps], ["shingle", "part", "node", "n", "root", "bits"])
+    told = [r for b in prefix._across(0.8)(iter([run])) for r in b.to_pylist()]
+    assert 0 < len(told) < n
+    apart = np.arange(n)
+    edges = prefix.joining(own, [np.asarray([1])] * n, np.zeros(n), apart, 0.8)
+    assert len(edges) == n // 2 - 1 and all(u % 2 and v % 2 for u, v in edges)
+    assert not prefix.joining(own, [np.asarray([i]) for i in range(n)], np.zeros(n), apart, 0.8)
+    assert all((u < 30) != (v < 30) for u, v in prefix.joining(own, [np.asarray([1])] * n, apart // 30, apart, 0.8))
+
+
 def test_prefixes_of_similar_sets_meet(spark):
     rng = np.random.default_rng(2)
     rows = []

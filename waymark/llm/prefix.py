@@ -11,7 +11,10 @@ Up to ``RUN`` sets that meet at a shingle are paired with each other. Of a longe
 in an order of its own are paired at first, which joins groups of near copies; then the run is cut
 into slices, and of two sets that lie in different groups by then every pair is looked at, but
 those left out whose bitmaps show that they differ in too many shingles. Pairs are exact only after
-the check of whole sets that follows.
+the check of whole sets that follows. The pairs that bitmaps leave are not sent anywhere, as they grow
+with the square of a run: each run tells only which of its sets hang together by them. Sets that
+do in any run are brought together whole, in pairs of slices, every pair that meets is checked once,
+and only edges that join two groups leave the task.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import cut
@@ -34,6 +37,7 @@ RUN = 32
 SLICE = 1024
 BITS = 2048
 SPARE = 1e-6
+AT_ONCE = 1 << 22  # shingles of the sets that are checked against one set at a time
 
 
 def _frequent_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,20 +214,97 @@ def possible(n: np.ndarray, bits: np.ndarray, root: np.ndarray, jaccard: float)
     return np.concatenate(us), np.concatenate(vs)
 
 
+def least_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` positions the smallest one that the pairs (u, v) join it with."""
+    label = np.arange(n)
+    while len(u):
+        before = label.copy()
+        np.minimum.at(label, u, before[v])
+        np.minimum.at(label, v, before[u])
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
 def _across(jaccard: float):
+    """(u, v): which nodes of a run and part hang together by pairs that bitmaps allow, one row a node at most."""
+
     def work(shingle: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        ends = [np.empty((0, 2), dtype=np.int64)]
+        us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for a, size in zip(*(c.tolist() for c in _bounds(shingle, part))):
             of = slice(a, a + size)
             maps = np.unpackbits(np.frombuffer(b"".join(bits[of]), dtype=np.uint8).reshape(size, -1), axis=1)
-            u, v = possible(n[of], maps, root[of], jaccard)
-            ends.append(np.stack([node[of][u], node[of][v]], axis=1))
-        found = np.unique(np.sort(np.concatenate(ends), axis=1), axis=0)
+            label = least_labels(size, *possible(n[of], maps, root[of], jaccard))
+            hung = np.flatnonzero(label != np.arange(size))
+            us.append(node[of][hung])
+            vs.append(node[of][label[hung]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return whole_runs(2, work)
+
+
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sets), BITS), dtype=bool)
+    for row, own in zip(out, sets):
+        row[(own % np.uint64(BITS)).astype(np.int64)] = True
+    return out
+
+
+def joining(sets: list[np.ndarray], held: list[np.ndarray], side: np.ndarray, root: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Positions of pairs of sets (ascending) of ``jaccard`` or more that join two groups; ``root`` tells the groups so far.
+
+    Pairs are checked that hold a common shingle of ``held``; where ``side`` has two values, pairs across them.
+    """
+    n = np.asarray([len(s) for s in sets], dtype=np.int64)
+    u, v = possible(n, bit_rows(sets), root, jaccard)
+    owner, flat = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+    order = np.argsort(flat, kind="stable")
+    meet = np.zeros((len(sets), len(sets)), dtype=bool)
+    for a, size in zip(*(c.tolist() for c in _bounds(flat[order]))):
+        if size > 1:
+            met = owner[order[a:a + size]]
+            meet[np.ix_(met, met)] = True
+    asked = meet[u, v] & ((side[u] != side[v]) | (side == side[0]).all())
+    u, v = u[asked], v[asked]
+    label, edges = np.unique(root, return_inverse=True)[1], []
+    for one in np.unique(u).tolist():
+        others = v[u == one]
+        part = np.cumsum(n[others]) // AT_ONCE
+        for some in (others[part == p] for p in np.unique(part)):
+            some = some[label[some] != label[one]]
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[i] for i in some])
+            known = sets[one][np.minimum(np.searchsorted(sets[one], flat), n[one] - 1)] == flat
+            met = np.add.reduceat(known.astype(np.int64), np.cumsum(n[some]) - n[some])
+            for other in some[met >= jaccard * (n[one] + n[some] - met) - 1e-9].tolist():
+                if label[other] != label[one]:
+                    label[label == label[other]] = label[one]
+                    edges.append((one, other))
+    return edges
+
+
+def _joined(jaccard: float):
+    def work(group: np.ndarray, part: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, held: np.ndarray, shingles: np.ndarray) -> pa.RecordBatch:
+        ends = [np.empty((0, 2), dtype=np.int64)]
+        for a, size in zip(*(c.tolist() for c in _bounds(group, part))):
+            of = slice(a, a + size)
+            sets = [s.view(np.uint64) for s in shingles[of]]
+            found = joining(sets, list(held[of]), side[of], root[of], jaccard)
+            ends.append(node[of][np.asarray(found, dtype=np.int64).reshape(-1, 2)])
+        found = np.concatenate(ends)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
     return whole_runs(2, work)
 
 
+def _halves(key: str) -> tuple[Column, Column]:
+    """Slice of a row, one of ``slices`` by its key, and the pairs of slices that it takes part in."""
+    mine = F.pmod(F.xxhash64(key), F.col("slices"))
+    return mine, F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.least(mine, j) * F.col("slices") + F.greatest(mine, j))
+
+
 def checked(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], jaccard: float) -> DataFrame:
     """The pairs (u, v; stored) whose whole sets reach ``jaccard``."""
     sets = cut(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "sets")
@@ -249,9 +330,13 @@ def similar_sets(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], jac
     runs = rooted.groupBy("shingle").agg(F.ceil(F.count("*") / slice_).alias("slices"), F.min("root").alias("least"), F.max("root").alias("most"))
     open_ = cut(rooted.join(runs.where("least <> most").select("shingle", "slices"), "shingle"), "open")
     maps = sets_of(open_.select("node").distinct()).mapInArrow(_bitmaps, "node long, bits binary")
-    mine = F.pmod(F.xxhash64("node"), F.col("slices"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.least(mine, j) * F.col("slices") + F.greatest(mine, j))
-    dealt = open_.join(maps, "node").select("shingle", F.explode(parts).alias("part"), "node", "n", "root", "bits")
+    dealt = open_.join(maps, "node").select("shingle", F.explode(_halves("node")[1]).alias("part"), "node", "n", "root", "bits")
     rows = dealt.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
-    more = cut(rows.mapInArrow(_across(jaccard), "u long, v long").distinct(), "across")
-    return edges.unionByName(checked(more, sets_of, jaccard))
+    near = components(rows.mapInArrow(_across(jaccard), "u long, v long"))
+    grouped = cut(near.select("node", F.col("root").alias("group")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()), "grouped")
+    sliced = grouped.join(grouped.groupBy("group").agg(F.ceil(F.count("*") / slice_).alias("slices")), "group")
+    held = open_.drop("slices").join(sliced, "node").groupBy("group", "slices", "node", "root").agg(F.collect_set("shingle").alias("held"))
+    side, parts = _halves("node")
+    whole = held.join(sets_of(grouped.select("node")), "node").select("group", F.explode(parts).alias("part"), side.alias("side"), "node", "root", "held", "shingles")
+    together = whole.repartition("group", "part").sortWithinPartitions("group", "part", "node")
+    return edges.unionByName(cut(together.mapInArrow(_joined(jaccard), "u long, v long").distinct(), "joined"))
