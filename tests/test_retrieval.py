@@ -181,6 +181,18 @@ def test_no_retrieval_arm_collects_or_broadcasts_vectors(many):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInPandas" in plan
 
 
+def test_a_chunk_is_dealt_once_for_all_scopes_that_ask_it(spark):
+    tokens = [["old", "fort"], ["lake"], ["fort", "lake", "walk"]]
+    scopes = [["a|p|t", "a|p|*", "a|*|t", "a|*|*"], ["a|p|u", "a|p|*", "a|*|u", "a|*|*"], ["a|*|t", "a|*|*", "a|*|t", "a|*|*"]]
+    index = spark.createDataFrame([(i + 1, s, t) for i, (s, t) in enumerate(zip(scopes, tokens))], "chunk long, scopes array<string>, tokens array<string>")
+    asked = [(1, "a|p|t", "fort"), (2, "a|p|*", "lake"), (3, "a|*|t", "fort walk"), (4, "a|*|*", "lake")]
+    members, _ = E.cells(index, spark.createDataFrame(asked, "q long, scope string, question string"))
+    assert sorted(r["chunk"] for r in members.collect()) == [1, 2, 3]
+    got = E.dense_top(index, spark.createDataFrame(asked, "q long, scope string, question string"), top=4).collect()
+    held = {q: sorted(r["chunk"] for r in got if r["q"] == q) for q, *_ in asked}
+    assert held == {1: [1], 2: [1, 2], 3: [1, 3, 3], 4: [1, 2, 3, 3]}  # a chunk without a place names a scope twice
+
+
 def test_dense_top_equals_loop(questions, chunks):
     index = R.chunk_index(chunks)
     scoped = R.with_scope(questions, index)

@@ -2,8 +2,9 @@
 
 Stored vectors are made inside the partition that a text was dealt to, a few rows at a time: only texts
 are shuffled and sorted, features are counted, hashed and summed per bucket in a task's memory.
-The dense arm deals the chunks' tokens and the questions' vectors to cells of a scope, of bounded
-size on both sides; a cell hashes its distinct words once, scores by one matrix product and gives its
+The dense arm deals the chunks' tokens to cells of their narrowest scope, each chunk once however many
+wider scopes are asked, and the questions' vectors to the cells of their scope; cells are of bounded
+size on both sides. A cell hashes its distinct words once, scores by one matrix product and gives its
 best rows per question. No vector of a chunk is shuffled, none reaches the driver, none is broadcast.
 """
 
@@ -24,7 +25,7 @@ from waymark.functions import constants as K, text
 from waymark.operators import grouped
 from waymark.session import cut
 
-CELL_CHUNKS, CELL_QUESTIONS = 1024, 512  # about; a cell's scores are one matrix product
+CELL_CHUNKS, CELL_QUESTIONS = 4096, 512  # about; a cell's scores are one matrix product
 SLICE, BESIDES = 1 << 17, 64  # tokens whose features a task holds at a time, a text counting as some more
 WEIGHTS = {"w": 1.0, "b": 0.85, "c": 0.35}
 
@@ -93,7 +94,7 @@ def _keyed_vectors():
                 of = list(zip(*[c.to_pylist() for c in part.columns[:-1]]))
                 new = np.asarray([i == 0 or of[i] != of[i - 1] for i in range(len(of))])
                 owner, keys = np.cumsum(new) - 1, [of[i] for i in np.flatnonzero(new)]
-                who, feature, n, features_ = _counted(part.column(part.num_columns - 1).to_pylist(), owner)
+                who, feature, n, features_ = _counted(part.column(part.num_columns - 1), owner)
                 of_run = lambda i: Counter({features_[f]: int(m) for f, m in zip(feature[who == i].tolist(), n[who == i].tolist())})  # noqa: E731, B023
                 if held is not None and key != keys[0]:
                     yield told([key], kinds, one(held))
@@ -111,22 +112,35 @@ def _keyed_vectors():
     return run
 
 
+def cells(index: DataFrame, questions: DataFrame, cell: tuple[int, int] = (CELL_CHUNKS, CELL_QUESTIONS)) -> tuple[DataFrame, DataFrame]:
+    """(nr, part, block, chunk, tokens) and (scope, times, way, nr, parts, blocks): chunks dealt once, and the cells of every asked scope.
+
+    ``times`` tells how often a chunk names the scope, ``way`` numbers a scope and a home of its chunks.
+    """
+    homes = index.groupBy("scopes").agg(F.count("*").alias("n"))
+    asked = questions.groupBy("scope").agg(F.count("*").alias("asked"))
+    named = homes.select("scopes", "n", F.explode("scopes").alias("scope")).groupBy("scopes", "n", "scope").agg(F.count("*").alias("times"))
+    ways = cut(named.join(asked, "scope").withColumn("way", F.monotonically_increasing_id()), "ways")  # numbers go to the tasks, not names
+    sized = ways.groupBy("scopes").agg(F.ceil(F.max("n") / cell[0]).cast("int").alias("parts"), F.ceil(F.sum("asked") / cell[1]).cast("int").alias("blocks"))
+    sized = cut(sized.withColumn("nr", F.monotonically_increasing_id()), "cells")
+    part = F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")
+    members = index.select("chunk", "scopes", "tokens").join(sized, "scopes").select("nr", part.alias("part"), _each("blocks").alias("block"), "chunk", "tokens")
+    return members, ways.join(sized, "scopes").select("scope", "times", "way", "nr", "parts", "blocks")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
 def dense_top(index: DataFrame, questions: DataFrame, top: int = K.DENSE_POOL, cell: tuple[int, int] = (CELL_CHUNKS, CELL_QUESTIONS)) -> DataFrame:
     """(q, chunk, dense, dense_rank): best ``top`` per question among the chunks of its scope.
 
-    ``index``: chunk, scopes, tokens. ``questions``: q, scope, candidates (size of the scope), question.
+    ``index``: chunk, scopes, tokens. ``questions``: q, scope, question.
     """
     key = ["nr", "part", "block"]
-    cells = questions.groupBy("scope").agg(
-        F.ceil(F.max("candidates") / cell[0]).cast("int").alias("parts"), F.ceil(F.count("*") / cell[1]).cast("int").alias("blocks")
-    )
-    cells = cut(cells.withColumn("nr", F.monotonically_increasing_id()), "cells")  # numbers go to the tasks, not names
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = index.select("chunk", F.explode("scopes").alias("scope"), "tokens").join(cells, "scope").select(
-        "chunk", "nr", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int").alias("part"), each("blocks").alias("block"), "tokens"
-    )
-    asked = postings(questions.select("q", "question"), ["q"], text.tokens(F.col("question"))).join(questions.select("q", "scope"), "q").join(cells, "scope").select(
-        "q", F.col("nr").alias("nr"), each("parts").alias("part"), F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "b", "v"
+    members, ways = cells(index, questions, cell)
+    asked = postings(questions.select("q", "question"), ["q"], text.tokens(F.col("question"))).join(questions.select("q", "scope"), "q").join(ways, "scope").select(
+        "q", "way", "times", F.col("nr").alias("nr"), _each("parts").alias("part"), F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "b", "v"
     )
     best = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_scoring(top), "q bigint, chunk bigint, dense double")
     return grouped.top_n(best, ["q"], [F.desc("dense"), F.col("chunk")], top, "dense_rank")
@@ -139,10 +153,10 @@ def _unit(place: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros(out.shape), where=norms > 0)
 
 
-def _counted(lists: list, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _counted(lists: pa.ListArray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(owner, number of a feature, count, features) of token lists and their owners: a list's features are its own, an owner's are counted together."""
-    sizes = np.asarray([len(x) for x in lists], dtype=np.int64)
-    flat = pa.array(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if sizes.sum() else [], pa.string()).dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
     words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(lists)), sizes)
     numbers: dict[str, int] = {}
@@ -162,34 +176,42 @@ def _counted(lists: list, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _weighed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and signed weight of every feature."""
-    digests = [md5(n.encode()).hexdigest() for n in names]
-    bucket = np.asarray([int(d[:15], 16) % K.EMBED_DIM for d in digests], dtype=np.int64)
-    return bucket, np.asarray([(1 if d[15] >= "8" else -1) * WEIGHTS[n[0]] for n, d in zip(names, digests)], dtype=float)
+    """Bucket and signed weight of every feature: of its md5 the first 15 hex digits, and the 16th."""
+    h = np.frombuffer(b"".join([md5(n.encode()).digest()[:8] for n in names]), dtype=">u8").astype(np.uint64)
+    weight = np.asarray([WEIGHTS[n[0]] for n in names], dtype=float)
+    return ((h >> np.uint64(4)) % np.uint64(K.EMBED_DIM)).astype(np.int64), np.where(h & np.uint64(8), weight, -weight)
 
 
-def text_vectors(lists: list) -> np.ndarray:
+def text_vectors(lists: pa.ListArray | list) -> np.ndarray:
     """The vectors of a cell's token lists: distinct words, pairs and pieces are hashed once each."""
+    if isinstance(lists, list):
+        ends = np.cumsum([0, *map(len, lists)])
+        flat = np.concatenate([np.asarray(x, dtype=object) for x in lists]) if ends[-1] else []
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
     who, feature, n, names = _counted(lists, np.arange(len(lists)))
     bucket, weight = _weighed(names)
     return _unit(who * K.EMBED_DIM + bucket[feature], weight[feature] * (1.0 + np.log(n)), len(lists))
 
 
 def _scoring(top: int):
-    def filled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Questions and their vectors, all-zero where a text has no tokens."""
-        qs, at = np.unique(rows["q"].to_numpy(), return_inverse=True)
+    def filled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, how often they take a chunk, and their vectors, all-zero where a text has no tokens."""
+        q, way, times = (rows[c].to_numpy() for c in ("q", "way", "times"))
+        order = np.lexsort((way, q))
+        new = np.concatenate(([True], (np.diff(q[order]) != 0) | (np.diff(way[order]) != 0)))
+        at = np.empty(len(q), dtype=np.int64)
+        at[order] = np.cumsum(new) - 1
         real = rows["b"].notna().to_numpy()
         place = at[real] * K.EMBED_DIM + rows["b"].to_numpy()[real].astype(np.int64)
-        return qs, _unit(place, rows["v"].to_numpy()[real], len(qs))
+        return q[order][new], times[order][new], _unit(place, rows["v"].to_numpy()[real], int(new.sum()))
 
     def score(chunks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(chunks) or not len(asked):
             return pd.DataFrame({"q": [], "chunk": [], "dense": []}).astype({"q": "int64", "chunk": "int64", "dense": "float64"})
         chunks = chunks.sort_values("chunk")
-        ids, (qs, own) = chunks["chunk"].to_numpy(), filled(asked)
+        ids, (qs, times, own) = chunks["chunk"].to_numpy(), filled(asked)
         rounded = np.round(own @ text_vectors(chunks["tokens"].to_list()).T + 1e-9, 9)
-        order = [np.argsort(-row, kind="stable")[:top] for row in rounded]  # ids ascend, so ties go to the smaller
+        order = [np.repeat(np.argsort(-row, kind="stable")[:top], n)[:top] for row, n in zip(rounded, times)]  # ids ascend, so ties go to the smaller
         return pd.DataFrame({"q": np.repeat(qs, [len(o) for o in order]), "chunk": ids[np.concatenate(order)], "dense": np.concatenate([row[o] for row, o in zip(rounded, order)])})
 
     return score
