@@ -56,6 +56,21 @@ def test_first_by_takes_the_smallest_position(spark):
     assert {(r["k"], r["v"]) for r in grouped.first_by(df, ["k"], F.col("pos")).collect()} == {("a", "first"), ("b", "only")}
 
 
+def test_leg_matrix_has_more_parts_for_more_stops(spark, monkeypatch):
+    """A task's share of the stops does not grow with the input, and the session keeps its settings."""
+    from waymark import session
+
+    monkeypatch.setattr(joins, "STOPS_AT_ONCE", 5)
+    visits = spark.range(120).selectExpr("id div 4 as plan", "cast(id % 2 as int) as day", "id as place", "1e0 * id as lat", "2e0 as lon", "cast(id as int) as start_min")
+    legs = joins.leg_matrix(visits, spark.range(30).selectExpr("id as plan", "'car' as mode"))
+    assert legs.count() == 30 * 2 * 2
+    assert legs._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(plan") == 2
+    assert "hashpartitioning(plan" in (plan := legs._jdf.queryExecution().executedPlan().toString()) and ", 24), REPARTITION_BY_NUM" in plan
+    assert spark.conf.get(session.PARTS, None) is None
+    twice = joins.leg_matrix(visits, spark.range(60).selectExpr("id div 2 as plan", "'car' as mode"))
+    assert twice.count() == 2 * 30 * 2 * 2
+
+
 def test_leg_matrix_has_all_stops_of_a_day(spark):
     rows = [(1, 0, 10 * i, 12.0 + i / 100, 77.0, 540 + 30 * i) for i in range(13)] + [(2, 0, 1, 12.0, 77.0, 600), (2, 0, 2, 12.1, 77.0, None)]
     visits = spark.createDataFrame(rows, "plan long, day int, place long, lat double, lon double, start_min int")

@@ -10,10 +10,12 @@ from waymark.operators import grouped, shaping as S
 from waymark.plans.registry import query
 from waymark.plans.shaping import fee_rows, leg_sql, schedule_rows, trip_days
 from waymark.plans.view_sql import VIEWS, rnd as r, sql_list
+from waymark.session import cut_in_parts
 from waymark.sources import views as V
 from waymark.sources.tables import table
 
 TODAY = "1998-06-01"
+STOPS_AT_ONCE = 500_000  # stops of a part of the leg matrix, about
 
 
 @query("J1_metrics_with_attributes", f"""
@@ -224,11 +226,17 @@ def j16(spark, root):
 
 
 def leg_matrix(visits, modes):
-    """Legs i -> j, both ways, between all stops of a day: an equi-join, so no array holds a day."""
+    """Legs i -> j, both ways, between all stops of a day: an equi-join, so no array holds a day.
+
+    The number of parts follows the number of stops, so a task sorts no more of them on larger input.
+    """
     bucket = F.coalesce(F.floor(F.col("start_min") / 60), F.lit(-1))
-    numbered = grouped.ranked(visits, ["plan", "day"], bucket, [F.col("start_min"), F.col("place")], "rn")
-    a = numbered.join(modes, "plan").select("plan", "day", "mode", (F.col("rn") - 1).cast("int").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = numbered.select("plan", "day", (F.col("rn") - 1).cast("int").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    ranked = grouped.ranked(visits, ["plan", "day"], bucket, [F.col("start_min"), F.col("place")], "rn")
+    numbered = cut_in_parts(ranked.select("plan", "day", "lat", "lon", (F.col("rn") - 1).cast("int").alias("i")), "numbered")
+    starts = cut_in_parts(numbered.join(modes, "plan"), "starts")
+    parts = max(int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.count() // STOPS_AT_ONCE)
+    a = starts.select("plan", "day", "mode", "i", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).repartition(parts, "plan", "day")
+    b = numbered.select("plan", "day", F.col("i").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).repartition(parts, "plan", "day")
     est = geo.leg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.col("mode"))
     legs = a.join(b, ["plan", "day"]).where("i <> j").withColumn("leg", est)
     return legs.select("plan", "day", "i", "j", "leg.km", "leg.minutes")
