@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import statistics
 
 import pytest
@@ -191,3 +192,23 @@ def test_shuffled_input_gives_the_same_days(spark):
     a = D.day_clusters(spark.createDataFrame(rows, schema)).select("place", "c")
     b = D.day_clusters(spark.createDataFrame(rows[::-1], schema).repartition(3)).select("place", "c")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_days_of_many_trips_advance_together(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [
+        (trip, trip * 100 + i, 12 + rng.random() ** 4, 77 + rng.random() ** 4, trip % 6 + 1, rng.randrange(5) / 5)
+        for trip in range(60) for i in range(1 + trip * 7 % 16)
+    ]
+    items = spark.createDataFrame(rows, "trip bigint, place bigint, lat double, lon double, days int, score double")
+    plan = D.day_clusters(items)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "aggregate(" not in plan  # places are read once, and no fold is interpreted per trip
+    trips = D.project(items).coalesce(1).toArrow().combine_chunks()
+    monkeypatch.setattr(D, "SLICE", 100)
+    told = [r for part in D._clustered(60, True)(iter(trips.to_batches())) for r in part.to_pylist()]
+    got = {}
+    for r in told:
+        got.setdefault(r["trip"], {})[r["place"]] = r["c"]
+    for t in trips.to_pylist():
+        assert got[t["trip"]] == brute_clusters(t["points"], t["k"]), t["trip"]
+    assert sorted(tuple(r.values()) for r in told) == sorted(map(tuple, D.day_clusters(items, balanced=True).collect()))
