@@ -9,6 +9,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -373,3 +374,56 @@ def test_audit_never_broadcasts_the_catalogue(spark, root):
         plan = made._jdf.queryExecution().executedPlan().toString()
         exchanged = [part.split("FileScan", 1)[1] for part in plan.split("BroadcastExchange")[1:] if "FileScan" in part]
         assert not any("p_partkey" in scan.split("\n")[0] for scan in exchanged), plan
+
+
+class Counted:
+    """A handle whose timers and states count the messages sent to them."""
+
+    def __init__(self):
+        self.sent, self.value, self.rows, self.timers = 0, None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        trail = Counted()
+        self.trail, trail.appendList, trail.clear = trail, self._told(lambda rows: trail.rows.extend(rows)), self._told(lambda: trail.rows.clear())
+        return trail
+
+    def _told(self, act):
+        def message(*values):
+            self.sent += 1
+            return act(*values)
+
+        return message
+
+    def __getattr__(self, name):
+        acts = {
+            "get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v),
+            "clear": lambda: setattr(self, "value", None), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard,
+        }
+        if name not in acts:
+            raise AttributeError(name)
+        return self._told(acts[name])
+
+
+def test_a_share_of_events_sends_few_messages_to_the_state():
+    """The messages of a share do not grow with its events, and the trail is that of the live session."""
+    handle, sessions = Counted(), sharing.Sessions()
+    sessions.init(handle)
+    held, kept, want, got = None, [], [], []
+    for share in range(3):
+        kinds = ["point", "start", "point", "pause", "point", "resume", "point", "stop", "point"] * 20 + ["start", "point", "point"] * (share != 1)
+        rows = [(share * 1000 + i, (share * 1000 + i) * 1_000_000, k, 3) for i, k in enumerate(kinds)]
+        for event, at, kind, hours in rows:
+            first = held[0] if held else None
+            held, closed, point = sharing.advance(held, at, kind, hours)
+            want += [(7, 8, *closed)] if closed else []
+            kept = [] if held is None or held[0] != first else kept
+            kept += [(event, at)] if point else []
+        before = handle.sent
+        frame = pd.DataFrame(rows[::-1], columns=["event_id", "at", "kind", "hours"])
+        got += [tuple(r) for part in sessions.handleInputRows((7, 8), iter([frame[:50], frame[50:]]), None) for r in part.itertuples(index=False)]
+        assert handle.sent - before <= 6
+        assert handle.value == held and handle.trail.rows == kept and handle.timers == ({held[1] // 1000} if held else set())
+    assert got == want and len(got) == 60
