@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections import Counter
 from hashlib import md5
 
@@ -242,3 +243,79 @@ def test_open_measures_count_the_place_looked_for(spark):
     questions = spark.createDataFrame([(3, "a"), (5, "a"), (7, "a"), (2, "a")], "q bigint, target string")
     got = {r["q"]: (r["open_top1"], r["open_top3"], r["open_rr"], r["open_precision"]) for r in open_metrics(final, questions).collect()}
     assert got == {1: (False, True, 0.5, 0.5), 2: (False, False, 0.0, 0.0), 3: (False, False, 0.0, 0.0)}
+
+
+def dealt_rows(df):
+    """Rows that each shuffle of a plan wrote, after the plan has run."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        left += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if kind == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables too large for Spark to broadcast by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lexical_pools_shuffle_no_pairs(many, no_broadcast):
+    rows, asked, index, scoped = many
+    pairs = sum(len(plain_bm25(("en", "*", "*"), question, rows)) for _, question, _, _ in asked)
+    postings = sum(len({*words(f"{r[6]} {r[7]}")}) for r in rows)
+    written = dealt_rows(R.lexical_top(scoped, index))
+    assert max(written) <= postings < pairs / 3
+
+
+def test_reranking_shuffles_the_pooled_chunks_only(spark, many, no_broadcast):
+    rows, _, index, scoped = many
+    fused = spark.createDataFrame([(q, c, 0.03, 0.0) for q, c in [(0, 5), (0, 7), (1, 7), (2, 250)]], "q bigint, chunk bigint, fused double, dense double")
+    final = R.rerank(fused, scoped.where("q < 3"), index)
+    assert sorted((r["q"], r["chunk"], r["body"]) for r in final.collect()) == [(0, 5, rows[5][7]), (0, 7, rows[7][7]), (1, 7, rows[7][7]), (2, 250, rows[250][7])]
+    assert max(dealt_rows(final)) < len(rows)
+
+
+def test_corpus_weights_shuffle_no_words_that_nobody_asks(spark, many, no_broadcast):
+    rows, _, index, _ = many
+    asked = spark.createDataFrame([(1, "w96 w5"), (2, "of the")], "q bigint, question string")
+    weights = R.corpus_idf(asked, index)
+    got = {t["accepted"][0]: t["w"] for r in weights.collect() for t in r["terms"]}
+    have = lambda w: sum(w in words(f"{r[6]} {r[7]}") for r in rows)
+    assert got == pytest.approx({w: math.log(1 + len(rows) / (1 + have(w))) for w in ("w96", "w5")})
+    assert max(dealt_rows(weights)) < 60
+
+
+def test_a_sieve_keeps_all_that_is_wanted_and_few_others(spark):
+    rows = spark.range(20000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("v"))
+    wanted = spark.createDataFrame([(7,), (7,), (4000,), (9999,), (None,)], "k long")
+    got = R.sifted(rows.unionByName(spark.createDataFrame([(None, -1)], "k long, v long")), ["k"], wanted).collect()
+    assert sum(r["k"] in (7, 4000) for r in got) == 8 and len(got) < 100 and len({r["v"] for r in got}) == len(got)
+
+
+def test_the_index_leaves_no_shuffle_files(spark, chunks):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    held = lambda: {f for f in files().split("\n") if "/shuffle_" in f}
+    before = held()
+    index = R.chunk_index(chunks)
+    for _ in range(50):  # files go soon, not at once
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and index.count() == len(CHUNKS)
+
+
+def test_lexical_pools_take_chunks_and_questions_that_repeat_or_have_no_number(spark):
+    scopes = ["a|*|*"]
+    rows = [(1, ["old", "fort"]), (1, ["old", "fort", "fort"]), (None, ["lake"]), (None, ["lake", "fort"]), (2, ["lake"]), (3, [])]
+    index = spark.createDataFrame([(c, scopes, t) for c, t in rows], "chunk long, scopes array<string>, tokens array<string>")
+    asked = spark.createDataFrame([(1, "a|*|*", "fort lake"), (1, "a|*|*", "fort"), (None, "a|*|*", "fort")], "q long, scope string, question string")
+    want = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_scores(asked, index).collect() if r["q"]}
+    got = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_top(asked, index).collect()}
+    assert got == pytest.approx(want, abs=1e-8) and set(got) == {(1, None), (1, 1), (1, 2)}

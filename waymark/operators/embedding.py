@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
+from operator import add, itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,13 @@ from waymark.functions import constants as K, text
 from waymark.operators import grouped
 from waymark.session import cut
 
-CELL_CHUNKS, CELL_QUESTIONS = 4096, 512  # about; a cell's scores are one matrix product
+CELL_CHUNKS, CELL_QUESTIONS = 8192, 4096  # about; a cell's scores are matrix products of ``AT_ONCE`` questions
+AT_ONCE = 512
+USUAL = 24  # a word's pieces up to this place are cut for all words of a cell together
 SLICE, BESIDES = 1 << 17, 64  # tokens whose features a task holds at a time, a text counting as some more
 WEIGHTS = {"w": 1.0, "b": 0.85, "c": 0.35}
+KINDS = np.zeros(256)  # the same by the first byte of a feature
+KINDS[[ord(k) for k in WEIGHTS]] = [*WEIGHTS.values()]
 
 
 def features(tokens: Column) -> Column:
@@ -113,7 +118,7 @@ def _keyed_vectors():
 
 
 def cells(index: DataFrame, questions: DataFrame, cell: tuple[int, int] = (CELL_CHUNKS, CELL_QUESTIONS)) -> tuple[DataFrame, DataFrame]:
-    """(nr, part, block, chunk, tokens) and (scope, times, way, nr, parts, blocks): chunks dealt once, and the cells of every asked scope.
+    """(nr, part, block, chunk, said) and (scope, times, way, nr, parts, blocks): chunks dealt once, and the cells of every asked scope.
 
     ``times`` tells how often a chunk names the scope, ``way`` numbers a scope and a home of its chunks.
     """
@@ -124,7 +129,8 @@ def cells(index: DataFrame, questions: DataFrame, cell: tuple[int, int] = (CELL_
     sized = ways.groupBy("scopes").agg(F.ceil(F.max("n") / cell[0]).cast("int").alias("parts"), F.ceil(F.sum("asked") / cell[1]).cast("int").alias("blocks"))
     sized = cut(sized.withColumn("nr", F.monotonically_increasing_id()), "cells")
     part = F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")
-    members = index.select("chunk", "scopes", "tokens").join(sized, "scopes").select("nr", part.alias("part"), _each("blocks").alias("block"), "chunk", "tokens")
+    said = F.array_join("tokens", " ")  # tokens have no spaces; one string is far smaller than an array of them
+    members = index.select("chunk", "scopes", said.alias("said")).join(sized, "scopes").select("nr", part.alias("part"), _each("blocks").alias("block"), "chunk", "said")
     return members, ways.join(sized, "scopes").select("scope", "times", "way", "nr", "parts", "blocks")
 
 
@@ -139,7 +145,7 @@ def dense_top(index: DataFrame, questions: DataFrame, top: int = K.DENSE_POOL, c
     """
     key = ["nr", "part", "block"]
     members, ways = cells(index, questions, cell)
-    asked = postings(questions.select("q", "question"), ["q"], text.tokens(F.col("question"))).join(questions.select("q", "scope"), "q").join(ways, "scope").select(
+    asked = vectors(questions.select("q", "question"), ["q"], text.tokens(F.col("question"))).join(questions.select("q", "scope"), "q").join(ways, "scope").select(
         "q", "way", "times", F.col("nr").alias("nr"), _each("parts").alias("part"), F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "b", "v"
     )
     best = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_scoring(top), "q bigint, chunk bigint, dense double")
@@ -153,32 +159,45 @@ def _unit(place: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros(out.shape), where=norms > 0)
 
 
-def _counted(lists: pa.ListArray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _counted(lists: pa.ListArray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(owner, number of a feature, count, features) of token lists and their owners: a list's features are its own, an owner's are counted together."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().dictionary_encode()
     words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(lists)), sizes)
-    numbers: dict[str, int] = {}
-    cut_up = [[numbers.setdefault(w[i:i + 4], len(numbers)) for i in range(len(w) - 3)] for w in words]
-    many = np.asarray([len(p) for p in cut_up], dtype=np.int64)
-    start, pieces = np.cumsum(many) - many, np.asarray([n for p in cut_up for n in p], dtype=np.int64)
+    many = np.maximum(pc.utf8_length(flat.dictionary).to_numpy().astype(np.int64) - 3, 0)
+    start, of = np.cumsum(many) - many, np.repeat(np.arange(len(words)), many)
+    shift = np.arange(len(of)) - start[of]
+    cut_up, slots = [pa.array([], pa.string())], [np.empty(0, np.int64)]
+    for i in range(min(USUAL, shift.max(initial=-1) + 1)):
+        slots.append(np.flatnonzero(shift == i))
+        cut_up.append(pc.utf8_slice_codeunits(flat.dictionary.take(pa.array(of[slots[-1]])), i, i + 4))
+    slots.append(np.flatnonzero(shift >= USUAL))
+    cut_up.append(pa.array([words[w][i:i + 4] for w, i in zip(of[slots[-1]].tolist(), shift[slots[-1]].tolist())], pa.string()))
+    cut_up = pa.concat_arrays(cut_up).dictionary_encode()
+    pieces = np.empty(len(of), dtype=np.int64)
+    pieces[np.concatenate(slots)] = cut_up.indices.to_numpy()
     taken = many[code]
     at = np.repeat(start[code] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
     inside = row[1:] == row[:-1]
     pairs, pair = np.unique(code[:-1][inside] * len(words) + code[1:][inside], return_inverse=True)
-    names = ["w:" + w for w in words] + ["c:" + p for p in numbers] + [f"b:{words[p // len(words)]}_{words[p % len(words)]}" for p in pairs.tolist()]
+    said = [w.encode() for w in words]
+    before = [b"b:" + w + b"_" for w in said]
+    ahead, after = ((x.tolist() for x in divmod(pairs, len(words))) if len(pairs) else ([], []))
+    names = [b"w:" + w for w in said] + [b"c:" + p.encode() for p in cut_up.dictionary.to_pylist()]
+    alone = len(names)
+    names += map(add, map(before.__getitem__, ahead), map(said.__getitem__, after))
     kinds = max(1, len(names))
     owner = own[row]
-    feature = np.concatenate((code, len(words) + pieces[at], len(words) + len(numbers) + pair))
+    feature = np.concatenate((code, len(words) + pieces[at], alone + pair))
     cells, counts = np.unique(np.concatenate((owner, np.repeat(owner, taken), owner[:-1][inside])) * kinds + feature, return_counts=True)
     return cells // kinds, cells % kinds, counts, names
 
 
-def _weighed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and signed weight of every feature: of its md5 the first 15 hex digits, and the 16th."""
-    h = np.frombuffer(b"".join([md5(n.encode()).digest()[:8] for n in names]), dtype=">u8").astype(np.uint64)
-    weight = np.asarray([WEIGHTS[n[0]] for n in names], dtype=float)
+    h = np.frombuffer(b"".join([md5(n).digest() for n in names]), dtype=">u8")[::2].astype(np.uint64)
+    weight = KINDS[np.fromiter(map(itemgetter(0), names), dtype=np.uint8, count=len(names))]
     return ((h >> np.uint64(4)) % np.uint64(K.EMBED_DIM)).astype(np.int64), np.where(h & np.uint64(8), weight, -weight)
 
 
@@ -198,21 +217,29 @@ def _scoring(top: int):
         """Questions, how often they take a chunk, and their vectors, all-zero where a text has no tokens."""
         q, way, times = (rows[c].to_numpy() for c in ("q", "way", "times"))
         order = np.lexsort((way, q))
-        new = np.concatenate(([True], (np.diff(q[order]) != 0) | (np.diff(way[order]) != 0)))
-        at = np.empty(len(q), dtype=np.int64)
-        at[order] = np.cumsum(new) - 1
-        real = rows["b"].notna().to_numpy()
-        place = at[real] * K.EMBED_DIM + rows["b"].to_numpy()[real].astype(np.int64)
-        return q[order][new], times[order][new], _unit(place, rows["v"].to_numpy()[real], int(new.sum()))
+        first = order[np.concatenate(([True], (np.diff(q[order]) != 0) | (np.diff(way[order]) != 0)))]
+        b, v = (rows[c].to_numpy()[first] for c in ("b", "v"))
+        own = np.zeros((len(first), K.EMBED_DIM))
+        own[np.repeat(np.arange(len(first)), [len(x) for x in b]), np.concatenate(b).astype(np.int64)] = np.concatenate(v)
+        return q[first], times[first], own
+
+    def unit(said: pd.Series) -> np.ndarray:
+        out, some = np.zeros((len(said), K.EMBED_DIM)), (said != "").to_numpy()
+        if some.any():
+            out[some] = text_vectors(pc.split_pattern(pa.array(said[some], pa.string()), " "))
+        return out
 
     def score(chunks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(chunks) or not len(asked):
             return pd.DataFrame({"q": [], "chunk": [], "dense": []}).astype({"q": "int64", "chunk": "int64", "dense": "float64"})
         chunks = chunks.sort_values("chunk")
-        ids, (qs, times, own) = chunks["chunk"].to_numpy(), filled(asked)
-        rounded = np.round(own @ text_vectors(chunks["tokens"].to_list()).T + 1e-9, 9)
-        order = [np.repeat(np.argsort(-row, kind="stable")[:top], n)[:top] for row, n in zip(rounded, times)]  # ids ascend, so ties go to the smaller
-        return pd.DataFrame({"q": np.repeat(qs, [len(o) for o in order]), "chunk": ids[np.concatenate(order)], "dense": np.concatenate([row[o] for row, o in zip(rounded, order)])})
+        ids, (qs, times, own), held = chunks["chunk"].to_numpy(), filled(asked), unit(chunks["said"]).T
+        found = []
+        for i in range(0, len(qs), AT_ONCE):
+            rounded = np.round(own[i:i + AT_ONCE] @ held + 1e-9, 9)
+            order = [np.repeat(np.argsort(-row, kind="stable")[:top], n)[:top] for row, n in zip(rounded, times[i:])]  # ids ascend, so ties go to the smaller
+            found.append((np.repeat(qs[i:i + AT_ONCE], [len(o) for o in order]), ids[np.concatenate(order)], np.concatenate([row[o] for row, o in zip(rounded, order)])))
+        return pd.DataFrame(dict(zip(("q", "chunk", "dense"), map(np.concatenate, zip(*found)))))
 
     return score
 

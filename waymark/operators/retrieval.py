@@ -2,10 +2,13 @@
 
 The corpus is read and cut into tokens once, and every stage reads that table. What is kept per
 question is each arm's pool, so texts are joined back for a few dozen chunks per question only.
+Tokens and texts are sifted where they are read: only those that a question may need are shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +16,20 @@ from waymark.functions import constants as K, text
 from waymark.functions.stats import lookup, rnd
 from waymark.operators import grouped
 from waymark.operators.embedding import dense_top, pair_scores
-from waymark.session import cut
+from waymark.session import cut, cut_and_free
 
-BLOCK = 128  # chunks of a block of postings, about
-FIRST = 2  # blocks of a question that are scored first
+BLOCK, ASKED = 4096, 4096  # chunks and questions of a block that is scored at once, about
+SLOTS = 1 << 20  # hash slots of a sieve; it never has more rows, whatever is asked
+
+
+def sifted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose ``keys`` may be among ``wanted``, found without a shuffle of ``rows``.
+
+    A few others pass by chance, so a join with ``wanted`` follows. Keys must have the same types on both sides.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    slots = wanted.select(slot.alias("_slot")).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
 def scope_key(cluster: Column, place: Column | None, topic: Column | None) -> Column:
@@ -57,29 +70,34 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
     Every later stage reads this table, not the documents.
     """
     dealt = chunks.repartition("chunk").withColumn("scopes", chunk_scopes())
-    return cut(dealt.withColumn("tokens", text.tokens(F.concat_ws(" ", "heading", "body"))), "chunks")
-
+    return cut_and_free(dealt.withColumn("tokens", text.tokens(F.concat_ws(" ", "heading", "body"))), "chunks")
 
-def scored_postings(questions: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(scope, term, block, chunk, score) of the asked terms: BM25 with statistics over the scope.
 
-    A term weighs the same for every question of a scope, so its part of a chunk's score is worked out
-    once. ``block`` parts a scope's chunks, and with them the chunks of a very common term.
-    """
+def counted_terms(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(scope, chunk, len, term, tf) of the asked terms of every asked scope, and a few others by chance; stored once."""
     terms = questions.select("scope", F.explode(text.tokens(F.col("question"))).alias("term")).distinct()
-    scoped = index.select("chunk", F.explode("scopes").alias("scope"), "tokens").join(questions.select("scope").distinct(), "scope", "left_semi")
-    stats = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    counted = (
-        scoped.select("scope", "chunk", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-        .join(terms, ["scope", "term"], "left_semi").groupBy("scope", "chunk", "len", "term").agg(F.count("*").alias("tf"))
-    )
-    counted = cut(counted, "postings")
+    said = sifted(index.select("chunk", "scopes", F.size("tokens").alias("len"), F.explode("tokens").alias("term")), ["term"], terms)
+    scoped = sifted(said.select(F.explode("scopes").alias("scope"), "chunk", "len", "term"), ["scope", "term"], terms)
+    return cut_and_free(scoped.groupBy("scope", "chunk", "len", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def scope_stats(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(scope, n, avg_len): chunks of every asked scope and their mean length."""
+    scoped = index.select(F.explode("scopes").alias("scope"), F.size("tokens").alias("len"))
+    stats = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    return cut(stats.join(questions.select("scope").distinct(), "scope", "left_semi"), "stats")
+
+
+def term_idf(counted: DataFrame, stats: DataFrame) -> DataFrame:
+    """(scope, term, idf) by the chunks of the scope that have the term."""
     held = counted.groupBy("scope", "term").agg(F.count("*").alias("df")).join(stats, "scope")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    damp = F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("len") / F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len")))
-    return counted.join(held, ["scope", "term"]).select(
-        "scope", "term", F.pmod(F.xxhash64("chunk"), F.ceil(F.col("n") / block)).alias("block"), "chunk", (idf * F.col("tf") * (K.BM25_K1 + 1) / damp).alias("score")
-    )
+    return held.select("scope", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def damped() -> Column:
+    """What BM25 multiplies a term's weight with, by its count in the chunk and the chunk's length."""
+    mean = F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len"))
+    return F.col("tf") * (K.BM25_K1 + 1) / (F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("len") / mean))
 
 
 def asked_terms(questions: DataFrame) -> DataFrame:
@@ -89,37 +107,67 @@ def asked_terms(questions: DataFrame) -> DataFrame:
 
 def lexical_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(q, chunk, lexical): BM25 of every chunk of a question's scope that has one of its terms."""
-    hits = asked_terms(questions).join(scored_postings(questions, index), ["scope", "term"])
+    counted, stats = counted_terms(questions, index), scope_stats(questions, index)
+    postings = counted.join(term_idf(counted, stats), ["scope", "term"]).join(stats, "scope").select("scope", "term", "chunk", (F.col("idf") * damped()).alias("score"))
+    hits = asked_terms(questions).join(postings, ["scope", "term"])
     return hits.groupBy("q", "chunk").agg(rnd(F.sum("score"), 9).alias("lexical"))
 
 
-def lexical_top(questions: DataFrame, index: DataFrame, top: int = K.LEXICAL_POOL, block: int = BLOCK, first: int = FIRST) -> DataFrame:
-    """(q, chunk, lexical, lexical_rank): the pool of every question, by block maxima.
+def lexical_top(questions: DataFrame, index: DataFrame, top: int = K.LEXICAL_POOL, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
+    """(q, chunk, lexical, lexical_rank): the pool of every question.
 
-    A block's largest posting per term bounds what any chunk of it can score for a question. The
-    blocks of the highest bounds are scored first; the ``top``-th score found there is a bound from
-    below, and of the other blocks only those that can reach it are scored. No pair of a
-    question and a chunk outside these blocks is ever made.
+    Postings of a scope are dealt to blocks by a hash of the chunk, and its questions with the weights of
+    their terms to each block. A block scores all its pairs in the task's memory and gives its best ``top``
+    per question, so no row is ever made of a pair that is not among them. ``block`` chunks and ``asked``
+    questions, about, meet in a block.
     """
-    postings = cut(scored_postings(questions, index, block), "scored")
-    terms = asked_terms(questions)
-    largest = postings.groupBy("scope", "term", "block").agg(F.max("score").alias("most"))
-    bounds = cut(terms.join(largest, ["scope", "term"]).groupBy("q", "scope", "block").agg(F.sum("most").alias("bound")), "bounds")
-
-    def pool(blocks: DataFrame) -> DataFrame:
-        hits = blocks.select("q", "scope", "block").join(terms, ["q", "scope"]).join(postings, ["scope", "term", "block"])
-        scores = hits.groupBy("q", "chunk").agg(rnd(F.sum("score"), 9).alias("lexical")).where("lexical > 0")
-        return grouped.top_n(scores, ["q"], [F.desc("lexical"), F.col("chunk")], top, "lexical_rank")
-
-    seeds = grouped.top_n(bounds, ["q"], [F.desc("bound"), F.col("block")], first, "nth")
-    least = pool(seeds).where(F.col("lexical_rank") == top).select("q", F.col("lexical").alias("least"))
-    reach = F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-6  # scores are rounded, sums have no fixed order
-    return pool(bounds.join(least, "q", "left").where(reach))
+    counted, stats = counted_terms(questions, index), scope_stats(questions, index)
+    parts = questions.groupBy("scope").agg(F.ceil(F.count("*") / asked).cast("int").alias("parts"))
+    sized = stats.join(parts, "scope").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    postings = counted.join(sized, "scope").select("scope", dealt("chunk", "blocks").alias("block"), each("parts").alias("part"), "term", "chunk", damped().alias("damped"))
+    weighed = asked_terms(questions).where("q is not null").join(term_idf(counted, stats), ["scope", "term"])
+    wanted = weighed.groupBy("q", "scope").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf")).join(sized, "scope").select(
+        "scope", each("blocks").alias("block"), dealt("q", "parts").alias("part"), "q", "terms", "idf"
+    )
+    key = ["scope", "block", "part"]
+    best = postings.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(_block_scores(top), "q bigint, chunk bigint, lexical double")
+    return grouped.top_n(best, ["q"], [F.desc("lexical"), F.col("chunk")], top, "lexical_rank")
+
+
+def _block_scores(top: int):
+    none = np.iinfo(np.int64).min  # stands for a chunk without a number, which comes first in order
+
+    def score(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        said = postings["term"].combine_chunks().dictionary_encode()
+        number = {t: i for i, t in enumerate(said.dictionary.to_pylist())}
+        code = said.indices.to_numpy(zero_copy_only=False)
+        ids, at = np.unique(postings["chunk"].fill_null(none).to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        at, damped, ends = at[order], postings["damped"].to_numpy()[order], np.searchsorted(code[order], np.arange(len(number) + 1))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for q, terms, idf in zip(*(asked[c].to_pylist() for c in ("q", "terms", "idf"))):
+            held = [(slice(ends[number[t]], ends[number[t] + 1]), w) for t, w in zip(terms, idf) if t in number]
+            if not held:
+                continue
+            hit = np.concatenate([at[s] for s, _ in held])
+            some = np.flatnonzero(np.bincount(hit))
+            scores = np.round(np.bincount(hit, np.concatenate([damped[s] * w for s, w in held]))[some] + 1e-9, 9)
+            reach = (scores > 0) & (scores >= (np.partition(scores, -top)[-top] if len(scores) > top else 0))
+            some, scores = some[reach], scores[reach]
+            first = np.argsort(-scores, kind="stable")[:top]  # ids ascend, so ties go to the smaller
+            found.append((np.full(len(first), q), ids[some[first]], scores[first]))
+        q, chunk, lexical = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"q": pa.array(q, pa.int64()), "chunk": pa.array(chunk, pa.int64(), mask=chunk == none), "lexical": pa.array(lexical, pa.float64())})
+
+    return score
 
 
 def arms(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(q, chunk, dense, dense_rank, lexical, lexical_rank): both pools of every question."""
-    return dense_top(index, questions).join(lexical_top(questions, index), ["q", "chunk"], "full_outer")
+    dense = cut_and_free(dense_top(index, questions), "dense")
+    return dense.join(cut_and_free(lexical_top(questions, index), "lexical"), ["q", "chunk"], "full_outer")
 
 
 def fuse(pools: DataFrame, strategy: str = "hybrid") -> DataFrame:
@@ -137,7 +185,8 @@ def fuse(pools: DataFrame, strategy: str = "hybrid") -> DataFrame:
 def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, enabled: bool = True, top: int = K.TOP_K) -> DataFrame:
     """Final ``top`` chunks per question, with texts; features when enabled, else the fused order."""
     ceiling = fused.groupBy("q").agg(F.max("fused").alias("max_fused"))
-    body = chunks.select("chunk", "doc_id", "heading", "body", F.col("topic").alias("chunk_topic"), F.col("place").alias("chunk_place"), "source_type")
+    pooled = sifted(chunks, ["chunk"], fused)
+    body = pooled.select("chunk", "doc_id", "heading", "body", F.col("topic").alias("chunk_topic"), F.col("place").alias("chunk_place"), "source_type")
     rows = fused.join(ceiling, "q").join(questions.select("q", "question", "topic"), "q").join(body, "chunk")
     terms = text.tokens(F.col("question"))
     share = lambda c: F.coalesce(text.overlap(terms, text.tokens(F.col(c))), F.lit(0.0))
@@ -157,7 +206,7 @@ def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, enabled: b
 def corpus_idf(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(q, terms): evidence terms with corpus-wide weights and accepted synonyms, per question."""
     terms = questions.select("q", F.explode(text.evidence_terms(F.col("question"))).alias("term"))
-    words = chunks.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    words = sifted(chunks.select(F.explode(F.array_distinct("tokens")).alias("term")), ["term"], terms)
     df = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))
     synonyms = F.expr("map(" + ", ".join(f"'{h}', array({', '.join(repr(s) for s in t)})" for h, t in K.SYNONYMS.items()) + ")")
