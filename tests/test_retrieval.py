@@ -319,3 +319,8 @@ def test_lexical_pools_take_chunks_and_questions_that_repeat_or_have_no_number(s
     want = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_scores(asked, index).collect() if r["q"]}
     got = {(r["q"], r["chunk"]): r["lexical"] for r in R.lexical_top(asked, index).collect()}
     assert got == pytest.approx(want, abs=1e-8) and set(got) == {(1, None), (1, 1), (1, 2)}
+
+
+def test_dense_pools_deal_a_question_and_a_chunk_as_one_row(many, no_broadcast):
+    rows, asked, index, scoped = many
+    assert max(dealt_rows(E.dense_top(index, scoped))) <= len(rows)  # a row per filled bucket of a question would be thousands
