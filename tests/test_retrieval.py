@@ -321,6 +321,8 @@ def test_lexical_pools_take_chunks_and_questions_that_repeat_or_have_no_number(s
     assert got == pytest.approx(want, abs=1e-8) and set(got) == {(1, None), (1, 1), (1, 2)}
 
 
-def test_dense_pools_deal_a_question_and_a_chunk_as_one_row(many, no_broadcast):
-    rows, asked, index, scoped = many
-    assert max(dealt_rows(E.dense_top(index, scoped))) <= len(rows)  # a row per filled bucket of a question would be thousands
+def test_dense_pools_deal_a_question_and_a_chunk_as_one_row(spark, no_broadcast):
+    index = spark.createDataFrame([(i, ["a|*|*"], ["old", f"fort{i}"]) for i in range(6)], "chunk long, scopes array<string>, tokens array<string>")
+    asked = spark.createDataFrame([(q, "a|*|*", " ".join(f"walk{q}x{i}" for i in range(30))) for q in range(5)], "q long, scope string, question string")
+    pools = E.dense_top(index, asked, top=2)
+    assert max(dealt_rows(pools)) <= 5 * 2 and pools.count() == 5 * 2  # a row per filled bucket of a question would be hundreds
